@@ -47,7 +47,7 @@ BLOCK = 512
 #: Ids in a shard; a document with more has a shard of its own.
 SHARD_IDS = 1 << 20
 #: Rows of the dictionary of encoded pieces that a task keeps.
-CACHE = 600_000
+CACHE = 800_000
 END = 0
 #: Text whose pieces are looked up together.
 PIECE_BYTES = 4 << 20
@@ -74,30 +74,92 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.feed = self._encode(["\n"])[0]
+        found = {m: self._encode([m])[0] for m in ".,;:!?"}
+        self.marks = {m: ids[0] for m, ids in found.items() if len(ids) == 1}
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.ends, self.odd, self.used, self.filled = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool), 0, 0
+        self.uses = np.zeros(1 << 14, np.int32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many short pieces, each after a space, and how many ids each has.
+
+        A line feed between two other characters is always a token of its own, so
+        pieces are encoded some hundreds at a time as the lines of one text.
+        """
+        lines = [" " + p for p in pieces]
+        plain = np.array([bool(p) and not (p[0].isspace() or p[-1].isspace() or "\n\n" in p) and len(p.split()) == p.count("\n") + 1 for p in pieces], bool)
+        at = np.flatnonzero(plain)
+        ids, lengths = [np.zeros(0, np.uint16)], np.zeros(len(pieces), np.int64)
+        if len(at) and len(self.feed) == 1:
+            tokens = [self.feed[0]]
+            for x in self._encode(["\n".join([lines[i] for i in at[k : k + 400]]) for k in range(0, len(at), 400)]):
+                tokens += x
+                tokens.append(self.feed[0])
+            flat = np.array(tokens, np.uint16)
+            breaks = np.flatnonzero(flat == self.feed[0])
+            last = np.cumsum([pieces[i].count("\n") + 1 for i in at])
+            if len(breaks) == last[-1] + 1:
+                lengths[at] = np.diff(breaks[np.append(0, last)]) - 1
+                keep = np.ones(len(flat), bool)
+                keep[breaks[np.append(0, last)]] = False
+                ids.append(flat[keep])
+            else:
+                plain[:] = False
+        else:
+            plain[:] = False
+        rest = np.flatnonzero(~plain)
+        found = self._encode([lines[i] for i in rest])
+        lengths[rest] = [len(x) for x in found]
+        ids.append(np.array([i for x in found for i in x], np.uint16))
+        order = np.argsort(np.concatenate([np.flatnonzero(plain), rest]))
+        sizes = np.concatenate([lengths[plain], lengths[rest]])
+        return np.concatenate(ids)[ranges((np.cumsum(sizes) - sizes)[order], sizes[order])], lengths
+
     def _learn(self, pieces: list[str]) -> None:
-        found = self._encode([" " + p for p in pieces])
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint16, int(lengths.sum()))
+        """Add pieces to the dictionary; a mark after a letter is a token of its own, so it needs no encoding."""
+        marked = [p for p in pieces if len(p) > 1 and p[-1] in self.marks and p[-2].isalpha()]
+        bases = {p[:-1] for p in marked if p[:-1] not in self.known}
+        self._add(list(bases.union(p for p in pieces if not (len(p) > 1 and p[-1] in self.marks and p[-2].isalpha())).difference(self.known)))
+        if marked:
+            number = np.fromiter((self.known[p[:-1]] for p in marked), np.int64, len(marked))
+            starts, lengths = self.ends[number - 1], self.ends[number] - self.ends[number - 1] + 1
+            flat = self.ids[np.minimum(ranges(starts, lengths), len(self.ids) - 1)]
+            flat[np.cumsum(lengths) - 1] = [self.marks[p[-1]] for p in marked]
+            self._add(marked, flat, lengths)
+
+    def _add(self, pieces: list[str], flat: np.ndarray | None = None, lengths: np.ndarray | None = None) -> None:
+        if flat is None:
+            flat, lengths = self._encode_pieces(pieces)
         while self.filled + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.used + len(pieces) + 1 > len(self.ends):
-            self.ends, self.odd = np.concatenate([self.ends, np.zeros_like(self.ends)]), np.concatenate([self.odd, np.zeros_like(self.odd)])
+            self.ends, self.odd, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.odd, self.uses))
         self.ids[self.filled : self.filled + len(flat)] = flat
         now = slice(self.used + 1, self.used + 1 + len(pieces))
         self.ends[now] = self.filled + np.cumsum(lengths)
         self.odd[now] = [not p or p[0].isspace() for p in pieces]
+        self.uses[now] = 0
         self.known.update(zip(pieces, range(self.used + 1, self.used + 1 + len(pieces)), strict=True))
         self.used, self.filled = self.used + len(pieces), self.filled + len(flat)
 
+    def _trim(self) -> None:
+        """Forget the pieces that were met in one batch only; all of them, if the rest are many."""
+        kept = [(p, i) for p, i in self.known.items() if self.uses[i] > 1]
+        old_ids, old_ends = self.ids, self.ends
+        self._clear()
+        if 0 < len(kept) < CACHE * 3 // 4:
+            number = np.array([i for _, i in kept])
+            starts, lengths = old_ends[number - 1], old_ends[number] - old_ends[number - 1]
+            self._add([p for p, _ in kept], old_ids[ranges(starts, lengths)], lengths)
+            self.uses[1 : len(kept) + 1] = 1
+
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string column (null: empty)."""
         texts = pc.fill_null(column, "")
@@ -107,9 +169,11 @@ class Encoder:
         counts = np.diff(split.offsets.to_numpy())
         words = pieces.dictionary.to_pylist()
         if len(self.known) + len(words) > CACHE:
-            self._clear()
+            self._trim()
         self._learn([w for w in words if w not in self.known])
-        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[pieces.indices.to_numpy()]
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses[number] += 1
+        number = number[pieces.indices.to_numpy()]
         starts, lengths = self.ends[number - 1], self.ends[number] - self.ends[number - 1]
         heads = firsts[counts > 0]
         lengths[heads] = 0  # a text's first piece has no space before it

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import html_extract, language_id, license_scan, mixing, quality, setjoin, substring_dedup, wavelet
+from claimloom.llm import decontaminate, hamming_search, html_extract, language_id, license_scan, mixing, quality, setjoin, substring_dedup, wavelet
 from claimloom.llm.common import table
 
 
@@ -48,6 +48,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = hamming_search.codes(vectors).where("vec_id % 20 = 0")
+    return hamming_search.search(vectors, asked.withColumnRenamed("vec_id", "query_id"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.join(table(spark, sf_dir, "documents"))
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from claimloom.llm.common import offsets_of, shared_folder, slices, written
+from claimloom.llm.common import offsets_of, shared_folder, slices, small, written
 from claimloom.llm.components import components
 from claimloom.llm.kernels import mixed, rows_of, window_hashes, word_bounds, word_hashes
 
@@ -102,7 +102,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, width: in
             tokens, first = shingle_sets(part.column("text"), width)
             n = np.diff(first)
             row = rows_of(first)
-            sums = np.concatenate([[0], np.cumsum(tokens, dtype=np.uint64)]), np.concatenate([[0], np.cumsum(mixed(tokens), dtype=np.uint64)])
+            zero = np.zeros(1, np.uint64)
+            sums = np.concatenate([zero, np.cumsum(tokens, dtype=np.uint64)]), np.concatenate([zero, np.cumsum(mixed(tokens), dtype=np.uint64)])
             d1, d2 = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
             if len(frequent) and len(tokens):
                 late = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
@@ -114,8 +115,34 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, width: in
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(d1), pa.array(d2), lists], names=["doc_id", "n", "d1", "d2", "prefix"])
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by shingle, set and doc_id: one for each set, where the list has two sets or more."""
+    names = ["token", "doc_id", "n", "pos"]
+    last = None  # the last set's entry, and whether its list has had another
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, d1, doc, n, pos = (batch.column(k).to_numpy() for k in ("token", "d1", "doc_id", "n", "pos"))
+        if last is not None:
+            token, d1, doc, n, pos = (np.concatenate([np.array([v], x.dtype), x]) for v, x in zip(last[:5], (token, d1, doc, n, pos), strict=True))
+        head = np.ones(len(token), bool)
+        head[1:] = (token[1:] != token[:-1]) | (d1[1:] != d1[:-1])
+        token, d1, doc, n, pos = (x[head] for x in (token, d1, doc, n, pos))
+        more = np.zeros(len(token), bool)
+        more[1:] |= token[1:] == token[:-1]
+        more[:-1] |= token[1:] == token[:-1]
+        more[0] |= last is not None and last[5]
+        last = (token[-1], d1[-1], doc[-1], n[-1], pos[-1], bool(more[-1]))
+        keep = more.copy()
+        keep[-1] = False
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, doc, n, pos)], names=names)
+    if last is not None and last[5]:
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((last[0], last[2], last[3], last[4]), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
+
+
 def _bitmap_bits(n: int) -> int:
-    return min(1 << 15, max(64, 1 << (2 * n - 1).bit_length()))
+    """The power of two that is n at most, within bounds."""
+    return min(1 << 15, max(64, 1 << (max(n, 1).bit_length() - 1)))
 
 
 def _packed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -134,62 +161,87 @@ def _packed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), pa.array(texts, pa.binary()), pa.array(maps, pa.binary())], names=["doc_id", "n", "packed", "bits"])
 
 
-def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
-    """The groups of rows that come sorted by ``keys``; one group is held at a time."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``keys``, some groups at a time, none cut, with the number of each row's group."""
     held: list[pa.Table] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
+    for batch in _ended(batches):
+        if batch is not None and batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+        if not held or batch is not None and not batch.num_rows:
             continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
+        rows = pa.concat_tables(held).combine_chunks()
+        change = np.zeros(len(rows), bool)
+        for k in keys:
+            c = rows.column(k).to_numpy()
             change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        rows = pa.Table.from_batches([batch])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(c[a] for c in columns)
-            if held and key != last:
-                yield pa.concat_tables(held)
-                held = []
-            held.append(rows.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.concat_tables(held)
+        cut = len(rows) if batch is None else int(np.flatnonzero(change)[-1]) if change.any() else 0
+        held = [rows.slice(cut)] if cut < len(rows) else []
+        if cut:
+            yield rows.slice(0, cut), np.cumsum(change[:cut])
+
 
+def _ended(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
 
-def _folded(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps at the width of the narrowest, as 64-bit words."""
-    size = min(map(len, maps))
-    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, size), axis=0) for m in maps]).view(np.uint64)
+
+def _folded(maps: list[bytes], widths: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Each row's place among those of its width, and for each width their bitmaps folded to it, as 64-bit words."""
+    place = np.zeros(len(maps), np.int64)
+    out = {}
+    for width in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == width)
+        place[at] = np.arange(len(at))
+        out[width] = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[i], np.uint64).reshape(-1, width // 64), axis=0) for i in at])
+    return place, out
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int, first_round: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block that may link: for each set its likeliest partner, or all of other classes."""
-    for rows in groups(batches, "token", "block", "other"):
-        if len(rows) < 2:
-            continue
-        doc, n, pos, comp, side = (rows.column(k).to_numpy() for k in ("doc_id", "n", "pos", "comp", "side"))
-        bits = _folded(rows.column("bits").to_pylist())
-        out_a, out_b = [], []
-        for i in range(len(rows)):
-            j = np.arange(i) if first_round else np.arange(i)[comp[:i] != comp[i]]
-            j = j[(doc[j] != doc[i]) & (side[j] | side[i] == 3)]  # 1: own block, 2: the other, 3: both
-            need = least_overlap(n[j], n[i], percent)
-            j, need = (x[(np.minimum(n[j], n[i]) >= need) & (1 + np.minimum(n[j] - pos[j], n[i] - pos[i]) - 1 >= need)] for x in (j, need))
-            if not len(j):
-                continue
-            over = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
-            fits = over >= need
-            if first_round and fits.any():
-                best = np.argmax(np.where(fits, over - need, -1))
-                fits = np.zeros(len(j), bool)
-                fits[best] = True
-            out_a.append(np.full(int(fits.sum()), doc[i]))
-            out_b.append(doc[j[fits]])
-        if out_a:
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+    """Pairs of a block that may link: for each set its likeliest partner, or all of other classes.
+
+    All blocks at hand are compared at once: each row with the one before it, then
+    with the one before that, for as long as blocks reach.
+    """
+    for rows, group in _whole_groups(batches, ("token", "block", "other")):
+        doc, n, pos, comp, side, upper, at = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "n", "pos", "comp", "side", "upper", "at"))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        # One width for a size step: sets of the step and of the next have bitmaps as wide or wider.
+        low = np.floor((100 / percent) ** at).astype(np.int64)
+        widths = np.array([_bitmap_bits(int(x)) for x in low])
+        have = np.array([len(b) * 8 for b in rows.column("bits").to_pylist()])
+        if len(rows) > 1:  # rounding at a step's edge
+            widths = np.minimum(widths, np.minimum.reduceat(have, np.flatnonzero(np.diff(group, prepend=-1)))[group])
+        place, maps = _folded(rows.column("bits").to_pylist(), widths)
+        best, partner = np.full(len(rows), -1), np.full(len(rows), -1)
+        out = []
+        i = np.arange(1, len(rows))
+        lag = 1
+        while len(i):
+            i = i[i >= lag]
+            i = i[group[i] == group[i - lag]]
+            j = i - lag
+            need = least_overlap(n[i], n[j], percent)
+            fits = (doc[i] != doc[j]) & (side[i] | side[j] == 3) & ~(upper[i] & upper[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+            if not first_round:
+                fits &= comp[i] != comp[j]
+            a, b, need = i[fits], j[fits], need[fits]
+            for width, m in maps.items():
+                k = np.flatnonzero(widths[a] == width)
+                if len(k):
+                    x, y = m[place[a[k]]], m[place[b[k]]]
+                    over = np.minimum(n[a[k]] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[b[k]] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64)) - need[k]
+                    if first_round:
+                        better = over > best[a[k]]
+                        best[a[k][better]], partner[a[k][better]] = over[better], b[k][better]
+                    else:
+                        out.append((a[k][over >= 0], b[k][over >= 0]))
+            lag += 1
+        if first_round:
+            a = np.flatnonzero(partner >= 0)
+            out = [(a, partner[a])]
+        for a, b in out:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(doc[a], doc[b])), pa.array(np.minimum(doc[a], doc[b]))], names=["a", "b"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -212,26 +264,25 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> It
 
 
 def _pairs(lists: DataFrame, texts: DataFrame, percent: int, first_round: bool) -> DataFrame:
-    """Candidate pairs of ``lists`` (token, doc_id, n, pos, comp, length)."""
-    # Blocks by size: a set meets those of its own size step and of the next.
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100))).cast("int")
-    parts = F.ceil(F.col("length") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
-    # Sets of a step stand in the blocks of the step itself and of the one below, where they meet its sets.
+    """Candidate pairs of ``lists`` (token, doc_id, n, pos, comp, parts)."""
+    # Blocks by size step: a set meets those of its own step there, and in the block below, as upper, those of the step before.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     spread = (
-        lists.withColumns({"step": step, "parts": parts, "mine": mine})
+        lists.withColumns({"step": step, "mine": mine})
         .withColumn("at", F.explode(F.array(F.col("step"), F.col("step") - 1)))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
-            "token", "doc_id", "n", "pos", "comp",
+            "token", "doc_id", "n", "pos", "comp", "at",
+            (F.col("at") != F.col("step")).alias("upper"),
             (F.col("at") * F.lit(1 << 10) + F.least("mine", "with")).alias("block"),
             F.greatest("mine", "with").alias("other"),
-            F.when(F.least("mine", "with") == F.greatest("mine", "with"), 3).when(F.col("mine") < F.col("with"), 1).otherwise(2).alias("side"),
+            F.when(F.col("mine") == F.col("with"), 3).when(F.col("mine") < F.col("with"), 1).otherwise(2).alias("side"),
         )
     )
     keys = ["token", "block", "other"]
-    alone = spread.groupBy(*keys).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
-    useful = alone.where("d0 <> d1" if first_round else "least <> most").select(*keys)
+    met = spread.groupBy(*keys).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("upper").alias("all_upper"))
+    useful = met.where("NOT all_upper").where("d0 <> d1" if first_round else "least <> most").select(*keys)
     return (
         spread.join(useful, keys, "left_semi")
         .join(texts.select("doc_id", "bits"), "doc_id")
@@ -264,21 +315,23 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
     sets = written(docs.mapInArrow(lambda it: _prefixes(it, frequent.value, width, percent), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), folder, "sets")
     # Equal sets are one set; its smallest doc_id stands for it.
-    one = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.min_by("prefix", "doc_id").alias("prefix"))
-    one = written(one, folder, "one")
-    entries = one.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    lengths = entries.groupBy("token").agg(F.count("*").cast("int").alias("length")).where("length > 1")
-    lists = written(entries.join(lengths, "token").withColumn("comp", F.col("doc_id")), folder, "lists")
+    entries = sets.select("doc_id", F.col("n").cast("int").alias("n"), "d1", F.posexplode("prefix").alias("pos", "token"))
+    entries = entries.select("token", "d1", "doc_id", "n", "pos").repartition("token").sortWithinPartitions("token", "d1", "doc_id")
+    lists = written(entries.mapInArrow(_shared, "token long, doc_id long, n int, pos int"), folder, "lists")
+    long = written(lists.groupBy("token").agg(F.count("*").alias("length")).where(F.col("length") > BLOCK), folder, "long")
+    parts = F.coalesce(F.ceil(F.col("length") / F.lit(BLOCK)), F.lit(1)).cast("int")
+    cut = lists.join(small(long), "token", "left").select("token", "doc_id", "n", "pos", parts.alias("parts"))
     texts = docs.mapInArrow(lambda it: _packed(it, width), "doc_id long, n long, packed binary, bits binary")
     texts = written(texts.join(lists.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "bits"]), folder, "texts")
 
     turn = F.row_number().over(W.partitionBy("doc_id").orderBy("pos"))
-    few = lists.withColumn("turn", turn).where(F.col("turn") <= FIRST_LISTS).drop("turn")
+    few = cut.withColumns({"turn": turn, "comp": F.col("doc_id")}).where(F.col("turn") <= FIRST_LISTS).drop("turn")
     links = written(_verify(_pairs(few, texts, percent, True), texts, width, percent), folder, "links-1")
     known = components(links, folder, "first")
-    lists = written(lists.drop("comp").join(known, lists.doc_id == known.node, "left").select("token", "doc_id", "n", "pos", "length", F.coalesce("component", "doc_id").alias("comp")), folder, "lists-2")
-    more = written(_verify(_pairs(lists, texts, percent, False), texts, width, percent), folder, "links-2")
+    classed = cut.join(known, cut.doc_id == known.node, "left").select("token", "doc_id", "n", "pos", "parts", F.coalesce("component", "doc_id").alias("comp"))
+    more = written(_verify(_pairs(classed, texts, percent, False), texts, width, percent), folder, "links-2")
     joined = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), folder, "all")
 
-    classes = one.select("n", "d1", "d2", F.col("doc_id").alias("node")).join(joined, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    return sets.join(classes, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"))
+    classes = first.join(joined, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
+    return sets.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -205,11 +205,11 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
     now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     for level in range(levels - 1, -1, -1):
         ones = (now & now.dtype.type(1 << level)) != 0
-        padded = np.zeros(-(-max(n, 1) // 64) * 8, np.uint8)
+        padded = np.zeros(-(-n // BLOCK) * BLOCK // 8, np.uint8)
         packed = np.packbits(ones, bitorder="little")
         padded[: len(packed)] = packed
-        counts = np.add.reduceat(ones, np.arange(0, n, BLOCK), dtype=np.uint32) if n else np.zeros(0, np.uint32)
-        planes.append(padded)
+        counts = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
+        planes.append(padded[: -(-max(n, 1) // 64) * 8] if n else np.zeros(8, np.uint8))
         ranks.append(np.concatenate([[0], np.cumsum(counts)]).astype(np.uint32))
         zeros.append(n - int(ones.sum()))
         now = np.concatenate([now[~ones], now[ones]])

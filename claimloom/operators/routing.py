@@ -33,7 +33,7 @@ def cosigned_pairs(claims: DataFrame) -> DataFrame:
     return signed.alias("a").join(signed.alias("b"), "subject_id").where("a.org < b.org").select(F.col("a.org").alias("low"), F.col("b.org").alias("high")).distinct()
 
 
-def scored(claims: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
+def scored(claims: DataFrame, cycles: DataFrame | None = None, digits: int = 4) -> DataFrame:
     """claim_id, risk, routing and reasons of each claim in the context of all."""
     keyed = claims.withColumns({"low": F.least("subject_id", "object_id"), "high": F.greatest("subject_id", "object_id")})
     members = (graph.counted_cycles(graph.grouped_edges(graph.routing_by_confidence(claims))) if cycles is None else cycles).select("relation", F.explode("path").alias("node")).distinct()
@@ -57,7 +57,7 @@ def scored(claims: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
     risk = F.greatest(F.lit(0.0), F.least(F.lit(1.0), added * (0.5 + 0.5 * F.col("confidence"))))
     return joined.withColumn("raw", risk).select(
         "claim_id",
-        F.round("raw", 4).alias("risk"),
+        F.round("raw", digits).alias("risk"),
         F.when(F.col("raw") >= ESCALATE, "escalate").when(F.col("raw") >= FLAG, "flag").otherwise("auto_file").alias("routing"),
         F.array_join(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, _, t in tests])), ",").alias("reasons"),
     )

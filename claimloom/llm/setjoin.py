@@ -141,8 +141,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmap_bits(n: int) -> int:
-    """The power of two that is n at most, within bounds."""
-    return min(1 << 15, max(64, 1 << (max(n, 1).bit_length() - 1)))
+    """The first power of two from n on, within bounds: sets of n leave a third of it free at least."""
+    return min(1 << 15, max(64, 1 << (max(n, 1) - 1).bit_length()))
 
 
 def _packed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, first_round: bo
     All blocks at hand are compared at once: each row with the one before it, then
     with the one before that, for as long as blocks reach.
     """
-    for rows, group in _whole_groups(batches, ("token", "block", "other")):
+    for rows, group in _whole_groups(batches, ("head", "block", "other", "token")):
         doc, n, pos, comp, side, upper, at = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "n", "pos", "comp", "side", "upper", "at"))
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         # One width for a size step: sets of the step and of the next have bitmaps as wide or wider.
@@ -239,9 +239,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, first_round: bo
         if first_round:
             a = np.flatnonzero(partner >= 0)
             out = [(a, partner[a])]
-        for a, b in out:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(doc[a], doc[b])), pa.array(np.minimum(doc[a], doc[b]))], names=["a", "b"])
+        if out:
+            a, b = (doc[np.concatenate(x)] for x in zip(*out, strict=True))
+            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs], names=["a", "b"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -282,12 +283,14 @@ def _pairs(lists: DataFrame, texts: DataFrame, percent: int, first_round: bool)
     )
     keys = ["token", "block", "other"]
     met = spread.groupBy(*keys).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("upper").alias("all_upper"))
-    useful = met.where("NOT all_upper").where("d0 <> d1" if first_round else "least <> most").select(*keys)
+    useful = met.where("NOT all_upper").where("d0 <> d1" if first_round else "least <> most").select(*keys, F.col("d0").alias("head"))
+    # Blocks with the same smallest set hold much the same sets, so they are compared
+    # in one place, where a pair that they share is proposed once.
     return (
-        spread.join(useful, keys, "left_semi")
+        spread.join(useful, keys)
         .join(texts.select("doc_id", "bits"), "doc_id")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, "doc_id")
+        .repartition("head", "block", "other")
+        .sortWithinPartitions("head", "block", "other", "token", "doc_id")
         .mapInArrow(lambda it: _candidates(it, percent, first_round), "a long, b long")
         .distinct()
     )

@@ -84,7 +84,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     answers, best = [], None
     for radius in range(_PART + 1):
         probes = pending.mapInArrow(lambda it, r=radius: _probes(it, r), "q long, part int, value int")
-        met = probes.join(index, ["part", "value"]).select("q", "code", "held").distinct()
+        # Probes are far more than their queries, which Spark's estimate of their size does not know.
+        met = probes.join(index.hint("merge"), ["part", "value"]).select("q", "code", "held").distinct()
         met = met.withColumn("d", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
         if best is not None:
             met = met.unionByName(best.join(pending, "q", "left_semi").select("q", "code", "held", "d")).distinct()

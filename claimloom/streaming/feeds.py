@@ -60,7 +60,7 @@ def lockouts(failures: DataFrame) -> DataFrame:
 
 
 def lockout_stream(failures: DataFrame) -> DataFrame:
-    """The same over a stream, with each user's window in the state store until it has passed."""
+    """The same over a stream, with each user's window in the state store until the watermark has passed it."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -70,11 +70,12 @@ def lockout_stream(failures: DataFrame) -> DataFrame:
         first, count = state.get if state.exists else (0.0, 0)
         first, count, rows = _fold(times, first, count)
         state.update((first, count))
-        state.setTimeoutDuration(MINUTES * 60_000)
+        state.setTimeoutTimestamp(max(int(first * 1000) + MINUTES * 60_000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"user_id": [key[0]] * len(rows), "t": [t for t, _, _ in rows], "failures": [n for _, n, _ in rows], "locked": [x for _, _, x in rows]})
 
-    timed = failures.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6).alias("t"))
-    return timed.groupBy("user_id").applyInPandasWithState(fold, "user_id long, t double, failures int, locked boolean", "first double, count int", "append", "ProcessingTimeTimeout")
+    timed = failures.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{MINUTES} minutes")
+    timed = timed.select("user_id", "ts", (F.unix_micros("ts").cast("double") / 1e6).alias("t"))
+    return timed.groupBy("user_id").applyInPandasWithState(fold, "user_id long, t double, failures int, locked boolean", "first double, count int", "append", "EventTimeTimeout")
 
 
 def rates(events: DataFrame, key: str = "user_id", width: str = "1 minute") -> DataFrame:

@@ -129,8 +129,64 @@ def test_lockout_stream_equals_table(spark, tmp_path):
     table = sorted((r.user_id, r.failures, r.locked) for r in feeds.lockouts(df).collect())
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = feeds.lockout_stream(stream).writeStream.outputMode("append").format("memory").queryName("locks").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = feeds.lockout_stream(stream).writeStream.outputMode("append").format("memory").queryName("locks").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     assert sorted((r.user_id, r.failures, r.locked) for r in spark.sql("SELECT * FROM locks").collect()) == table
     assert (1, 5, True) in table and (2, 1, False) in table and (2, 2, False) not in table
+
+
+def test_variants_keep_the_span_at_its_words(spark):
+    from claimloom.operators import fuzz
+
+    text = "Alpha Ltd owns Beta. The company paid an invoice. It was signed here."
+    rows = [(i, text, 0, 20, ["Alpha Ltd", "Beta"]) for i in range(20)] + [(99, None, 0, 1, [])]
+    claims = spark.createDataFrame(rows, "claim_id long, text string, char_start int, char_end int, names array<string>")
+    found = fuzz.variants(claims, per_family=2).collect()
+    assert {r.perturbation for r in found} == set(fuzz.FAMILIES)
+    for r in found:
+        span = r.text[r.char_start : r.char_end]
+        assert span.replace(",", "").startswith(("Alpha Ltd", "Party")) and span.endswith("."), r
+    assert [tuple(r) for r in found] == [tuple(r) for r in fuzz.variants(claims, per_family=2).collect()]
+    assert fuzz.applied("abcdef", [(2, 2, "X"), (4, 4, "Y")], 2, 4) == ("abXcdYef", 3, 5)
+    with pytest.raises(ValueError):
+        fuzz.applied("abcdef", [(1, 3, ""), (2, 4, "")], 0, 1)
+
+
+def test_lost_relations_are_flips(spark):
+    from claimloom.operators import fuzz
+
+    t = spark.createDataFrame([(1, "rename", 0, 5, 9, 1, 2, "flag", 0.8), (2, "rename", 0, 5, 9, 1, 2, "flag", 0.8)], "claim_id long, perturbation string, variant int, start int, end int, subject_id long, object_id long, routing string, confidence double")
+    d = spark.createDataFrame([(1, "rename", 0, 8, 12, 1, 2, "flag", 0.7), (1, "rename", 0, 9, 12, 1, 2, "escalate", 0.99)], "claim_id long, perturbation string, variant int, start2 int, end2 int, subject_id long, object_id long, new_routing string, new_confidence double")
+    assert sorted(map(tuple, fuzz.scored(t, d).collect())) == [(1, "rename", 0, False, -0.1, False), (2, "rename", 0, True, -0.8, True)]
+
+
+def test_ablation_modes(spark):
+    from claimloom.operators import ablation
+
+    e = spark.createDataFrame([(1, 0, 9, 2.0, 1.0), (1, 1, 9, 0.0, 0.0)], "doc_id long, src int, dst int, score double, value double")
+    first = ablation.effect(e, F.col("src") == 0).first()
+    assert first.before == pytest.approx(0.880797) and (first.after, first.load_bearing) == (0.0, True)
+    assert ablation.effect(e, F.lit(False)).first().change == 0
+    assert ablation.unknown_edges(e, ["0->9", "3->9"]) == ["3->9"]
+    even = {r.src: r.weight for r in ablation.masked(e, F.col("src") == 0, "uniform").collect()}
+    assert even[0] == 0.5
+    assert e.select(ablation.magnitude(F.lit(-0.3))).first()[0] == "decisive"
+
+
+def test_resolution_folds_in_order(spark):
+    from claimloom.operators import resolve
+
+    names = ["Northern Star Shipping Ltd", "Northern Star", "NORTHERN STAR SHIPPING", "Quartz Mining", "Quartz Minings", "Other"]
+    df = spark.createDataFrame([(0, i, n) for i, n in enumerate(names)] + [(1, 50, "Northern Star")], "org_id int, position long, surface string")
+    found = {(r.org_id, r.position): (r.entity_id, r.method) for r in resolve.resolved(df).collect()}
+    assert found[0, 0] == (0, "new") and found[0, 1] == (0, "prefix") and found[0, 2] == (0, "exact") and found[0, 3] == (3, "new") and found[0, 5] == (5, "new")
+    assert found[1, 50] == (50, "new")
+
+
+def test_answers_are_salvaged_or_degraded(spark):
+    from claimloom.operators import opinions
+
+    good = 'Sure:\n```json\n{"decision": "flag", "rationale": "odd", "confidence": 0.5}\n```'
+    raw = spark.createDataFrame([(1, good), (2, '{"decision": "no", "rationale": "x", "confidence": 0.5}'), (3, "nothing")], "claim_id long, raw string")
+    asked = spark.createDataFrame([(i,) for i in range(1, 5)], "claim_id long")
+    assert sorted(map(tuple, opinions.answers(asked, raw).collect())) == [(1, "flag", "odd", False), (2, None, None, True), (3, None, None, True), (4, None, None, True)]

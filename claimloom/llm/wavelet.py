@@ -47,7 +47,7 @@ BLOCK = 512
 #: Ids in a shard; a document with more has a shard of its own.
 SHARD_IDS = 1 << 20
 #: Rows of the dictionary of encoded pieces that a task keeps.
-CACHE = 800_000
+CACHE = 400_000
 END = 0
 #: Text whose pieces are looked up together.
 PIECE_BYTES = 4 << 20

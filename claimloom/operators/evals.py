@@ -206,3 +206,26 @@ def fitted_temperature(logits: DataFrame, target: str, steps: int = 40) -> float
             b = low + g * (high - low)
             fb = loss(math.exp(b))
     return round(math.exp((low + high) / 2), 3)
+
+
+def span_scores(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """Micro precision, recall and F1 of exact spans: rows of both sides that agree on ``keys``."""
+    a, b = predicted.select(*keys).distinct().withColumn("_p", F.lit(1)), gold.select(*keys).distinct().withColumn("_g", F.lit(1))
+    both = a.join(b, keys, "full_outer").agg(F.count("_p").alias("p"), F.count("_g").alias("g"), F.count_if(F.col("_p").isNotNull() & F.col("_g").isNotNull()).alias("hit"))
+    ratio = lambda x, y: F.round(F.coalesce(F.try_divide(x, y), F.lit(0.0)), 6)
+    return both.select("hit", ratio(F.col("hit"), F.col("p")).alias("precision"), ratio(F.col("hit"), F.col("g")).alias("recall"), ratio(2 * F.col("hit"), F.col("p") + F.col("g")).alias("f1"))
+
+
+def class_weights(frame: DataFrame, label: str, most: float = 4.0) -> DataFrame:
+    """Inverse root frequency of each class, relative to an even share, capped."""
+    counts = frame.groupBy(label).agg(F.count("*").alias("n"))
+    one = W.partitionBy(F.lit(0))
+    return counts.select(label, F.round(F.least(F.lit(most), F.sqrt(F.sum("n").over(one) / (F.count("*").over(one) * F.col("n")))), 6).alias("weight"))
+
+
+def band_summary(frame: DataFrame, band: str, value: str, confidence: str) -> DataFrame:
+    """By band: size, mean, 90th lower percentile, mean confidence, and whether the mean is no less than the band's before."""
+    ninth = lower_percentile(frame, [band], value, 0.9)
+    means = frame.groupBy(band).agg(F.count("*").alias("n"), F.avg(value).alias("_m"), F.round(F.avg(confidence), 6).alias("mean_confidence"))
+    rises = F.coalesce(F.col("_m") >= F.lag("_m").over(W.partitionBy(F.lit(0)).orderBy(band)), F.lit(True))
+    return means.join(ninth, band).select(band, "n", F.round("_m", 6).alias("mean"), "p90", "mean_confidence", rises.alias("rises"))

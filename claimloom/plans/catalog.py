@@ -517,3 +517,52 @@ r AS (SELECT user_id, event_id, i, t AS first, 1 AS n FROM f WHERE i = 1 UNION A
 SELECT user_id, event_id, CAST(n AS INTEGER) AS failures, n >= 5 AS locked FROM r""")
 def failure_lockout(spark, sf_dir):
     return feeds.lockouts(table(spark, sf_dir, "events").where("event_type = 'error'"))
+
+
+# Training reports and vocabularies
+
+
+@query(f"WITH {CLAIMS}, p AS (SELECT DISTINCT document_id, subject_id, relation FROM claims WHERE claim_id % 3 > 0), g AS (SELECT DISTINCT document_id, subject_id, relation FROM claims WHERE claim_id % 4 > 0), s AS (SELECT (SELECT count(*) FROM p) AS p, (SELECT count(*) FROM g) AS g, (SELECT count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM g)) AS hit) SELECT hit, round(hit / p, 6) AS precision, round(hit / g, 6) AS recall, round(2 * hit / (p + g), 6) AS f1 FROM s")
+def triple_scores(spark, sf_dir):
+    claims = X.claims(spark, sf_dir)
+    return evals.span_scores(claims.where("claim_id % 3 > 0"), claims.where("claim_id % 4 > 0"), ["document_id", "subject_id", "relation"])
+
+
+@query(f"WITH {CLAIMS}, c AS (SELECT relation, count(*) AS n FROM claims GROUP BY 1) SELECT relation, round(least(4.0, sqrt(sum(n) OVER () / (count(*) OVER () * n))), 6) AS weight FROM c")
+def class_weights(spark, sf_dir):
+    return evals.class_weights(X.claims(spark, sf_dir), "relation")
+
+
+@query(f"WITH {CLAIMS}, b AS (SELECT CASE claim_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS band, vacuity, confidence FROM claims), m AS (SELECT band, count(*) AS n, avg(vacuity) AS m, round(avg(confidence), 6) AS mean_confidence FROM b GROUP BY 1), o AS (SELECT band, vacuity, row_number() OVER (PARTITION BY band ORDER BY vacuity) - 1 AS i, count(*) OVER (PARTITION BY band) AS n FROM b) SELECT m.band, m.n, round(m.m, 6) AS mean, o.vacuity AS p90, m.mean_confidence, coalesce(m.m >= lag(m.m) OVER (ORDER BY m.band), true) AS rises FROM m JOIN o ON o.band = m.band AND o.i = floor(0.9 * (o.n - 1))")
+def band_summary(spark, sf_dir):
+    band = F.element_at(F.array(*[F.lit(b) for b in "ABCD"]), (F.col("claim_id") % 4 + 1).cast("int"))
+    return evals.band_summary(X.claims(spark, sf_dir).withColumn("band", band), "band", "vacuity", "confidence")
+
+
+@query("WITH w AS (SELECT regexp_replace(lower(unnest(string_split(p_type, ' '))), '[0-9]', '0', 'g') AS word FROM part) SELECT word, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, word) AS INTEGER) AS id FROM w GROUP BY 1 HAVING count(*) >= 2")
+def word_vocabulary(spark, sf_dir):
+    return entities.vocabulary(table(spark, sf_dir, "part").select(F.explode(F.split("p_type", " ")).alias("surface")))
+
+
+@query("WITH m AS (SELECT o_custkey AS key, CASE o_orderkey % 3 WHEN 0 THEN 'ORG' WHEN 1 THEN 'PERSON' ELSE 'ACCOUNT' END AS kind, count(*) AS n FROM orders GROUP BY 1, 2) SELECT key, kind FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, CASE kind WHEN 'ORG' THEN 2 WHEN 'PERSON' THEN 1 ELSE 0 END DESC, kind DESC) = 1")
+def type_vote(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("ORG"), F.lit("PERSON"), F.lit("ACCOUNT")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return entities.type_votes(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), kind.alias("kind")))
+
+
+@query()
+def perturbed_texts(spark, sf_dir):
+    """Five variants of each document's first sentence, with the tracked span moved along."""
+    from claimloom.operators import fuzz
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), "text", F.lit(0).alias("char_start"), F.least(F.length("text"), F.lit(40)).alias("char_end"), F.array().cast("array<string>").alias("names"))
+    return fuzz.variants(docs).select("claim_id", "perturbation", "variant", "char_start", "char_end", F.sha2("text", 256).alias("text_sha"))
+
+
+@query()
+def resolved_names(spark, sf_dir):
+    """Part names resolved in order within a tenant for each size."""
+    from claimloom.operators import resolve
+
+    names = table(spark, sf_dir, "part").select((F.col("p_size") % 10).cast("int").alias("org_id"), F.col("p_partkey").cast("long").alias("position"), F.col("p_name").alias("surface"))
+    return resolve.resolved(names).select("org_id", "position", "entity_id", "method")

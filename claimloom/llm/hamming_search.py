@@ -1,11 +1,16 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
 Vectors become 64-bit codes, the signs of fixed random projections. A code is cut
-into ``SEGMENTS`` parts, each indexed by its value. Round ``r`` looks up, for every
-open query and part, all values at distance ``r``: by the pigeonhole principle every
-code within ``SEGMENTS * (r + 1) - 1`` has then been met. A query closes once its kth
-verified distance is within that bound, so its answer is proven complete; only the
-open ones go on to the next radius.
+into ``m`` parts of about log2(codes) bits, each indexed by its value: a part's value
+then has about one code, so the codes that a probe meets stay as many however large
+the table is. Round ``r`` looks up, for every open query and part, all values at
+distance ``r``: by the pigeonhole principle every code within ``m * (r + 1) - 1`` has
+then been met. A query closes once its kth verified distance is within that bound, so
+its answer is proven complete; only the open ones go on to the next radius.
+
+The kth distance met so far bounds the final one from above. So a part ``i`` is probed
+at radius ``r`` only if ``m * r + i`` is within it (a farther code has no other way in),
+and codes beyond it are dropped where they are met.
 
 Equal codes are one entry with its smallest ids (no more than k can ever be
 returned), and equal queries are asked once, so a very common vector costs one entry.
@@ -29,8 +34,7 @@ from pyspark.sql.window import Window as W
 
 from claimloom.llm.common import shared_folder, written
 
-BITS, SEGMENTS, K = 64, 4, 10
-_PART = BITS // SEGMENTS
+BITS, K = 64, 10
 
 
 def codes(vectors: DataFrame, seed: int = 3) -> DataFrame:
@@ -50,20 +54,30 @@ def codes(vectors: DataFrame, seed: int = 3) -> DataFrame:
     return sized.where(F.size("embedding") == width).mapInArrow(signed, f"vec_id {dict(vectors.dtypes)['vec_id']}, code long")
 
 
-def _part(code: str, k: int):
-    return F.shiftrightunsigned(F.col(code), k * _PART).bitwiseAND(F.lit((1 << _PART) - 1)).cast("int")
+def parts_of(entries: int) -> list[tuple[int, int]]:
+    """First bit and width of each part: about log2(entries) bits, so 64 / log2(entries) parts."""
+    edges = np.linspace(0, BITS, max(2, round(BITS / np.log2(max(4, entries)))) + 1).round().astype(int).tolist()
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _part(code: str, first: int, width: int):
+    return F.shiftrightunsigned(F.col(code), first).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _probes(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    masks = np.array([sum(1 << b for b in bits) for bits in combinations(range(_PART), radius)], np.int64)
+def _probes(batches: Iterator[pa.RecordBatch], radius: int, parts: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    masks = {width: np.array([sum(1 << b for b in bits) for bits in combinations(range(width), radius)], np.int64) for _, width in parts}
     for batch in batches:
-        for at in range(0, batch.num_rows, max(1, (1 << 18) // len(masks))):
-            q = batch.column("q").to_numpy()[at : at + max(1, (1 << 18) // len(masks))]
-            for k in range(SEGMENTS):
-                value = (q.view(np.uint64) >> np.uint64(k * _PART)).view(np.int64) & ((1 << _PART) - 1)
+        q, far = batch.column("q").to_numpy(), batch.column("far").to_numpy()
+        for k, (first, width) in enumerate(parts):
+            mask, able = masks[width], np.flatnonzero(far >= len(parts) * radius + k)
+            step = max(1, (1 << 18) // max(1, len(mask)))
+            for at in range(0, len(able), step):
+                some = able[at : at + step]
+                value = (q[some].view(np.uint64) >> np.uint64(first)).view(np.int64) & ((1 << width) - 1)
+                n = len(some) * len(mask)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q, len(masks))), pa.array(np.full(len(q) * len(masks), k, np.int32)), pa.array((value[:, None] ^ masks[None]).ravel().astype(np.int32))],
-                    names=["q", "part", "value"],
+                    [pa.array(np.repeat(q[some], len(mask))), pa.array(np.repeat(far[some], len(mask))), pa.array(np.full(n, k, np.int32)), pa.array((value[:, None] ^ mask[None]).ravel())],
+                    names=["q", "far", "part", "value"],
                 )
 
 
@@ -78,26 +92,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     near = coded.withColumn("n", F.row_number().over(W.partitionBy("code", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id"))).where(F.col("n") <= k)
     ids = near.groupBy("code").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k).alias("ids"))
     entries = written(ids, folder, "entries")
-    index = written(entries.select("code", F.size("ids").alias("held"), F.posexplode(F.array(*[_part("code", i) for i in range(SEGMENTS)])).alias("part", "value")), folder, "index")
+    parts = parts_of(entries.count())
+    index = written(entries.select("code", F.size("ids").alias("held"), F.posexplode(F.array(*[_part("code", *p) for p in parts])).alias("part", "value")), folder, "index")
     asked = written(queries.select("query_id", "code"), folder, "asked")
-    pending = asked.select(F.col("code").alias("q")).distinct()
-    answers, best = [], None
-    for radius in range(_PART + 1):
-        probes = pending.mapInArrow(lambda it, r=radius: _probes(it, r), "q long, part int, value int")
+    pending = asked.select(F.col("code").alias("q"), F.lit(BITS).alias("far")).distinct()
+    answers, best, last = [], None, max(width for _, width in parts)
+    for radius in range(last + 1):
+        probes = pending.mapInArrow(lambda it, r=radius: _probes(it, r, parts), "q long, far int, part int, value long")
         # Probes are far more than their queries, which Spark's estimate of their size does not know.
-        met = probes.join(index.hint("merge"), ["part", "value"]).select("q", "code", "held").distinct()
+        within = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))) <= F.col("far")
+        meets = (probes.part == index.part) & (probes.value == index.value) & within
+        met = probes.join(index.hint("merge"), meets).select("q", "code", "held").distinct()
         met = met.withColumn("d", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
         if best is not None:
             met = met.unionByName(best.join(pending, "q", "left_semi").select("q", "code", "held", "d")).distinct()
         # A code stays if fewer than k answers are nearer; equally near codes all stay, for the ties.
         nearer = F.coalesce(F.sum("held").over(W.partitionBy("q").orderBy("d").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
         best = written(met.withColumn("nearer", nearer).where(F.col("nearer") < k).drop("nearer"), folder, f"best-{radius}")
-        bound = SEGMENTS * (radius + 1) - 1
+        bound = len(parts) * (radius + 1) - 1
         reach = best.groupBy("q").agg(F.max("d").alias("far"), F.sum("held").alias("held"))
-        closed = reach.where((F.col("held") >= k) & (F.col("far") <= bound)) if radius < _PART else reach
+        closed = reach.where((F.col("held") >= k) & (F.col("far") <= bound)) if radius < last else reach
         closed = written(closed.select("q"), folder, f"closed-{radius}")
         answers.append(best.join(closed, "q", "left_semi"))
-        pending = written(pending.join(closed, "q", "left_anti"), folder, f"pending-{radius}")
+        known = reach.select("q", F.when(F.col("held") >= k, F.col("far")).otherwise(BITS).cast("int").alias("far"))
+        pending = pending.select("q").join(closed, "q", "left_anti").join(known, "q", "left").select("q", F.coalesce("far", F.lit(BITS)).alias("far"))
+        pending = written(pending, folder, f"pending-{radius}")
         if pending.isEmpty():
             break
     found = answers[0]

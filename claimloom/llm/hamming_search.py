@@ -1,9 +1,9 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
 Vectors become 64-bit codes, the signs of fixed random projections. A code is cut
-into ``m`` parts of about log2(codes) bits, each indexed by its value: a part's value
-then has about one code, so the codes that a probe meets stay as many however large
-the table is. Round ``r`` looks up, for every open query and part, all values at
+into ``m`` parts, the fewest of at most log2(codes) bits, each indexed by its value. Wider
+parts would meet fewer codes, but take more probes, and a probe is shuffled and sorted
+while a code that it meets is only compared. Round ``r`` looks up, for every open query and part, all values at
 distance ``r``: by the pigeonhole principle every code within ``m * (r + 1) - 1`` has
 then been met. A query closes once its kth verified distance is within that bound, so
 its answer is proven complete; only the open ones go on to the next radius.
@@ -55,8 +55,8 @@ def codes(vectors: DataFrame, seed: int = 3) -> DataFrame:
 
 
 def parts_of(entries: int) -> list[tuple[int, int]]:
-    """First bit and width of each part: about log2(entries) bits, so 64 / log2(entries) parts."""
-    edges = np.linspace(0, BITS, max(2, round(BITS / np.log2(max(4, entries)))) + 1).round().astype(int).tolist()
+    """First bit and width of each part: 64 / log2(entries) parts, rounded up."""
+    edges = np.linspace(0, BITS, max(2, int(np.ceil(BITS / np.log2(max(4, entries))))) + 1).round().astype(int).tolist()
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 

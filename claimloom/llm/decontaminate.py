@@ -10,11 +10,14 @@ Signatures are taken at every word of every document, so item-sized windows at a
 places are covered, and at every word of an item, so one undisturbed stretch is
 enough. Equal signatures propose an item's place, and the item is then
 aligned exactly: it leaks where the edit distance in words to some stretch of the
-document is at most ``MOST_EDITS`` of its length. Items too short for a walk are
-looked up as whole windows.
+document is at most ``MOST_EDITS`` of its length, rounded down.
 
-With an eighth of an item's words edited at random, a 30-word item is proposed with
-a probability over 0.95; exact copies always are.
+Walks miss some items, short ones most. So an item with ``e`` edits allowed is also cut
+in ``e + 1`` pieces of equal length, of one to four words: edits touch ``e`` of them at
+most, one piece stands unchanged, and its words are looked up at every word of every
+document. No leak of an item of any length is missed. Before the alignment, places are
+dropped where more than ``e`` of the item's words are nowhere within ``e`` words of
+their own position, which an alignment through the unchanged stretch rules out.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lowered. Documents
 are read once for each block of ``ITEM_BLOCK`` items, which is what a task holds;
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import offsets_of, slices
-from claimloom.llm.kernels import mixed, rows_of, window_hashes, word_bounds, word_hashes
+from claimloom.llm.kernels import mixed, ranges, rows_of, window_hashes, word_bounds, word_hashes
 
 STEPS, SAMPLED, REPEATS = 16, 7, 2
 #: Different words that an item's signature must have read; fewer say little.
@@ -45,8 +48,10 @@ TOLD = 5
 MOST_EDITS = 0.2
 #: Items that one scan looks for.
 ITEM_BLOCK = 20_000
-#: Items of fewer words are looked up whole.
+#: Items of fewer words have no walks, only pieces.
 WALKED = 10
+#: Words of items that one step of the position test compares.
+CELLS = 1 << 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _RNG = np.random.default_rng(77)
@@ -86,13 +91,19 @@ def signatures(words: np.ndarray, repeat: int, trace: list | None = None) -> tup
     return mixed(sign), read
 
 
+def most_edits(n):
+    """Edits allowed in an item of ``n`` words (a number or an array)."""
+    return np.int64(MOST_EDITS * np.asarray(n))
+
+
 class Items:
-    """Index of a block of items: signatures to (item, offset), and words for the alignment."""
+    """Index of a block of items: signatures and pieces to (item, offset), and words for the alignment."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         words, first = words_of(pa.array(texts, pa.string()))
         self.ids = ids
         self.words = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.flat, self.first = words, first
         self.tables = []
         for repeat in range(REPEATS):
             keys, items, offsets = [], [], []
@@ -108,10 +119,14 @@ class Items:
                 items.append(np.full(len(at), k))
                 offsets.append(at)
             self.tables.append(self._table(keys, items, offsets))
-        self.whole = {}
-        for n in sorted({len(w) for w in self.words if 0 < len(w) < WALKED}):
-            of = [k for k, w in enumerate(self.words) if len(w) == n]
-            self.whole[n] = self._table([np.array([window_hashes(self.words[k], n)[0] for k in of])], [np.array(of)], [np.zeros(len(of), np.int64)])
+        self.pieces = {}
+        sizes = np.diff(first)
+        widths = sizes // (most_edits(sizes) + 1)
+        for width in sorted(set(widths[sizes > 0].tolist())):
+            of = np.flatnonzero((widths == width) & (sizes > 0))
+            count = most_edits(sizes[of]) + 1
+            items, offsets = np.repeat(of, count), ranges(np.zeros(len(of), np.int64), count) * width
+            self.pieces[width] = self._table([window_hashes(words, width)[first[items] + offsets]], [items], [offsets])
 
     @staticmethod
     def _table(keys: list, items: list, offsets: list) -> tuple:
@@ -134,30 +149,43 @@ class Items:
         entry = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(low - (ends - times), times)
         return np.repeat(at, times), items[entry], offsets[entry]
 
+    def _near(self, words: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether all but the allowed edits of an item's words stand near their own positions from ``start``, within ``low`` and ``high``."""
+        sizes = np.diff(self.first)[item]
+        out = np.zeros(len(item), bool)
+        for n in np.unique(sizes):
+            of, most = np.flatnonzero(sizes == n), int(most_edits(n))
+            step = max(1, CELLS // int(n))
+            for some in (of[at : at + step] for at in range(0, len(of), step)):
+                own = self.flat[self.first[item[some], None] + np.arange(n)]
+                stands = np.zeros(own.shape, bool)
+                for shift in range(-most, most + 1):
+                    at = start[some, None] + np.arange(n) + shift
+                    stands |= (words[np.clip(at, 0, len(words) - 1)] == own) & (at >= low[some, None]) & (at < high[some, None])
+                out[some] = stands.sum(1) >= n - most
+        return out
+
     def leaks(self, column: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item, first word, edits) for each item found in each text."""
         words, first = words_of(column)
         row = rows_of(first)
         found = []
-        for n, table in self.whole.items():
-            at, item, offset = self._hits(window_hashes(words, n), table)
-            found.append((at, item, offset))
+        for width, table in self.pieces.items():
+            found.append(self._hits(window_hashes(words, width), table))
         for repeat, table in enumerate(self.tables):
             if len(table[0]):
                 found.append(self._hits(signatures(words, repeat)[0], table))
         if not found:
             return []
         at, item, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+        place = np.unique(np.stack([row[at], item, at - offset]), axis=1)
+        place = place[:, self._near(words, first[place[0]], first[place[0] + 1], place[1], place[2])]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
-        for a, k, o in sorted(zip(at.tolist(), item.tolist(), offset.tolist(), strict=True)):
-            r = int(row[a])
+        for r, k, start in place.T.tolist():
             n = len(self.words[k])
-            most = int(MOST_EDITS * n) if n >= WALKED else 0
-            start = a - o
-            if (r, k, start) in tried or best.get((r, k), (1, 0))[0] == 0:
+            most = int(most_edits(n))
+            if best.get((r, k), (1, 0))[0] == 0:
                 continue
-            tried.add((r, k, start))
             low, high = max(int(first[r]), start - most), min(int(first[r + 1]), start + n + most)
             edits, where = aligned(self.words[k], words[low:high])
             if edits <= most:

@@ -204,6 +204,41 @@ def test_decontamination_recall_on_edited_items():
     assert len({(r, k) for r, k, _, _ in index.leaks(pa.array(texts)) if r == k}) >= 190
 
 
+def test_decontamination_misses_nothing_at_any_length():
+    rng = random.Random(5)
+    vocabulary = [f"v{k}" for k in range(300)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [some(n) for n in range(1, 41) for _ in range(3)] + [["a", "b"] * 6, ["x"] * 10, ["c"] * 9 + ["d"]]
+    texts = []
+    for item in items:
+        for share in (0, 0.1, 0.2):
+            w = list(item)
+            for _ in range(int(share * len(item))):
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], ["edit"], [w[k], "edit"]])
+            texts.append(some(rng.randrange(0, 30)) + w + some(rng.randrange(0, 30)))
+
+    def brute(item, text):
+        """Least (edits, first word) of all runs of ``text``, by the plain table of edit distances."""
+        cost = [(0, j) for j in range(len(text) + 1)]
+        for i, word in enumerate(item):
+            new = [(i + 1, 0)]
+            for j, other in enumerate(text):
+                new.append(min((cost[j][0] + (word != other), cost[j][1]), (cost[j + 1][0] + 1, cost[j + 1][1]), (new[j][0] + 1, new[j][1])))
+            cost = new
+        return min(cost)
+
+    want = set()
+    for r, text in enumerate(texts):
+        for k, item in enumerate(items):
+            if len(set(item) & set(text)) >= 0.5 * len(set(item)):
+                edits, where = brute(item, text)
+                if edits <= len(item) // 5:
+                    want.add((r, k, where, edits))
+    assert all((3 * k + j, k) in {(r, i) for r, i, _, _ in want} for k in range(len(items)) for j in range(3))
+    assert set(decontaminate.Items(list(range(len(items))), [" ".join(x) for x in items]).leaks(pa.array([" ".join(x) for x in texts]))) == want
+
+
 def test_hamming_search_is_exact(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8))

@@ -1,12 +1,15 @@
 """Main text of web pages: text-to-tag ratio of lines, Gaussian smoothing, threshold clustering.
 
-Standard-library parser events cut a page into lines at block elements. Elements
+Standard-library parser events cut a page into lines at block elements; head, p, li,
+dt, dd and the parts of tables close where HTML closes them without an end tag. Elements
 that are page furniture by tag, role, class or id are dropped with all that they
 hold. The text-to-tag ratios of the other lines are smoothed along the page and
 split in two clusters at the threshold where a two-means iteration settles; the
-dense cluster marks content. The region is the innermost article, main, section,
-division or body that holds nearly all of that content, and every line of it is
-kept, so a short paragraph between long ones is never lost.
+dense cluster marks content. An element whose class or id only has a furniture word
+beside others is dropped if less than half of its text is dense. The region is the
+innermost article, main, section, division or body that holds all of the content, or
+the article or main around it, and every line of it is kept, so neither a dense line
+nor a short paragraph between long ones is ever lost.
 
 Defined results: a null or empty page, or one with furniture only, gives an empty
 text; unclosed and misnested tags close with the element around them; a page cut off
@@ -35,61 +38,131 @@ MARKS = frozenset(
     "login masthead menu modal nav navbar navigation newsletter notice popup promo promoted related reply replies respond share sharing sidebar signup "
     "social sponsor sponsored subscribe toolbar widget".split()
 )
-#: Standard deviation of the smoothing, in lines; share of the dense text that a region must hold.
-SIGMA, HELD = 1.0, 0.9
+#: Standard deviation of the smoothing, in lines.
+SIGMA = 1.0
+#: Elements that stay in an open head; those that close an open p, and those that an open p ends at.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+ENDS_P = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing "
+    "main menu nav ol p pre search section summary table ul xmp".split()
+)
+AROUND_P = frozenset("applet button caption html marquee object table td template th".split())
+#: Elements that an open li, dt or dd ends at.
+AROUND_ITEM = frozenset(
+    "applet article aside blockquote body button caption center details dir dl fieldset figcaption figure footer form header hgroup html iframe main marquee "
+    "menu nav object ol pre search section select summary table tbody td template tfoot th thead tr ul".split()
+)
+ITEMS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
+#: Where a part of a table belongs: what is open within that closes.
+GROUPS = frozenset("table tbody tfoot thead".split())
+PARTS = {"tr": GROUPS, "td": GROUPS | {"tr"}, "th": GROUPS | {"tr"}} | {t: frozenset(["table"]) for t in ("caption", "colgroup", "tbody", "tfoot", "thead")}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WORDS = re.compile(r"[a-z]+")
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags met in it, and the chain of regions around it."""
+    """Lines of a page: text, tags met in it, the chain of regions and the doubtful elements around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, bool, int]] = []
         self.off = 0
+        self.doubts: list[int] = []
+        self.wholes: set[int] = set()
         self.regions: list[int] = [0]
         self.made = 0
         self.parts: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
 
     def _cut(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, tuple(self.regions)))
+                self.lines.append((text, self.tags, tuple(self.regions), tuple(self.doubts)))
             self.parts = []
         self.tags = 0
 
-    def _furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> float:
+        """1 for page furniture, 0.5 for what only has a word of it in a longer name, else 0."""
         if tag in FURNITURE:
-            return True
+            return 1
         if tag == "header":
-            return not any(t in ("article", "main") for t, _ in self.open)
-        if not attrs or tag in ("html", "body", "article", "main"):
-            return any(k == "class" and "comment" in _WORDS.findall((v or "").lower()) for k, v in attrs)
+            return not any(t in ("article", "main") for t, _, _ in self.open)
+        if tag in ("html", "body"):
+            return 0
+        marks = frozenset(["comment"]) if tag in ("article", "main") else MARKS
+        out = 0.0
         for key, value in attrs:
             value = (value or "").lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
-                return True
-            if key in ("class", "id", "role") and not MARKS.isdisjoint(_WORDS.findall(value)):
-                return True
-        return False
+            if marks is MARKS and (key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value)):
+                return 1
+            if key == "class" or marks is MARKS and key in ("id", "role"):
+                for name in value.split():
+                    words = _WORDS.findall(name)
+                    if words and marks.issuperset(words):
+                        return 1
+                    if not marks.isdisjoint(words):
+                        out = 0.5
+        return out
+
+    def _pop(self) -> str:
+        name, off, doubt = self.open.pop()
+        self.off -= off
+        if doubt:
+            self.doubts.pop()
+        if name in REGIONS:
+            self.regions.pop()
+        return name
+
+    def _ends(self, tags: frozenset[str], around: frozenset[str]) -> None:
+        """Close the innermost open element of ``tags`` that is not outside one of ``around``."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] in tags:
+                while len(self.open) > k:
+                    self._pop()
+                return
+            if self.open[k][0] in around:
+                return
+
+    def _implied(self, tag: str) -> None:
+        """Close what HTML closes where ``tag`` starts."""
+        if self.open and self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self._pop()
+        if tag in ITEMS:
+            self._ends(ITEMS[tag], AROUND_ITEM)
+        if tag in ENDS_P:
+            self._ends(frozenset(["p"]), AROUND_P)
+        if tag in PARTS:
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] in PARTS[tag]:
+                    while len(self.open) > k + 1:
+                        self._pop()
+                    break
+                if self.open[k][0] in ("table", "template"):
+                    break
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag not in INLINE
         if block:
             self._cut()
+        self._implied(tag)
         self.tags += 1
         if tag in VOID:
             return
-        off = self._furniture(tag, attrs)
+        found = self._furniture(tag, attrs)
+        off, doubt = found == 1, 0
+        if found == 0.5:
+            self.made += 1
+            doubt = self.made
+            self.doubts.append(doubt)
         self.off += off
-        self.open.append((tag, off))
+        self.open.append((tag, off, doubt))
         if tag in REGIONS:
             self.made += 1
             self.regions.append(self.made)
+            if tag in ("article", "main"):
+                self.wholes.add(self.made)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -100,17 +173,11 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self._cut()
         self.tags += 1
-        if not any(t == tag for t, _ in self.open):
-            return
-        while self.open:
-            name, off = self.open.pop()
-            self.off -= off
-            if name in REGIONS:
-                self.regions.pop()
-            if name == tag:
-                return
+        self._ends(frozenset([tag]), AROUND_P if tag == "p" else frozenset())
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self._pop()
         if not self.off:
             self.parts.append(data)
 
@@ -150,19 +217,20 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
-    lengths = np.array([len(text) for text, _, _ in lines], float)
-    ratio = lengths / np.maximum(1, [tags for _, tags, _ in lines])
+    lengths = np.array([len(text) for text, *_ in lines], float)
+    ratio = lengths / np.maximum(1, [tags for _, tags, *_ in lines])
     content = dense(smoothed(ratio))
     weight: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for mark, size, (_, _, around) in zip(content, lengths, lines, strict=True):
-        for level, region in enumerate(around):
-            depth[region] = level
-            if mark:
-                weight[region] = weight.get(region, 0.0) + size
-    least = HELD * weight[0]
-    best = max((r for r, w in weight.items() if w >= least), key=lambda r: depth[r])
-    return " ".join(text for text, _, around in lines if best in around)
+    for mark, size, (*_, doubts) in zip(content, lengths, lines, strict=True):
+        for doubt in doubts:
+            weight[doubt] = weight.get(doubt, 0.0) + (size if mark else -size)
+    kept = [(text, mark, around) for mark, (text, _, around, doubts) in zip(content, lines, strict=True) if all(weight[d] >= 0 for d in doubts)]
+    chains = [around for _, mark, around in kept if mark] or [around for *_, around in kept]
+    if not chains:
+        return ""
+    common = [level[0] for level in zip(*chains, strict=False) if len(set(level)) == 1]
+    best = next((r for r in reversed(common) if r in page.wholes), common[-1])
+    return " ".join(text for text, _, around in kept if best in around)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

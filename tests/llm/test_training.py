@@ -269,6 +269,29 @@ def test_main_text(spark):
     assert [t for _, t, _ in found[2:]] == ["", "", "", "plain text only", "cut off in the mid"]
 
 
+def test_main_text_keeps_the_whole_article():
+    long = "A sentence of some length that a reader would miss. "
+    body, end = (long * 40).strip(), "The end."
+    # Headline, intro and ending around a long division; a section of 8 %; the other dense part of a page without an article.
+    page = f"<body><nav><a href=/>Home</a></nav><article><h1>Head</h1><p>Intro.</p><div><p>{body}</p><p>{body}</p></div><p>{end}</p></article></body>"
+    assert html_extract.main_text(page) == f"Head Intro. {body} {body} {end}"
+    small = (long * 3).strip()
+    assert html_extract.main_text(f"<main><section><p>{body}</p></section><section><p>{small}</p></section></main>") == f"{body} {small}"
+    menu = "<ul>" + "<li><a href=/>Home</a>" * 9 + "</ul>"
+    less = (long * 25).strip()
+    assert html_extract.main_text(f"<body><div>{menu}</div><section><div>{f'<p>{body}</p>' * 8}</div><div><p>{less}</p></div></section></body>") == " ".join([body] * 8 + [less])
+    # Elements that close without an end tag.
+    assert html_extract.main_text(f"<head><title>T</title><meta charset=utf-8><body><p>{body}") == body
+    assert html_extract.main_text(f"<head><title>T</title>{body}") == body
+    assert html_extract.main_text(f"<body><div><p class=ad>Buy<p>{body}<p>{end}</div>") == f"{body} {end}"
+    assert html_extract.main_text(f"<body><ul><li class=share>Post it<li>{body}<ul><li class=ad>Buy</ul><li>{end}</ul>") == f"{body} {end}"
+    assert html_extract.main_text(f"<body><dl><dt class=promo>Buy<dd>{body}</dl><table><tr><td class=ad>Buy<td>{body}<tr class=nav><td>x<tr><td>{end}</table>") == f"{body} {body} {end}"
+    # A furniture word within a longer name.
+    assert html_extract.main_text(f"<body class=comment-open><div class='has-sidebar'><p>{body}</p></div><div class=sidebar><p>{body}</p></div></body>") == body
+    links = "<a href=/a>One</a> <a href=/b>Two</a>"
+    assert html_extract.main_text(f"<body><article><div class=top-nav><p>{links}</div><p>{body}</p><p>{body}</p><ul id=share-story><li>{links}</ul></article>") == f"{body} {body}"
+
+
 def test_quality_separates_junk_and_scores_every_row(spark, docs):
     rng = random.Random(8)
     good = lambda: ". ".join(" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(40)) for _ in range(9)).capitalize() for _ in range(6)) + "."

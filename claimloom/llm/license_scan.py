@@ -1,11 +1,12 @@
-"""License scan by a positional index of rare words.
+"""License scan by a positional index of words weighted by rarity.
 
 Templates are short runs of words with a mandatory key phrase. The index holds,
-for every template word that the collection's own document frequencies call rare,
-its templates and its offset there. A file looks up its licence words of highest
-IDF, each hit votes for (template, position - offset), and the votes that agree on
-one relative position give the template's coverage. A template counts where its
-coverage is high enough and its key phrases stand in the file.
+for every template word, its templates, its offset there and its IDF from the
+collection's own document frequencies, so common words weigh little but are not left
+out. The key phrases that stand in a file propose its templates, as none counts
+without. Each of the file's words votes for (template, position - offset) in all that
+are proposed, and the votes that agree on one relative position give the template's
+coverage. A template counts where its coverage is high enough.
 
 DataFrame functions only. The driver sees the template vocabulary's document
 counts, one number for each template word, and nothing that grows with the data.
@@ -43,11 +44,7 @@ TEMPLATES = (
     ("mpl", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("proprietary", "copyright all rights reserved", ("all rights reserved",)),
 )
-#: A word in more than this share of all documents is no rare word.
-RARE_SHARE = 0.2
-#: Highest-IDF licence words that a file looks up.
-LOOKED_UP = 12
-#: Share of a template's rare weight that must agree on one position.
+#: Share of a template's weight that must agree on one position.
 COVERAGE = 0.6
 #: Score of a file where only a base phrase stands.
 BASE_SCORE = 0.5
@@ -97,24 +94,24 @@ def _gate() -> str:
     return "(?i)" + "|".join(sorted({max(p.split(), key=len) for p in phrases}))
 
 
-def rare_words(docs: DataFrame, share: float = RARE_SHARE) -> dict[str, float]:
-    """IDF of the template words over all texts of ``docs``, without the words that are not rare."""
+def weights(docs: DataFrame) -> dict[str, float]:
+    """IDF of the template words over all texts of ``docs``; always positive."""
     vocabulary = F.array(*[F.lit(w) for w in _vocabulary()])
     words = F.array_intersect(vocabulary, F.split(lowered(F.col("text")), SEPARATORS))
     found = docs.select(F.explode(F.concat(F.array(F.lit("")), words)).alias("word"))
     # The empty word is added once to every document, so it counts them.
     df = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
     docs_seen = df.pop("", 0)
-    return {w: math.log(1 + docs_seen / (1 + df.get(w, 0))) for w in _vocabulary() if df.get(w, 0) <= share * docs_seen}
+    return {w: math.log(1 + (1 + docs_seen) / (1 + df.get(w, 0))) for w in _vocabulary()}
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text): words, places of base phrases, labels and score, one row for each row.
 
-    A file without two rare licence words has one narrow row from the start; only the
+    A file without a key phrase has one narrow row from the start; only the
     hits of the others are grouped, by row, so nothing of a text is shuffled.
     """
-    idf = rare_words(docs)
+    idf = weights(docs)
     # The row number also keeps Spark from working out the words anew in every later expression.
     n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
     lines = docs.select(
@@ -125,10 +122,6 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     hot = F.col("line").contains("license")
     counts = {label: F.when(hot, F.regexp_count("line", F.lit(f" {phrase}(?= )"))).otherwise(0) for phrase, label in BASE.items()}
-    # array_intersect keeps the order of its first array: highest IDF first.
-    rare = F.array(*[F.lit(w) for w in sorted(idf, key=lambda w: (-idf[w], w))]).cast("array<string>")
-    several = F.size("looked") >= 2
-    stands = F.array(*[_all([F.contains(F.col("line"), F.lit(f" {k} ")) for k in keys]) for _, _, keys in TEMPLATES])
     rows = (
         lines.withColumn("back", F.when(hot, F.reverse("line")))
         .withColumns(
@@ -137,30 +130,35 @@ def scan(docs: DataFrame) -> DataFrame:
                 "first_word": F.least(*[F.when(hot, _first(p)) for p in BASE]).cast("long"),
                 "last_word": F.greatest(*[F.when(hot, _last(p)) for p in BASE]).cast("long"),
                 "base": F.array_sort(F.array_compact(F.array(*[F.when(c > 0, F.lit(label)) for label, c in counts.items()]))),
-                "looked": F.slice(F.array_intersect(rare, F.split("line", " ")), 1, LOOKED_UP),
+                # Templates whose key phrases stand.
+                "proposed": F.array_compact(F.array(*[F.when(_all([F.contains(F.col("line"), F.lit(f" {k} ")) for k in keys]), F.lit(i)) for i, (_, _, keys) in enumerate(TEMPLATES)])),
             }
         )
         .drop("back")
     )
     carried = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
 
-    postings = [(i, w, at, idf[w]) for i, (_, words, _) in enumerate(TEMPLATES) for at, w in enumerate(words.split()) if w in idf]
-    total = [sum(v for j, _, _, v in postings if j == i) or math.inf for i in range(len(TEMPLATES))]
+    postings = [(i, w, at, idf[w]) for i, (_, words, _) in enumerate(TEMPLATES) for at, w in enumerate(words.split())]
+    total = [sum(v for j, _, _, v in postings if j == i) for i in range(len(TEMPLATES))]
+    vocabulary = F.array(*[F.lit(w) for w in _vocabulary()])
     index = docs.sparkSession.createDataFrame(postings, "template int, word string, offset int, idf double")
     coverage = F.col("got") / F.get(F.array(*[F.lit(float(t)) for t in total]), F.col("template"))
-    kept = [F.first(c).alias(c) for c in [*carried, "stands"]]
+    kept = [F.first(c).alias(c) for c in carried]
+    hit = (F.col("word") == F.col("at_word")) & F.array_contains("proposed", F.col("template"))
     judged = (
-        rows.select("row", *carried, "looked", F.when(several, stands).alias("stands"), F.posexplode_outer(F.when(several, F.split("line", " "))).alias("pos", "word"))
-        .where(F.col("word").isNull() | F.array_contains("looked", F.col("word")))
-        .drop("looked")
-        .join(F.broadcast(index), "word", "left")  # as many rows as the templates have words
+        rows.select("row", *carried, "proposed", F.posexplode_outer(F.when(F.size("proposed") > 0, F.split("line", " "))).alias("pos", "word"))
+        # Every line begins with an empty word, so a file whose words hit nothing keeps a row.
+        .where(F.col("word").isNull() | (F.col("pos") == 0) | F.array_contains(vocabulary, F.col("word")))
+        .join(F.broadcast(index.withColumnRenamed("word", "at_word")), hit, "left")  # as many rows as the templates have words
+        .where(F.col("template").isNotNull() | F.col("word").isNull() | (F.col("pos") == 0))
+        .drop("proposed")
         .groupBy("row", "template", (F.col("pos") - F.col("offset")).alias("shift"))
         .agg(F.sum("idf").alias("got"), *kept)
         .groupBy("row", "template")
         .agg(F.max("got").alias("got"), *kept)
-        .withColumn("vote", F.when((coverage >= COVERAGE) & F.get("stands", F.col("template")), F.struct("template", coverage.alias("coverage"))))
+        .withColumn("vote", F.when(coverage >= COVERAGE, F.struct("template", coverage.alias("coverage"))))
         .groupBy("row")
-        .agg(F.collect_list("vote").alias("votes"), *kept[:-1])
+        .agg(F.collect_list("vote").alias("votes"), *kept)
         .select(*carried, "votes")
     )
     labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])

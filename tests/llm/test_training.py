@@ -148,6 +148,19 @@ def test_license_scan(docs, rows):
         assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_license_scan_finds_all_notices_and_a_hot_one(spark):
+    notice = {label: [words for other, words, _ in license_scan.TEMPLATES if other == label] for label, _, _ in license_scan.TEMPLATES}
+    mit, bsd, apache = notice["mit"][1], notice["bsd"][0], notice["apache"][1]
+    rest = " ".join(w for _, words, _ in license_scan.TEMPLATES for w in sorted(words.split()))
+    texts = {1: f"{mit} x {bsd}", 2: f"{mit}. {bsd}. {apache}", 3: f"{rest} filler {mit}", 4: "no notice", 5: None, 6: mit.replace("granted free of charge", "granted at some price")}
+    rows = [*texts.items(), *[(k, f"a text {notice['cc-by'][0]} of its own {k}") for k in range(100, 150)], *[(k, f"the {k}") for k in range(200, 300)]]
+    found = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) == len(rows)
+    assert [found[k][0] for k in (1, 2, 4, 5)] == ["bsd,mit", "apache,bsd,mit", "", ""]
+    assert "mit" in found[3][0].split(",") and found[2][1] == pytest.approx(1) and found[6][0] == "mit" and 0.6 < found[6][1] < 1
+    assert all(found[k] == ("cc-by", pytest.approx(1)) for k in range(100, 150))
+
+
 def test_wavelet_round_trip(docs, rows):
     from tokenizers import Tokenizer
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -50,13 +51,32 @@ def _fold(times: list[float], first: float, count: int) -> tuple[float, int, lis
 def lockouts(failures: DataFrame) -> DataFrame:
     """Failures of each user in order with the count in their window: it starts anew 15 minutes after its first."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "event_id"])
-        _, _, rows = _fold(frame["t"].tolist(), 0.0, 0)
-        return pd.DataFrame({"user_id": frame["user_id"], "event_id": frame["event_id"], "failures": [n for _, n, _ in rows], "locked": [x for _, _, x in rows]})
-
-    timed = failures.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6).alias("t"))
-    return timed.groupBy("user_id").applyInPandas(fold, "user_id long, event_id long, failures int, locked boolean")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by user, so of a user only the open window is carried from batch to batch.
+        user, first, count, begun = None, 0.0, 0, False
+        for batch in batches:
+            users = batch.column("user_id").to_pylist()
+            times = [float("nan") if t is None else t for t in batch.column("t").to_pylist()]
+            rows: list[tuple[float, int, bool]] = []
+            at = 0
+            while at < len(users):
+                if not begun or users[at] != user:
+                    user, first, count, begun = users[at], 0.0, 0, True
+                end = at + 1
+                while end < len(users) and users[end] == user:
+                    end += 1
+                first, count, out = _fold(times[at:end], first, count)
+                rows += out
+                at = end
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("user_id"), batch.column("event_id"), pa.array([n for _, n, _ in rows], pa.int32()), pa.array([x for _, _, x in rows], pa.bool_())],
+                names=["user_id", "event_id", "failures", "locked"],
+            )
+
+    time = (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6).alias("t")
+    timed = failures.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), time)
+    ordered = timed.repartition("user_id").sortWithinPartitions("user_id", F.asc_nulls_last("t"), F.asc_nulls_last("event_id"))
+    return ordered.mapInArrow(fold, "user_id long, event_id long, failures int, locked boolean")
 
 
 def lockout_stream(failures: DataFrame) -> DataFrame:

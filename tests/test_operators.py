@@ -1,5 +1,7 @@
 """Operators on small hand-made tables."""
 
+import datetime
+import random
 import uuid
 
 import pytest
@@ -190,3 +192,26 @@ def test_answers_are_salvaged_or_degraded(spark):
     raw = spark.createDataFrame([(1, good), (2, '{"decision": "no", "rationale": "x", "confidence": 0.5}'), (3, "nothing")], "claim_id long, raw string")
     asked = spark.createDataFrame([(i,) for i in range(1, 5)], "claim_id long")
     assert sorted(map(tuple, opinions.answers(asked, raw).collect())) == [(1, "flag", "odd", False), (2, None, None, True), (3, None, None, True), (4, None, None, True)]
+
+
+def test_lockouts_carry_only_the_open_window(spark, capsys):
+    rng = random.Random(6)
+    rows = [(k, rng.choice([1, 1, 1, 2, 3, None]), datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.randrange(9000))) for k in range(400)] + [(900, 1, None), (901, 4, None)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").repartition(3)
+    want = set()
+    for user in (1, 2, 3, 4, None):
+        first, count = None, 0
+        for event, _, ts in sorted((r for r in rows if r[1] == user), key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+            if count == 0 or ts is not None and (ts - first).total_seconds() > feeds.MINUTES * 60:
+                first, count = ts, 0
+            count += 1
+            want.add((user, event, count, count >= feeds.FAILURES))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = feeds.lockouts(df)
+        assert {tuple(r) for r in found.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    found.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out  # no frame of a whole user

@@ -10,14 +10,14 @@ planes alone.
 Shards are rows of a Parquet table (file format below), which Spark writes to and
 reads from any store; no executor opens a local path.
 
-    header   8 x int64, little-endian: magic, ids, documents, levels, 4 reserved
+    header   8 x int64, little-endian: magic, ids, documents, levels, pages of a plane, 3 reserved
     zeros    levels x int64: zeros in each plane
-    ends     documents x int64: end of each document within the shard
-    docs     documents x int64: doc_id
-    planes   levels x ceil(ids / 64) x uint64, bits in little-endian order
-    ranks    levels x (ceil(ids / 512) + 1) x uint32: ones before each block
+    places   (frames + 1) x int64: where each frame starts in the file, and the file's end
+    frames   levels x pages: PAGE bytes of a plane each, bits in little-endian order
+             levels: (ceil(ids / 512) + 1) x uint32, ones before each block of a plane
+             1: documents x int64 ends of the documents within the shard, documents x int64 doc_id
 
-The whole is compressed with zstd.
+Each frame is compressed with zstd by itself, so a rank inflates one page of each plane.
 
 Defined results: a null text is empty; an empty text holds the end id alone; rows
 with the same doc_id are ordered by text; a null doc_id comes first; an empty table gives no shards and
@@ -42,13 +42,21 @@ from pyspark.sql.window import Window as W
 from claimloom.llm.common import shared_folder, slices, small
 from claimloom.llm.kernels import ranges
 
-MAGIC = 0x314D57
+MAGIC = 0x324D57
+#: Bytes of a plane that are compressed together; a multiple of a block.
+PAGE = 1 << 14
 BLOCK = 512
 #: Ids in a shard; a document with more has a shard of its own.
 SHARD_IDS = 1 << 20
 #: Rows of the dictionary of encoded pieces that a task keeps.
 CACHE = 400_000
 END = 0
+#: Between the pieces of a text; the name of the piece that holds the end id.
+CUT, _END_PIECE = "\x1e", "\x1e\x1e"
+#: A Latin letter and an ASCII mark after it, an apostrophe excepted; a line feed between two plain characters; a piece of plain characters.
+MARKED = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([!-&(-/:-@\[-`{-~])"
+FED = r"([!-~\x{A1}-\x{24F}])\n([!-~\x{A1}-\x{24F}])"
+PLAIN = r"^ ?[!-~\x{A1}-\x{24F}]+$"
 #: Text whose pieces are looked up together.
 PIECE_BYTES = 4 << 20
 
@@ -62,10 +70,12 @@ def tokenizer_path() -> str:
 class Encoder:
     """``tokenizers`` behind a bounded dictionary of pieces.
 
-    A byte-level pre-tokenizer cuts before every space, except inside a run of white
-    space; so pieces that start at spaces encode alike anywhere, and as words recur,
-    most pieces are looked up. A text with a space between two other white spaces,
-    or with a special token's string, is encoded whole.
+    The byte-level pre-tokenizer always cuts before a space (except inside a run of
+    white space), between a letter and a mark after it, and around a line feed between
+    two other characters. A text is cut at those places, so that its pieces encode
+    alike wherever they stand; as words recur, most pieces are looked up and only new ones
+    go to the library. A text with a space beside other white space, with a special
+    token's string or with the cutting mark itself is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -73,70 +83,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.feed = self._encode(["\n"])[0]
-        found = {m: self._encode([m])[0] for m in ".,;:!?"}
-        self.marks = {m: ids[0] for m, ids in found.items() if len(ids) == 1}
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.ends, self.odd, self.used, self.filled = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool), 0, 0
-        self.uses = np.zeros(1 << 14, np.int32)
+        self.ids, self.ends, self.odd, self.uses = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool), np.zeros(1 << 14, np.int32)
+        self.used = self.filled = 0
+        self._add([_END_PIECE], np.array([END], self.dtype), np.ones(1, np.int64))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many short pieces, each after a space, and how many ids each has.
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces: plain ones some hundreds at a time, as the lines of one text.
 
-        A line feed between two other characters is always a token of its own, so
-        pieces are encoded some hundreds at a time as the lines of one text.
+        A line feed between two plain pieces is a token of its own.
         """
-        lines = [" " + p for p in pieces]
-        plain = np.array([bool(p) and not (p[0].isspace() or p[-1].isspace() or "\n\n" in p) and len(p.split()) == p.count("\n") + 1 for p in pieces], bool)
-        at = np.flatnonzero(plain)
-        ids, lengths = [np.zeros(0, np.uint16)], np.zeros(len(pieces), np.int64)
-        if len(at) and len(self.feed) == 1:
-            tokens = [self.feed[0]]
-            for x in self._encode(["\n".join([lines[i] for i in at[k : k + 400]]) for k in range(0, len(at), 400)]):
+        plain = pc.match_substring_regex(pa.array(pieces, pa.string()), PLAIN).to_numpy(zero_copy_only=False) if len(self.feed) == 1 else np.zeros(len(pieces), bool)
+        rest = [p for p, ok in zip(pieces, plain.tolist(), strict=True) if not ok]
+        lines = [p for p, ok in zip(pieces, plain.tolist(), strict=True) if ok]
+        if lines:
+            tokens = []
+            for x in self._encode(["\n".join(lines[k : k + 400]) for k in range(0, len(lines), 400)]):
                 tokens += x
-                tokens.append(self.feed[0])
-            flat = np.array(tokens, np.uint16)
+                tokens += self.feed
+            flat = np.array(tokens, self.dtype)
             breaks = np.flatnonzero(flat == self.feed[0])
-            last = np.cumsum([pieces[i].count("\n") + 1 for i in at])
-            if len(breaks) == last[-1] + 1:
-                lengths[at] = np.diff(breaks[np.append(0, last)]) - 1
-                keep = np.ones(len(flat), bool)
-                keep[breaks[np.append(0, last)]] = False
-                ids.append(flat[keep])
-            else:
-                plain[:] = False
-        else:
-            plain[:] = False
-        rest = np.flatnonzero(~plain)
-        found = self._encode([lines[i] for i in rest])
-        lengths[rest] = [len(x) for x in found]
-        ids.append(np.array([i for x in found for i in x], np.uint16))
-        order = np.argsort(np.concatenate([np.flatnonzero(plain), rest]))
-        sizes = np.concatenate([lengths[plain], lengths[rest]])
-        return np.concatenate(ids)[ranges((np.cumsum(sizes) - sizes)[order], sizes[order])], lengths
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Add pieces to the dictionary; a mark after a letter is a token of its own, so it needs no encoding."""
-        marked = [p for p in pieces if len(p) > 1 and p[-1] in self.marks and p[-2].isalpha()]
-        bases = {p[:-1] for p in marked if p[:-1] not in self.known}
-        self._add(list(bases.union(p for p in pieces if not (len(p) > 1 and p[-1] in self.marks and p[-2].isalpha())).difference(self.known)))
-        if marked:
-            number = np.fromiter((self.known[p[:-1]] for p in marked), np.int64, len(marked))
-            starts, lengths = self.ends[number - 1], self.ends[number] - self.ends[number - 1] + 1
-            flat = self.ids[np.minimum(ranges(starts, lengths), len(self.ids) - 1)]
-            flat[np.cumsum(lengths) - 1] = [self.marks[p[-1]] for p in marked]
-            self._add(marked, flat, lengths)
-
-    def _add(self, pieces: list[str], flat: np.ndarray | None = None, lengths: np.ndarray | None = None) -> None:
-        if flat is None:
-            flat, lengths = self._encode_pieces(pieces)
+            if len(breaks) == len(lines):
+                self._add(lines, np.delete(flat, breaks), np.diff(breaks, prepend=-1) - 1)
+            else:  # a vocabulary that joins line feeds with letters
+                rest += lines
+        if rest:
+            found = self._encode(rest)
+            self._add(rest, np.array([i for x in found for i in x], self.dtype), np.array([len(x) for x in found], np.int64))
+
+    def _add(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         while self.filled + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.used + len(pieces) + 1 > len(self.ends):
@@ -144,51 +128,55 @@ class Encoder:
         self.ids[self.filled : self.filled + len(flat)] = flat
         now = slice(self.used + 1, self.used + 1 + len(pieces))
         self.ends[now] = self.filled + np.cumsum(lengths)
-        self.odd[now] = [not p or p[0].isspace() for p in pieces]
+        self.odd[now] = [p[:1] == " " and (len(p) == 1 or p[1].isspace()) for p in pieces]
         self.uses[now] = 0
         self.known.update(zip(pieces, range(self.used + 1, self.used + 1 + len(pieces)), strict=True))
         self.used, self.filled = self.used + len(pieces), self.filled + len(flat)
 
     def _trim(self) -> None:
         """Forget the pieces that were met in one batch only; all of them, if the rest are many."""
-        kept = [(p, i) for p, i in self.known.items() if self.uses[i] > 1]
+        kept = [(p, i) for p, i in self.known.items() if self.uses[i] > 1 and p != _END_PIECE]
         old_ids, old_ends = self.ids, self.ends
         self._clear()
         if 0 < len(kept) < CACHE * 3 // 4:
             number = np.array([i for _, i in kept])
             starts, lengths = old_ends[number - 1], old_ends[number] - old_ends[number - 1]
+            first = self.used + 1
             self._add([p for p, _ in kept], old_ids[ranges(starts, lengths)], lengths)
-            self.uses[1 : len(kept) + 1] = 1
+            self.uses[first : first + len(kept)] = 1
 
-    def __call__(self, column: pa.Array) -> list[np.ndarray]:
-        """The ids of each text of a string column (null: empty)."""
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string column (null: empty), each with the end id, and how many each text has."""
         texts = pc.fill_null(column, "")
-        split = pc.split_pattern(texts, " ")
+        cut = pc.replace_substring_regex(texts, MARKED, r"\1" + CUT + r"\2")
+        cut = pc.replace_substring_regex(cut, FED, r"\1" + CUT + "\n" + CUT + r"\2")
+        split = pc.split_pattern(pc.replace_substring(cut, " ", CUT + " "), CUT)
         pieces = split.flatten().dictionary_encode()
-        firsts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
-        counts = np.diff(split.offsets.to_numpy())
+        firsts = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         words = pieces.dictionary.to_pylist()
         if len(self.known) + len(words) > CACHE:
             self._trim()
-        self._learn([w for w in words if w not in self.known])
+        new = [w for w in words if w not in self.known]
+        if new:
+            self._learn(new)
         number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         self.uses[number] += 1
-        number = number[pieces.indices.to_numpy()]
-        starts, lengths = self.ends[number - 1], self.ends[number] - self.ends[number - 1]
-        heads = firsts[counts > 0]
-        lengths[heads] = 0  # a text's first piece has no space before it
-        flat = self.ids[ranges(starts, lengths)]
-        stops = np.concatenate([[0], np.cumsum(lengths)])[np.append(firsts, len(number))]
-        # The first piece's own oddness is of no account: nothing stands before it.
-        odd = self.odd[number]
-        odd[heads] = False
-        whole = np.add.reduceat(np.append(odd, False), firsts) > 0 if len(firsts) else np.zeros(0, bool)
-        for mark in self.special:
+        number = np.insert(number[pieces.indices.to_numpy()], firsts[1:], self.known[_END_PIECE])
+        firsts = firsts[:-1] + np.arange(len(texts))
+        lengths = self.ends[number] - self.ends[number - 1]
+        flat = self.ids[ranges(self.ends[number - 1], lengths)]
+        sizes = np.add.reduceat(lengths, firsts)
+        whole = np.logical_or.reduceat(self.odd[number], firsts)
+        for mark in (CUT, *self.special):
             whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
         at = np.flatnonzero(whole)
-        redone = dict(zip(at.tolist(), self._encode(texts.take(pa.array(at)).to_pylist()), strict=True))
-        leads = self._encode(split.flatten().take(pa.array(firsts)).to_pylist())
-        return [np.array(redone[i], np.uint16) if i in redone else np.concatenate([np.array(leads[i], np.uint16), flat[stops[i] : stops[i + 1]]]) for i in range(len(texts))]
+        if len(at):
+            stops, parts, done = np.concatenate([[0], np.cumsum(sizes)]), [], 0
+            for i, ids in zip(at.tolist(), self._encode(texts.take(pa.array(at)).to_pylist()), strict=True):
+                parts += [flat[done : stops[i]], np.array([*ids, END], self.dtype)]
+                done, sizes[i] = stops[i + 1], len(ids) + 1
+            flat = np.concatenate([*parts, flat[done:]])
+        return flat, sizes
 
 
 @lru_cache(maxsize=1)
@@ -198,9 +186,10 @@ def encoder_of(path: str) -> Encoder:
 
 
 def build(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
-    """The compressed file of one shard."""
+    """The file of one shard."""
     n = len(ids)
     levels = max(1, int(ids.max()).bit_length()) if n else 1
+    pages = max(1, -(-n // (8 * PAGE)))
     planes, ranks, zeros = [], [], []
     now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     for level in range(levels - 1, -1, -1):
@@ -209,45 +198,55 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
         packed = np.packbits(ones, bitorder="little")
         padded[: len(packed)] = packed
         counts = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
-        planes.append(padded[: -(-max(n, 1) // 64) * 8] if n else np.zeros(8, np.uint8))
+        planes += [padded[k * PAGE : (k + 1) * PAGE] for k in range(pages)]
         ranks.append(np.concatenate([[0], np.cumsum(counts)]).astype(np.uint32))
         zeros.append(n - int(ones.sum()))
         now = np.concatenate([now[~ones], now[ones]])
-    header = np.array([MAGIC, n, len(doc_ids), levels, 0, 0, 0, 0], np.int64)
-    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in (header, np.array(zeros, np.int64), ends.astype(np.int64), doc_ids.astype(np.int64), *planes, *ranks))
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    frames = [squeeze(x.tobytes()) for x in (*planes, *ranks, np.concatenate([ends, doc_ids]).astype(np.int64))]
+    head = np.array([MAGIC, n, len(doc_ids), levels, pages, 0, 0, 0, *zeros], np.int64)
+    places = len(head.tobytes()) + 8 * (len(frames) + 1) + np.cumsum([0, *map(len, frames)])
+    return b"".join([head.tobytes(), places.astype(np.int64).tobytes(), *frames])
 
 
 class Shard:
-    """A shard opened from its file; every method works on the bit-planes."""
+    """A shard opened from its file; every method works on the bit-planes, of which only the pages it needs are inflated."""
 
     def __init__(self, file: bytes):
-        raw = zstandard.ZstdDecompressor().decompress(file)
-        magic, self.n, docs, self.levels, *_ = np.frombuffer(raw, np.int64, 8).tolist()
+        magic, self.n, self.docs, self.levels, self.pages, *_ = np.frombuffer(file, np.int64, 8).tolist()
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
-        at = 64
+        self.zeros = np.frombuffer(file, np.int64, self.levels, 64)
+        self.places = np.frombuffer(file, np.int64, self.levels * (self.pages + 1) + 2, 64 + 8 * self.levels)
+        self.file, self.inflated = file, {}
+
+    def _frame(self, k: int, dtype) -> np.ndarray:
+        if k not in self.inflated:
+            self.inflated[k] = zstandard.ZstdDecompressor().decompress(self.file[self.places[k] : self.places[k + 1]])
+        return np.frombuffer(self.inflated[k], dtype)
 
-        def take(dtype, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(raw, dtype, count, at)
-            at += out.nbytes
-            return out
+    @property
+    def ends(self) -> np.ndarray:
+        return self._frame(self.levels * (self.pages + 1), np.int64)[: self.docs]
 
-        self.zeros, self.ends, self.doc_ids = take(np.int64, self.levels), take(np.int64, docs), take(np.int64, docs)
-        width, blocks = -(-max(self.n, 1) // 64) * 8, -(-self.n // BLOCK) + 1
-        self.planes = take(np.uint8, self.levels * width).reshape(self.levels, width)
-        self.ranks = take(np.uint32, self.levels * blocks).reshape(self.levels, blocks)
+    @property
+    def doc_ids(self) -> np.ndarray:
+        return self._frame(self.levels * (self.pages + 1), np.int64)[self.docs :]
 
     def _bit(self, level: int, at: int) -> int:
-        return int(self.planes[level, at >> 3] >> (at & 7)) & 1
+        page, byte = divmod(at >> 3, PAGE)
+        return int(self._frame(level * self.pages + page, np.uint8)[byte] >> (at & 7)) & 1
 
     def _ones(self, level: int, at: int) -> int:
         """Ones before position ``at`` of a plane."""
         block = at // BLOCK
-        first, last = block * (BLOCK // 8), at >> 3
-        count = int(self.ranks[level, block]) + int(np.bitwise_count(self.planes[level, first:last]).sum())
-        return count + ((int(self.planes[level, last]) & ((1 << (at & 7)) - 1)).bit_count() if at & 7 else 0)
+        count = int(self._frame(self.levels * self.pages + level, np.uint32)[block])
+        if at % BLOCK:
+            page, first = divmod(block * (BLOCK // 8), PAGE)
+            plane, last = self._frame(level * self.pages + page, np.uint8), first + (at % BLOCK >> 3)
+            count += int(np.bitwise_count(plane[first:last]).sum())
+            count += (int(plane[last]) & ((1 << (at & 7)) - 1)).bit_count() if at & 7 else 0
+        return count
 
     def access(self, at: int) -> int:
         value = 0
@@ -291,7 +290,8 @@ class Shard:
         """All ids in order, by undoing the levels from the last to the first."""
         now = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            plane = np.concatenate([self._frame(level * self.pages + k, np.uint8) for k in range(self.pages)])
+            ones = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             before = np.empty_like(now)
             zeros = int(self.zeros[level])
             before[~ones], before[ones] = now[:zeros], now[zeros:] | now.dtype.type(1 << (self.levels - 1 - level))
@@ -301,24 +301,29 @@ class Shard:
 
 def _shards(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
     encoder = encoder_of(path)
-    held: list[np.ndarray] = []
-    docs: list[int] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def cut() -> pa.RecordBatch:
-        ids, lengths = np.concatenate(held), np.array([len(x) for x in held])
-        file = build(ids, np.array(docs, np.int64), np.cumsum(lengths))
-        return pa.RecordBatch.from_arrays([pa.array([docs[0]], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([file], pa.binary())], names=["first_doc", "n_ids", "file"])
+        ids, lengths, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+        file = build(ids, docs, np.cumsum(lengths))
+        return pa.RecordBatch.from_arrays([pa.array(docs[:1]), pa.array([len(ids)], pa.int64()), pa.array([file], pa.binary())], names=["first_doc", "n_ids", "file"])
 
     for batch in batches:
         for part in slices(batch, limit=PIECE_BYTES):
-            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder(part.column("text")), strict=True):
-                if held and size + len(ids) + 1 > limit:
+            docs = part.column("doc_id").cast(pa.int64()).fill_null(_NULL).to_numpy()
+            ids, lengths = encoder(part.column("text"))
+            ends, start = np.concatenate([[0], np.cumsum(lengths)]), 0
+            while start < len(docs):
+                stop = int(np.searchsorted(ends, ends[start] + limit - size, "right")) - 1
+                if stop <= start and held:  # the next document does not fit
                     yield cut()
-                    held, docs, size = [], [], 0
-                held.append(np.append(ids, np.uint16(END)))
-                docs.append(_NULL if doc is None else doc)
-                size += len(ids) + 1
+                    held, size = [], 0
+                    continue
+                stop = max(stop, start + 1)
+                held.append((ids[ends[start] : ends[stop]], lengths[start:stop], docs[start:stop]))
+                size += int(ends[stop] - ends[start])
+                start = stop
     if held:
         yield cut()
 
@@ -350,8 +355,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = shard.ids().astype("<u4").tobytes()
             ends = shard.ends
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            shard.inflated.clear()
             crc = [zlib.crc32(memoryview(raw)[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            ids = pa.array(shard.doc_ids, mask=shard.doc_ids == _NULL)
+            docs = shard.doc_ids
+            ids = pa.array(docs, mask=docs == _NULL)
             yield pa.RecordBatch.from_arrays([ids, pa.array(starts + start), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 

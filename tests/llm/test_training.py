@@ -177,9 +177,29 @@ def test_encoder_equals_tokenizer_on_odd_white_space():
 
     rng, plain, mine = random.Random(1), Tokenizer.from_file(wavelet.tokenizer_path()), wavelet.Encoder(wavelet.tokenizer_path())
     parts = ["a", "b ", "  ", "\n", "\n ", "\t", "é", "'s", "1", "!", " ", "word", "<|endoftext|>", "\xa0", "\r\n", "ß.", "日本", "x\ny"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)] + [None]
-    for text, ids in zip(texts, mine(pa.array(texts, pa.string())), strict=True):
-        assert plain.encode(text or "", add_special_tokens=False).ids == ids.tolist()
+    more = parts + ["'", "don't.", "...", "W.\nX", "***", "\x1e", "\x85", "\xad", "\u2028", "ʰ,", "Ω.", "٣.", "\u00b2;"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)] + ["".join(rng.choice(more) for _ in range(rng.randrange(14))) for _ in range(6000)] + [None]
+    ids, sizes = mine(pa.array(texts, pa.string()))
+    for text, found in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert [*plain.encode(text or "", add_special_tokens=False).ids, 0] == found.tolist()
+
+
+def test_encoder_forgets_and_keeps_pieces(monkeypatch):
+    monkeypatch.setattr(wavelet, "CACHE", 60)
+    rng, mine, fresh = random.Random(2), wavelet.Encoder(wavelet.tokenizer_path()), wavelet.Encoder(wavelet.tokenizer_path())
+    for _ in range(30):
+        texts = pa.array([" ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(9)) for _ in range(5)])
+        fresh._clear()
+        assert [x.tolist() for x in mine(texts)] == [x.tolist() for x in fresh(texts)]
+
+
+def test_shards_hold_vocabularies_over_16_bits():
+    ids = np.random.default_rng(1).integers(0, 200_000, 300_000).astype(np.uint32)
+    shard = wavelet.Shard(wavelet.build(ids, np.array([5, 6]), np.array([7, 300_000])))
+    assert shard.ids().tolist() == ids.tolist() and shard.ends.tolist() == [7, 300_000] and shard.doc_ids.tolist() == [5, 6]
+    shard = wavelet.Shard(shard.file)
+    assert shard.access(250_000) == ids[250_000] and len(shard.inflated) <= 2 * shard.levels
+    assert shard.count(int(ids[9])) == (ids == ids[9]).sum()
 
 
 @pytest.mark.parametrize("n", [0, 1, 64, 511, 513, 3000])

@@ -6,8 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
+from claimloom.sources.durable import cut
+
 BINS = 10
 #: Weights of a flip, a loss and a change of confidence in a trial's instability.
 FLIP, LOSS, CHANGE = 0.5, 0.3, 0.2
@@ -77,15 +80,27 @@ def by_family(trials: DataFrame) -> DataFrame:
     return trials.groupBy("family").agg(F.count("*").alias("n"), rate("flipped").alias("flip_rate"), F.round(F.avg(F.least(F.abs("delta"), F.lit(1.0))), 6).alias("mean_change"), rate("lost").alias("loss_rate"))
 
 
+def running(steps: DataFrame, order: list[str], value: str) -> DataFrame:
+    """``steps`` with ``before``, the sum of ``value`` over all rows before in ``order``, and ``total``.
+
+    Rows are dealt by ranges of the order; only one sum for each range meets in one place, so
+    no task sorts them all.
+    """
+    dealt = cut(steps.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    one = W.partitionBy(F.lit(0))
+    bases = sums.select("_range", F.coalesce(F.sum("_sum").over(one.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_sum").over(one).alias("total"))
+    inner = F.coalesce(F.sum(value).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_inner", inner).join(F.broadcast(bases), "_range").withColumn("before", F.col("_base") + F.col("_inner")).drop("_range", "_inner", "_base")
+
+
 def rank_quartile(frame: DataFrame, value: str) -> DataFrame:
     """Quartile by the lowest position among equals: ties stay together, unlike ``ntile``.
 
     Positions come from counts of distinct values, so no task sorts all rows.
     """
-    steps = frame.groupBy(value).agg(F.count("*").alias("_n"))
-    low = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(W.partitionBy(F.lit(0)))
-    placed = steps.select(value, F.least(F.floor(4 * low / total) + 1, F.lit(4)).cast("int").alias("quartile"))
+    steps = running(frame.groupBy(value).agg(F.count("*").alias("_n")), [value], "_n")
+    placed = steps.select(value, F.least(F.floor(4 * F.col("before") / F.col("total")) + 1, F.lit(4)).cast("int").alias("quartile"))
     return frame.join(placed, value)
 
 
@@ -101,9 +116,8 @@ def correlations(frame: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson and Spearman with mid-ranks; 0 below three rows or for a constant column."""
 
     def ranked(column: str) -> DataFrame:
-        steps = frame.groupBy(column).agg(F.count("*").alias("_n"))
-        low = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return steps.select(column, (low + (F.col("_n") + 1) / 2).alias(f"_{column}"))
+        steps = running(frame.groupBy(column).agg(F.count("*").alias("_n")), [column], "_n")
+        return steps.select(column, (F.col("before") + (F.col("_n") + 1) / 2).alias(f"_{column}"))
 
     both = frame.select(x, y).join(ranked(x), x).join(ranked(y), y)
 
@@ -140,10 +154,19 @@ def _beta(x: float, a: float, b: float, terms: int = 500) -> float:
 
 
 def lower_percentile(frame: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """The value at position int(share * (n - 1)) of each group, not interpolated."""
-    w = W.partitionBy(*keys)
-    placed = frame.select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_at"), F.count("*").over(w).alias("_n"))
-    return placed.where(F.col("_at") == F.floor(share * (F.col("_n") - 1))).select(*keys, F.col(value).alias(f"p{round(share * 100)}"))
+    """The value at position int(share * (n - 1)) of each group, not interpolated; from counts of distinct values."""
+    steps = running(frame.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")), [*keys, value], "_n")
+    groups = steps.groupBy(*keys).agg(F.min("before").alias("_base"), F.sum("_n").alias("_all"))
+    placed = steps.join(groups, keys) if keys else steps.crossJoin(F.broadcast(groups))  # one row without keys
+    at = F.floor(share * (F.col("_all") - 1))
+    from_base = F.col("before") - F.col("_base")
+    return placed.where((from_base <= at) & (at < from_base + F.col("_n"))).select(*keys, F.col(value).alias(f"p{round(share * 100)}"))
+
+
+def correlation_test(frame: DataFrame, x: str, y: str) -> DataFrame:
+    """``correlations`` with the two-sided p-value of Spearman's, from one row of statistics."""
+    p = F.udf(p_value, DoubleType())
+    return correlations(frame, x, y).withColumn("p_value", p("spearman", "n"))
 
 
 def trend(frame: DataFrame, x: str, y: str) -> DataFrame:
@@ -177,34 +200,27 @@ def latest_as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: st
     return marked.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_left = 1").drop("_v", "_left")
 
 
-def fitted_temperature(logits: DataFrame, target: str, steps: int = 40) -> float:
-    """The temperature (0.25 to 5) of least softmax cross-entropy, by golden section on its logarithm.
+def fitted_temperature(logits: DataFrame, target: str, grid: int = 32, rounds: int = 3) -> float:
+    """The temperature (0.25 to 5) of least softmax cross-entropy, by ever finer grids on its logarithm.
 
-    Each step is one aggregate over the cases; only two numbers come to the driver.
+    Each round is one aggregate over the cases for all temperatures of its grid; as the loss has one
+    minimum, the next grid lies between the neighbours of the least.
     """
+    cases = cut(logits.where(F.size("z") == 6).select("z", F.col(target).alias("target")))
 
-    def loss(t: float) -> float:
+    def loss(t: float) -> Column:
         z = F.transform("z", lambda x: x / t)
         top = F.array_max(z)
-        nll = F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top - F.get(z, F.col(target))
-        return logits.where(F.size("z") == 6).agg(F.avg(nll)).first()[0]
-
-    if logits.isEmpty():
-        return 1.0
-    low, high, g = math.log(0.25), math.log(5.0), (math.sqrt(5) - 1) / 2
-    a, b = high - g * (high - low), low + g * (high - low)
-    fa, fb = loss(math.exp(a)), loss(math.exp(b))
-    for _ in range(steps):
-        if high - low < 1e-3:
-            break
-        if fa <= fb:
-            high, b, fb = b, a, fa
-            a = high - g * (high - low)
-            fa = loss(math.exp(a))
-        else:
-            low, a, fa = a, b, fb
-            b = low + g * (high - low)
-            fb = loss(math.exp(b))
+        return F.avg(F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top - F.get(z, F.col("target")))
+
+    low, high = math.log(0.25), math.log(5.0)
+    for _ in range(rounds):
+        points = [low + (high - low) * k / grid for k in range(grid + 1)]
+        found = list(cases.agg(*[loss(math.exp(p)).alias(f"l{k}") for k, p in enumerate(points)]).first())
+        if found[0] is None:
+            return 1.0
+        best = min(range(grid + 1), key=found.__getitem__)
+        low, high = points[max(0, best - 1)], points[min(grid, best + 1)]
     return round(math.exp((low + high) / 2), 3)
 
 

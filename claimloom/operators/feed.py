@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ def page(frame: DataFrame, sort: str, key: str = "claim_id", after: tuple | None
     """The rows after the pivot ``(sort value, key)``; one more than asked, to tell if more follow."""
     if not 1 <= rows <= MOST_ROWS:
         raise ValueError(f"rows must be 1 to {MOST_ROWS}")
+    if sort not in SORTS:
+        raise ValueError(f"sort must be one of {', '.join(SORTS)}")
     value = F.coalesce(F.col(sort), F.lit(0.0)) if sort == "fragility" else F.col(sort)
     if after is not None:
         pivot, last = F.lit(after[0]), F.lit(after[1])
@@ -58,15 +61,16 @@ def page(frame: DataFrame, sort: str, key: str = "claim_id", after: tuple | None
 
 
 def cursor(value, key) -> str:
-    """An opaque pivot: unpadded base64url of a JSON object."""
-    return base64.urlsafe_b64encode(json.dumps({"v": value, "id": key}).encode()).decode().rstrip("=")
+    """An opaque pivot: unpadded base64url of a JSON object; a time is written in ISO form, a number in full."""
+    timed = isinstance(value, datetime)
+    return base64.urlsafe_b64encode(json.dumps({"v": value.isoformat() if timed else value, "t": timed, "id": key}).encode()).decode().rstrip("=")
 
 
 def pivot(cursor: str) -> tuple:
     try:
         found = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
-        return found["v"], found["id"]
-    except (ValueError, KeyError, TypeError) as e:
+        return datetime.fromisoformat(found["v"]) if found.get("t") else found["v"], found["id"]
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
         raise ValueError("malformed cursor") from e
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.sources.durable import cut
+
 #: Cyclic relations with the shortest length that counts; weights of degree, cycle and severity.
 CYCLIC = {"OWNED_BY": 2, "WIRED_FUNDS_TO": 3}
 WEIGHTS = (0.25, 0.40, 0.35)
@@ -53,24 +55,41 @@ def neighbourhood(edges: DataFrame, root: int, depth: int) -> DataFrame:
 def simple_cycles(edges: DataFrame, longest: int = LONGEST) -> DataFrame:
     """Simple cycles of up to ``longest`` steps within each relation, each from its smallest node.
 
-    Paths grow from their smallest node through larger ones only, so each cycle is met once.
+    Paths grow from their smallest node through larger ones only, so each cycle is met
+    once. The paths of each length are written, so no level is worked out twice.
     """
-    step = edges.select("relation", F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
+    step = cut(edges.select("relation", F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
     paths = step.where("to > at").select("relation", F.array("at", "to").alias("path"))
     found = step.where("at = to").select("relation", F.array("at").alias("path"))
-    for _ in range(longest - 1):
-        ends = paths.withColumn("at", F.element_at("path", -1)).join(step, ["relation", "at"])
-        found = found.unionByName(ends.where(F.col("to") == F.col("path")[0]).select("relation", "path"))
-        paths = ends.where((F.col("to") > F.col("path")[0]) & ~F.array_contains("path", F.col("to"))).select("relation", F.concat("path", F.array("to")).alias("path"))
-    return found.where(F.size("path") <= longest).withColumn("length", F.size("path"))
+    for length in range(2, longest + 1):
+        ends = cut(paths.withColumn("at", F.element_at("path", -1)).join(step, ["relation", "at"]).where("to >= path[0]"))
+        found = found.unionByName(ends.where("to = path[0]").select("relation", "path"))
+        if length < longest:
+            paths = ends.where((F.col("to") > F.col("path")[0]) & ~F.array_contains("path", F.col("to"))).select("relation", F.concat("path", F.array("to")).alias("path"))
+    return found.withColumn("length", F.size("path"))
 
 
 def counted_cycles(edges: DataFrame) -> DataFrame:
-    """Cycles of the cyclic relations that are long enough to count."""
-    least = F.when(F.col("relation") == "OWNED_BY", CYCLIC["OWNED_BY"]).otherwise(CYCLIC["WIRED_FUNDS_TO"])
+    """Cycles of the cyclic relations that are long enough to count; an owner of itself is a cycle."""
+    least = F.when(F.col("relation") == "OWNED_BY", 1).otherwise(CYCLIC["WIRED_FUNDS_TO"])
     return simple_cycles(edges.where(F.col("relation").isin(*CYCLIC))).where(F.col("length") >= least)
 
 
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """``relation`` and ``node`` for every node on a cycle of a cyclic relation.
+
+    Two steps are enough for ownership, so its members are those of the strongly connected
+    components, however long their cycles are, and owners of themselves; for funds they are the
+    nodes of simple cycles that are long enough.
+    """
+    owned = edges.where("relation = 'OWNED_BY'")
+    strong = strong_components(owned)
+    large = strong.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    owners = strong.join(large, "component", "left_semi").select("node").union(owned.where("src = dst").select("src")).distinct()
+    funds = counted_cycles(edges.where("relation <> 'OWNED_BY'")).select("relation", F.explode("path").alias("node")).distinct()
+    return owners.select(F.lit("OWNED_BY").alias("relation"), "node").unionByName(funds)
+
+
 def minimal_cycles(cycles: DataFrame) -> DataFrame:
     """Cycles without those whose nodes strictly include another's, by an inverted list of nodes."""
     keyed = cycles.withColumn("id", F.concat_ws("-", "path"))
@@ -81,23 +100,48 @@ def minimal_cycles(cycles: DataFrame) -> DataFrame:
     return keyed.join(covered, ["relation", "id"], "left_anti").drop("id")
 
 
-def components_reaching(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Strongly connected components by the fixpoint of pairs that reach each other, for graphs within a tenant.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component`` (its smallest node) of every node of ``edges`` (src, dst), by forward and backward labels.
 
-    Each round doubles the length of the paths that are known.
+    Nodes without an edge in or out are alone and go first. Then each node takes the
+    smallest label that reaches it, and what reaches a label's own node within the label is its
+    component; the rest goes on to the next round. Only labels travel, never pairs that reach each other.
     """
-    reach = edges.select("src", "dst").distinct()
-    count = -1
-    for _ in range(rounds):
-        longer = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        reach = reach.unionByName(longer).distinct().checkpoint()
-        if (now := reach.count()) == count:
-            break
-        count = now
-    mutual = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    low = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-    return nodes.join(low, "node", "left").select("node", F.least("node", F.coalesce("low", "node")).alias("component"))
+    live, found = cut(edges.select("src", "dst").where("src <> dst").distinct()), None
+    left = live.count()
+    while left:
+        trimmed = cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        now = trimmed.count()
+        live, left, shrinks = trimmed, now, now < 0.9 * left
+        if shrinks or not left:
+            continue
+        labels = cut(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node")))
+        while True:
+            came = live.join(labels, live.src == labels.node).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("came"))
+            new = cut(labels.join(came, "node", "left").select("node", F.least("label", "came").alias("label"), (F.col("came") < F.col("label")).alias("less")))
+            labels = new.select("node", "label")
+            if new.where("less").isEmpty():
+                break
+        a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("from")), labels.select(F.col("node").alias("dst"), F.col("label").alias("to"))
+        inside = cut(live.join(a, "src").join(b, "dst").where("from = to").select("src", "dst"))
+        marked = cut(labels.where("node = label"))
+        edge = marked
+        while not edge.isEmpty():
+            back = inside.join(edge, inside.dst == edge.node).select(F.col("src").alias("node"), "label").distinct()
+            edge = cut(back.join(marked, "node", "left_anti"))
+            marked = cut(marked.unionByName(edge))
+        found = marked if found is None else found.unionByName(marked)
+        gone = marked.select("node")
+        live = cut(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        left = live.count()
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+
+
+#: The same by another name.
+components_reaching = strong_components
 
 
 def node_degree(edges: DataFrame) -> DataFrame:
@@ -105,10 +149,10 @@ def node_degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"), F.avg(severity(F.col("routing"))).alias("severity"), F.max("vacuity").alias("vacuity"))
 
 
-def node_risk(edges: DataFrame, cycles: DataFrame) -> DataFrame:
-    """Composite risk of each node: degree against the largest, cycle membership and mean severity."""
+def node_risk(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Composite risk of each node: degree against the largest, membership of a cycle and mean severity."""
     nodes = node_degree(edges)
-    member = cycles.select(F.explode("path").alias("node")).distinct().withColumn("in_cycle", F.lit(1.0))
+    member = members.select("node").distinct().withColumn("in_cycle", F.lit(1.0))
     most = nodes.agg(F.max("degree").alias("most")).withColumn("k", F.lit(1))
     wd, wc, ws = WEIGHTS
     score = (wd * F.col("degree") / F.col("most") + wc * F.coalesce("in_cycle", F.lit(0.0)) + ws * F.col("severity")) / (wd + wc + ws)
@@ -116,9 +160,9 @@ def node_risk(edges: DataFrame, cycles: DataFrame) -> DataFrame:
     return joined.select("node", "degree", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("risk"))
 
 
-def node_flags(edges: DataFrame, cycles: DataFrame) -> DataFrame:
+def node_flags(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Flags of each node in a fixed order, joined by commas."""
-    member = cycles.select(F.explode("path").alias("node"), "relation").groupBy("node").agg(F.max(F.col("relation") == "OWNED_BY").alias("owns"), F.max(F.col("relation") == "WIRED_FUNDS_TO").alias("funds"))
+    member = members.groupBy("node").agg(F.max(F.col("relation") == "OWNED_BY").alias("owns"), F.max(F.col("relation") == "WIRED_FUNDS_TO").alias("funds"))
     ends = incident(edges).groupBy("node").agg(F.max(F.col("relation") == "SHARES_ADDRESS_WITH").alias("shares"), F.max("vacuity").alias("vacuity"))
     marks = [("owns", "ownership_cycle"), ("funds", "funds_cycle"), ("shares", "shared_address")]
     flags = [F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for c, name in marks] + [F.when(F.col("vacuity") >= HIGH_VACUITY, F.lit("high_vacuity"))]

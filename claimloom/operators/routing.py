@@ -33,25 +33,36 @@ def cosigned_pairs(claims: DataFrame) -> DataFrame:
     return signed.alias("a").join(signed.alias("b"), "subject_id").where("a.org < b.org").select(F.col("a.org").alias("low"), F.col("b.org").alias("high")).distinct()
 
 
-def scored(claims: DataFrame, cycles: DataFrame | None = None, digits: int = 4) -> DataFrame:
-    """claim_id, risk, routing and reasons of each claim in the context of all."""
+def cosigned_among(pairs: DataFrame, claims: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (low, high) that one signatory signs for, without the pairs of a signatory of very many."""
+    signed = claims.where("relation = 'SIGNATORY_OF'").select("subject_id", "object_id").distinct()
+    one = pairs.where("low < high").join(signed.withColumnRenamed("object_id", "low"), "low")
+    return one.join(signed.withColumnRenamed("object_id", "high"), ["subject_id", "high"], "left_semi").select("low", "high").distinct()
+
+
+def scored(claims: DataFrame, members: DataFrame | None = None, digits: int = 4) -> DataFrame:
+    """claim_id, risk, routing and reasons of each claim in the context of all.
+
+    ``members`` has the nodes on cycles by relation. A claim whose two ends are members of
+    the same relation's cycles gets the cycle's addition once, whatever its own relation is.
+    """
     keyed = claims.withColumns({"low": F.least("subject_id", "object_id"), "high": F.greatest("subject_id", "object_id")})
-    members = (graph.counted_cycles(graph.grouped_edges(graph.routing_by_confidence(claims))) if cycles is None else cycles).select("relation", F.explode("path").alias("node")).distinct()
-    both = keyed.select("claim_id", "relation", "subject_id", "object_id")
-    one = both.join(members.withColumnRenamed("node", "subject_id"), ["relation", "subject_id"], "left_semi")
-    cyclic = one.join(members.withColumnRenamed("node", "object_id"), ["relation", "object_id"], "left_semi").select("claim_id", F.lit(True).alias("cyclic"))
-    joined = (
-        keyed.join(cyclic, "claim_id", "left")
-        .join(shared_pairs(claims).withColumn("shared", F.lit(True)), ["low", "high"], "left")
-        .join(cosigned_pairs(claims).withColumn("cosigned", F.lit(True)), ["low", "high"], "left")
-        .join(relation_kinds(claims), ["low", "high"], "left")
-    )
+    if members is None:
+        members = graph.cycle_members(graph.grouped_edges(graph.routing_by_confidence(claims)))
+    # Ownership comes first where both ends are members of either.
+    loops = members.groupBy("node").agg(F.max(F.col("relation") == "OWNED_BY").alias("owns"), F.max(F.col("relation") == "WIRED_FUNDS_TO").alias("funds"))
+    ends = lambda c: loops.select(F.col("node").alias(c), F.struct("owns", "funds").alias(f"{c}_in"))
+    pairs = claims.groupBy(*pair()).agg(F.count_distinct("relation").alias("kinds"), F.max(F.col("relation") == "SHARES_ADDRESS_WITH").alias("shared"))
+    context = pairs.join(cosigned_among(pairs.select("low", "high"), claims).withColumn("cosigned", F.lit(True)), ["low", "high"], "left")
+    joined = keyed.join(ends("subject_id"), "subject_id", "left").join(ends("object_id"), "object_id", "left").join(context, ["low", "high"])
+    both = lambda k: F.coalesce(F.col(f"subject_id_in.{k}") & F.col(f"object_id_in.{k}"), F.lit(False))
     base = F.coalesce(F.create_map(*[F.lit(x) for kv in BASE.items() for x in kv])[F.col("relation")], F.lit(0.15))
     tests = [
-        ("in_cycle", IN_CYCLE, F.coalesce("cyclic", F.lit(False))),
+        ("ownership_cycle", IN_CYCLE, both("owns")),
+        ("funds_cycle", IN_CYCLE, both("funds") & ~both("owns")),
         ("shared_address", SHARED, F.coalesce("shared", F.lit(False)) & (F.col("relation") != "SHARES_ADDRESS_WITH")),
-        ("co_signed", COSIGNED, F.coalesce("cosigned", F.lit(False))),
-        ("many_relations", KINDS, F.col("kinds") >= 3),
+        ("common_signatory", COSIGNED, F.coalesce("cosigned", F.lit(False))),
+        ("multi_relation", KINDS, F.col("kinds") >= 3),
     ]
     added = sum((F.when(t, F.lit(v)).otherwise(0.0) for _, v, t in tests), base)
     risk = F.greatest(F.lit(0.0), F.least(F.lit(1.0), added * (0.5 + 0.5 * F.col("confidence"))))

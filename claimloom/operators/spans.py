@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window as W
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def starts_of(lengths: pd.Series) -> pd.Series:
+    """Where each piece of a text starts, from the pieces' lengths with one separator between two; inside the row, so nothing is shuffled."""
+    return lengths.map(lambda n: np.cumsum(np.concatenate([[0], np.asarray(n)[:-1] + 1])).astype(np.int32) if n is not None and len(n) else np.zeros(0, np.int32))
+
+
+def pieces(frame: DataFrame, split: Column, keys: list[str], at: str, value: str) -> DataFrame:
+    """The pieces of a split text in order, with half-open code-point offsets."""
+    parts = frame.select(*keys, split.alias("_p")).withColumn("_s", starts_of(F.transform("_p", lambda x: F.length(x))))
+    rows = parts.select(*keys, F.posexplode(F.arrays_zip("_p", "_s")).alias(at, "_r"))
+    start = F.col("_r._s").cast("long")
+    return rows.select(*keys, at, F.col("_r._p").alias(value), start.alias("char_start"), (start + F.length("_r._p")).alias("char_end"))
+
+
 def words(documents: DataFrame) -> DataFrame:
-    """Words of each text with code-point offsets, half open."""
-    split = F.split("text", " ")
-    rows = documents.select("doc_id", F.posexplode(split).alias("tok_idx", "surface"))
-    w = W.partitionBy("doc_id").orderBy("tok_idx").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("surface") + 1).over(w), F.lit(0))
-    return rows.select("doc_id", "tok_idx", "surface", start.alias("char_start"), (start + F.length("surface")).alias("char_end"))
+    """Words of each text with code-point offsets, half open; a null text has none."""
+    return pieces(documents, F.split("text", " "), ["doc_id"], "tok_idx", "surface")
 
 
 def islands(tokens: DataFrame) -> DataFrame:
@@ -36,6 +49,16 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, width: int = 256) -
     return a.join(b, [key, "cell"]).where("start < end2 AND end > start2").where(F.col("cell") == first).drop("cell")
 
 
+def overlapping_pairs(spans: DataFrame, key: str, width: int = 256) -> DataFrame:
+    """Pairs of spans of one table that overlap, the one that starts first on the left; equal starts are no pair."""
+    cells = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / width)))
+    a = spans.withColumn("cell", cells)
+    b = spans.select(F.col(key).alias("_key"), F.col("start").alias("start2"), F.col("end").alias("end2"))
+    b = b.withColumn("_cell", F.floor(F.col("start2") / width))  # the later start's cell is one that both share
+    meets = (a[key] == b["_key"]) & (a["cell"] == b["_cell"]) & (a["start"] < b["start2"]) & (a["end"] > b["start2"])
+    return a.join(b, meets).select(key, "start", "end", "start2", "end2")
+
+
 def boundary_segments(spans: DataFrame, key: str) -> DataFrame:
     """Texts cut at every boundary of overlapping spans, with how many cover each piece."""
     events = spans.select(key, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"))

@@ -19,7 +19,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-THIN = "thin AS (SELECT * FROM claims WHERE claim_id % 100 < 8)"
 ROUTED = "routed AS (SELECT *, CASE WHEN confidence >= 0.8 THEN 'escalate' WHEN confidence >= 0.6 THEN 'flag' ELSE 'auto_file' END AS routing FROM claims)"
 EDGES = """edges AS (SELECT subject_id AS src, object_id AS dst, relation, max(confidence) AS confidence, min(vacuity) AS vacuity,
   max_by(routing, CASE routing WHEN 'escalate' THEN 1.0 WHEN 'flag' THEN 0.5 ELSE 0.0 END) AS routing, count(*) AS weight, list_sort(list(claim_id)) AS claim_ids FROM {src} GROUP BY 1, 2, 3)"""
@@ -27,9 +26,11 @@ CYCLES = """RECURSIVE step AS (SELECT DISTINCT relation, src AS here, dst AS nxt
 paths AS (SELECT relation, [here, nxt] AS path FROM step WHERE nxt > here UNION ALL
   SELECT p.relation, list_append(p.path, s.nxt) FROM paths p JOIN step s ON s.relation = p.relation AND s.here = p.path[-1]
   WHERE s.nxt > p.path[1] AND NOT list_contains(p.path, s.nxt) AND len(p.path) < 5),
-cycles AS (SELECT p.relation, p.path, len(p.path) AS length FROM paths p JOIN step s ON s.relation = p.relation AND s.here = p.path[-1] AND s.nxt = p.path[1]),
-counted AS (SELECT * FROM cycles WHERE (relation = 'OWNED_BY' AND length >= 2) OR (relation = 'WIRED_FUNDS_TO' AND length >= 3))"""
-GRAPH = f"WITH RECURSIVE {CLAIMS}, {THIN}, {ROUTED.replace('FROM claims', 'FROM thin')}, {EDGES.format(src='routed')}, {CYCLES.removeprefix('RECURSIVE ')}"
+cycles AS (SELECT p.relation, p.path, len(p.path) AS length FROM paths p JOIN step s ON s.relation = p.relation AND s.here = p.path[-1] AND s.nxt = p.path[1] UNION ALL SELECT relation, [here], 1 FROM step WHERE here = nxt),
+counted AS (SELECT * FROM cycles WHERE relation = 'OWNED_BY' OR (relation = 'WIRED_FUNDS_TO' AND length >= 3)),
+reach AS (SELECT here AS a, nxt AS b FROM step WHERE relation = 'OWNED_BY' UNION SELECT r.a, s.nxt FROM reach r JOIN step s ON s.here = r.b AND s.relation = 'OWNED_BY'),
+mem AS (SELECT 'OWNED_BY' AS relation, a AS node FROM reach WHERE a = b UNION SELECT relation, unnest(path) FROM counted WHERE relation <> 'OWNED_BY')"""
+GRAPH = f"WITH RECURSIVE {CLAIMS}, {ROUTED}, {EDGES.format(src='routed')}, {CYCLES.removeprefix('RECURSIVE ')}"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -46,8 +47,8 @@ def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.routing_by_confidence(X.claims(spark, sf_dir))
 
 
-def _thin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.grouped_edges(graph.routing_by_confidence(X.thin(X.claims(spark, sf_dir))))
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.grouped_edges(_routed(spark, sf_dir))
 
 
 # Feed, filters, paging
@@ -119,17 +120,17 @@ def grouped_edges(spark, sf_dir):
 
 @query(GRAPH + " SELECT node, count(*) AS degree, round(avg(s), 6) AS severity, max(vacuity) AS vacuity FROM (SELECT src AS node, vacuity, CASE routing WHEN 'escalate' THEN 1.0 WHEN 'flag' THEN 0.5 ELSE 0.0 END AS s FROM edges UNION ALL SELECT dst, vacuity, CASE routing WHEN 'escalate' THEN 1.0 WHEN 'flag' THEN 0.5 ELSE 0.0 END FROM edges WHERE src <> dst) GROUP BY 1")
 def node_degree(spark, sf_dir):
-    return graph.node_degree(_thin_edges(spark, sf_dir)).withColumn("severity", F.round("severity", 6))
+    return graph.node_degree(_edges(spark, sf_dir)).withColumn("severity", F.round("severity", 6))
 
 
 @query(GRAPH + ", b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), h1 AS (SELECT b AS node FROM b WHERE a = 3), h2 AS (SELECT b.b AS node FROM h1 JOIN b ON b.a = h1.node) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM (SELECT 3 AS node, 0 AS hops UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY 1")
 def khop_neighbourhood(spark, sf_dir):
-    return graph.neighbourhood(_thin_edges(spark, sf_dir), 3, 2)
+    return graph.neighbourhood(_edges(spark, sf_dir), 3, 2)
 
 
 @query(GRAPH + " SELECT relation, array_to_string(path, '-') AS path, CAST(length AS INTEGER) AS length FROM cycles")
 def simple_cycles(spark, sf_dir):
-    return graph.simple_cycles(_thin_edges(spark, sf_dir)).select("relation", _joined("path"), "length")
+    return graph.simple_cycles(_edges(spark, sf_dir)).select("relation", _joined("path"), "length")
 
 
 def _joined(column: str):
@@ -138,40 +139,43 @@ def _joined(column: str):
 
 @query(GRAPH + " SELECT c.relation, array_to_string(c.path, '-') AS path FROM counted c WHERE NOT EXISTS (SELECT 1 FROM counted d WHERE d.relation = c.relation AND d.length < c.length AND len(list_intersect(d.path, c.path)) = d.length)")
 def minimal_cycles(spark, sf_dir):
-    cycles = graph.counted_cycles(_thin_edges(spark, sf_dir))
+    cycles = graph.counted_cycles(_edges(spark, sf_dir))
     return graph.minimal_cycles(cycles).select("relation", _joined("path"))
 
 
-@query(GRAPH + " SELECT DISTINCT relation, unnest(path) AS node FROM counted")
+@query(GRAPH + " SELECT relation, node FROM mem")
 def cycle_members(spark, sf_dir):
-    return graph.counted_cycles(_thin_edges(spark, sf_dir)).select("relation", F.explode("path").alias("node")).distinct()
+    return graph.cycle_members(_edges(spark, sf_dir))
+
+
+@query(GRAPH + ", n AS (SELECT here AS node FROM step WHERE relation = 'OWNED_BY' UNION SELECT nxt FROM step WHERE relation = 'OWNED_BY') SELECT n.node, least(n.node, coalesce(min(r.b), n.node)) AS component FROM n LEFT JOIN reach r ON r.a = n.node AND EXISTS (SELECT 1 FROM reach q WHERE q.a = r.b AND q.b = r.a) GROUP BY n.node")
+def strong_components(spark, sf_dir):
+    return graph.strong_components(_edges(spark, sf_dir).where("relation = 'OWNED_BY'"))
 
 
 NODES = """, ends AS (SELECT src AS node, relation, vacuity, CASE routing WHEN 'escalate' THEN 1.0 WHEN 'flag' THEN 0.5 ELSE 0.0 END AS s FROM edges
   UNION ALL SELECT dst, relation, vacuity, CASE routing WHEN 'escalate' THEN 1.0 WHEN 'flag' THEN 0.5 ELSE 0.0 END FROM edges WHERE src <> dst),
 deg AS (SELECT node, count(*) AS degree, CAST(avg(s) AS DOUBLE) AS sev, max(vacuity) AS vac, bool_or(relation = 'SHARES_ADDRESS_WITH') AS shares FROM ends GROUP BY 1),
-mem AS (SELECT DISTINCT relation, unnest(path) AS node FROM counted),
 risk AS (SELECT node, degree, round((CAST(0.25 AS DOUBLE) * degree / (SELECT max(degree) FROM deg) + CAST(0.40 AS DOUBLE) * CASE WHEN node IN (SELECT node FROM mem) THEN 1.0 ELSE 0.0 END + CAST(0.35 AS DOUBLE) * sev) / CAST(1.0 AS DOUBLE), 4) AS risk FROM deg)"""
 
 
 @query(GRAPH + NODES + " SELECT node, degree, risk FROM risk ORDER BY risk DESC, node LIMIT 20")
 def node_risk_topn(spark, sf_dir):
-    edges = _thin_edges(spark, sf_dir)
-    return graph.node_risk(edges, graph.counted_cycles(edges)).orderBy(F.desc("risk"), "node").limit(20)
+    edges = _edges(spark, sf_dir)
+    return graph.node_risk(edges, graph.cycle_members(edges)).orderBy(F.desc("risk"), "node").limit(20)
 
 
 @query(GRAPH + NODES + """ SELECT node, array_to_string(list_filter([CASE WHEN node IN (SELECT node FROM mem WHERE relation = 'OWNED_BY') THEN 'ownership_cycle' END, CASE WHEN node IN (SELECT node FROM mem WHERE relation = 'WIRED_FUNDS_TO') THEN 'funds_cycle' END,
   CASE WHEN shares THEN 'shared_address' END, CASE WHEN vac >= 0.45 THEN 'high_vacuity' END], lambda x: x IS NOT NULL), ',') AS flags FROM deg""")
 def node_flags(spark, sf_dir):
-    edges = _thin_edges(spark, sf_dir)
-    return graph.node_flags(edges, graph.counted_cycles(edges))
+    edges = _edges(spark, sf_dir)
+    return graph.node_flags(edges, graph.cycle_members(edges))
 
 
 @query(GRAPH + NODES + ", m AS (SELECT relation, array_to_string(path, '-') AS id, length, unnest(path) AS node FROM counted) SELECT m.relation, m.id, CAST(m.length AS INTEGER) AS length, round(avg(r.risk), 6) AS risk FROM m JOIN risk r ON r.node = m.node GROUP BY ALL")
 def cycle_risk(spark, sf_dir):
-    edges = _thin_edges(spark, sf_dir)
-    cycles = graph.counted_cycles(edges)
-    return graph.cycle_risk(cycles, graph.node_risk(edges, cycles))
+    edges = _edges(spark, sf_dir)
+    return graph.cycle_risk(graph.counted_cycles(edges), graph.node_risk(edges, graph.cycle_members(edges)))
 
 
 # Routing, gate, cascade
@@ -187,28 +191,28 @@ def shared_pair_context(spark, sf_dir):
     return routing.shared_pairs(X.claims(spark, sf_dir))
 
 
-@query(f"WITH {CLAIMS}, {THIN} SELECT DISTINCT a.object_id AS low, b.object_id AS high FROM thin a JOIN thin b ON a.subject_id = b.subject_id AND a.object_id < b.object_id WHERE a.relation = 'SIGNATORY_OF' AND b.relation = 'SIGNATORY_OF'")
+@query(f"WITH {CLAIMS} SELECT DISTINCT a.object_id AS low, b.object_id AS high FROM claims a JOIN claims b ON a.subject_id = b.subject_id AND a.object_id < b.object_id WHERE a.relation = 'SIGNATORY_OF' AND b.relation = 'SIGNATORY_OF'")
 def cosigned_pairs(spark, sf_dir):
-    return routing.cosigned_pairs(X.thin(X.claims(spark, sf_dir)))
+    return routing.cosigned_pairs(X.claims(spark, sf_dir))
 
 
-SCORED = GRAPH + """, p AS (SELECT *, least(subject_id, object_id) AS low, greatest(subject_id, object_id) AS high FROM thin),
-mem AS (SELECT DISTINCT relation, unnest(path) AS node FROM counted),
+SCORED = GRAPH + """, p AS (SELECT *, least(subject_id, object_id) AS low, greatest(subject_id, object_id) AS high FROM claims),
 sh AS (SELECT DISTINCT low, high FROM p WHERE relation = 'SHARES_ADDRESS_WITH'),
 co AS (SELECT DISTINCT a.object_id AS low, b.object_id AS high FROM p a JOIN p b ON a.subject_id = b.subject_id AND a.object_id < b.object_id AND a.relation = 'SIGNATORY_OF' AND b.relation = 'SIGNATORY_OF'),
 ki AS (SELECT low, high, count(DISTINCT relation) AS kinds FROM p GROUP BY 1, 2),
-t AS (SELECT p.*, EXISTS (SELECT 1 FROM mem m WHERE m.relation = p.relation AND m.node = p.subject_id) AND EXISTS (SELECT 1 FROM mem m WHERE m.relation = p.relation AND m.node = p.object_id) AS cyc,
+t AS (SELECT p.*, CASE WHEN subject_id IN (SELECT node FROM mem WHERE relation = 'OWNED_BY') AND object_id IN (SELECT node FROM mem WHERE relation = 'OWNED_BY') THEN 'ownership_cycle'
+    WHEN subject_id IN (SELECT node FROM mem WHERE relation = 'WIRED_FUNDS_TO') AND object_id IN (SELECT node FROM mem WHERE relation = 'WIRED_FUNDS_TO') THEN 'funds_cycle' END AS cyc,
   sh.low IS NOT NULL AND relation <> 'SHARES_ADDRESS_WITH' AS sha, co.low IS NOT NULL AS cos, ki.kinds >= 3 AS many
   FROM p LEFT JOIN sh USING (low, high) LEFT JOIN co USING (low, high) JOIN ki USING (low, high)),
 raw AS (SELECT *, least(CAST(1 AS DOUBLE), (CAST(CASE relation WHEN 'OWNED_BY' THEN 0.45 WHEN 'WIRED_FUNDS_TO' THEN 0.35 WHEN 'SHARES_ADDRESS_WITH' THEN 0.30 WHEN 'SIGNATORY_OF' THEN 0.25 ELSE 0.15 END AS DOUBLE)
-  + CAST(CASE WHEN cyc THEN 0.3 ELSE 0 END AS DOUBLE) + CAST(CASE WHEN sha THEN 0.15 ELSE 0 END AS DOUBLE) + CAST(CASE WHEN cos THEN 0.15 ELSE 0 END AS DOUBLE) + CAST(CASE WHEN many THEN 0.1 ELSE 0 END AS DOUBLE))
+  + CAST(CASE WHEN cyc IS NOT NULL THEN 0.3 ELSE 0 END AS DOUBLE) + CAST(CASE WHEN sha THEN 0.15 ELSE 0 END AS DOUBLE) + CAST(CASE WHEN cos THEN 0.15 ELSE 0 END AS DOUBLE) + CAST(CASE WHEN many THEN 0.1 ELSE 0 END AS DOUBLE))
   * (CAST(0.5 AS DOUBLE) + CAST(0.5 AS DOUBLE) * confidence)) AS r FROM t)"""
 
 
 @query(SCORED + """ SELECT claim_id, round(r, 6) AS risk, CASE WHEN r >= 0.8 THEN 'escalate' WHEN r >= 0.6 THEN 'flag' ELSE 'auto_file' END AS routing,
-  array_to_string(list_filter([CASE WHEN cyc THEN 'in_cycle' END, CASE WHEN sha THEN 'shared_address' END, CASE WHEN cos THEN 'co_signed' END, CASE WHEN many THEN 'many_relations' END], lambda x: x IS NOT NULL), ',') AS reasons FROM raw""")
+  array_to_string(list_filter([cyc, CASE WHEN sha THEN 'shared_address' END, CASE WHEN cos THEN 'common_signatory' END, CASE WHEN many THEN 'multi_relation' END], lambda x: x IS NOT NULL), ',') AS reasons FROM raw""")
 def routing_score(spark, sf_dir):
-    return routing.scored(X.thin(X.claims(spark, sf_dir)), digits=6)
+    return routing.scored(X.claims(spark, sf_dir), digits=6)
 
 
 GATE = "gated AS (SELECT *, CASE WHEN vacuity >= 0.625 THEN 'vacuity' WHEN dissonance >= 0.35 THEN 'dissonance' WHEN routing = 'escalate' AND confidence < 0.75 THEN 'low_confidence' ELSE 'none' END AS gate FROM routed)"
@@ -258,7 +262,7 @@ def hard_negatives(spark, sf_dir):
 s AS (SELECT flag, escalate, avg(CASE WHEN r >= escalate THEN 1.0 ELSE 0.0 END) AS es, avg(CASE WHEN r >= flag AND r < escalate THEN 1.0 ELSE 0.0 END) AS fs FROM (SELECT round(r, 4) AS r FROM raw), g GROUP BY 1, 2)
 SELECT flag, escalate, round(fs, 6) AS flag_share, round(es, 6) AS escalate_share, round(abs(es - 0.13) + 0.25 * greatest(fs - 0.35, 0.0), 6) AS penalty FROM s""")
 def threshold_sweep(spark, sf_dir):
-    return evals.threshold_sweep(routing.scored(X.thin(X.claims(spark, sf_dir))), [0.4, 0.5, 0.6], [0.5, 0.7, 0.8])
+    return evals.threshold_sweep(routing.scored(X.claims(spark, sf_dir)), [0.4, 0.5, 0.6], [0.5, 0.7, 0.8])
 
 
 # Trust and calibration
@@ -416,8 +420,7 @@ def _spans(spark, sf_dir):
 @query(f"WITH {SPANS} SELECT x.key, x.s AS start, x.e AS \"end\", y.s AS start2, y.e AS end2 FROM a x JOIN a y ON x.key = y.key AND x.s < y.e AND x.e > y.s AND x.s < y.s")
 def span_overlap_join(spark, sf_dir):
     a = _spans(spark, sf_dir)
-    pairs = spans.overlapping(a, a.select("key", F.col("start").alias("start2"), F.col("end").alias("end2")), "key")
-    return pairs.where("start < start2").select("key", "start", "end", "start2", "end2")
+    return spans.overlapping_pairs(a, "key")
 
 
 @query(f"WITH {SPANS}, v AS (SELECT key, s AS pos, 1 AS d FROM a UNION ALL SELECT key, e, -1 FROM a), g AS (SELECT key, pos, sum(d) AS d FROM v GROUP BY 1, 2), w AS (SELECT key, pos AS start, lead(pos) OVER (PARTITION BY key ORDER BY pos) AS \"end\", CAST(sum(d) OVER (PARTITION BY key ORDER BY pos) AS BIGINT) AS depth FROM g) SELECT * FROM w WHERE \"end\" IS NOT NULL AND depth > 0")
@@ -464,10 +467,10 @@ def idf_table(spark, sf_dir):
     return entities.idf(table(spark, sf_dir, "part"), "p_name")
 
 
-@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)) AS cosine FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, arg_max(vec_id, (cosine, -vec_id)) AS vec_id, round(max(cosine), 6) AS cosine FROM c GROUP BY 1")
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)) AS cosine FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) SELECT query_id, arg_max(vec_id, (cosine, -vec_id)) AS vec_id, round(max(cosine), 6) AS cosine FROM c GROUP BY 1")
 def nearest_embedding(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return entities.nearest(v, v.where("vec_id % 50 = 0"))
+    return entities.nearest(v, v.where("vec_id % 20 = 0"))
 
 
 @query("""WITH c AS (SELECT p_brand AS key, p_type AS surface, count(*) AS n FROM part GROUP BY 1, 2), b AS (SELECT key, arg_max(surface, (n, length(surface), surface)) AS canonical, sum(n) AS m FROM c GROUP BY 1)

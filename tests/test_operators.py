@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
-from claimloom.operators import entities, evals, feed, graph, spans
+from claimloom.operators import entities, evals, feed, graph, routing, spans
 from claimloom.sources import documents as sources
 from claimloom.streaming import feeds
 
@@ -112,8 +112,15 @@ def test_sources_read_four_kinds(spark, tmp_path):
     (tmp_path / "c.eml").write_text("From: a@example.com\nSubject: Hi\n\nBody text\n")
     (tmp_path / "d.html").write_text("<p>one &amp; two</p>")
     (tmp_path / "e.bin").write_bytes(b"\0")
-    found = {r.title: r.text for r in sources.read(spark, str(tmp_path)).collect()}
-    assert found == {"a": "hello", "b": "x | y\n1 | 2", "c": "From: a@example.com\nSubject: Hi\n\nBody text", "d": "one & two"}
+    (tmp_path / "f.txt").write_text(" \n")
+    (tmp_path / "g.eml").write_bytes(b"From: a@example.com\nSubject: =?utf-8?q?folded=0A?=\n header\nContent-Type: text/plain; charset=no-such\n\nkept")
+    rows = sources.read(spark, str(tmp_path)).collect()
+    found = {r.title: r.text for r in rows if r.error is None}
+    # A mail's subject is its title; files that cannot be used keep a row with the reason.
+    assert found.pop("folded header").startswith("From: a@example.com\nSubject: folded header\n\n")
+    assert found == {"a": "hello", "b": "x | y\n1 | 2", "Hi": "From: a@example.com\nSubject: Hi\n\nBody text", "d": "one & two"}
+    assert {(r.title, r.error, r.text) for r in rows if r.error} == {("e", "unsupported", None), ("f", "empty", None)}
+    assert [[tuple(o) for o in r.row_offsets] for r in rows if r.title == "b"] == [[(0, 5), (6, 11)]]
 
 
 def test_sinks_are_idempotent(spark):
@@ -215,3 +222,43 @@ def test_lockouts_carry_only_the_open_window(spark, capsys):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     found.explain()
     assert "FlatMapGroups" not in capsys.readouterr().out  # no frame of a whole user
+
+
+def test_owners_of_long_rings_are_members(spark):
+    """Six owners in a ring, a tail into it, two rings that share no node, and funds between two mutual owners."""
+    ring = [(k, k % 6 + 1, "OWNED_BY") for k in range(1, 7)] + [(9, 1, "OWNED_BY"), (20, 21, "OWNED_BY"), (21, 20, "OWNED_BY"), (30, 30, "OWNED_BY")]
+    e = spark.createDataFrame(ring + [(1, 2, "WIRED_FUNDS_TO"), (2, 1, "WIRED_FUNDS_TO")], "src long, dst long, relation string")
+    assert {(r.relation, r.node) for r in graph.cycle_members(e).collect()} == {("OWNED_BY", n) for n in (1, 2, 3, 4, 5, 6, 20, 21, 30)}
+    assert graph.strong_components(e.limit(0)).count() == 0
+
+
+def test_a_claim_between_mutual_owners_gets_the_cycle_addition_whatever_its_relation(spark):
+    rows = [(1, 1, 2, "OWNED_BY", 1.0), (2, 2, 1, "OWNED_BY", 1.0), (3, 1, 2, "INVOICED", 1.0), (4, 1, 3, "INVOICED", 1.0)]
+    claims = spark.createDataFrame([(*r, 0.1) for r in rows], "claim_id long, subject_id long, object_id long, relation string, confidence double, vacuity double")
+    found = {r.claim_id: (r.risk, r.reasons) for r in routing.scored(claims).collect()}
+    assert found[3] == (0.45, "ownership_cycle") and found[4] == (0.15, "") and found[1] == (0.75, "ownership_cycle")
+
+
+def test_upsert_takes_rows_with_nulls_and_cursors_take_times(spark):
+    from datetime import datetime
+
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, v string, w string")
+    new = spark.createDataFrame([(2, None, "z"), (3, None, None)], "id long, v string, w string")
+    assert {tuple(r) for r in sources.upserted(old, new, "id").collect()} == {(1, "a", "x"), (2, None, "z"), (3, None, None)}
+    at = datetime(2024, 5, 6, 7, 8, 9, 10)
+    assert feed.pivot(feed.cursor(at, 5)) == (at, 5) and feed.pivot(feed.cursor(0.1, 5)) == (0.1, 5)
+    for bad in ("", "x", "e30"):
+        with pytest.raises(ValueError):
+            feed.pivot(bad)
+    with pytest.raises(ValueError):
+        feed.page(old, "relation")
+
+
+def test_running_sums_and_percentiles_over_many_ranges(spark):
+    rows = [(k % 3, float(k * 7 % 50)) for k in range(500)] + [(3, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    found = {r.g: r.p95 for r in evals.lower_percentile(df, ["g"], "v", 0.95).collect()}
+    for g in range(3):
+        values = sorted(v for k, v in rows if k == g)
+        assert found[g] == values[int(0.95 * (len(values) - 1))]
+    assert evals.correlation_test(df.where("g = 0").select("v", F.col("v").alias("w")), "v", "w").first().p_value == 1e-12

@@ -33,9 +33,11 @@ def uuid5(namespace: str, name: Column) -> Column:
 
 
 def sanitized(text: Column, most: int = 400) -> Column:
-    """One line without control or format characters, cut at ``most`` with an ellipsis."""
+    """One line without control or format characters or the marks that delimit a quotation, cut at ``most`` with an ellipsis."""
     line = F.regexp_replace(F.translate(text, "\r\n\t", "   "), r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}]", "")
     line = F.trim(F.regexp_replace(line, " +", " "))
+    for mark in "<>":  # three in a row open or close the quoted text
+        line = F.replace(line, F.lit(mark * 3), F.lit(" ".join(mark * 3)))
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 1), F.lit("…"))).otherwise(line)
 
 
@@ -57,3 +59,9 @@ def media_type(filename: Column, declared: Column) -> Column:
     plain = F.trim(F.lower(F.split(declared, ";")[0]))
     by_name = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.lower(F.regexp_extract(filename, r"\.([^.]+)$", 1))]
     return F.coalesce(F.when(plain.isin(*set(kinds.values())), plain), by_name)
+
+
+def received_at(raw: Column) -> Column:
+    """An ISO time; one without a zone is UTC, one that is no time is null."""
+    zoned = F.when(raw.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), raw).otherwise(F.concat(raw, F.lit("Z")))
+    return F.try_to_timestamp(zoned)

@@ -23,6 +23,12 @@ def confidence(e: Column) -> Column:
     return (F.array_max(e) + 1.0) / strength(e)
 
 
+def probabilities(e: Column) -> Column:
+    """The expected probability of each class."""
+    s = strength(e)
+    return F.transform(e, lambda x: (x + 1.0) / s)
+
+
 def vacuity(e: Column) -> Column:
     return F.size(e) / strength(e)
 

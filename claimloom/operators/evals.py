@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
+from claimloom.functions import trust
 from claimloom.sources.durable import cut
 
 BINS = 10
@@ -245,3 +246,20 @@ def band_summary(frame: DataFrame, band: str, value: str, confidence: str) -> Da
     means = frame.groupBy(band).agg(F.count("*").alias("n"), F.avg(value).alias("_m"), F.round(F.avg(confidence), 6).alias("mean_confidence"))
     rises = F.coalesce(F.col("_m") >= F.lag("_m").over(W.partitionBy(F.lit(0)).orderBy(band)), F.lit(True))
     return means.join(ninth, band).select(band, "n", F.round("_m", 6).alias("mean"), "p90", "mean_confidence", rises.alias("rises"))
+
+
+def recalibrated(cases: DataFrame, negatives: DataFrame, current: float) -> DataFrame:
+    """Calibration (ece, mce, brier) at the current temperature and at the one fitted on the hard negatives, as two rows.
+
+    ``cases`` have z and target. Without negatives, or where the fit gives the current
+    temperature, the second row is the first one's: nothing is measured anew.
+    """
+    fitted = current if negatives.isEmpty() else fitted_temperature(negatives, "target")
+
+    def measured(t: float) -> DataFrame:
+        e = cases.select("target", trust.evidence(trust.at_temperature(F.col("z"), t)).alias("e"))
+        return calibration_error(e, trust.confidence(F.col("e")), F.array_position("e", F.array_max("e")) - 1 == F.col("target"))
+
+    before = cut(measured(current))
+    after = before if fitted == current else measured(fitted)
+    return before.select(F.lit("baseline").alias("label"), F.lit(current).alias("temperature"), "*").unionByName(after.select(F.lit("post").alias("label"), F.lit(fitted).alias("temperature"), "*"))

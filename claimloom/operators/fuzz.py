@@ -18,7 +18,18 @@ from pyspark.sql import functions as F
 #: The families in order, the share of words or places that are changed.
 FAMILIES = ("synonym", "rename", "boilerplate", "reorder", "punctuation")
 SYNONYM_SHARE, NOISE_SHARE = 0.15, 0.10
-SYNONYMS = {"owns": "holds", "paid": "settled", "sent": "forwarded", "company": "firm", "address": "premises", "signed": "executed", "invoice": "bill"}
+#: Everyday words and words that may stand for them.
+SYNONYMS = dict(
+    pair.split(":")
+    for pair in (
+        "about:roughly also:likewise answer:reply ask:request begin:start big:large buy:purchase change:alter choose:pick close:shut collect:gather "
+        "correct:right cost:price deal:bargain easy:simple end:finish error:mistake false:untrue fast:quick final:last find:locate first:initial fix:repair "
+        "get:obtain give:hand goods:wares happy:glad hard:difficult help:assist hide:conceal home:house idea:notion important:weighty job:task keep:retain "
+        "kind:sort leave:depart little:small look:glance make:produce many:numerous meet:encounter money:funds need:require new:recent often:frequently old:former "
+        "only:merely owns:possesses part:piece place:spot plan:scheme quiet:silent rich:wealthy safe:secure say:state show:display sick:ill speak:talk stop:halt "
+        "strange:odd strong:sturdy take:seize thin:slim think:believe true:genuine use:employ want:desire whole:entire work:labour wrong:mistaken yearly:annually"
+    ).split()
+)
 NOTICES = ("This message may be confidential.", "Please consider the environment before printing.")
 
 
@@ -57,7 +68,7 @@ def edits_of(family: str, text: str, start: int, end: int, names: list[str], *se
         return [(a, b, new[n]) for k, (a, b, n) in enumerate(sorted(found)) if all(b <= x or a >= y for x, y, _ in sorted(found)[:k])]
     if family == "boilerplate":
         notice = NOTICES[int(chance(*seed) * len(NOTICES))]
-        return [(0, 0, notice + " ")] if chance(*seed, "side") < 0.5 else [(len(text), len(text), " " + notice)]
+        return [(start, start, notice + " ")] if chance(*seed, "side") < 0.5 else [(end, end, " " + notice)]
     if family == "punctuation":
         gaps = [m.end() for m in words if not start < m.end() < end]
         return [(g, g, ",") for g in gaps if chance(*seed, g) < NOISE_SHARE]

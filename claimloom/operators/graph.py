@@ -11,6 +11,8 @@ from claimloom.sources.durable import cut
 CYCLIC = {"OWNED_BY": 2, "WIRED_FUNDS_TO": 3}
 WEIGHTS = (0.25, 0.40, 0.35)
 LONGEST = 5
+#: Steps of a search over the graph that one written table covers.
+STEPS = 3
 HIGH_VACUITY = 0.45
 SEVERITY = {"auto_file": 0.0, "flag": 0.5, "escalate": 1.0}
 
@@ -111,26 +113,31 @@ def strong_components(edges: DataFrame) -> DataFrame:
     live, found = cut(edges.select("src", "dst").where("src <> dst").distinct()), None
     left = live.count()
     while left:
-        trimmed = cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        now = trimmed.count()
-        live, left, shrinks = trimmed, now, now < 0.9 * left
-        if shrinks or not left:
+        for _ in range(STEPS):
+            live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        live, before = cut(live), left
+        left = live.count()
+        if left < 0.9 * before or not left:
             continue
-        labels = cut(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node")))
-        while True:
-            came = live.join(labels, live.src == labels.node).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("came"))
-            new = cut(labels.join(came, "node", "left").select("node", F.least("label", "came").alias("label"), (F.col("came") < F.col("label")).alias("less")))
-            labels = new.select("node", "label")
-            if new.where("less").isEmpty():
-                break
+        start = live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        labels, moves = start.select("node", F.col("node").alias("label")), True
+        while moves:
+            new = labels.withColumn("old", F.col("label"))
+            for _ in range(STEPS):
+                came = live.join(new.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("came"))
+                new = new.join(came, "node", "left").select("node", F.least("label", "came").alias("label"), "old")
+            new = cut(new)
+            labels, moves = new.select("node", "label"), not new.where("label < old").isEmpty()
         a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("from")), labels.select(F.col("node").alias("dst"), F.col("label").alias("to"))
         inside = cut(live.join(a, "src").join(b, "dst").where("from = to").select("src", "dst"))
         marked = cut(labels.where("node = label"))
-        edge = marked
-        while not edge.isEmpty():
-            back = inside.join(edge, inside.dst == edge.node).select(F.col("src").alias("node"), "label").distinct()
-            edge = cut(back.join(marked, "node", "left_anti"))
-            marked = cut(marked.unionByName(edge))
+        known, grows = marked.count(), True
+        while grows:
+            for _ in range(STEPS):
+                marked = marked.unionByName(inside.join(marked.select(F.col("node").alias("dst"), "label"), "dst").select(F.col("src").alias("node"), "label")).distinct()
+            marked = cut(marked)
+            now = marked.count()
+            known, grows = now, now > known
         found = marked if found is None else found.unionByName(marked)
         gone = marked.select("node")
         live = cut(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
@@ -144,6 +151,27 @@ def strong_components(edges: DataFrame) -> DataFrame:
 components_reaching = strong_components
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int = 16) -> DataFrame:
+    """The shortest path between the ends of each pair within its own graph, whichever way edges point.
+
+    ``edges``: key, src, dst; ``pairs``: pair_id, key, start, goal. Of paths of one length the first in
+    order of its nodes; a pair that is not joined within ``longest`` steps has none. Each node is
+    reached once for a pair, so the search holds no more rows than pairs times nodes of their graphs.
+    """
+    step = cut(edges.select("key", F.col("src").alias("at"), F.col("dst").alias("to")).unionByName(edges.select("key", F.col("dst").alias("at"), F.col("src").alias("to"))).distinct())
+    edge = pairs.select("pair_id", "key", "goal", F.col("start").alias("at"), F.array("start").alias("path"))
+    seen = edge = cut(edge)
+    for _ in range(longest):
+        further = edge.where("at <> goal").join(step, ["key", "at"]).select("pair_id", "key", "goal", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
+        best = further.groupBy("pair_id", "key", "goal", "at").agg(F.min("path").alias("path"))
+        open_pairs = seen.where("at = goal").select("pair_id")
+        edge = cut(best.join(seen.select("pair_id", "at"), ["pair_id", "at"], "left_anti").join(open_pairs, "pair_id", "left_anti").select("pair_id", "key", "goal", "at", "path"))
+        if edge.isEmpty():
+            break
+        seen = cut(seen.unionByName(edge))
+    return seen.where("at = goal").select("pair_id", "path")
+
+
 def node_degree(edges: DataFrame) -> DataFrame:
     ends = incident(edges)
     return ends.groupBy("node").agg(F.count("*").alias("degree"), F.avg(severity(F.col("routing"))).alias("severity"), F.max("vacuity").alias("vacuity"))

@@ -27,6 +27,11 @@ def digest(system: str, user: Column) -> Column:
     return F.sha2(F.concat(F.lit(system + "\n\n"), user), 256)
 
 
+def degraded_digest(claim_id: Column) -> Column:
+    """The digest that stands for a question which was never asked."""
+    return F.sha2(F.concat(F.lit("degraded:"), claim_id.cast("string")), 256)
+
+
 def parsed(raw: Column) -> Column:
     """decision, rationale and confidence of an answer that may stand in a fence or between other text; null if invalid."""
     body = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)

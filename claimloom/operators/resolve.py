@@ -84,3 +84,8 @@ def blocked(mentions: DataFrame) -> DataFrame:
     """Entities by first word alone: a set-wise grouping for tenants too large for the fold."""
     key = F.regexp_replace(F.trim(F.regexp_replace(F.lower("surface"), "[^0-9a-z& ]+", " ")), r"\s+", " ")
     return mentions.withColumn("entity_id", F.min("position").over(W.partitionBy("org_id", F.split(key, " ")[0])))
+
+
+def summary(resolved: DataFrame) -> DataFrame:
+    """How many mentions each way of matching resolved."""
+    return resolved.groupBy("method").agg(F.count("*").alias("n"), F.count_distinct("org_id", "entity_id").alias("entities"))

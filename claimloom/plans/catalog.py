@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+__all__ = ["QUERIES", "SQL"]
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +12,10 @@ from claimloom.functions import trust
 from claimloom.operators import entities, evals, feed, graph, routing, spans
 from claimloom.plans import fixtures as X
 from claimloom.plans.fixtures import BUCKETS, CASES, CLAIMS, LOGITS, SNAPSHOTS, TRIALS, table
+from claimloom.plans.registry import QUERIES, SQL, query
 from claimloom.sources import documents as sources
 from claimloom.streaming import feeds
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 ROUTED = "routed AS (SELECT *, CASE WHEN confidence >= 0.8 THEN 'escalate' WHEN confidence >= 0.6 THEN 'flag' ELSE 'auto_file' END AS routing FROM claims)"
 EDGES = """edges AS (SELECT subject_id AS src, object_id AS dst, relation, max(confidence) AS confidence, min(vacuity) AS vacuity,
   max_by(routing, CASE routing WHEN 'escalate' THEN 1.0 WHEN 'flag' THEN 0.5 ELSE 0.0 END) AS routing, count(*) AS weight, list_sort(list(claim_id)) AS claim_ids FROM {src} GROUP BY 1, 2, 3)"""
@@ -33,16 +30,6 @@ mem AS (SELECT 'OWNED_BY' AS relation, a AS node FROM reach WHERE a = b UNION SE
 GRAPH = f"WITH RECURSIVE {CLAIMS}, {ROUTED}, {EDGES.format(src='routed')}, {CYCLES.removeprefix('RECURSIVE ')}"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.routing_by_confidence(X.claims(spark, sf_dir))
 
@@ -156,7 +143,7 @@ def strong_components(spark, sf_dir):
 NODES = """, ends AS (SELECT src AS node, relation, vacuity, CASE routing WHEN 'escalate' THEN 1.0 WHEN 'flag' THEN 0.5 ELSE 0.0 END AS s FROM edges
   UNION ALL SELECT dst, relation, vacuity, CASE routing WHEN 'escalate' THEN 1.0 WHEN 'flag' THEN 0.5 ELSE 0.0 END FROM edges WHERE src <> dst),
 deg AS (SELECT node, count(*) AS degree, CAST(avg(s) AS DOUBLE) AS sev, max(vacuity) AS vac, bool_or(relation = 'SHARES_ADDRESS_WITH') AS shares FROM ends GROUP BY 1),
-risk AS (SELECT node, degree, round((CAST(0.25 AS DOUBLE) * degree / (SELECT max(degree) FROM deg) + CAST(0.40 AS DOUBLE) * CASE WHEN node IN (SELECT node FROM mem) THEN 1.0 ELSE 0.0 END + CAST(0.35 AS DOUBLE) * sev) / CAST(1.0 AS DOUBLE), 4) AS risk FROM deg)"""
+risk AS (SELECT node, degree, CAST(round(CAST((CAST(0.25 AS DOUBLE) * degree / (SELECT max(degree) FROM deg) + CAST(0.40 AS DOUBLE) * CASE WHEN node IN (SELECT node FROM mem) THEN 1.0 ELSE 0.0 END + CAST(0.35 AS DOUBLE) * sev) / CAST(1.0 AS DOUBLE) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS risk FROM deg)"""
 
 
 @query(GRAPH + NODES + " SELECT node, degree, risk FROM risk ORDER BY risk DESC, node LIMIT 20")
@@ -558,7 +545,10 @@ def perturbed_texts(spark, sf_dir):
     """Five variants of each document's first sentence, with the tracked span moved along."""
     from claimloom.operators import fuzz
 
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), "text", F.lit(0).alias("char_start"), F.least(F.length("text"), F.lit(40)).alias("char_end"), F.array().cast("array<string>").alias("names"))
+    first = F.regexp_extract("text", r"(?s)^.*?[.!?](?=\s|$)", 0)
+    first = F.when(F.length(first) > 0, first).otherwise(F.col("text"))
+    names = F.array_distinct(F.regexp_extract_all(first, F.lit(r"\b\p{Lu}\p{Ll}{3,}\b"), F.lit(0)))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), "text", F.lit(0).alias("char_start"), F.length(first).alias("char_end"), names.alias("names"))
     return fuzz.variants(docs).select("claim_id", "perturbation", "variant", "char_start", "char_end", F.sha2("text", 256).alias("text_sha"))
 
 
@@ -569,3 +559,7 @@ def resolved_names(spark, sf_dir):
 
     names = table(spark, sf_dir, "part").select((F.col("p_size") % 10).cast("int").alias("org_id"), F.col("p_partkey").cast("long").alias("position"), F.col("p_name").alias("surface"))
     return resolve.resolved(names).select("org_id", "position", "entity_id", "method")
+
+
+# The queries of the other modules register themselves; they use this one's.
+from claimloom.plans import evaluation, language, requests  # noqa: E402, F401

@@ -100,3 +100,109 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 SNAPSHOTS = """daily AS (SELECT org_id, CAST(created_at AS DATE) AS day, count(*) AS n_cases FROM claims GROUP BY 1, 2),
 snapshots AS (SELECT org_id, day, n_cases, CASE WHEN row_number() OVER (PARTITION BY org_id ORDER BY day) % 2 = 0 THEN 'post' ELSE 'baseline' END AS label,
               CAST(0.5 AS DOUBLE) + CAST(n_cases % 40 AS DOUBLE)/CAST(20 AS DOUBLE) AS temperature FROM daily)"""
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two mentions for each claim, of its subject and of its object."""
+    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("subject_id").alias("entity_id")), F.struct(F.lit(1).alias("side"), F.col("object_id").alias("entity_id")))).alias("m")
+    rows = claims(spark, sf_dir).select("claim_id", "document_id", side)
+    start = F.col("claim_id") * 37 % 4000 + F.col("m.side") * 25
+    return rows.select(
+        (F.col("claim_id") * 2 + F.col("m.side")).alias("mention_id"), "claim_id", "document_id", F.col("m.entity_id").alias("entity_id"),
+        F.concat(F.lit("Entity "), (F.col("m.entity_id") % 50).cast("string")).alias("surface"), start.alias("char_start"), (start + 4 + F.col("claim_id") % 9).alias("char_end"),
+        F.element_at(F.array(F.lit("PERSON"), F.lit("ORG"), F.lit("ORG"), F.lit("ACCOUNT")), (F.col("m.entity_id") % 4 + 1).cast("int")).alias("entity_type"),
+    )
+
+
+KIND = "CASE {0} % 4 WHEN 0 THEN 'PERSON' WHEN 3 THEN 'ACCOUNT' ELSE 'ORG' END"
+MENTIONS = f"""mentions AS (
+  SELECT claim_id*2 + side AS mention_id, claim_id, document_id, entity_id, 'Entity ' || (entity_id % 50) AS surface,
+         claim_id*37 % 4000 + side*25 AS char_start, claim_id*37 % 4000 + side*25 + 4 + claim_id % 9 AS char_end, {KIND.format("entity_id")} AS entity_type
+  FROM (SELECT claim_id, document_id, 0 AS side, subject_id AS entity_id FROM claims UNION ALL SELECT claim_id, document_id, 1, object_id FROM claims))"""
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = claims(spark, sf_dir).select(F.explode(F.array("subject_id", "object_id")).alias("entity_id")).distinct()
+    kind = F.element_at(F.array(F.lit("PERSON"), F.lit("ORG"), F.lit("ORG"), F.lit("ACCOUNT")), (F.col("entity_id") % 4 + 1).cast("int"))
+    return ids.select("entity_id", F.concat(F.lit("Entity "), F.col("entity_id").cast("string")).alias("canonical"), kind.alias("entity_type"))
+
+
+ENTITIES = f"""entities AS (SELECT entity_id, 'Entity ' || entity_id AS canonical, {KIND.format("entity_id")} AS entity_type
+  FROM (SELECT subject_id AS entity_id FROM claims UNION SELECT object_id FROM claims))"""
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("document_id"), "source", "text", F.concat(F.lit("Document_"), F.col("doc_id").cast("string")).alias("title"))
+
+
+TITLED = "titled AS (SELECT doc_id AS document_id, source, text, 'Document_' || doc_id AS title FROM documents)"
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty sentences of each document that claims come from, with gaps between them."""
+    docs = claims(spark, sf_dir).select("document_id").distinct()
+    return docs.select("document_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("sent")).select("document_id", "sent", (F.col("sent") * 120).alias("sent_start"), (F.col("sent") * 120 + 115).alias("sent_end"))
+
+
+SENTENCES = "sentences AS (SELECT document_id, sent, sent*120 AS sent_start, sent*120+115 AS sent_end FROM (SELECT DISTINCT document_id FROM claims), range(40) r(sent))"
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of twelve characters, ten to a sentence, of each document that claims come from."""
+    docs = claims(spark, sf_dir).select("document_id").distinct()
+    rows = docs.select("document_id", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("tok_idx"))
+    return rows.select("document_id", "tok_idx", F.floor(F.col("tok_idx") / 10).cast("int").alias("sent"), (F.col("tok_idx") * 12).alias("tok_start"), (F.col("tok_idx") * 12 + 11).alias("tok_end"))
+
+
+TOKENS = "tokens AS (SELECT document_id, tok_idx, CAST(tok_idx // 10 AS INTEGER) AS sent, tok_idx*12 AS tok_start, tok_idx*12+11 AS tok_end FROM (SELECT DISTINCT document_id FROM claims), range(400) r(tok_idx))"
+
+
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold relations for four claims in five; one in seven has another relation than the claim."""
+    name = F.array(*[F.lit(b) for b in BUCKETS])
+    rows = claims(spark, sf_dir).where("claim_id % 5 < 4")
+    relation = F.when(F.col("claim_id") % 7 == 0, "INVOICED").otherwise(F.col("relation"))
+    return rows.select(F.col("claim_id").alias("position"), "document_id", "subject_id", "object_id", relation.alias("relation"), name[(F.col("claim_id") % 7 % 3).cast("int")].alias("truth"), F.when(F.col("claim_id") % 9 == 0, "noted").alias("note"))
+
+
+GOLD = """gold AS (SELECT claim_id AS position, document_id, subject_id, object_id, CASE WHEN claim_id % 7 = 0 THEN 'INVOICED' ELSE relation END AS relation,
+  CASE claim_id%7%3 WHEN 0 THEN 'auto_file' WHEN 1 THEN 'flag' ELSE 'escalate' END AS truth, CASE WHEN claim_id % 9 = 0 THEN 'noted' END AS note FROM claims WHERE claim_id % 5 < 4)"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of second opinions, one for two claims in three."""
+    rows = claims(spark, sf_dir).where("claim_id % 3 > 0")
+    return rows.select("claim_id", "org_id", (F.col("claim_id") * 13 % 900).cast("int").alias("latency_ms"), (F.col("claim_id") % 13 == 0).alias("degraded"), "created_at")
+
+
+RUNS = "runs AS (SELECT claim_id, org_id, CAST(claim_id*13 % 900 AS INTEGER) AS latency_ms, claim_id % 13 = 0 AS degraded, created_at FROM claims WHERE claim_id % 3 > 0)"
+
+
+def ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three ablations of each claim, each with more masked edges than the one before."""
+    rows = claims(spark, sf_dir).select("claim_id", F.explode(F.sequence(F.lit(0), (F.col("claim_id") % 3).cast("int"))).alias("k"))
+    change = ((F.col("claim_id") * 19 + F.col("k") * 23) % 101 - 50).cast("double") / 200.0
+    return rows.select(
+        (F.col("claim_id") * 3 + F.col("k")).alias("run_id"), "claim_id", F.pow(F.lit(2), F.col("k")).cast("int").alias("edge_count"), F.when(F.col("k") % 2 == 0, "zero").otherwise("uniform").alias("mode"), change.alias("change"),
+        ((F.col("claim_id") + F.col("k")) % 8 == 0).alias("routing_changed"), ((F.col("claim_id") + F.col("k")) % 20 == 0).alias("relation_changed"), (F.abs(change) > 0.10).alias("load_bearing"), F.col("k").alias("created_at"),
+    )
+
+
+ABLATIONS = """ablations AS (SELECT *, abs(change) > 0.10 AS load_bearing FROM (SELECT claim_id*3 + k AS run_id, claim_id, CAST(2**k AS INTEGER) AS edge_count, CASE WHEN k % 2 = 0 THEN 'zero' ELSE 'uniform' END AS mode,
+  CAST((claim_id*19 + k*23) % 101 - 50 AS DOUBLE) / CAST(200 AS DOUBLE) AS change, (claim_id + k) % 8 = 0 AS routing_changed, (claim_id + k) % 20 = 0 AS relation_changed, k AS created_at
+  FROM claims, range(3) r(k) WHERE k <= claim_id % 3))"""
+
+
+def ingest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job for each order, with the progress of some of its stages and the documents it is about."""
+    from claimloom.operators.jobs import STATES
+
+    share = (F.col("o_orderkey") % 101).cast("double") / 100.0
+    progress = F.when(F.col("o_orderkey") % 3 == 0, F.create_map(F.lit("extracting"), share)).otherwise(F.create_map(F.lit("extracting"), F.lit(1.0), F.lit("tagging"), share))
+    ids = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 4).cast("int")), lambda k: (F.col("o_orderkey") * 3 + k * 7) % 200)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 2).cast("int").alias("org_id"), F.element_at(F.array(*[F.lit(s) for s in STATES]), (F.col("o_orderkey") % 8 + 1).cast("int")).alias("state"), progress.alias("progress"), ids.alias("doc_ids"), F.col("o_orderdate").alias("created_at"))
+
+
+JOBS = """jobs AS (SELECT o_orderkey AS job_id, CAST(o_custkey % 2 AS INTEGER) AS org_id, ['queued','extracting','tagging','resolving','relating','routing','done','failed'][o_orderkey % 8 + 1] AS state,
+  CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 101 AS DOUBLE)/CAST(100 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS extracting, CASE WHEN o_orderkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(o_orderkey % 101 AS DOUBLE)/CAST(100 AS DOUBLE) END AS tagging, o_orderdate AS created_at FROM orders)"""

@@ -26,6 +26,13 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
+def sliding(events: DataFrame, width: str = "1 hour", step: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Events by type and window, with a window opening at every step."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if events.isStreaming else timed
+    return timed.groupBy(F.window("ts", width, step).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     timed = timed.withWatermark("ts", late) if events.isStreaming else timed

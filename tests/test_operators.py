@@ -262,3 +262,90 @@ def test_running_sums_and_percentiles_over_many_ranges(spark):
         values = sorted(v for k, v in rows if k == g)
         assert found[g] == values[int(0.95 * (len(values) - 1))]
     assert evals.correlation_test(df.where("g = 0").select("v", F.col("v").alias("w")), "v", "w").first().p_value == 1e-12
+
+
+def test_shortest_paths_stay_in_their_graph(spark):
+    e = spark.createDataFrame([(1, 1, 2), (1, 3, 2), (1, 3, 4), (1, 1, 5), (1, 5, 4), (2, 1, 4), (1, 8, 9)], "key long, src long, dst long")
+    p = spark.createDataFrame([(10, 1, 1, 4), (11, 2, 1, 4), (12, 1, 1, 9), (13, 1, 4, 4)], "pair_id long, key long, start long, goal long")
+    assert {r.pair_id: r.path for r in graph.shortest_paths(e, p).collect()} == {10: [1, 5, 4], 11: [1, 4], 13: [4]}
+
+
+def test_streams_write_each_batch_once_and_carry_state(spark, tmp_path):
+    from claimloom.streaming import sinks
+
+    schema = "user_id long, n long"
+    for k in range(3):
+        spark.createDataFrame([(k, 1), (7, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sinks.into_batches(stream, str(tmp_path / "out"), str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).groupBy("batch").count().count() == 3
+
+    def merge(before, batch):
+        rows = batch if before is None else before.unionByName(batch)
+        return rows.groupBy("user_id").agg(F.sum("n").alias("n"))
+
+    sinks.with_state(stream, str(tmp_path / "state"), str(tmp_path / "c2"), merge).trigger(availableNow=True).start().awaitTermination(60)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "state" / "state=2")).collect()} == {(0, 1), (1, 1), (2, 1), (7, 3)}
+    done = sinks.progress(spark.createDataFrame([(0, 3), (1, 3), (2, 1), (3, 5)], "batch int, n long"), 12)
+    assert [(r.batch, r.done) for r in done.orderBy("batch").collect()] == [(1, 6), (3, 12)]
+
+
+def test_decoding_equals_brute_force(spark):
+    import itertools
+
+    import numpy as np
+
+    from claimloom.operators import extraction
+
+    rng = np.random.default_rng(3)
+    steps, first, last, scores = rng.normal(size=(3, 3)), rng.normal(size=3), rng.normal(size=3), rng.normal(size=(5, 3))
+    rows = [(1, 0, k, [float(x) for x in scores[k]]) for k in range(5)]
+    found = extraction.viterbi(spark.createDataFrame(rows, "doc_id long, sent long, tok_idx long, scores array<double>"), steps, first, last).orderBy("tok_idx").collect()
+    weight = {p: first[p[0]] + last[p[-1]] + sum(scores[k, t] for k, t in enumerate(p)) + sum(steps[a, b] for a, b in itertools.pairwise(p)) for p in itertools.product(range(3), repeat=5)}
+    best, total = max(weight, key=weight.get), sum(np.exp(w) for w in weight.values())
+    assert tuple(r.tag for r in found) == best
+    for k, r in enumerate(found):
+        assert r.marginal == pytest.approx(sum(np.exp(w) for p, w in weight.items() if p[k] == best[k]) / total, abs=1e-8)
+
+
+def test_tags_and_gazetteer_spans(spark):
+    from claimloom.operators import extraction
+
+    s = spark.createDataFrame([(1, 0, 0, 2, "ORG"), (1, 0, 1, 4, "PERSON"), (1, 0, 5, 6, "DATE"), (1, 0, 3, 3, "ORG")], "doc_id long, sent long, start long, end long, kind string")
+    assert {r.tok_idx: r.tag for r in extraction.tags_of(s).collect()} == {1: "B-PERSON", 2: "I-PERSON", 3: "I-PERSON", 5: "B-DATE"}
+    words = spark.createDataFrame([(1, "Acme Steel Co. paid Acme Steel , today".split()), (2, None)], "key int, words array<string>")
+    found = {r.key: [tuple(x) for x in r.spans] for r in extraction.greedy_spans(words, {"Acme Steel": "ORG", "Acme Steel Co": "ORG"}).collect()}
+    assert found == {1: [(0, 3, "ORG"), (4, 6, "ORG")], 2: []}
+    assert spark.range(1).select(extraction.utf16_offset(F.lit("a😀b"), F.lit(2)).alias("at")).first().at == 3
+
+
+def test_intents_and_transcripts(spark):
+    from claimloom.operators import answers
+
+    say = {"count": ["how many claims are there", "count the claims", "number of claims"], "worst": ["what is the worst one", "show the worst claim", "which is the most severe"]}
+    model = answers.fitted_intents(spark.createDataFrame([(t, k) for k, texts in say.items() for t in texts], "text string, intent string"))
+    found = {r.text: r.intent for r in answers.intents(model, spark.createDataFrame([("how many claims",), ("the worst",), ("zebra",)], "text string")).collect()}
+    assert found["how many claims"] == "count" and found["the worst"] == "worst" and found["zebra"] == "unknown"
+
+
+def test_recalibration_without_negatives_moves_nothing(spark):
+    z = spark.createDataFrame([([4.0, 0.0, 0.0, 0.0, 0.0, 0.0], 0), ([0.0, 3.0, 0.0, 0.0, 0.0, 0.0], 2)], "z array<double>, target int")
+    same = evals.recalibrated(z, z.limit(0), 1.5).collect()
+    assert tuple(same[0])[1:] == tuple(same[1])[1:] and same[0].temperature == 1.5
+    assert evals.recalibrated(z, z, 1.0).collect()[1].temperature > 1
+
+
+def test_stored_tables_can_be_written_again(spark):
+    from claimloom.operators import jobs
+
+    snaps = spark.createDataFrame([(1, "k", True), (2, None, True)], "org_id int, key string, is_current boolean")
+    new = spark.createDataFrame([(1, "m", True)], snaps.schema)
+    assert {tuple(r) for r in jobs.with_snapshot(snaps, new).collect()} == {(1, "k", False), (1, "m", True), (2, None, True)}
+    with pytest.raises(ValueError):
+        jobs.with_snapshot(snaps, spark.createDataFrame([(1, "k", True)], snaps.schema))
+
+
+def test_url_filters_drop_junk():
+    from claimloom.operators import views
+
+    assert views.url_filters({"min_confidence": "1.7", "max_confidence": "x", "min_vacuity": "nan", "relations": "A,,B", "junk": "1", "routing": ""}) == {"min_confidence": 1.0, "relations": ["A", "B"]}

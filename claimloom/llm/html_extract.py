@@ -20,6 +20,7 @@ other; further columns of the input are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -61,25 +62,33 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags met in it, the chain of regions and the doubtful elements around it."""
+    """Lines of a page: text, tags met in it, the innermost region and the innermost doubtful element around it.
+
+    Regions and doubtful elements are numbered as they open, so each is greater than what it
+    is in, and what is in it has the numbers up to its last one. Counts of open elements by
+    tag spare a search for one that is not open, so a page takes time in proportion to its length.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []
+        self.count: Counter[str] = Counter()
         self.off = 0
-        self.doubts: list[int] = []
+        self.doubts: list[int] = [0]
+        self.doubt_in: list[int] = [0]
         self.wholes: set[int] = set()
         self.regions: list[int] = [0]
-        self.made = 0
+        self.region_in: list[int] = [0]
+        self.region_last: dict[int, int] = {}
         self.parts: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
 
     def _cut(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, tuple(self.regions), tuple(self.doubts)))
+                self.lines.append((text, self.tags, self.regions[-1], self.doubts[-1]))
             self.parts = []
         self.tags = 0
 
@@ -88,7 +97,7 @@ class _Lines(HTMLParser):
         if tag in FURNITURE:
             return 1
         if tag == "header":
-            return not any(t in ("article", "main") for t, _, _ in self.open)
+            return not (self.count["article"] or self.count["main"])
         if tag in ("html", "body"):
             return 0
         marks = frozenset(["comment"]) if tag in ("article", "main") else MARKS
@@ -108,15 +117,18 @@ class _Lines(HTMLParser):
 
     def _pop(self) -> str:
         name, off, doubt = self.open.pop()
+        self.count[name] -= 1
         self.off -= off
         if doubt:
             self.doubts.pop()
         if name in REGIONS:
-            self.regions.pop()
+            self.region_last[self.regions.pop()] = len(self.region_in) - 1
         return name
 
     def _ends(self, tags: frozenset[str], around: frozenset[str]) -> None:
         """Close the innermost open element of ``tags`` that is not outside one of ``around``."""
+        if not any(self.count[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in tags:
                 while len(self.open) > k:
@@ -133,7 +145,7 @@ class _Lines(HTMLParser):
             self._ends(ITEMS[tag], AROUND_ITEM)
         if tag in ENDS_P:
             self._ends(frozenset(["p"]), AROUND_P)
-        if tag in PARTS:
+        if tag in PARTS and any(self.count[t] for t in PARTS[tag]):
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] in PARTS[tag]:
                     while len(self.open) > k + 1:
@@ -153,16 +165,18 @@ class _Lines(HTMLParser):
         found = self._furniture(tag, attrs)
         off, doubt = found == 1, 0
         if found == 0.5:
-            self.made += 1
-            doubt = self.made
+            doubt = len(self.doubt_in)
+            self.doubt_in.append(self.doubts[-1])
             self.doubts.append(doubt)
         self.off += off
         self.open.append((tag, off, doubt))
+        self.count[tag] += 1
         if tag in REGIONS:
-            self.made += 1
-            self.regions.append(self.made)
+            region = len(self.region_in)
+            self.region_in.append(self.regions[-1])
+            self.regions.append(region)
             if tag in ("article", "main"):
-                self.wholes.add(self.made)
+                self.wholes.add(region)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -220,17 +234,29 @@ def main_text(html: str | None) -> str:
     lengths = np.array([len(text) for text, *_ in lines], float)
     ratio = lengths / np.maximum(1, [tags for _, tags, *_ in lines])
     content = dense(smoothed(ratio))
-    weight: dict[int, float] = {}
-    for mark, size, (*_, doubts) in zip(content, lengths, lines, strict=True):
-        for doubt in doubts:
-            weight[doubt] = weight.get(doubt, 0.0) + (size if mark else -size)
-    kept = [(text, mark, around) for mark, (text, _, around, doubts) in zip(content, lines, strict=True) if all(weight[d] >= 0 for d in doubts)]
-    chains = [around for _, mark, around in kept if mark] or [around for *_, around in kept]
-    if not chains:
+    # Text that is dense, less text that is not, in each doubtful element.
+    weight = [0.0] * len(page.doubt_in)
+    for mark, size, (*_, doubt) in zip(content, lengths, lines, strict=True):
+        weight[doubt] += size if mark else -size
+    for doubt in range(len(weight) - 1, 0, -1):
+        weight[page.doubt_in[doubt]] += weight[doubt]
+    stays = [True] * len(weight)
+    for doubt in range(1, len(weight)):
+        stays[doubt] = stays[page.doubt_in[doubt]] and weight[doubt] >= 0
+    kept = [(text, mark, region) for mark, (text, _, region, doubt) in zip(content, lines, strict=True) if stays[doubt]]
+    marked = [region for _, mark, region in kept if mark] or [region for *_, region in kept]
+    if not marked:
         return ""
-    common = [level[0] for level in zip(*chains, strict=False) if len(set(level)) == 1]
+    # Regions that hold all of the marked lines; the greatest number is the innermost.
+    held = [0] * len(page.region_in)
+    for region in marked:
+        held[region] += 1
+    for region in range(len(held) - 1, 0, -1):
+        held[page.region_in[region]] += held[region]
+    common = [region for region, n in enumerate(held) if n == len(marked)]
     best = next((r for r in reversed(common) if r in page.wholes), common[-1])
-    return " ".join(text for text, _, around in kept if best in around)
+    last = page.region_last.get(best, len(held) - 1)
+    return " ".join(text for text, _, region in kept if best <= region <= last)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """License scan by a positional index of words weighted by rarity.
 
-Templates are short runs of words with a mandatory key phrase. The index holds,
+Templates are usual notices and the operative words of licences, with mandatory key phrases. The index holds,
 for every template word, its templates, its offset there and its IDF from the
 collection's own document frequencies, so common words weigh little but are not left
 out. The key phrases that stand in a file propose its templates, as none counts
@@ -43,6 +43,67 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted",)),
     ("mpl", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("proprietary", "copyright all rights reserved", ("all rights reserved",)),
+    # The operative words of public licences, and the notices that their texts ask for, in their own order.
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        ("permission is hereby granted",),
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above "
+        "copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution",
+        ("redistribution and use",),
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        ("permission to use copy modify",),
+    ),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        ("apache license", "in compliance with the license"),
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license "
+        "or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        ("gnu general public license", "any later version"),
+    ),
+    (
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license "
+        "or at your option any later version",
+        ("lesser general public license",),
+    ),
+    (
+        "mpl",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+        ("mozilla public license",),
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means",
+        ("free and unencumbered software",),
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone "
+        "to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        ("permission is granted to anyone to use this software",),
+    ),
+    (
+        "bsl",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display "
+        "distribute execute and transmit the software and to prepare derivative works of the software",
+        ("boost software license",),
+    ),
 )
 #: Share of a template's weight that must agree on one position.
 COVERAGE = 0.6

@@ -14,9 +14,8 @@ place. The plan of sources is broadcast where its counted rows are few.
 
 Defined results: a null text has size 0; sources are ordered by code point with
 null last; rows of size 0 get ``taken`` 0; repeated rows share a place in the
-shuffle and are laid one after the other; an empty table gives an empty result;
-further columns of the input pass through untouched unless they bear the name of
-a result column, in which case the result's wins.
+shuffle and are laid one after the other, and so do rows without doc_id; an empty table
+gives an empty result; columns other than doc_id, source and text are not read.
 """
 
 from __future__ import annotations
@@ -45,7 +44,7 @@ def word_count(text: Column) -> Column:
 
 def _before(value: str, order: list[Column], *group: str) -> Column:
     """The sum of ``value`` over the rows before this one."""
-    w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*(group or [F.lit(0)])).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long")
 
 
@@ -81,9 +80,9 @@ def _blocks(size: Column, block: int) -> Column:
 
 
 def schedule(plan: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """Slots of the mix: place of the source, rank among its slots, block and words taken from the block's start.
+    """Slots of the mix: place of the source, slot, rank among the source's slots, block and words taken from the block's start.
 
-    ``plan`` is a written table with place, source_size and words (its target as a
+    Closing slots are numbered after the drawn ones, source by source. ``plan`` is a written table with place, source_size and words (its target as a
     whole number). Points are exact: 18-digit decimals, not floating point.
     """
     plan = plan.where("words > 0")
@@ -108,16 +107,15 @@ def schedule(plan: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     counts = drawn.groupBy("place", "chunk").agg(F.count("*").alias("n"))
     offsets = counts.select("place", "chunk", _before("n", [F.col("chunk")], "place").alias("base"))
     local = F.row_number().over(W.partitionBy("place", "chunk").orderBy("slot")) - 1
-    ranked = drawn.withColumn("local", local).join(offsets, ["place", "chunk"]).select("place", (F.col("base") + F.col("local")).cast("long").alias("rank"))
+    ranked = drawn.withColumn("local", local).join(offsets, ["place", "chunk"]).select("place", "slot", (F.col("base") + F.col("local")).cast("long").alias("rank"))
     had = counts.groupBy("place").agg(F.sum("n").cast("long").alias("had"))
     per_pass = _blocks(F.col("source_size"), block)
     need = F.floor(F.col("words") / F.col("source_size")) * per_pass + _blocks(F.col("words") % F.col("source_size"), block)
-    closing = (
-        plan.join(had, "place", "left")
-        .select("place", F.coalesce("had", F.lit(0)).cast("long").alias("had"), need.cast("long").alias("need"))
-        .where("had < need")
-        .select("place", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank"))
-    )
+    short = plan.join(had, "place", "left").select("place", F.coalesce("had", F.lit(0)).cast("long").alias("had"), need.cast("long").alias("need")).where("had < need")
+    short = short.withColumn("short", F.col("need") - F.col("had"))
+    after = short.select("place", "had", "need", _before("short", [F.col("place")]).alias("before")).join(F.broadcast(total.select(slots.cast("long").alias("slots"))))
+    closing = after.select("place", "had", "slots", "before", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank"))
+    closing = closing.select("place", (F.col("slots") + F.col("before") + F.col("rank") - F.col("had")).cast("long").alias("slot"), "rank")
     first = F.floor(F.col("rank") / per_pass) * F.col("source_size") + F.col("rank") % per_pass * block
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block, F.col("words") - F.col("first"))
     return (
@@ -125,16 +123,18 @@ def schedule(plan: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
         .join(small(plan.select("place", "source_size", "words")), "place")
         .withColumns({"first": first.cast("long"), "block": (F.col("rank") % per_pass).cast("long")})
         .where("first < words")
-        .select("place", "rank", "block", length.cast("long").alias("n"), (length == F.least(F.lit(block), F.col("source_size") - F.col("block") * block)).alias("whole"))
+        .select("place", "slot", "rank", "block", length.cast("long").alias("n"), (length == F.least(F.lit(block), F.col("source_size") - F.col("block") * block)).alias("whole"))
     )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, block: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` (doc_id, source, text) with size, source_size, target and taken.
+    """``docs`` (doc_id, source, text) with size, source_size, target, taken, first_slot and last_slot.
 
     The shuffle order inside a source is the MD5 of doc_id, so reruns agree on any
     number of executors. ``taken`` is the words of the document that the mix takes,
-    repeats counted.
+    repeats counted; the slots are the first and the last of the schedule that take any of
+    them (null if none), so a consumer that reads by slot meets the sources in their shares from
+    the start.
     """
     folder = shared_folder(docs.sparkSession)
     turn = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -149,7 +149,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PA
     # Repeated rows get numbers of their own, so that each is counted once.
     lined = placed.withColumns({"inner": inner, "copy": F.row_number().over(W.partitionBy("place", "shard").orderBy("turn", "doc_id", "size"))})
     lined = lined.join(base, ["place", "shard"]).withColumn("start", F.col("base") + F.col("inner"))
-    taken = schedule(plan, block).groupBy("place", "block").agg(F.sum(F.when(F.col("whole"), 1).otherwise(0)).alias("passes"), F.max(F.when(~F.col("whole"), F.col("n"))).alias("part"))
+    taken = schedule(plan, block).groupBy("place", "block").agg(
+        F.sum(F.when(F.col("whole"), 1).otherwise(0)).alias("passes"),
+        F.max(F.when(~F.col("whole"), F.col("n"))).alias("part"),
+        F.min(F.when(F.col("whole"), F.col("slot"))).alias("whole_first"),
+        F.max(F.when(F.col("whole"), F.col("slot"))).alias("whole_last"),
+        F.max(F.when(~F.col("whole"), F.col("slot"))).alias("part_slot"),
+    )
     low, high = F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.greatest(F.col("size"), F.lit(1)) - 1) / block).cast("long")
     pieces = lined.withColumn("block", F.explode(F.sequence(low, high)))
     at = F.col("block") * block
@@ -158,10 +164,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PA
         return F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), at + length) - F.greatest(F.col("start"), at))
 
     got = overlap(F.lit(block)) * F.coalesce("passes", F.lit(0)) + overlap(F.coalesce("part", F.lit(0)))
+    part_slot = F.when(overlap(F.coalesce("part", F.lit(0))) > 0, F.col("part_slot"))
+    some = overlap(F.lit(block)) > 0
+    slots = F.when(some, F.least("whole_first", part_slot)), F.when(some, F.greatest("whole_last", part_slot))
     keys = ["doc_id", "source", "size", "source_size", "target"]
     return (
         pieces.join(taken, ["place", "block"], "left")
         .groupBy("place", "shard", "copy", *keys)
-        .agg(F.sum(got).cast("long").alias("taken"))
-        .select(*keys, "taken")
+        .agg(F.sum(got).cast("long").alias("taken"), F.min(slots[0]).alias("first_slot"), F.max(slots[1]).alias("last_slot"))
+        .select(*keys, "taken", "first_slot", "last_slot")
     )

@@ -28,7 +28,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,14 +83,32 @@ f AS (SELECT *, 3 * source_size AS cap, CAST(3 * source_size AS DOUBLE) / weight
 l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY fill, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
            / CAST(sum(weight) OVER (ORDER BY fill, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM f),
 m AS (SELECT min_by(level, (fill, place)) AS water FROM l WHERE level <= fill),
-t AS (SELECT source, source_size, CASE WHEN water IS NULL OR fill <= water THEN CAST(cap AS DOUBLE) ELSE water * weight END AS target FROM l, m),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+t AS (SELECT source, place, source_size, CASE WHEN water IS NULL OR fill <= water THEN CAST(cap AS DOUBLE) ELSE water * weight END AS target FROM l, m),
+p AS (SELECT row_number() OVER () AS line, d.doc_id, d.size, t.place, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words,
+             CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+,
+q AS (SELECT place, source_size, CAST(round(target) AS BIGINT) AS words, (source_size + 1023) // 1024 AS per_pass,
+             (round(target)::BIGINT // source_size) * ((source_size + 1023) // 1024) + (round(target)::BIGINT % source_size + 1023) // 1024 AS need
+      FROM t WHERE round(target) > 0),
+a AS (SELECT CAST(sum(words) AS BIGINT) AS total, CAST((sum(words) + 1023) // 1024 AS BIGINT) AS slots FROM q),
+pt AS (SELECT slot, CAST((CAST(slot AS HUGEINT) * 618033988749894848) % 1000000000000000000 AS DOUBLE) / CAST(1e18 AS DOUBLE) AS spot FROM (SELECT unnest(range(0, slots)) AS slot FROM a)),
+sh AS (SELECT place, lag(high, 1, CAST(0 AS DOUBLE)) OVER (ORDER BY place) AS low, high
+       FROM (SELECT place, CAST(sum(words) OVER (ORDER BY place) AS DOUBLE) / CAST(total AS DOUBLE) AS high FROM q, a)),
+dr AS (SELECT sh.place, slot, row_number() OVER (PARTITION BY sh.place ORDER BY slot) - 1 AS rank FROM pt JOIN sh ON spot >= low AND spot < high),
+ha AS (SELECT q.place, q.need, coalesce(h.had, 0) AS had FROM q LEFT JOIN (SELECT place, count(*) AS had FROM dr GROUP BY 1) h USING (place)),
+cl AS (SELECT place, slots + before + k AS slot, had + k AS rank
+       FROM (SELECT place, had, coalesce(sum(need - had) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, unnest(range(0, CAST(need - had AS BIGINT))) AS k FROM ha WHERE had < need), a),
+al AS (SELECT place, slot, rank FROM dr UNION ALL SELECT place, slot, rank FROM cl),
+sl AS (SELECT place, slot, rank % per_pass AS block, least(1024, source_size - rank % per_pass * 1024, words - (rank // per_pass * source_size + rank % per_pass * 1024)) AS n
+       FROM al JOIN q USING (place) WHERE rank // per_pass * source_size + rank % per_pass * 1024 < words),
+bl AS (SELECT line, place, size, start, unnest(range(start // 1024, (start + size - 1) // 1024 + 1)) AS block FROM p WHERE size > 0),
+ls AS (SELECT line, CAST(min(slot) AS BIGINT) AS first_slot, CAST(max(slot) AS BIGINT) AS last_slot FROM bl JOIN sl USING (place, block)
+       WHERE least(start + size, block * 1024 + n) > greatest(start, block * 1024) GROUP BY 1)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, first_slot, last_slot,
        CAST(CASE WHEN source_size = 0 THEN 0
             ELSE (words // source_size) * size + greatest(0, least(size, words % source_size - start)) END AS BIGINT) AS taken
-FROM p
+FROM p LEFT JOIN ls USING (line)
 """
 
 

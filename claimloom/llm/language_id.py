@@ -5,8 +5,9 @@ widths, rectified, max-pooled over the window and classified by a softmax. A
 document's windows cover its whole text; its prediction is the mean of their
 probabilities, weighted by the bytes in each window.
 
-Training takes windows of a bounded sample of labelled documents (``SAMPLE``, in the
-order of a hash of doc_id); prediction reads texts only.
+Training takes ``WINDOWS`` windows of each of a bounded sample of labelled documents
+(``SAMPLE``, in the order of a hash of doc_id), at even steps through the whole text and cut in
+the tasks; prediction reads texts only.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is
 every text when no labelled document is at hand; repeated rows get one row each; an
@@ -141,26 +142,36 @@ def _lettered(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``WINDOWS`` windows of each text, at even steps through all of it."""
+    for batch in batches:
+        for part in slices(batch):
+            offsets, raw = offsets_of(part.column("text"))
+            ids, row, _ = windows(raw, offsets)
+            counts = np.bincount(row, minlength=part.num_rows)
+            take = np.minimum(counts, WINDOWS)
+            of, nth = np.repeat(np.arange(len(take)), take), ranges(np.zeros(len(take), np.int64), take)
+            at = (np.cumsum(counts) - counts)[of] + nth * counts[of] // np.maximum(1, take[of])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * LENGTH), pa.array(ids[at].ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), part.column("lang").take(pa.array(of)), pa.array(nth), flat], names=["doc_id", "lang", "nth", "window"])
+
+
 def train(docs: DataFrame, allowed: Column) -> Network | None:
     """A network from the texts and languages of rows where ``allowed`` holds."""
     turn = F.xxhash64(F.col("doc_id"))
-    usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
     chosen = usable.select("doc_id", "lang").orderBy(turn, "doc_id", "lang").limit(SAMPLE)
-    rows = usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", F.substring("text", 1, LENGTH * WINDOWS * 4).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    column = rows.column("text").combine_chunks()
-    if not len(column):
+    texts = usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = texts.mapInArrow(_drawn, f"doc_id {kind}, lang string, nth long, window array<smallint>").toArrow()
+    if not len(rows):
         return None
+    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("nth", "ascending")])
+    ids = rows.column("window").combine_chunks().flatten().to_numpy().reshape(-1, LENGTH)
     langs = sorted(set(rows.column("lang").to_pylist()))
-    offsets, raw = offsets_of(column)
-    ids, row, size = windows(raw, offsets)
-    nth = ranges(np.zeros(len(offsets) - 1, np.int64), -(-np.diff(offsets) // LENGTH))
-    use = nth < WINDOWS
-    if not use.any():
-        return None
     number = {x: i for i, x in enumerate(langs)}
-    target = np.array([number[x] for x in rows.column("lang").to_pylist()])[row]
     network = Network(langs)
-    network.fit(ids[use], target[use])
+    network.fit(ids, np.array([number[x] for x in rows.column("lang").to_pylist()]))
     return network
 
 

@@ -2,7 +2,10 @@
 
 Trusted positives and unlabelled web text train a small network by the non-negative
 unbiased risk ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))`` with an estimated class
-prior ``pi``. Features are shares and rates of a whole text (repetition, case,
+prior ``pi``. The prior comes from the unlabelled texts: a first network tells positives from
+unlabelled texts, and on held-out halves of both the share of unlabelled texts above a score,
+over the share of positives above it, bounds the prior from above wherever the cut lies; the least of
+these bounds, with a margin for chance, is the estimate. Labels 0 are never read. Features are shares and rates of a whole text (repetition, case,
 symbols, word and line shapes), worked out for many texts at once from their bytes.
 
 Fitting sees a bounded sample, ``POSITIVES`` and ``UNLABELLED`` documents in the
@@ -10,9 +13,10 @@ order of a hash of doc_id; scoring covers every text. The driver holds the sampl
 features only.
 
 Defined results: a null text is scored as an empty one; without a positive every
-score is the prior's default 0.5; repeated rows get one row each; several labels of a
-document count as their largest; an empty table gives an empty result; other input
-columns, whatever their names, are not read.
+score is 0.5; repeated rows get one row each; a document that any label calls good is a
+positive; an empty table gives an empty result; other input columns are not read: ``score``
+passes them on, but for one that is named score, whose place the result takes, and
+``accepted`` passes on all of them as they are.
 """
 
 from __future__ import annotations
@@ -109,8 +113,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margin(x)[2], -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Model:
-    """Minimise the non-negative risk with the logistic loss by Adam on mini-batches."""
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 1.0) -> float:
+    """The least ratio of the shares of both above a score, in which chance is allowed for on either side.
+
+    ``positive`` and ``unlabelled`` are scores of a classifier that told the two apart on other texts.
+    """
+    cuts = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), cuts, "left") / len(unlabelled)
+    chance = margin * (np.sqrt(np.log(40) / (2 * len(positive))) + np.sqrt(np.log(40) / (2 * len(unlabelled))))
+    best = int(np.argmin((u + chance) / p))
+    return float(np.clip(u[best] / p[best], 0.02, 0.95))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 7) -> Model:
+    """Minimise the non-negative risk with the logistic loss by Adam on mini-batches; without a prior, tell both apart."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
     d = both.shape[1]
@@ -131,8 +148,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
             xp, xu = positive[rng.integers(0, len(positive), BATCH)], unlabelled[u]
             up, uu = model.score(xp), model.score(xu)
             # Logistic losses: -log s for the positive sign, -log(1 - s) for the negative.
-            negative = -np.log1p(-np.minimum(uu, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(up, 1 - 1e-9)).mean()
-            if negative >= 0:
+            negative = 0.0 if prior is None else -np.log1p(-np.minimum(uu, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(up, 1 - 1e-9)).mean()
+            if prior is None:
+                gp, gu = (up - 1) / len(xp), uu / len(xu)
+            elif negative >= 0:
                 gp = prior * ((up - 1) - up) / len(xp)
                 gu = uu / len(xu)
             else:  # ascend on the negative part alone until it is a risk again
@@ -171,16 +190,17 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model | None:
     """A model from the labels of rows where ``allowed`` (an expression of doc_id) holds."""
     turn = F.xxhash64(F.col("doc_id"))
-    known = labels.where(allowed & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality is not null")
-    counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    if not counts.get(1):
-        return None
-    trusted = known.where("quality = 1").select("doc_id").orderBy(turn, "doc_id").limit(POSITIVES)
+    trusted = labels.where(allowed & F.col("doc_id").isNotNull() & (F.col("quality") == 1)).select("doc_id").distinct()
+    trusted = trusted.orderBy(turn, "doc_id").limit(POSITIVES)
     others = docs.where(allowed & F.col("doc_id").isNotNull()).select("doc_id").orderBy(turn, "doc_id").limit(UNLABELLED)
     positive, unlabelled = _sampled(docs, trusted), _sampled(docs, others)
     if not len(positive) or not len(unlabelled):
         return None
-    return fit(positive, unlabelled, min(0.95, counts[1] / sum(counts.values())))
+    a, b = (x[np.random.default_rng(3).permutation(len(x))] for x in (positive, unlabelled))
+    if min(len(a), len(b)) < 4:
+        return fit(positive, unlabelled, 0.5)
+    apart = fit(a[::2], b[::2], None)
+    return fit(positive, unlabelled, estimated_prior(apart.score(a[1::2]), apart.score(b[1::2])))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -195,3 +215,14 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "score")
     return docs.mapInArrow(scored, f"{fields}, score double")
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` that score ``least`` or more, with all columns as they are."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(model.score(features(part.column("text"))) >= least)) if model else part
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -23,8 +23,9 @@ one row at a time of any group.
 
 Defined results: a null or empty text has no words; a text shorter than a window loses
 nothing; a row that is repeated whole gets the same result each time, since it is the
-same document; an empty table gives an empty result; other columns are not read.
-doc_id is an integer, not null, and rises from batch to batch.
+same document; a row without doc_id has no place in the order, so it loses nothing and takes nothing
+from others (``dedup``; an index takes rows with an id only); an empty table gives an empty
+result; other columns are not read. doc_id is an integer and rises from batch to batch.
 """
 
 from __future__ import annotations
@@ -253,12 +254,15 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Feed ``docs`` to a fresh index in ``batches`` ranges of doc_id, in rising order."""
     index = Index(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high, without = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    alone = docs.where("doc_id IS NULL").mapInArrow(_squeezed, "doc_id long, packed binary").withColumn("places", F.lit(None).cast("array<long>"))
+    alone = alone.mapInArrow(lambda it: _kept(it, index.window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    docs = docs.where("doc_id IS NOT NULL") if without else docs
     if low is None:
-        return index.add(docs)
+        return alone if without else index.add(docs)
     cuts = [low + (high - low + 1) * k // batches for k in range(batches + 1)]
     out = None
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         result = index.add(docs.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)), docs.where(F.col("doc_id") < a))
         out = result if out is None else out.unionByName(result)
-    return out
+    return out.unionByName(alone) if without else out

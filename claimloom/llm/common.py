@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from claimloom.sources.durable import shared_folder, written
+
+__all__ = ["free_name", "offsets_of", "shared_folder", "slices", "small", "table", "written"]
+
 #: Bytes of text that one vectorised step holds at a time; bounds a task's memory.
 SLICE_BYTES = 1 << 20
 
@@ -19,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Where the session names none (tests, a notebook), a local one is made, once.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` to ``folder`` and read it again: cuts the lineage, survives lost executors."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has about ``limit`` bytes of text (one row at least)."""
     if not batch.num_rows:
@@ -73,3 +53,11 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with marks added one that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

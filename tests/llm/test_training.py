@@ -86,16 +86,37 @@ def test_substring_index_compacts_and_takes_repeated_rows(spark, docs, none, row
     assert len(twice) == 2 and twice[0] == twice[1] and twice[0].n_removed == 0
 
 
-def brute_components(rows):
+def test_substring_dedup_takes_rows_without_ids(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, text), (None, None), (1, text), (2, text)]
+    found = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()))
+    assert found == [(False, 1, 30, 0), (False, 2, 30, 30), (True, 0, 0, 0), (True, 0, 30, 0)]
+    assert substring_dedup.dedup(spark.createDataFrame(rows[:2], "doc_id long, text string")).count() == 2
+
+
+def test_held_out_languages_and_quality(spark):
+    """What the registered queries predict for the rows that they did not learn from."""
+    from claimloom.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    found = queries.op2_language_id(spark, folder).where("held_out").join(docs.where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'").collect()
+    assert len(found) > 100 and np.mean([r.lang == r.lang_pred for r in found]) > 0.97
+    found = queries.op6_quality(spark, folder).where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r.predicted for r in found if r.quality == q] for q in (1, 0))
+    assert np.mean(good) > 0.97 and np.mean(bad) < 0.15
+
+
+def brute_components(rows, width=3, percent=90):
     sets = {}
     for i, t, *_ in rows:
         w = re.findall(SPACE, lower(t or ""))
-        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
     top = {i: i for i in sets}
     for i in sets:
         for j in sets:
-            both = len(sets[i] & sets[j])
-            if i < j and both and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+            both = len(sets[i] & sets[j]) if i < j else 0
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((top[i], top[j]))
                 top = {k: a if v == b else v for k, v in top.items()}
     return {i: (len(sets[i]), top[i]) for i in sets}
@@ -108,10 +129,30 @@ def test_jaccard_join(docs, rows):
     assert max(collections.Counter(c for _, c in want.values()).values()) > 3
 
 
-def test_jaccard_blocks_lose_no_link(docs, rows, monkeypatch):
-    monkeypatch.setattr(setjoin, "BLOCK", 2)
-    monkeypatch.setattr(setjoin, "FIRST_LISTS", 1)
-    assert {i: (r.n_shingles, r.component_id) for i, r in by_id(setjoin.join(docs)).items()} == brute_components(rows)
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_blocks_lose_no_link(spark, docs, rows, monkeypatch, width, percent):
+    """Lists of many blocks, more leaders than are asked, a hot shingle, and a star whose arms link with its centre alone."""
+    for name, value in {"BLOCK": 4, "FIRST_LISTS": 1, "LEADERS": 2, "HOT": 8, "TOGETHER": 3, "DECODED": 100}.items():
+        monkeypatch.setattr(setjoin, name, value)
+    rng = random.Random(6)
+    centre = [f"c{k}" for k in range(120)]
+    star = [" ".join(centre)]
+    for _ in range(40):
+        w = list(centre)
+        for k in rng.sample(range(120), rng.randrange(1, 6)):
+            w[k] = f"x{rng.randrange(10**6)}"
+        star.append(" ".join(w))
+    shared = [" ".join(["very common words of all"] * 3 + [f"own{rng.randrange(9)}" for _ in range(rng.randrange(1, 4))]) for _ in range(30)]
+    more = [(100 + k, t) for k, t in enumerate(star + shared)] + [(r[0], r[1]) for r in rows]
+    found = {i: (r.n_shingles, r.component_id) for i, r in by_id(setjoin.join(spark.createDataFrame(more, "doc_id long, text string"), width, percent)).items()}
+    assert found == brute_components(more, width, percent)
+
+
+def test_jaccard_takes_null_ids_and_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text), (None, None), (7, text), (7, text), (9, text + " w1 w2"), (9, "another text of its own"), (11, "another text of its own")]
+    found = collections.Counter(tuple(r) for r in setjoin.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == {(None, 38, None): 1, (None, 0, None): 1, (7, 38, 7): 2, (9, 40, 7): 1, (9, 3, 7): 1, (11, 3, 7): 1}
 
 
 def test_mixing(docs, rows):
@@ -138,6 +179,29 @@ def test_mixing(docs, rows):
         assert (r.size, r.source_size) == (size[i], total[of[i]]) and r.target == pytest.approx(target[of[i]]) and r.taken <= 3 * r.size
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mixing_equals_its_sql(spark, sf):
+    """The SQL draws the same points, so the slots of every document are the method's."""
+    import duckdb
+
+    from claimloom.llm import queries
+
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '/root/testdata/{sf}/documents.parquet'")
+    columns = ["doc_id", "size", "source_size", "taken", "first_slot", "last_slot"]
+    want = sorted(duck.sql(f"select {', '.join(columns)} from ({queries.OP3_SQL})").fetchall())
+    assert sorted(tuple(r) for r in queries.op3_mix_sources(spark, f"/root/testdata/{sf}").select(*columns).collect()) == want
+    assert sum(r[4] is not None for r in want) > 0.5 * len(want)
+
+
+def test_the_first_slots_hold_the_sources_in_their_shares(spark):
+    plan = spark.createDataFrame([("a", 0, 100_000, 50_000.0, 50_000), ("b", 1, 100_000, 30_000.0, 30_000), (None, 2, 7_000, 20_000.0, 20_000)], "source string, place int, source_size long, target double, words long")
+    slots = mixing.schedule(plan, block=100).collect()
+    for upto in (50, 200, 900):
+        n = collections.Counter(r.place for r in slots if r.slot < upto)
+        assert [abs(n[k] - upto * share) <= 3 for k, share in enumerate((0.5, 0.3, 0.2))] == [True] * 3
+
+
 def test_license_scan(docs, rows):
     found = by_id(license_scan.scan(docs))
     for i, t, *_ in rows:
@@ -161,6 +225,30 @@ def test_license_scan_finds_all_notices_and_a_hot_one(spark):
     assert all(found[k] == ("cc-by", pytest.approx(1)) for k in range(100, 150))
 
 
+def test_license_labels_equal_brute_force(spark):
+    """Every template whole, cut in half, with words between, and several in one file."""
+    rng = random.Random(12)
+    texts = [words for _, words, _ in license_scan.TEMPLATES]
+    texts += [" ".join(w.split()[: len(w.split()) // 2]) for w in texts[:]] + [w.replace(" the ", " the very ") for w in texts[:]]
+    texts += ["; ".join(rng.sample(texts[: len(license_scan.TEMPLATES)], rng.randrange(2, 7))) for _ in range(20)] + ["none at all", "the software"]
+    rows = list(enumerate(texts))
+    found = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    idf = license_scan.weights(spark.createDataFrame(rows, "doc_id long, text string"))
+    for i, text in rows:
+        w = re.findall("[a-z0-9]+", text)
+        line, labels, best = f" {' '.join(w)} ", set(), 0.0
+        for label, words, keys in license_scan.TEMPLATES:
+            own = words.split()
+            total = sum(idf[x] for x in own)
+            got = max(sum(idf[x] for k, x in enumerate(own) if 0 <= s + k < len(w) and w[s + k] == x) for s in range(-len(own), len(w)))
+            if all(f" {k} " in line for k in keys) and got >= license_scan.COVERAGE * total:
+                labels.add(label)
+                best = max(best, got / total)
+        labels |= {label for p, label in license_scan.BASE.items() if f" {p} " in line}
+        base = license_scan.BASE_SCORE if any(f" {p} " in line for p in license_scan.BASE) else 0.0
+        assert found[i] == (",".join(sorted(labels)), pytest.approx(max(best, base))), text
+
+
 def test_wavelet_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
@@ -325,6 +413,18 @@ def test_main_text_keeps_the_whole_article():
     assert html_extract.main_text(f"<body><article><div class=top-nav><p>{links}</div><p>{body}</p><p>{body}</p><ul id=share-story><li>{links}</ul></article>") == f"{body} {body}"
 
 
+def test_main_text_takes_time_in_proportion_and_empty_tables(spark):
+    import time
+
+    n, began = 50_000, time.process_time()
+    assert html_extract.main_text("<div>text here" * n) == " ".join(["text here"] * n)
+    assert html_extract.main_text("<div class=post-ad>some text here" * n) == " ".join(["some text here"] * n)
+    assert html_extract.main_text("<p>x</b></i>" * n) == " ".join("x" * n)
+    assert html_extract.main_text("<p>" * n + "</b>" * n) == ""
+    assert time.process_time() - began < 60
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
 def test_quality_separates_junk_and_scores_every_row(spark, docs):
     rng = random.Random(8)
     good = lambda: ". ".join(" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(40)) for _ in range(9)).capitalize() for _ in range(6)) + "."
@@ -375,10 +475,67 @@ def test_pipeline_stages(spark, docs, tmp_path):
             assert now.columns == columns
         if k == 1:
             rows = [(r.doc_id, r.text) for r in before.collect()]
-            assert {r.doc_id for r in now.collect()} == {c for _, c in brute_components(rows).values()}
+            assert {r.doc_id for r in now.collect()} == {c for _, c in brute_components(rows, corpus_pipeline.WIDTH, corpus_pipeline.PERCENT).values()}
         if k == 2:
             assert {r.doc_id for r in before.collect()} - {r.doc_id for r in now.collect()} == {700}
         if k == 3:
             mixed = {r.doc_id: round(r.taken / r.size) for r in mixing.mix(before).collect() if r.size}
             assert collections.Counter(r.doc_id for r in now.collect()) == collections.Counter({i: n for i, n in mixed.items() if n})
     assert now.count() == spark.read.parquet(f"{folder}/s3").count()
+
+
+def test_pipeline_stages_take_awkward_rows(spark, tmp_path):
+    """Null ids, repeated rows, columns that are named as the stages' own, and empty tables."""
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    item = " ".join(f"item{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    text = " ".join(f"w{k}" for k in range(50))
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, score double, times int, time int, turn int, mixed_id int"
+    own = ("en", "a", 1, 0.5, 7, 8, 9, 10)
+    rows = [(None, text, *own), (None, "x " + item, *own), (1, text, *own), (1, text, *own), (2, text + " more", *own), (3, "own words here", *own), (4, None, *own), (5, "", *own), (6, item, *own)]
+    docs = spark.createDataFrame(rows, kinds)
+    ids = lambda df: collections.Counter(r.doc_id for r in df.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality classifier"](spark, docs, folder)
+    assert good.columns == docs.columns and collections.Counter(map(tuple, good.collect())) == collections.Counter(map(tuple, docs.collect()))
+    kept = stages["n-gram Jaccard join"](spark, docs, folder)
+    assert kept.columns == docs.columns and ids(kept) == {None: 2, 1: 1, 3: 1, 4: 1, 5: 1, 6: 1}
+    clean = stages["benchmark decontamination"](spark, docs, folder)
+    assert clean.columns == docs.columns and ids(clean) == {None: 1, 1: 2, 2: 1, 3: 1, 4: 1, 5: 1}
+    mixed = stages["mixing sources to target weights"](spark, docs, folder)
+    assert mixed.columns == docs.columns and ids(mixed) == {None: 2, 1: 2, 2: 1, 3: 1, 6: 1} and {tuple(r)[2:] for r in mixed.collect()} == {own}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+
+
+@pytest.mark.parametrize("n", [5, 10, 15, 20, 40, 60])
+def test_walks_reach_their_recall(n):
+    """With a fifth of the words edited, one repetition or more proposes the item; a repetitive item too."""
+    rng = random.Random(n)
+    items, windows = [], []
+    for k in range(120):
+        w = [rng.choice("abc" if k % 4 == 0 else [f"v{j}" for j in range(3000)]) for _ in range(n)]
+        edited = list(w)
+        for _ in range(int(decontaminate.MOST_EDITS * n)):
+            at = rng.randrange(len(edited))
+            edited[at : at + 1] = rng.choice([[], ["edit"], [edited[at], "edit"]])
+        items.append(" ".join(w))
+        windows.append(" ".join((edited + [f"o{j}" for j in range(n)])[:n]))
+    own, other = (decontaminate.words_of(pa.array(x)) for x in (items, windows))
+    cut = lambda x: decontaminate.Items._windows(x[0], x[1][:-1], x[1][1:], n)
+    met = np.zeros(len(items), bool)
+    for repeat in range(decontaminate.REPEATS):
+        met |= decontaminate.signatures(cut(own), repeat) == decontaminate.signatures(cut(other), repeat)
+    assert met.mean() >= decontaminate.RECALL
+    assert (decontaminate.signatures(cut(own), 0) == decontaminate.signatures(cut(own), 0)).all()
+
+
+def test_class_prior_comes_from_unlabelled_scores():
+    rng = np.random.default_rng(1)
+    for prior in (0.2, 0.5, 0.8):
+        good, bad = (lambda n: rng.normal(1, 1, n)), (lambda n: rng.normal(-1.5, 1, n))
+        mixed_scores = np.concatenate([good(int(8000 * prior)), bad(int(8000 * (1 - prior)))])
+        assert abs(quality.estimated_prior(good(4000), mixed_scores) - prior) < 0.08

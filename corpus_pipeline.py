@@ -9,40 +9,67 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from claimloom.llm import decontaminate, mixing, quality, setjoin, wavelet
-from claimloom.llm.common import shared_folder, table, written
+from claimloom.llm.common import free_name, shared_folder, table, written
+
+#: Words in a shingle of the near-duplicate stage, and the similarity of a link in percent.
+WIDTH, PERCENT = 5, 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; an empty table of labels rejects none."""
+    """Documents that the quality classifier accepts.
+
+    An empty table of labels rejects none; a null text is judged as an empty one; repeated
+    rows are judged alike; a row without doc_id is judged too, but trains nothing; an empty
+    table stays empty; a column named score is no score.
+    """
     allowed = quality.fold(F.col("doc_id"), 5) != 0
     model = quality.train(docs, table(spark, sf_dir, "labels"), allowed)
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links of 0.9 or more connect."""
-    heads = setjoin.join(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
+    """The document with the smallest id of each group that links of 0.8 or more on five-word shingles connect.
+
+    A text without words links with nothing and stays; of rows with one doc_id the first by text
+    stays, so repeated rows leave one; rows without doc_id have no group and all stay.
+    """
+    heads = setjoin.join(docs, WIDTH, PERCENT).where("doc_id = component_id").select("doc_id")
+    turn = free_name(docs, "turn")
+    kept = docs.join(heads, "doc_id", "left_semi").withColumn(turn, F.row_number().over(W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])))
+    return kept.where(F.col(turn) == 1).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; repeated rows and rows without doc_id are judged each by
+    its text; an empty benchmark drops nothing.
+    """
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, whole: a part of a document counts by rounding."""
+    """Documents as often as the mix takes them, whole: a part of a document counts by rounding.
+
+    The mix takes no words from a document without any, so those are left out. Rows with the
+    same doc_id, and those without one, are taken as often as the one of them that is taken most.
+    """
     mixed = mixing.mix(docs).where("size > 0")
-    times = mixed.groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0")
-    chosen = docs.join(times, "doc_id").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return chosen.select(*docs.columns)
+    key, often, nth = (free_name(docs, c) for c in ("mixed_id", "times", "time"))
+    times = mixed.groupBy(F.col("doc_id").alias(key)).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias(often)).where(F.col(often) > 0)
+    chosen = docs.join(times, docs["doc_id"].eqNullSafe(times[key]))
+    return chosen.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files of all documents, read back: doc_id, start, n_tokens, ids_crc32.
+
+    A null text is empty and holds the end id alone; rows without doc_id come first, rows with
+    the same one in the order of their texts; an empty table gives no files and no rows.
+    """
     return wavelet.encode_and_read(docs)
 
 

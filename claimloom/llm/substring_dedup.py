@@ -256,7 +256,8 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     low, high, without = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     alone = docs.where("doc_id IS NULL").mapInArrow(_squeezed, "doc_id long, packed binary").withColumn("places", F.lit(None).cast("array<long>"))
-    alone = alone.mapInArrow(lambda it: _kept(it, index.window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    window = index.window
+    alone = alone.mapInArrow(lambda it: _kept(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     docs = docs.where("doc_id IS NOT NULL") if without else docs
     if low is None:
         return alone if without else index.add(docs)

@@ -525,6 +525,9 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     classed = cut.join(known, cut.doc_id == known.node, "left").select("token", "doc_id", "n", "pos", "parts", "salt", "salts", F.coalesce("component", "doc_id").alias("comp"))
     more = written(_other_links(classed, bits, texts, folder, width, percent), folder, "links-2")
     joined = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), folder, "all")
+    # The result is made of sets, heads and the last components; the rest would only hold disk.
+    for name in ("texts", "bits", "lists", "blocks", "long-blocks", "mixed", "open"):
+        spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(f"{folder}/{name}")
 
     classes = heads.join(joined, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
     out = sets.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")

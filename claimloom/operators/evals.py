@@ -130,28 +130,57 @@ def correlations(frame: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def p_value(rho: float, n: int) -> float:
-    """Two-sided tail of Student's t for a correlation, at 1e-12 least."""
+    """Two-sided tail of Student's t for a correlation of ``n`` rows, at 1e-12 least."""
     if n < 3 or abs(rho) >= 1:
         return 1.0 if n < 3 else 1e-12
-    df = n - 2
-    x = df / (df + rho * rho * df / (1 - rho * rho))
-    return max(1e-12, min(1.0, _beta(x, df / 2, 0.5)))
-
-
-def _beta(x: float, a: float, b: float, terms: int = 500) -> float:
-    """Regularised incomplete beta: the series in x times the leading factor, by symmetry for large x."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > a / (a + b):
-        return 1 - _beta(1 - x, b, a, terms)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a + 1) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    total, term = 1.0, 1.0
-    for k in range(terms):
-        term *= (a + b + k) / (a + 1 + k) * x
-        total += term
-        if term < 1e-16 * total:
-            break
-    return front * total
+    return max(1e-12, min(1.0, t_tail(rho * rho / (1 - rho * rho), n - 2)))
+
+
+def t_tail(u: float, df: int) -> float:
+    """P(t * t > u * df) for Student's t: the regularised incomplete beta of df / 2 and 1/2 at 1 / (1 + u).
+
+    Powers and the ratio of gamma functions are taken from their logarithms' small parts, so that no digits
+    are lost where df is large; the continued fraction needs about sqrt(df) terms.
+    """
+    if u <= 0:
+        return 1.0
+    a, b, x, y = df / 2, 0.5, 1 / (1 + u), u / (1 + u)
+    front = math.exp(-a * math.log1p(u)) * math.sqrt(y / math.pi) * _gamma_ratio(a)  # x^a y^(1/2) / B(a, 1/2)
+    if (a + b) * y > b:
+        return front / _fraction(x, y, a, b)
+    return 1 - front / _fraction(y, x, b, a)
+
+
+def _gamma_ratio(a: float) -> float:
+    """Gamma(a + 1/2) / Gamma(a)."""
+    if a < 40:
+        return math.gamma(a + 0.5) / math.gamma(a)
+    z = 1 / a
+    return math.sqrt(a) * (1 - z / 8 + z**2 / 128 + 5 * z**3 / 1024 - 21 * z**4 / 32768 - 399 * z**5 / 262144 + 869 * z**6 / 4194304)
+
+
+def _fraction(x: float, y: float, a: float, b: float) -> float:
+    """The continued fraction of the incomplete beta for x + y = 1, by Lentz's method, until a factor is 1.
+
+    Its terms hold a - (a + b) x as (a + b) y - b, so that nothing cancels where x is close to 1.
+    """
+    tiny, m = 1e-300, 0
+
+    def terms(m: int) -> tuple[float, float]:
+        at = a + 2 * m
+        top = (a + m - 1) * (a + b + m - 1) * m * (b - m) * x * x / (at - 1) ** 2 if m else 0.0
+        return top, m + (m * (b - m) * x / (at - 1) if m else 0.0) + (a + m) * ((a + b) * y - b + 1 + m * (1 + y)) / (at + 1)
+
+    value = c = terms(0)[1] or tiny
+    d = 0.0
+    while True:
+        m += 1
+        top, bottom = terms(m)
+        d = 1 / (bottom + top * d or tiny)
+        c = bottom + top / c or tiny
+        value *= c * d
+        if abs(c * d - 1) < 1e-16:
+            return value
 
 
 def lower_percentile(frame: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
@@ -167,7 +196,7 @@ def lower_percentile(frame: DataFrame, keys: list[str], value: str, share: float
 def correlation_test(frame: DataFrame, x: str, y: str) -> DataFrame:
     """``correlations`` with the two-sided p-value of Spearman's, from one row of statistics."""
     p = F.udf(p_value, DoubleType())
-    return correlations(frame, x, y).withColumn("p_value", p("spearman", "n"))
+    return correlations(frame, x, y).withColumn("p_value", F.round(p("spearman", "n"), 12))
 
 
 def trend(frame: DataFrame, x: str, y: str) -> DataFrame:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.operators.strong import strong_components
 from claimloom.sources.durable import cut
 
 #: Cyclic relations with the shortest length that counts; weights of degree, cycle and severity.
 CYCLIC = {"OWNED_BY": 2, "WIRED_FUNDS_TO": 3}
 WEIGHTS = (0.25, 0.40, 0.35)
 LONGEST = 5
-#: Steps of a search over the graph that one written table covers.
-STEPS = 3
 HIGH_VACUITY = 0.45
 SEVERITY = {"auto_file": 0.0, "flag": 0.5, "escalate": 1.0}
 
@@ -72,9 +71,34 @@ def simple_cycles(edges: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 
 def counted_cycles(edges: DataFrame) -> DataFrame:
-    """Cycles of the cyclic relations that are long enough to count; an owner of itself is a cycle."""
+    """Cycles of the cyclic relations that are long enough to count; an owner of itself is a cycle.
+
+    Paths grow inside strongly connected components only, since no cycle leaves one.
+    """
+    return _cycles_within(_inside_components(_cyclic(edges)))
+
+
+def cycles_and_members(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``counted_cycles`` and ``cycle_members`` from one search for components."""
+    inside = _inside_components(_cyclic(edges))
+    cycles = cut(_cycles_within(inside))
+    return cycles, _members(inside, cycles.where("relation <> 'OWNED_BY'"))
+
+
+def _cyclic(edges: DataFrame) -> DataFrame:
+    return cut(edges.where(F.col("relation").isin(*CYCLIC)).select("relation", "src", "dst").distinct())
+
+
+def _inside_components(cyclic: DataFrame) -> DataFrame:
+    """Edges whose two ends are in one strongly connected component of their relation."""
+    strong = strong_components(cyclic, ("relation",))
+    a, b = strong.select("relation", F.col("node").alias("src"), "component"), strong.select("relation", F.col("node").alias("dst"), "component")
+    return cut(cyclic.join(a, ["relation", "src"]).join(b, ["relation", "dst", "component"]).select("relation", "src", "dst"))
+
+
+def _cycles_within(edges: DataFrame) -> DataFrame:
     least = F.when(F.col("relation") == "OWNED_BY", 1).otherwise(CYCLIC["WIRED_FUNDS_TO"])
-    return simple_cycles(edges.where(F.col("relation").isin(*CYCLIC))).where(F.col("length") >= least)
+    return simple_cycles(edges).where(F.col("length") >= least)
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
@@ -84,12 +108,13 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     components, however long their cycles are, and owners of themselves; for funds they are the
     nodes of simple cycles that are long enough.
     """
-    owned = edges.where("relation = 'OWNED_BY'")
-    strong = strong_components(owned)
-    large = strong.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    owners = strong.join(large, "component", "left_semi").select("node").union(owned.where("src = dst").select("src")).distinct()
-    funds = counted_cycles(edges.where("relation <> 'OWNED_BY'")).select("relation", F.explode("path").alias("node")).distinct()
-    return owners.select(F.lit("OWNED_BY").alias("relation"), "node").unionByName(funds)
+    inside = _inside_components(_cyclic(edges))
+    return _members(inside, _cycles_within(inside.where("relation <> 'OWNED_BY'")))
+
+
+def _members(inside: DataFrame, funds: DataFrame) -> DataFrame:
+    owners = inside.where("relation = 'OWNED_BY'").select("relation", F.explode(F.array("src", "dst")).alias("node"))
+    return owners.unionByName(funds.select("relation", F.explode("path").alias("node"))).distinct()
 
 
 def minimal_cycles(cycles: DataFrame) -> DataFrame:
@@ -102,66 +127,20 @@ def minimal_cycles(cycles: DataFrame) -> DataFrame:
     return keyed.join(covered, ["relation", "id"], "left_anti").drop("id")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``component`` (its smallest node) of every node of ``edges`` (src, dst), by forward and backward labels.
-
-    Nodes without an edge in or out are alone and go first. Then each node takes the
-    smallest label that reaches it, and what reaches a label's own node within the label is its
-    component; the rest goes on to the next round. Only labels travel, never pairs that reach each other.
-    """
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    live, found = cut(edges.select("src", "dst").where("src <> dst").distinct()), None
-    left = live.count()
-    while left:
-        for _ in range(STEPS):
-            live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        live, before = cut(live), left
-        left = live.count()
-        if left < 0.9 * before or not left:
-            continue
-        start = live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        labels, moves = start.select("node", F.col("node").alias("label")), True
-        while moves:
-            new = labels.withColumn("old", F.col("label"))
-            for _ in range(STEPS):
-                came = live.join(new.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("came"))
-                new = new.join(came, "node", "left").select("node", F.least("label", "came").alias("label"), "old")
-            new = cut(new)
-            labels, moves = new.select("node", "label"), not new.where("label < old").isEmpty()
-        a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("from")), labels.select(F.col("node").alias("dst"), F.col("label").alias("to"))
-        inside = cut(live.join(a, "src").join(b, "dst").where("from = to").select("src", "dst"))
-        marked = cut(labels.where("node = label"))
-        known, grows = marked.count(), True
-        while grows:
-            for _ in range(STEPS):
-                marked = marked.unionByName(inside.join(marked.select(F.col("node").alias("dst"), "label"), "dst").select(F.col("src").alias("node"), "label")).distinct()
-            marked = cut(marked)
-            now = marked.count()
-            known, grows = now, now > known
-        found = marked if found is None else found.unionByName(marked)
-        gone = marked.select("node")
-        live = cut(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-        left = live.count()
-    if found is None:
-        return nodes.select("node", F.col("node").alias("component"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
-
-
-#: The same by another name.
-components_reaching = strong_components
-
-
-def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int = 16) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int | None = None) -> DataFrame:
     """The shortest path between the ends of each pair within its own graph, whichever way edges point.
 
     ``edges``: key, src, dst; ``pairs``: pair_id, key, start, goal. Of paths of one length the first in
-    order of its nodes; a pair that is not joined within ``longest`` steps has none. Each node is
-    reached once for a pair, so the search holds no more rows than pairs times nodes of their graphs.
+    order of its nodes; a pair that is not joined has none. The search goes on until no pair is open, or
+    for ``longest`` steps if they are given. Each node is
+    reached once for a pair, so it holds no more rows than pairs times nodes of their graphs.
     """
     step = cut(edges.select("key", F.col("src").alias("at"), F.col("dst").alias("to")).unionByName(edges.select("key", F.col("dst").alias("at"), F.col("src").alias("to"))).distinct())
     edge = pairs.select("pair_id", "key", "goal", F.col("start").alias("at"), F.array("start").alias("path"))
     seen = edge = cut(edge)
-    for _ in range(longest):
+    step_no = 0
+    while longest is None or step_no < longest:
+        step_no += 1
         further = edge.where("at <> goal").join(step, ["key", "at"]).select("pair_id", "key", "goal", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
         best = further.groupBy("pair_id", "key", "goal", "at").agg(F.min("path").alias("path"))
         open_pairs = seen.where("at = goal").select("pair_id")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import uuid5
-from claimloom.operators import evals, feed, graph, jobs, matching
+from claimloom.operators import evals, feed, graph, jobs, matching, reports
+from claimloom.sources.durable import cut
 
 #: Steps that a claim's neighbourhood is said to have, of which the parties are the first.
 DEPTH = 2
@@ -71,15 +74,52 @@ def documents_list(documents: DataFrame, sources: list[str] | None = None, title
     return documents.select("document_id", "source", "title", F.length("text").alias("chars"))
 
 
-def risk_graph(claims: DataFrame, limit: int, relation: list[str] | None = None, routing: list[str] | None = None, least: float | None = None) -> DataFrame:
-    """Nodes by risk, then id, with flags and degree, up to ``limit``; ``truncated`` tells if there are more."""
+class RiskGraph(NamedTuple):
+    """A view of the graph: nodes by risk, the edges between them, and the cycles that they hold whole."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    cycles: DataFrame
+
+
+def risk_graph(
+    claims: DataFrame, limit: int, relation: list[str] | None = None, routing: list[str] | None = None, least: float | None = None, root: int | None = None, depth: int = 2, entities: DataFrame | None = None
+) -> RiskGraph:
+    """Nodes by risk, then name or id, up to ``limit``, with flags and degree; ``truncated`` tells if there are more.
+
+    Edges and cycles with a node beyond the limit are dropped. ``root`` keeps the nodes within ``depth`` steps of it,
+    whichever way edges point, and everything else is worked out on what is kept: degrees against the
+    largest one there, and only cycles there. ``entities`` (entity_id, canonical) drops claims with an end that is no entity, adds
+    entities without claims as nodes without risk and gives names. Of cycles those that hold another's nodes are left out.
+    """
     if not 1 <= limit <= 1000:
         raise ValueError("limit must be 1 to 1000")
-    edges = graph.grouped_edges(feed.filtered(claims, relations=relation, routing=routing, min_confidence=least))
-    members = graph.cycle_members(edges)
+    if not 1 <= depth <= 4:
+        raise ValueError("depth must be 1 to 4")
+    held = feed.filtered(claims, relations=relation, routing=routing, min_confidence=least)
+    if entities is not None:
+        for side in ("subject_id", "object_id"):
+            held = held.join(entities.select(F.col("entity_id").alias(side)), side, "left_semi")
+    edges = cut(graph.grouped_edges(held))
+    names = entities.select(F.col("entity_id").alias("node"), "canonical") if entities is not None else None
+    if root is not None:
+        near = cut(graph.neighbourhood(edges, root, depth).select("node"))
+        edges = cut(edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns))
+        names = names.join(near, "node", "left_semi") if names is not None else None
+    found, members = graph.cycles_and_members(edges)
+    cycles = graph.minimal_cycles(found)
     nodes = graph.node_risk(edges, members).join(graph.node_flags(edges, members), "node")
+    if names is not None:
+        nodes = names.join(nodes, "node", "left").fillna({"degree": 0, "risk": 0.0, "flags": ""})
+    nodes = cut(nodes)
     total = nodes.agg((F.count("*") > limit).alias("truncated")).withColumn("_k", F.lit(1))
-    return nodes.orderBy(F.desc("risk"), "node").limit(limit).withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
+    order = [F.desc("risk"), *(["canonical"] if names is not None else []), "node"]
+    kept = cut(nodes.orderBy(*order).limit(limit))
+    risk = kept.select("node", "risk")
+    inside = edges.join(F.broadcast(risk.select(F.col("node").alias("src"))), "src", "left_semi").join(F.broadcast(risk.select(F.col("node").alias("dst"))), "dst", "left_semi")
+    parts = cycles.withColumn("id", F.concat_ws("-", "path")).select("relation", "id", "path", "length", F.explode("path").alias("node")).join(F.broadcast(risk), "node")
+    whole = parts.groupBy("relation", "id").agg(F.first("path").alias("path"), F.first("length").alias("length"), F.round(F.avg("risk"), 4).alias("risk"), F.count("*").alias("n")).where("n = length").drop("n", "id")
+    return RiskGraph(kept.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k").orderBy(*order), inside.select(*edges.columns), whole.orderBy(F.desc("risk"), "length", "path"))
 
 
 def cycles_by_risk(cycles: DataFrame, risk: DataFrame) -> DataFrame:
@@ -107,6 +147,58 @@ def fragility_report(trials: DataFrame) -> DataFrame:
     return evals.by_family(trials).withColumn("_k", F.lit(1)).join(F.broadcast(everything), "_k").drop("_k")
 
 
+class FragilityView(NamedTuple):
+    """What the perturbations of all claims show together."""
+
+    points: DataFrame
+    families: DataFrame
+    quartiles: DataFrame
+    headline: DataFrame
+
+
+def fragility_view(trials: DataFrame, families: tuple[str, ...]) -> FragilityView:
+    """Points (claim_id, vacuity, fragility), families, quartiles of vacuity with their bounds, and a headline.
+
+    The headline is one row: both correlations of vacuity with fragility, the p-value, its verdict, the contrast of the
+    top quartile with the bottom one, and the family that flips most. Claims without trials are not in it.
+    """
+    points = cut(trials.groupBy("claim_id", "vacuity").agg(F.round(F.avg(evals.instability()), 6).alias("fragility")))
+    by_family = evals.by_family(trials)
+    table = cut(evals.quartile_table(trials).join(reports.quartile_bounds(points, "vacuity"), "quartile"))
+    test = evals.correlation_test(points, "vacuity", "fragility").withColumn("verdict", reports.strength(F.col("spearman"), F.col("n"), F.col("p_value")))
+    worst = reports.worst_family(by_family, families).select(F.col("family").alias("worst_family"), F.col("flip_rate").alias("worst_rate"))
+    headline = test.join(F.broadcast(reports.quartile_contrast(table))).join(F.broadcast(worst))  # one row each
+    return FragilityView(points, by_family, table, headline)
+
+
+class RoutingView(NamedTuple):
+    """How routed cases compare with their truth."""
+
+    summary: DataFrame
+    matrix: DataFrame
+    classes: DataFrame
+    failures: DataFrame
+
+
+def routing_view(cases: DataFrame, claims: DataFrame, opinions: DataFrame, labels: tuple[str, ...]) -> RoutingView:
+    """The three arms of the cascade, the confusion matrix, the classes' scores and the failures.
+
+    ``cases``: claim_id, truth, predicted, resolved_by, is_failure. ``claims``: claim_id, classical; the classical arm counts
+    cases whose claim is stored, with the prediction where the claim keeps no classical outcome. ``opinions``:
+    truth, predicted of the cases that were all asked; without any, that arm is the cascade's.
+    """
+    kept = cut(cases)
+    hit = F.avg((F.col("truth") == F.col("predicted")).cast("double"))
+    arm = lambda df, name: df.agg(F.round(F.coalesce(hit, F.lit(0.0)), 4).alias(name))
+    classical = kept.join(claims.select("claim_id", "classical"), "claim_id").withColumn("predicted", F.coalesce("classical", "predicted"))
+    asked = opinions.agg(F.count("*").alias("opinion_calls"), F.round(hit, 4).alias("_opinion"))
+    classes = cut(evals.per_class(kept, labels))
+    head = kept.agg(F.count("*").alias("n_cases"), F.round(F.coalesce(hit, F.lit(0.0)), 4).alias("accuracy"), F.count_if(F.col("resolved_by") == "second_opinion").alias("cascade_calls"))
+    rows = head.join(F.broadcast(arm(classical, "classical_accuracy"))).join(F.broadcast(asked)).join(F.broadcast(classes.agg(F.round(F.avg("f1"), 4).alias("macro_f1"))))  # one row each
+    summary = rows.select("n_cases", "accuracy", "macro_f1", "classical_accuracy", F.coalesce("_opinion", "accuracy").alias("opinion_accuracy"), "cascade_calls", "opinion_calls")
+    return RoutingView(summary, evals.confusion(kept, labels), classes, kept.where(F.col("is_failure")))
+
+
 def members(users: DataFrame, org_id: int) -> DataFrame:
     """A tenant's users in the order in which they came."""
     return feed.scoped(users, org_id).orderBy("created_at", "user_id")

@@ -14,6 +14,7 @@ from claimloom.plans import fixtures as X
 from claimloom.plans.fixtures import BUCKETS, CASES, CLAIMS, LOGITS, SNAPSHOTS, TRIALS, table
 from claimloom.plans.registry import QUERIES, SQL, query
 from claimloom.sources import documents as sources
+from claimloom.sources.durable import cut
 from claimloom.streaming import feeds
 
 ROUTED = "routed AS (SELECT *, CASE WHEN confidence >= 0.8 THEN 'escalate' WHEN confidence >= 0.6 THEN 'flag' ELSE 'auto_file' END AS routing FROM claims)"
@@ -34,8 +35,10 @@ def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.routing_by_confidence(X.claims(spark, sf_dir))
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.grouped_edges(_routed(spark, sf_dir))
+def _edges(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """Grouped edges of all claims; ``once``: written, for queries that read them several times."""
+    edges = graph.grouped_edges(_routed(spark, sf_dir))
+    return cut(edges) if once else edges
 
 
 # Feed, filters, paging
@@ -148,21 +151,22 @@ risk AS (SELECT node, degree, CAST(round(CAST((CAST(0.25 AS DOUBLE) * degree / (
 
 @query(GRAPH + NODES + " SELECT node, degree, risk FROM risk ORDER BY risk DESC, node LIMIT 20")
 def node_risk_topn(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
+    edges = _edges(spark, sf_dir, once=True)
     return graph.node_risk(edges, graph.cycle_members(edges)).orderBy(F.desc("risk"), "node").limit(20)
 
 
 @query(GRAPH + NODES + """ SELECT node, array_to_string(list_filter([CASE WHEN node IN (SELECT node FROM mem WHERE relation = 'OWNED_BY') THEN 'ownership_cycle' END, CASE WHEN node IN (SELECT node FROM mem WHERE relation = 'WIRED_FUNDS_TO') THEN 'funds_cycle' END,
   CASE WHEN shares THEN 'shared_address' END, CASE WHEN vac >= 0.45 THEN 'high_vacuity' END], lambda x: x IS NOT NULL), ',') AS flags FROM deg""")
 def node_flags(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
+    edges = _edges(spark, sf_dir, once=True)
     return graph.node_flags(edges, graph.cycle_members(edges))
 
 
 @query(GRAPH + NODES + ", m AS (SELECT relation, array_to_string(path, '-') AS id, length, unnest(path) AS node FROM counted) SELECT m.relation, m.id, CAST(m.length AS INTEGER) AS length, round(avg(r.risk), 6) AS risk FROM m JOIN risk r ON r.node = m.node GROUP BY ALL")
 def cycle_risk(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    return graph.cycle_risk(graph.counted_cycles(edges), graph.node_risk(edges, graph.cycle_members(edges)))
+    edges = _edges(spark, sf_dir, once=True)
+    cycles, members = graph.cycles_and_members(edges)
+    return graph.cycle_risk(cycles, graph.node_risk(edges, members))
 
 
 # Routing, gate, cascade

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.functions import trust
-from claimloom.operators import ablation, answers, evals, fuzz, reports, routing
+from claimloom.operators import ablation, answers, evals, fuzz, reports, routing, views
 from claimloom.plans import catalog as C
 from claimloom.plans import fixtures as X
 from claimloom.plans.fixtures import ABLATIONS, BUCKETS, CASES, CLAIMS, GOLD, RUNS, TRIALS, table
@@ -166,9 +166,14 @@ def correlation_verdicts(spark, sf_dir):
     return X.claims(spark, sf_dir).select("claim_id", reports.strength((k % 41 - 20) / 20.0, k % 30, (k % 7) / 50.0).alias("verdict"))
 
 
-@query()
+@query(f"""WITH {CLAIMS}, r AS (SELECT vacuity, confidence, rank() OVER (ORDER BY vacuity) + (count(*) OVER (PARTITION BY vacuity) - 1) / 2 AS a, rank() OVER (ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2 AS b FROM claims),
+c AS (SELECT count(*) AS n, round(corr(vacuity, confidence), 6) AS pearson, round(corr(a, b), 6) AS spearman FROM r),
+g AS (SELECT *, n - 2 AS df, atan(abs(spearman) / sqrt(1 - spearman * spearman)) AS low, 12 / sqrt(n - 2) AS wide FROM c),
+area AS (SELECT n, pearson, spearman, df, low, wide, w * (CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) AS w, i FROM g, (SELECT i, CAST(1 AS DOUBLE) AS w FROM range(20001) t(i)))
+SELECT any_value(n) AS n, any_value(pearson) AS pearson, any_value(spearman) AS spearman,
+  round(sum(w * cos(low + wide * i / 20000) ** (df - 1)) / sum(w * cos(wide * i / 20000) ** (df - 1)), 9) AS p_value FROM area""")
 def correlation_test(spark, sf_dir):
-    return evals.correlation_test(X.claims(spark, sf_dir), "vacuity", "confidence")
+    return evals.correlation_test(X.claims(spark, sf_dir), "vacuity", "confidence").withColumn("p_value", F.round("p_value", 9))
 
 
 @query(C.EVIDENCE + ", p AS (SELECT claim_id, list_transform(e, lambda x: round((x + 1) / s, 6)) AS p FROM st) SELECT claim_id, p[1] AS p0, list_max(p) AS top FROM p")
@@ -209,3 +214,48 @@ def scored_trials(spark, sf_dir):
 @query(f"WITH {CLAIMS}, {GOLD} SELECT truth AS split, count(*) AS n FROM gold WHERE truth IN ('flag', 'escalate') GROUP BY 1")
 def cases_of_splits(spark, sf_dir):
     return X.gold(spark, sf_dir).where(F.col("truth").isin("flag", "escalate")).groupBy(F.col("truth").alias("split")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CLAIMS}, {TRIALS}, p AS (SELECT claim_id, vacuity, round(avg({C.INSTABILITY}), 6) AS fragility, count(*) AS trials, count(*) FILTER (flipped) AS flips FROM trials GROUP BY 1, 2),
+r AS (SELECT vacuity, fragility, rank() OVER (ORDER BY vacuity) + (count(*) OVER (PARTITION BY vacuity) - 1) / 2 AS a, rank() OVER (ORDER BY fragility) + (count(*) OVER (PARTITION BY fragility) - 1) / 2 AS b FROM p),
+c AS (SELECT count(*) AS n, round(corr(vacuity, fragility), 6) AS pearson, round(corr(a, b), 6) AS spearman FROM r),
+g AS (SELECT *, n - 2 AS df, atan(abs(spearman) / sqrt(1 - spearman * spearman)) AS low, 12 / sqrt(n - 2) AS wide FROM c),
+area AS (SELECT df, low, wide, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w, i FROM g, range(20001) t(i)),
+tail AS (SELECT round(sum(w * cos(low + wide * i / 20000) ** (df - 1)) / sum(w * cos(wide * i / 20000) ** (df - 1)), 9) AS p_value FROM area),
+q AS (SELECT least(floor(4 * (rank() OVER (ORDER BY vacuity) - 1) / count(*) OVER ()) + 1, 4) AS quartile, trials, flips FROM p),
+f AS (SELECT quartile, round(CAST(sum(flips) AS DOUBLE) / sum(trials), 6) AS rate FROM q GROUP BY 1),
+h AS (SELECT max(rate) FILTER (quartile = 4) AS top, max(rate) FILTER (quartile = 1) AS bottom FROM f),
+w AS (SELECT family, round(avg(CAST(flipped AS INTEGER)), 6) AS rate FROM trials GROUP BY 1 ORDER BY rate DESC, list_position(['synonym','rename','boilerplate','reorder','punctuation'], family) LIMIT 1)
+SELECT n, pearson, spearman, p_value, CASE WHEN n < 10 THEN 'too few rows' WHEN p_value >= 0.05 THEN 'not significant' ELSE (CASE WHEN abs(spearman) >= 0.6 THEN 'strong' WHEN abs(spearman) >= 0.35 THEN 'moderate' WHEN abs(spearman) >= 0.15 THEN 'weak' ELSE 'negligible' END) || (CASE WHEN spearman >= 0 THEN ' positive' ELSE ' negative' END) END AS verdict,
+  top, bottom, round(top / bottom, 6) AS times, family AS worst_family, rate AS worst_rate FROM c, tail, h, w""")
+def fragility_headline(spark, sf_dir):
+    """Correlation of vacuity with fragility, its p-value and verdict, the contrast of quartiles and the worst family, in one row."""
+    return views.fragility_view(X.trials(spark, sf_dir), X.FAMILIES).headline.withColumn("p_value", F.round("p_value", 9))
+
+
+@query(f"""WITH {CLAIMS}, {TRIALS}, p AS (SELECT claim_id, vacuity, avg({C.INSTABILITY}) AS f, count(*) AS trials, count(*) FILTER (flipped) AS flips FROM trials GROUP BY 1, 2),
+q AS (SELECT *, least(floor(4 * (rank() OVER (ORDER BY vacuity) - 1) / count(*) OVER ()) + 1, 4) AS quartile FROM p), s AS (SELECT list_sort(list(vacuity)) AS v, count(*) AS n FROM p),
+b AS (SELECT CAST(k AS INTEGER) AS quartile, v[CAST(floor(n * (k - 1) / 4.0) AS BIGINT) + 1] AS low, v[CASE WHEN k = 4 THEN n ELSE CAST(floor(n * k / 4.0) AS BIGINT) + 1 END] AS high FROM s, range(1, 5) r(k)),
+t AS (SELECT CAST(quartile AS INTEGER) AS quartile, count(*) AS n, round(avg(f), 6) AS mean_fragility, round(CAST(sum(flips) AS DOUBLE) / sum(trials), 6) AS flip_rate FROM q GROUP BY 1) SELECT * FROM t JOIN b USING (quartile)""")
+def fragility_quartiles(spark, sf_dir):
+    return views.fragility_view(X.trials(spark, sf_dir), X.FAMILIES).quartiles
+
+
+ARM = "round(avg(CASE WHEN truth = {0} THEN 1.0 ELSE 0.0 END), 4)"
+
+
+@query(f"""WITH {CLAIMS}, {CASES}, c AS (SELECT claim_id, truth, predicted, claim_id % 7 = 0 AS second FROM cases WHERE claim_id % 3 > 0),
+k AS (SELECT claim_id, CASE WHEN claim_id % 4 > 0 THEN CASE claim_id % 4 % 3 WHEN 0 THEN 'auto_file' WHEN 1 THEN 'flag' ELSE 'escalate' END END AS classical FROM claims WHERE claim_id % 11 > 0),
+o AS (SELECT truth, CASE WHEN claim_id % 2 = 0 THEN truth ELSE predicted END AS predicted FROM cases WHERE claim_id % 9 = 0),
+l AS (SELECT x.label, count(*) FILTER (truth = label AND predicted = label) AS hit, count(*) FILTER (truth = label) AS a, count(*) FILTER (predicted = label) AS b FROM c, (VALUES ('auto_file'), ('flag'), ('escalate')) x(label) GROUP BY 1)
+SELECT count(*) AS n_cases, {ARM.format("predicted")} AS accuracy, (SELECT round(avg(round(2.0 * hit / (a + b), 6)), 4) FROM l) AS macro_f1,
+  (SELECT {ARM.format("coalesce(classical, predicted)")} FROM c JOIN k USING (claim_id)) AS classical_accuracy, (SELECT {ARM.format("predicted")} FROM o) AS opinion_accuracy,
+  count(*) FILTER (second) AS cascade_calls, (SELECT count(*) FROM o) AS opinion_calls FROM c""")
+def routing_eval(spark, sf_dir):
+    """The three arms over cases joined with the stored claims; some cases have no claim, some claims no classical outcome."""
+    k, name = F.col("claim_id"), F.array(*[F.lit(b) for b in BUCKETS])
+    every = X.eval_cases(spark, sf_dir)
+    cases = every.where(k % 3 > 0).select("claim_id", "truth", "predicted", F.when(k % 7 == 0, "second_opinion").otherwise("classical").alias("resolved_by"), (F.col("truth") != F.col("predicted")).alias("is_failure"))
+    claims = every.where(k % 11 > 0).select("claim_id", F.when(k % 4 > 0, name[(k % 4 % 3).cast("int")]).alias("classical"))
+    opinions = every.where(k % 9 == 0).select("truth", F.when(k % 2 == 0, F.col("truth")).otherwise(F.col("predicted")).alias("predicted"))
+    return views.routing_view(cases, claims, opinions, BUCKETS).summary

@@ -300,7 +300,28 @@ FLAGS = C.SQL["node_flags"].partition(" SELECT node, array_to_string(")[2].rpart
 
 @query(C.GRAPH + C.NODES + f", fl AS (SELECT node, array_to_string({FLAGS} AS flags FROM deg) SELECT risk.node, degree, risk, flags, (SELECT count(*) FROM risk) > 40 AS truncated FROM risk JOIN fl USING (node) ORDER BY risk DESC, risk.node LIMIT 40")
 def risk_graph(spark, sf_dir):
-    return views.risk_graph(C._routed(spark, sf_dir), 40)
+    return views.risk_graph(C._routed(spark, sf_dir), 40).nodes
+
+
+@query(C.GRAPH + C.NODES + ", kept AS (SELECT node FROM risk ORDER BY risk DESC, node LIMIT 400) SELECT src, dst, relation, routing, weight FROM edges WHERE src IN (FROM kept) AND dst IN (FROM kept)")
+def risk_graph_edges(spark, sf_dir):
+    """The edges between the 400 nodes of most risk."""
+    return views.risk_graph(C._routed(spark, sf_dir), 400).edges.select("src", "dst", "relation", "routing", "weight")
+
+
+@query(C.GRAPH + C.NODES + """, kept AS (SELECT node FROM risk ORDER BY risk DESC, node LIMIT 400), least AS (SELECT c.* FROM counted c WHERE NOT EXISTS (SELECT 1 FROM counted d WHERE d.relation = c.relation AND d.length < c.length AND len(list_intersect(d.path, c.path)) = d.length)),
+on_it AS (SELECT relation, path, length, unnest(path) AS node FROM least)
+SELECT relation, array_to_string(path, '-') AS path, CAST(length AS INTEGER) AS length, round(avg(risk), 4) AS risk FROM on_it JOIN risk USING (node) WHERE node IN (FROM kept) GROUP BY relation, path, length HAVING count(*) = length""")
+def risk_graph_cycles(spark, sf_dir):
+    """Cycles that hold no other's nodes and lie whole within the 400 nodes of most risk."""
+    return views.risk_graph(C._routed(spark, sf_dir), 400).cycles.select("relation", C._joined("path"), "length", "risk")
+
+
+@query(C.GRAPH + """, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), h1 AS (SELECT b AS node FROM b WHERE a = 3), near AS (SELECT 3 AS node UNION SELECT node FROM h1 UNION SELECT b.b FROM h1 JOIN b ON b.a = h1.node),
+own AS (SELECT * FROM edges WHERE src IN (FROM near) AND dst IN (FROM near)), deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM own UNION ALL SELECT dst FROM own WHERE src <> dst) GROUP BY 1) SELECT node, degree FROM deg""")
+def graph_around(spark, sf_dir):
+    """The nodes within two steps of one, with their degrees there."""
+    return views.risk_graph(C._routed(spark, sf_dir), 1000, root=3).nodes.select("node", "degree")
 
 
 @query(f"WITH {CLAIMS}, {ROUTED}, f AS (SELECT * FROM routed WHERE relation IN ('INVOICED', 'SIGNATORY_OF') AND confidence >= 0.5 AND routing IN ('flag', 'escalate')), e AS (SELECT DISTINCT subject_id, object_id, relation FROM f) SELECT node, count(*) AS degree FROM (SELECT subject_id AS node FROM e UNION ALL SELECT object_id FROM e) GROUP BY 1 ORDER BY degree DESC, node LIMIT 5")
@@ -316,8 +337,9 @@ def argument_entities(spark, sf_dir):
 
 @query(C.SQL["cycle_risk"] + " ORDER BY risk DESC, length, id")
 def cycles_by_risk(spark, sf_dir):
-    edges = C._edges(spark, sf_dir)
-    return views.cycles_by_risk(graph.counted_cycles(edges), graph.node_risk(edges, graph.cycle_members(edges)))
+    edges = C._edges(spark, sf_dir, once=True)
+    cycles, members = graph.cycles_and_members(edges)
+    return views.cycles_by_risk(cycles, graph.node_risk(edges, members))
 
 
 @query(f"WITH {CLAIMS}, me AS (SELECT * FROM claims WHERE claim_id = 8), ends AS (SELECT subject_id AS n FROM me UNION SELECT object_id FROM me) SELECT n AS node FROM ends UNION SELECT object_id FROM claims WHERE subject_id IN (SELECT n FROM ends) UNION SELECT subject_id FROM claims WHERE object_id IN (SELECT n FROM ends)")

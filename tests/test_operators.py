@@ -1,14 +1,17 @@
 """Operators on small hand-made tables."""
 
 import datetime
+import math
 import random
+import time
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
-from claimloom.operators import entities, evals, feed, graph, routing, spans
+from claimloom.operators import entities, evals, feed, graph, routing, spans, strong, views
 from claimloom.sources import documents as sources
 from claimloom.streaming import feeds
 
@@ -32,13 +35,13 @@ def test_ring_pair_and_detour(spark):
 def test_long_chain_has_no_cycle_and_components_are_single(spark):
     e = edges(spark, [(i, i + 1) for i in range(12)])
     assert graph.simple_cycles(e).count() == 0
-    found = {r.node: r.component for r in graph.components_reaching(e).collect()}
+    found = {r.node: r.component for r in graph.strong_components(e).collect()}
     assert found == {i: i for i in range(13)}
 
 
 def test_components_join_a_long_ring(spark):
     e = edges(spark, [(i, (i + 1) % 7) for i in range(7)] + [(6, 9)])
-    found = {r.node: r.component for r in graph.components_reaching(e).collect()}
+    found = {r.node: r.component for r in graph.strong_components(e).collect()}
     assert found == {**{i: 0 for i in range(7)}, 9: 9}
 
 
@@ -349,3 +352,114 @@ def test_url_filters_drop_junk():
     from claimloom.operators import views
 
     assert views.url_filters({"min_confidence": "1.7", "max_confidence": "x", "min_vacuity": "nan", "relations": "A,,B", "junk": "1", "routing": ""}) == {"min_confidence": 1.0, "relations": ["A", "B"]}
+
+
+def kosaraju(pairs):
+    """Smallest node of each node's strong component, without recursion."""
+    ahead, back = {}, {}
+    for a, b in pairs:
+        ahead.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    seen, order, comp = set(), [], {}
+    nodes = sorted({x for p in pairs for x in p})
+    for s in nodes:
+        if s in seen:
+            continue
+        seen.add(s)
+        stack = [(s, iter(ahead.get(s, ())))]
+        while stack:
+            for w in stack[-1][1]:
+                if w not in seen:
+                    seen.add(w)
+                    stack.append((w, iter(ahead.get(w, ()))))
+                    break
+            else:
+                order.append(stack.pop()[0])
+    for s in reversed(order):
+        if s in comp:
+            continue
+        held, stack = [s], [s]
+        comp[s] = s
+        while stack:
+            for w in back.get(stack.pop(), ()):
+                if w not in comp:
+                    comp[w] = s
+                    held.append(w)
+                    stack.append(w)
+        comp.update(dict.fromkeys(held, min(held)))
+    return comp
+
+
+def counted(monkeypatch):
+    tables = []
+    real = strong.cut
+    monkeypatch.setattr(strong, "cut", lambda df: tables.append(1) or real(df))
+    return tables
+
+
+def test_strong_components_of_long_chains_and_rings(spark, monkeypatch):
+    """3,000 edges in a chain, and in a ring whose nodes are shuffled: tables in proportion to the logarithm."""
+    order = list(range(3000))
+    random.Random(1).shuffle(order)
+    for pairs in ([(i, i + 1) for i in range(3000)], [(order[i], order[(i + 1) % 3000]) for i in range(3000)]):
+        tables = counted(monkeypatch)
+        began = time.time()
+        found = {r.node: r.component for r in strong.strong_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+        assert found == kosaraju(pairs)
+        assert len(tables) <= 3 * math.log2(3000) and time.time() - began < 60
+
+
+def test_strong_components_of_random_graphs_and_keys(spark):
+    r = random.Random(2)
+    graphs = {name: [(r.randrange(n), r.randrange(n)) for _ in range(m)] for name, n, m in (("a", 30, 40), ("b", 60, 70), ("c", 25, 60))}
+    # Rungs with two edges out and in at each node have no single edges to follow.
+    graphs["d"] = [(a, b) for i in range(20) for a, b in ((2 * i, 2 * i + 2), (2 * i, 2 * i + 3), (2 * i + 1, 2 * i + 2), (2 * i + 1, 2 * i + 3))]
+    rows = [(k, f"n{a:03}", f"n{b:03}") for k, pairs in graphs.items() for a, b in pairs]
+    found = {(x.g, x.node): x.component for x in strong.strong_components(spark.createDataFrame(rows, "g string, src string, dst string"), ("g",)).collect()}
+    assert found == {(k, f"n{a:03}"): f"n{c:03}" for k, pairs in graphs.items() for a, c in kosaraju(pairs).items()}
+
+
+def test_p_values_of_few_and_of_many_rows():
+    """Against integrals of the density over an angle, by Gauss's rule; the last two digits are the quadrature's own."""
+    x, w = np.polynomial.legendre.leggauss(60)
+
+    def area(a, b, df):
+        edges = np.linspace(a, b, 200)
+        mid, half = (edges[1:] + edges[:-1]) / 2, (edges[1:] - edges[:-1]) / 2
+        at = mid[:, None] + half[:, None] * x
+        return float((half[:, None] * w * np.exp((df - 1) * np.log(np.cos(at)))).sum())
+
+    for n in (3, 4, 5, 12, 100, 10**4, 10**6, 10**8):
+        wide = min(math.pi / 2, 45 / math.sqrt(n - 2))
+        for t in (0.01, 0.5, 1.5, 2.0, 3.0, 5.0, 6.5):
+            rho = t / math.sqrt(n - 2 + t * t)
+            low = math.atan(t / math.sqrt(n - 2))
+            assert evals.p_value(rho, n) == pytest.approx(max(1e-12, area(low, min(math.pi / 2, low + wide), n - 2) / area(0, wide, n - 2)), rel=1e-9)
+    assert evals.p_value(0.002, 10**6) == pytest.approx(0.0455003179, rel=1e-8)
+
+
+def test_graph_view_drops_what_is_cut_off(spark):
+    """Two rings that share a node, a tail, and an end that is no entity."""
+    pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 3), (5, 6), (7, 8)]
+    claims = spark.createDataFrame([(k, a, b, "OWNED_BY", 0.9, 0.1, "flag") for k, (a, b) in enumerate(pairs)], "claim_id long, subject_id long, object_id long, relation string, confidence double, vacuity double, routing string")
+    known = spark.createDataFrame([(k, f"n{k}") for k in (*range(1, 8), 9)], "entity_id long, canonical string")
+    view = views.risk_graph(claims, 100, entities=known)
+    assert {r.node: r.degree for r in view.nodes.collect()} == {1: 2, 2: 2, 3: 4, 4: 2, 5: 3, 6: 1, 7: 0, 9: 0}
+    assert {tuple(r.path) for r in view.cycles.collect()} == {(1, 2, 3), (3, 4, 5)} and view.edges.count() == 7
+    assert [r.truncated for r in view.nodes.collect()] == [False] * 8
+    few = views.risk_graph(claims, 4, entities=known)
+    kept = {r.node for r in few.nodes.collect()}
+    assert len(kept) == 4 and few.nodes.first().truncated and 3 in kept
+    assert {(r.src, r.dst) for r in few.edges.collect()} == {p for p in pairs if set(p) <= kept}
+    assert all(set(r.path) <= kept for r in few.cycles.collect())
+    near = views.risk_graph(claims, 100, root=6, depth=1)
+    assert {r.node: r.degree for r in near.nodes.collect()} == {5: 1, 6: 1} and near.cycles.count() == 0
+    with pytest.raises(ValueError):
+        views.risk_graph(claims, 100, root=6, depth=5)
+
+
+def test_paths_of_any_length_are_found(spark):
+    e = spark.createDataFrame([(1, k, k + 1) for k in range(40)], "key long, src long, dst long")
+    p = spark.createDataFrame([(1, 1, 0, 40)], "pair_id long, key long, start long, goal long")
+    assert graph.shortest_paths(e, p).first().path == list(range(41))
+    assert graph.shortest_paths(e, p, longest=5).count() == 0

@@ -27,10 +27,8 @@ from pyspark.sql import functions as F
 
 from claimloom.sources.durable import cut
 
-#: Rounds of doubling that one written table covers.
-ROUNDS = 2
-#: Trimming is repeated while it takes more than this share of the edges.
-WORTHWHILE = 0.1
+#: Chains are trimmed in every so many turns, again while that takes such a share of the edges; in between, splitting takes them apart too.
+TRIM_EVERY, WORTHWHILE = 3, 0.2
 
 
 def _ends(live: DataFrame) -> DataFrame:
@@ -48,85 +46,94 @@ def _lone_sides(live: DataFrame) -> DataFrame:
     return both.select("node", pointer("came"), pointer("went"), *[(F.col(f"n_{c}") == 0).alias(f"dead_{c}") for c in ("came", "went")])
 
 
+#: What a node learns from itself (kind 0) and from its two pointers' targets (1, 2).
+DOUBLED = [
+    "to AS node",
+    "max(IF(kind = 1, to_came, NULL)) AS to_came",
+    "max(IF(kind = 2, to_went, NULL)) AS to_went",
+    "IF(max(IF(kind = 0, to_came, NULL)) IS NULL, max(IF(kind = 0, dead_came, NULL)), max(IF(kind = 1, dead_came, NULL))) AS dead_came",
+    "IF(max(IF(kind = 0, to_went, NULL)) IS NULL, max(IF(kind = 0, dead_went, NULL)), max(IF(kind = 2, dead_went, NULL))) AS dead_went",
+]
+
+
 def _doubled(state: DataFrame) -> DataFrame:
-    """Each pointer replaced by its target's, and what its end says."""
-    for c in ("came", "went"):
-        ahead = state.select(F.col("node").alias(f"to_{c}"), F.col(f"to_{c}").alias("_next"), F.col(f"dead_{c}").alias("_dead"))
-        joined = state.join(ahead, f"to_{c}", "left")
-        state = joined.withColumn(f"dead_{c}", F.when(F.col(f"to_{c}").isNull(), F.col(f"dead_{c}")).otherwise(F.col("_dead"))).withColumn(f"to_{c}", F.col("_next")).drop("_next", "_dead")
-    return state.select("node", "to_came", "to_went", "dead_came", "dead_went")
+    """Each pointer replaced by its target's, and what its end says: one join and one aggregate for both directions."""
+    return state.sparkSession.sql(
+        f"""WITH asked AS (SELECT node AS at, node AS to, 0 AS kind FROM {{state}} UNION ALL SELECT to_came, node, 1 FROM {{state}} WHERE to_came IS NOT NULL
+            UNION ALL SELECT to_went, node, 2 FROM {{state}} WHERE to_went IS NOT NULL)
+        SELECT {", ".join(DOUBLED)} FROM asked JOIN {{state}} s ON s.node = at GROUP BY to""",
+        state=state,
+    )
 
 
-def trimmed(live: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """``live`` (src, dst; ``n`` rows) without nodes that chains of single edges tie to a node without edges in, or out."""
-    while n:
-        state = cut(_lone_sides(live))
-        open_ = F.col("to_came").isNotNull() | F.col("to_went").isNotNull()
-        if state.where("dead_came OR dead_went").isEmpty():
+def trimmed(live: DataFrame) -> DataFrame:
+    """``live`` (src, dst) without nodes that chains of single edges tie to a node without edges in, or out."""
+    state = cut(_lone_sides(live))
+    if state.where("dead_came OR dead_went").isEmpty():
+        return live
+    open_ = F.col("to_came").isNotNull() | F.col("to_went").isNotNull()
+    left = state.where(open_).count()
+    # Where a round ends no pointer, none is as far from its end as it reaches: the rest go round.
+    while left:
+        state = cut(_doubled(state))
+        left, before = state.where(open_).count(), left
+        if left == before:
             break
-        steps = math.ceil(math.log2(max(2, state.where(open_).count())))
-        for k in range(0, steps, ROUNDS):
-            for _ in range(min(ROUNDS, steps - k)):
-                state = _doubled(state)
-            state = cut(state)
-            if state.where(open_).isEmpty():
-                break
-        # A pointer that never ends goes round: not dead.
-        gone = state.where("(to_came IS NULL AND dead_came) OR (to_went IS NULL AND dead_went)").select("node")
-        live = cut(_without(live, gone))
-        before, n = n, live.count()
-        if before - n < WORTHWHILE * before:
-            break
-    return live, n
+    gone = state.where("(to_came IS NULL AND dead_came) OR (to_went IS NULL AND dead_went)").select("node")
+    return cut(_without(live, gone))
 
 
 def _without(live: DataFrame, gone: DataFrame) -> DataFrame:
     return live.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
 
 
-def _pointed(state: DataFrame, live: DataFrame) -> DataFrame:
-    """``state`` with pointers along an edge: to the neighbour with the smallest label, forward and backward."""
-    labels = state.select("node", "low", "high")
+def _pointed(labels: DataFrame, live: DataFrame) -> DataFrame:
+    """``labels`` (node, low, high) with pointers along an edge: to the neighbour with the smallest label, forward and backward."""
     back = live.join(labels.select(F.col("node").alias("src"), "low"), "src").groupBy(F.col("dst").alias("node")).agg(F.min_by("src", F.struct("low", "src")).alias("to_low"))
     on = live.join(labels.select(F.col("node").alias("dst"), "high"), "dst").groupBy(F.col("src").alias("node")).agg(F.min_by("dst", F.struct("high", "dst")).alias("to_high"))
     own = lambda c: F.coalesce(c, "node").alias(c)
     return labels.join(back, "node", "left").join(on, "node", "left").select("node", "low", "high", own("to_low"), own("to_high"))
 
 
-def _reached(state: DataFrame, live: DataFrame) -> DataFrame:
-    """One round: each label with those of neighbours and of the pointer's target, each pointer with its target's."""
-    here = state.select(F.col("node").alias("at"), "low", "high", "to_low", "to_high")
-    along = live.join(here.select(F.col("at").alias("src"), "low"), "src").select(F.col("dst").alias("node"), "low", F.lit(None).cast("long").alias("high"))
-    against = live.join(here.select(F.col("at").alias("dst"), "high"), "dst").select(F.col("src").alias("node"), F.lit(None).cast("long").alias("low"), "high")
-    near = along.unionByName(against).groupBy("node").agg(F.min("low").alias("near_low"), F.min("high").alias("near_high"))
-    out = state.join(near, "node", "left")
-    for c in ("low", "high"):
-        out = out.join(here.select(F.col("at").alias(f"to_{c}"), F.col(c).alias(f"far_{c}"), F.col(f"to_{c}").alias(f"next_{c}")), f"to_{c}", "left")
-    least = lambda c: F.least(c, f"near_{c}", f"far_{c}")
-    keep = [c for c in ("was_low", "was_high") if c in state.columns]
-    return out.select("node", least("low").alias("low"), least("high").alias("high"), F.coalesce("next_low", "to_low").alias("to_low"), F.coalesce("next_high", "to_high").alias("to_high"), *keep)
-
-
-def _labelled(live: DataFrame, turn: int) -> DataFrame:
-    """For each node of ``live`` the smallest priority that reaches it (low) and that it reaches (high), and its own."""
-    mask = F.lit((turn * 0x9E3779B97F4A7C15 >> 1) & (2**62 - 1) if turn else 0)
-    nodes = cut(_ends(live).distinct().withColumn("own", F.col("node").bitwiseXOR(mask)))
-    n = nodes.count()
-    state = nodes.select("node", F.col("own").alias("low"), F.col("own").alias("high"))
-    spent = math.ceil(math.log2(max(2, n)))
+#: What a node learns along edges (kind 0 forward, 1 backward), from its two pointers' targets (2, 3) and from itself (4).
+REACHED = [
+    "to AS node",
+    "min(IF(kind IN (0, 2, 4), low, NULL)) AS low",
+    "min(IF(kind IN (1, 3, 4), high, NULL)) AS high",
+    "max(IF(kind = 2, to_low, NULL)) AS to_low",
+    "max(IF(kind = 3, to_high, NULL)) AS to_high",
+    "max(IF(kind = 4, low, NULL)) AS was_low",
+    "max(IF(kind = 4, high, NULL)) AS was_high",
+]
+
+
+def _reached(state: DataFrame, arcs: DataFrame) -> DataFrame:
+    """One round: each label with those along ``arcs`` and of the pointer's target, each pointer with its target's.
+
+    ``arcs`` (at, to, kind) has every edge in both directions; all that a node asks for meets in one aggregate.
+    """
+    return state.sparkSession.sql(
+        f"""WITH asked AS (SELECT at, to, kind FROM {{arcs}} UNION ALL SELECT to_low, node, 2 FROM {{state}} UNION ALL SELECT to_high, node, 3 FROM {{state}} UNION ALL SELECT node, node, 4 FROM {{state}})
+        SELECT {", ".join(REACHED)} FROM asked JOIN {{state}} s ON s.node = at GROUP BY to""",
+        arcs=arcs,
+        state=state,
+    )
+
+
+def _labelled(live: DataFrame, n: int, turn: int) -> DataFrame:
+    """For each node of ``live`` (``n`` edges) its own priority, and the smallest that reaches it (low) and that it reaches (high)."""
+    own = F.col("node").bitwiseXOR(F.lit((turn * 0x9E3779B97F4A7C15 >> 1) & (2**62 - 1)))
+    state = _ends(live).distinct().select("node", own.alias("low"), own.alias("high"))
+    arcs = live.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(0).alias("kind")).unionByName(live.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(1).alias("kind")))
     done = False
     while not done:
-        state = cut(_pointed(state, live))
-        for _ in range(0, spent, ROUNDS):
-            state = state.withColumns({"was_low": F.col("low"), "was_high": F.col("high")})
-            for _ in range(ROUNDS):
-                state = _reached(state, live)
-            state = cut(state)
+        state = cut(_pointed(state.select("node", "low", "high"), live))
+        for _ in range(math.ceil(math.log2(n + 2))):  # by then the pointers are spent
+            state = cut(_reached(state, arcs))
             done = state.where("low <> was_low OR high <> was_high").isEmpty()
-            state = state.drop("was_low", "was_high")
             if done:
                 break
-    return state.select("node", "low", "high").join(nodes, "node")
+    return state.select("node", "low", "high", own.alias("own"))
 
 
 def strong_components(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -156,10 +163,14 @@ def _numbered_components(live: DataFrame) -> DataFrame | None:
     """``node`` and the ``id`` of its component, for nodes on cycles of ``live`` (src, dst: long); None if there are none."""
     n, turn, every = live.count(), 0, None
     while n:
-        live, n = trimmed(live, n)
+        more = turn % TRIM_EVERY == 0
+        while more and n:
+            live, before = trimmed(live), n
+            n = live.count()
+            more = before - n > WORTHWHILE * before
         if not n:
             break
-        labels = cut(_labelled(live, turn))
+        labels = _labelled(live, n, turn)
         heads = labels.where("low = own AND high = own").select(F.col("own").alias("low"), F.col("own").alias("high"))
         own = labels.join(heads, ["low", "high"], "left_semi").select("node", F.struct(F.lit(turn).alias("turn"), F.col("low").alias("label")).alias("id"))
         every = own if every is None else every.unionByName(own)

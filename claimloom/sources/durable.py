@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     Where the session names none, a local session (tests, a notebook) makes one; on a
     cluster executors do not share a driver's folders, so that is an error.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")

@@ -9,7 +9,8 @@ dense cluster marks content. An element whose class or id only has a furniture w
 beside others is dropped if less than half of its text is dense. The region is the
 innermost article, main, section, division or body that holds all of the content, or
 the article or main around it, and every line of it is kept, so neither a dense line
-nor a short paragraph between long ones is ever lost.
+nor a short paragraph between long ones is ever lost; where there is no article or main, headlines and
+paragraphs beside it are kept too. A form is dropped unless it holds most of the page's text.
 
 Defined results: a null or empty page, or one with furniture only, gives an empty
 text; unclosed and misnested tags close with the element around them; a page cut off
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 #: Fixed HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-FURNITURE = frozenset("script style noscript template nav footer aside form button select textarea input option iframe object svg canvas dialog menu head title".split())
+FURNITURE = frozenset("script style noscript template nav footer aside button select textarea input option iframe object svg canvas dialog menu head title".split())
 REGIONS = frozenset("article main section div body td".split())
 #: Words of a class, id or role that mark furniture.
 MARKS = frozenset(
@@ -80,15 +81,21 @@ class _Lines(HTMLParser):
         self.regions: list[int] = [0]
         self.region_in: list[int] = [0]
         self.region_last: dict[int, int] = {}
+        self.blocks: list[str] = [""]
+        self.form = self.forms = 0
         self.parts: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int, int]] = []
+        self.form_of: list[int] = []
+        self.block_of: list[str] = []
 
     def _cut(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
                 self.lines.append((text, self.tags, self.regions[-1], self.doubts[-1]))
+                self.form_of.append(self.form)
+                self.block_of.append(self.blocks[-1])
             self.parts = []
         self.tags = 0
 
@@ -121,6 +128,10 @@ class _Lines(HTMLParser):
         self.off -= off
         if doubt:
             self.doubts.pop()
+        if name not in INLINE:
+            self.blocks.pop()
+        if name == "form" and not self.count["form"]:
+            self.form = 0
         if name in REGIONS:
             self.region_last[self.regions.pop()] = len(self.region_in) - 1
         return name
@@ -171,6 +182,11 @@ class _Lines(HTMLParser):
         self.off += off
         self.open.append((tag, off, doubt))
         self.count[tag] += 1
+        if block:
+            self.blocks.append(tag)
+        if tag == "form" and not self.form:
+            self.forms += 1
+            self.form = self.forms
         if tag in REGIONS:
             region = len(self.region_in)
             self.region_in.append(self.regions[-1])
@@ -228,7 +244,15 @@ def main_text(html: str | None) -> str:
     page = _Lines()
     page.feed(html)
     page.close()
-    lines = page.lines
+    lines, blocks = page.lines, page.block_of
+    if page.forms:
+        # A form is furniture, unless the page is built inside it: then most of the text is.
+        size = Counter()
+        for form, (text, *_) in zip(page.form_of, lines, strict=True):
+            size[form] += len(text)
+        total = sum(size.values())
+        fine = [form == 0 or 2 * size[form] > total for form in page.form_of]
+        lines, blocks = ([x for x, f in zip(y, fine, strict=True) if f] for y in (lines, blocks))
     if not lines:
         return ""
     lengths = np.array([len(text) for text, *_ in lines], float)
@@ -243,8 +267,8 @@ def main_text(html: str | None) -> str:
     stays = [True] * len(weight)
     for doubt in range(1, len(weight)):
         stays[doubt] = stays[page.doubt_in[doubt]] and weight[doubt] >= 0
-    kept = [(text, mark, region) for mark, (text, _, region, doubt) in zip(content, lines, strict=True) if stays[doubt]]
-    marked = [region for _, mark, region in kept if mark] or [region for *_, region in kept]
+    kept = [(text, mark, region, block) for mark, block, (text, _, region, doubt) in zip(content, blocks, lines, strict=True) if stays[doubt]]
+    marked = [region for _, mark, region, _ in kept if mark] or [region for *_, region, _ in kept]
     if not marked:
         return ""
     # Regions that hold all of the marked lines; the greatest number is the innermost.
@@ -256,7 +280,9 @@ def main_text(html: str | None) -> str:
     common = [region for region, n in enumerate(held) if n == len(marked)]
     best = next((r for r in reversed(common) if r in page.wholes), common[-1])
     last = page.region_last.get(best, len(held) - 1)
-    return " ".join(text for text, _, region in kept if best <= region <= last)
+    # Without an article or main, a headline or paragraph beside the region belongs to it too.
+    beside = ("h1", "p") if best not in page.wholes else ()
+    return " ".join(text for text, _, region, block in kept if best <= region <= last or block in beside)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,8 +46,6 @@ from claimloom.llm.kernels import mixed, ranges, rows_of, window_hashes, word_bo
 
 #: Steps of a walk for each word, words that a signature samples, repetitions, and the recall that they are to reach.
 STEPS, SAMPLED, REPEATS, RECALL = 3, 2, 32, 0.99
-#: Words that a window may start off the place which an unchanged piece gives.
-SHIFTS = 2
 #: Share of an item's words that may be edited.
 MOST_EDITS = 0.2
 #: Items that one scan looks for.
@@ -154,6 +152,17 @@ class Items:
                 out[some] = stands.sum(1) >= n - most
         return out
 
+    def _known(self, words: np.ndarray, first: np.ndarray, rows: np.ndarray, starts: np.ndarray, wide: int, before: int, vocabulary: np.ndarray) -> np.ndarray:
+        """How many of the ``wide`` words from ``before`` words before each start, within its row, are in ``vocabulary``."""
+        low = np.maximum(first[rows], starts - before)
+        high = np.minimum(first[rows + 1], starts - before + wide)
+        out = np.zeros(len(rows), np.int64)
+        step = max(1, CELLS // wide)
+        for k in range(0, len(rows), step):
+            around = self._windows(words, low[k : k + step], high[k : k + step], wide)
+            out[k : k + step] = (vocabulary[np.minimum(np.searchsorted(vocabulary, around), len(vocabulary) - 1)] == around).sum(1)
+        return out
+
     def _places(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length of items the rows and starts of the windows that can hold one."""
         row = rows_of(first)
@@ -162,17 +171,14 @@ class Items:
         for n in np.unique(held[2]).tolist():
             rows, starts = held[:2, held[2] == n]
             most, vocabulary = int(most_edits(n)), self.lengths[n][0]
-            shifts = np.arange(-min(most, SHIFTS), min(most, SHIFTS) + 1)
+            # An edit before the piece moves it by a word, so an item may start as many words off as it has edits.
+            around = self._known(words, first, rows, starts, n + 4 * most, 2 * most, vocabulary)
+            rows, starts = rows[around >= n - most], starts[around >= n - most]
+            shifts = np.arange(-most, most + 1)
             rows, starts = np.repeat(rows, len(shifts)), (starts[:, None] + shifts).ravel()
             starts = np.clip(starts, first[rows], first[rows + 1] - 1)
             rows, starts = np.unique(np.stack([rows, starts]), axis=1)
-            # Words that items of this length have, in and near the window.
-            low, high = np.maximum(first[rows], starts - most), np.minimum(first[rows + 1], starts + n + most)
-            have = np.zeros(len(rows), np.int64)
-            step = max(1, CELLS // (n + 2 * most))
-            for k in range(0, len(rows), step):
-                around = self._windows(words, low[k : k + step], high[k : k + step], n + 2 * most)
-                have[k : k + step] = (vocabulary[np.minimum(np.searchsorted(vocabulary, around), len(vocabulary) - 1)] == around).sum(1)
+            have = self._known(words, first, rows, starts, n + 2 * most, most, vocabulary)
             rows, starts = rows[have >= n - most], starts[have >= n - most]
             if len(rows):
                 yield n, rows, starts

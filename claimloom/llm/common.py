@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from claimloom.sources.durable import shared_folder, written
 __all__ = ["free_name", "offsets_of", "shared_folder", "slices", "small", "table", "written"]
 
 #: Bytes of text that one vectorised step holds at a time; bounds a task's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Hand memory that was freed back to the system: a Python worker keeps it otherwise, while it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
 
 
 def offsets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,3 +71,14 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def one_of_each(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Of rows (doc_id and ``columns``, text among them) one for each doc_id: that with the smallest hash of its text.
+
+    Rows are combined before the shuffle, so a doc_id that very many rows share is no hot key.
+    """
+    from pyspark.sql import functions as F
+
+    first = rows.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.struct(F.xxhash64("text"), *[c for c in columns if c != "text"])).alias("_one"))
+    return first.select("doc_id", *[F.col("_one")[c].alias(c) for c in columns])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import offsets_of, slices
+from claimloom.llm.common import offsets_of, one_of_each, slices
 from claimloom.llm.kernels import ranges
 
 #: Labelled documents, and windows of each, that training sees.
@@ -160,8 +160,9 @@ def train(docs: DataFrame, allowed: Column) -> Network | None:
     """A network from the texts and languages of rows where ``allowed`` holds."""
     turn = F.xxhash64(F.col("doc_id"))
     usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    chosen = usable.select("doc_id", "lang").orderBy(turn, "doc_id", "lang").limit(SAMPLE)
-    texts = usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    chosen = usable.select("doc_id").distinct().orderBy(turn, "doc_id").limit(SAMPLE)
+    # One row of each doc_id, so that repeated ones do not grow the sample.
+    texts = one_of_each(usable.join(F.broadcast(chosen), "doc_id", "left_semi"), ["lang", "text"])
     kind = dict(docs.dtypes)["doc_id"]
     rows = texts.mapInArrow(_drawn, f"doc_id {kind}, lang string, nth long, window array<smallint>").toArrow()
     if not len(rows):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import offsets_of, slices
+from claimloom.llm.common import offsets_of, one_of_each, slices
 from claimloom.llm.kernels import word_bounds, word_hashes
 
 #: Documents in the sample: trusted positives, and texts taken as unlabelled.
@@ -180,8 +180,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sampled(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the texts whose ids are in ``ids``, a bounded sample."""
-    texts = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+    """Features of the texts whose ids are in ``ids``, a bounded sample: one row of each doc_id, however many share it."""
+    texts = one_of_each(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"), ["text"]).select("text")
     rows = texts.mapInArrow(_features, "x array<float>").toArrow().column("x").combine_chunks()
     flat = rows.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(rows), -1)[np.lexsort(flat.reshape(len(rows), -1).T)] if len(rows) else np.zeros((0, 1), np.float32)
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model | None:
     turn = F.xxhash64(F.col("doc_id"))
     trusted = labels.where(allowed & F.col("doc_id").isNotNull() & (F.col("quality") == 1)).select("doc_id").distinct()
     trusted = trusted.orderBy(turn, "doc_id").limit(POSITIVES)
-    others = docs.where(allowed & F.col("doc_id").isNotNull()).select("doc_id").orderBy(turn, "doc_id").limit(UNLABELLED)
+    others = docs.where(allowed & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(turn, "doc_id").limit(UNLABELLED)
     positive, unlabelled = _sampled(docs, trusted), _sampled(docs, others)
     if not len(positive) or not len(unlabelled):
         return None

@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.llm import piece_bpe, queries, runs, whitening
 
@@ -228,3 +229,48 @@ def test_whitening_of_the_test_table(spark):
     found = queries.op11_whitening(spark, "/root/testdata/sf0.001")
     assert dict(found.dtypes)["deviation"] == "bigint" and found.count() == 500 * 32
     assert found.agg({"identity_error": "max"}).first()[0] < 1e-9
+
+
+def test_a_doc_id_on_very_many_rows_does_not_grow_the_samples(spark):
+    from claimloom.llm import language_id, quality
+    from claimloom.llm.common import one_of_each
+
+    rows = [(k % 2, f"some words of text {k}", "en") for k in range(4000)] + [(k, "eine Zeile mit Worten", "de") for k in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = docs.select("doc_id").where("doc_id < 2").distinct()
+    assert len(quality._sampled(docs, ids)) == 2
+    assert one_of_each(docs, ["lang", "text"]).count() == 12
+    network = language_id.train(docs, F.lit(True))
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(docs.where("doc_id > 1"), network).collect()}
+    assert set(found) == set(range(2, 12))
+
+
+def test_items_whose_edits_all_stand_before_what_is_unchanged():
+    import pyarrow as pa
+
+    from claimloom.llm import decontaminate
+
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    for n, change in ((10, "in"), (30, "in"), (30, "out"), (100, "in"), (100, "out")):
+        items = [[r.choice(words) for _ in range(n)] for _ in range(25)]
+        texts = []
+        for item in items:
+            w = list(item)
+            for _ in range(n // 5):
+                if change == "in":
+                    w.insert(r.randrange(0, n // 4 + 1), r.choice(words))
+                else:
+                    del w[r.randrange(0, len(w) // 3)]
+            texts.append(" ".join([r.choice(words) for _ in range(20)] + w + [r.choice(words) for _ in range(20)]))
+        found = decontaminate.Items(list(range(25)), [" ".join(x) for x in items]).leaks(pa.array(texts))
+        assert len({row for row, item, *_ in found if row == item}) >= 24
+
+
+def test_pages_inside_a_form_and_text_beside_the_region():
+    from claimloom.llm.html_extract import main_text
+
+    p = "<p>This is a long paragraph with many words in it, so that it is dense text on this page, really.</p>"
+    said = "This is a long paragraph with many words in it, so that it is dense text on this page, really."
+    assert main_text(f"<body><form id=page><div class=nav><a>x</a></div><article>{p * 3}<p>Short.</p></article><input></form></body>") == " ".join([said] * 3 + ["Short."])
+    assert main_text(f"<body><div class=menu><a>m</a></div><h1>The headline</h1><div>{p * 3}</div><div><p>Last.</p></div><form><p>Your mail please</p></form></body>") == " ".join(["The headline", *[said] * 3, "Last."])

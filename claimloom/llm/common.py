@@ -17,7 +17,20 @@ __all__ = ["free_name", "offsets_of", "shared_folder", "slices", "small", "table
 SLICE_BYTES = 1 << 19
 
 
+#: Rows that Spark hands to Python at a time: texts are long, and two batches of each task are in memory on either side.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def batches_of_texts(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session for rows that hold texts; a smaller bound stays."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, for operators on texts."""
+    batches_of_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from claimloom.llm import decontaminate, mixing, quality, setjoin, wavelet
-from claimloom.llm.common import free_name, shared_folder, table, written
+from claimloom.llm.common import batches_of_texts, free_name, shared_folder, table, written
 
 #: Words in a shingle of the near-duplicate stage, and the similarity of a link in percent.
 WIDTH, PERCENT = 5, 80
@@ -36,6 +36,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A text without words links with nothing and stays; of rows with one doc_id the first by text
     stays, so repeated rows leave one; rows without doc_id have no group and all stay.
     """
+    batches_of_texts(spark)
     heads = setjoin.join(docs, WIDTH, PERCENT).where("doc_id = component_id").select("doc_id")
     turn = free_name(docs, "turn")
     kept = docs.join(heads, "doc_id", "left_semi").withColumn(turn, F.row_number().over(W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])))
@@ -57,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The mix takes no words from a document without any, so those are left out. Rows with the
     same doc_id, and those without one, are taken as often as the one of them that is taken most.
     """
+    batches_of_texts(spark)
     mixed = mixing.mix(docs).where("size > 0")
     key, often, nth = (free_name(docs, c) for c in ("mixed_id", "times", "time"))
     times = mixed.groupBy(F.col("doc_id").alias(key)).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias(often)).where(F.col(often) > 0)
@@ -70,6 +72,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null text is empty and holds the end id alone; rows without doc_id come first, rows with
     the same one in the order of their texts; an empty table gives no files and no rows.
     """
+    batches_of_texts(spark)
     return wavelet.encode_and_read(docs)
 
 

@@ -8,14 +8,30 @@ from pyspark.sql import functions as F
 #: Legal forms that a company name may end in.
 LEGAL_FORMS = "ag bv co company corp corporation gmbh group holding holdings inc incorporated limited llc llp lp ltd nv partners plc pte pty sa sarl spa srl".split()
 #: Patterns of the anchored weak labels.
-WEAK_LABELS = (("MONEY", r"^[$€£]\s?\d[\d,]*(\.\d+)?$"), ("DATE", r"^\d{4}-\d{2}-\d{2}$"), ("ACCOUNT", r"^[A-Z]{2}\d{2}[A-Z0-9]{8,30}$"))
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+SHORT_MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+WEAK_LABELS = (
+    ("MONEY", r"^\$\d[\d,]*(\.\d{2})?\z"),
+    ("DATE", rf"^(\d{{1,2}} ({MONTHS}) \d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}|({SHORT_MONTHS}) \d{{1,2}}, \d{{4}})\z"),
+    ("ACCOUNT", r"^((INV|AP|ACCT)-\d{3,6}(-X)?|REF/\d{3,6}/[A-Z]|PO \d{4,8})\z"),
+)
+#: What letters fold to beyond their lower case, as far as Latin letters come of it; a blank stands for a mark that no name keeps.
+FOLDS = {"ß": "ss", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ŉ": " n", "ǰ": "j ", "ẖ": "h ", "ẗ": "t ", "ẘ": "w ", "ẙ": "y ", "ẚ": "a "}
+
+
+def folded(text: Column) -> Column:
+    """Case folded, exact for all that becomes a Latin letter."""
+    out = F.lower(text)
+    for letter, others in FOLDS.items():
+        out = F.replace(out, F.lit(letter), F.lit(others))
+    return out
 
 
 def normalized_name(name: Column) -> Column:
-    """Lower case, runs of other characters as one space, trailing legal forms dropped."""
-    line = F.trim(F.regexp_replace(F.lower(name), "[^0-9a-z& ]+", " "))
+    """Case folded, runs of other characters as one space, all legal forms at the end dropped: a name of nothing else is empty."""
+    line = F.trim(F.regexp_replace(folded(name), "[^0-9a-z& ]+", " "))
     line = F.regexp_replace(line, r"\s+", " ")
-    return F.regexp_replace(line, rf"(\s+({'|'.join(LEGAL_FORMS)}))+$", "")
+    return F.regexp_replace(line, rf"((^|\s+)({'|'.join(LEGAL_FORMS)}))+$", "")
 
 
 def trigrams(text: Column) -> Column:

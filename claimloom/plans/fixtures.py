@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from claimloom.functions import tokens as token_functions
+
 #: Perturbation families in order, and the three outcomes of routing by severity.
 FAMILIES = ("synonym", "rename", "boilerplate", "reorder", "punctuation")
 BUCKETS = ("auto_file", "flag", "escalate")
@@ -139,23 +141,34 @@ def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
 TITLED = "titled AS (SELECT doc_id AS document_id, source, text, 'Document_' || doc_id AS title FROM documents)"
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty sentences of each document that claims come from, with gaps between them."""
-    docs = claims(spark, sf_dir).select("document_id").distinct()
-    return docs.select("document_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("sent")).select("document_id", "sent", (F.col("sent") * 120).alias("sent_start"), (F.col("sent") * 120 + 115).alias("sent_end"))
-
-
-SENTENCES = "sentences AS (SELECT document_id, sent, sent*120 AS sent_start, sent*120+115 AS sent_end FROM (SELECT DISTINCT document_id FROM claims), range(40) r(sent))"
-
-
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of twelve characters, ten to a sentence, of each document that claims come from."""
-    docs = claims(spark, sf_dir).select("document_id").distinct()
-    rows = docs.select("document_id", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("tok_idx"))
-    return rows.select("document_id", "tok_idx", F.floor(F.col("tok_idx") / 10).cast("int").alias("sent"), (F.col("tok_idx") * 12).alias("tok_start"), (F.col("tok_idx") * 12 + 11).alias("tok_end"))
+    """Tokens of the documents that claims come from, with their sentences."""
+    docs = claims(spark, sf_dir).select(F.col("document_id").alias("doc_id")).distinct()
+    held = table(spark, sf_dir, "documents").join(docs, "doc_id", "left_semi")
+    found = token_functions.tokens(held).withColumnsRenamed({"doc_id": "document_id", "char_start": "tok_start", "char_end": "tok_end"})
+    return found.select("document_id", "tok_idx", "sent", "surface", "tok_start", "tok_end")
 
 
-TOKENS = "tokens AS (SELECT document_id, tok_idx, CAST(tok_idx // 10 AS INTEGER) AS sent, tok_idx*12 AS tok_start, tok_idx*12+11 AS tok_end FROM (SELECT DISTINCT document_id FROM claims), range(400) r(tok_idx))"
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_functions.sentences(tokens(spark, sf_dir).withColumnsRenamed({"tok_start": "char_start", "tok_end": "char_end"}), "document_id")
+
+
+GOES_ON = ",".join(f"'{w}'" for w in token_functions.GOES_ON)
+SHORTENED = ",".join(f"'{w}'" for w in token_functions.SHORTENED)
+#: All tokens of ``{docs}`` (document_id, text): pieces that make up the whole text, their lengths added up, white space left out.
+ALL_TOKENS = rf"""parts AS (SELECT document_id, regexp_extract_all(text, '[0-9]+(?:[.,:/][0-9]+)*|[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*|[ \t\n\x0B\f\r]+|[^\p{{L}}\p{{N}} \t\n\x0B\f\r]') AS v FROM {{docs}}),
+piece AS (SELECT document_id, unnest(v) AS part, generate_subscripts(v, 1) AS n FROM parts),
+half AS (SELECT document_id, n, unnest(h) AS p, generate_subscripts(h, 1) AS k FROM (SELECT document_id, n, CASE WHEN regexp_full_match(part, '(?is)(.+?)(n[''’]t|[''’](?:s|re|ve|ll|d|m))')
+  THEN [regexp_extract(part, '(?is)^(.+?)(n[''’]t|[''’](?:s|re|ve|ll|d|m))$', 1), regexp_extract(part, '(?is)^(.+?)(n[''’]t|[''’](?:s|re|ve|ll|d|m))$', 2)] ELSE [part] END AS h FROM piece)),
+put AS (SELECT document_id, n, k, p, sum(length(p)) OVER w - length(p) AS tok_start, lag(p) OVER w AS gap FROM half WINDOW w AS (PARTITION BY document_id ORDER BY n, k)),
+word AS (SELECT document_id, n, k, p AS surface, tok_start, coalesce(regexp_matches(gap, '^[ \t\n\x0B\f\r]'), false) AS spaced, coalesce(contains(gap, chr(10)), false) AND regexp_matches(gap, '^[ \t\n\x0B\f\r]') AS broke,
+  coalesce(lag(p, 1) OVER w, '') AS l1, coalesce(lag(p, 2) OVER w, '') AS l2, coalesce(lag(p, 3) OVER w, '') AS l3 FROM put WHERE NOT regexp_matches(p, '^[ \t\n\x0B\f\r]') WINDOW w AS (PARTITION BY document_id ORDER BY n, k)),
+closed AS (SELECT *, CASE WHEN regexp_matches(l1, '^[)\]}}"''”’]$') AND l2 IN ('.', '!', '?') THEN l2 ELSE l1 END AS e, CASE WHEN regexp_matches(l1, '^[)\]}}"''”’]$') AND l2 IN ('.', '!', '?') THEN l3 ELSE l2 END AS a FROM word),
+begun AS (SELECT *, spaced AND l1 <> '' AND regexp_matches(surface, '^[\p{{Lu}}0-9(\[{{$“"'']') AND ((broke AND lower(l1) NOT IN ({GOES_ON}) AND l1 NOT IN (',', '-', '/'))
+  OR (e IN ('.', '!', '?') AND (e <> '.' OR NOT (lower(a) IN ({SHORTENED}) OR regexp_matches(a, '^\p{{L}}$'))))) AS opens FROM closed),
+tokens AS (SELECT document_id, CAST(row_number() OVER w - 1 AS INTEGER) AS tok_idx, CAST(sum(CAST(opens AS INTEGER)) OVER w AS INTEGER) AS sent, surface, CAST(tok_start AS INTEGER) AS tok_start, CAST(tok_start + length(surface) AS INTEGER) AS tok_end FROM begun WINDOW w AS (PARTITION BY document_id ORDER BY n, k))"""
+TOKENS = ALL_TOKENS.replace("{docs}", "(SELECT doc_id AS document_id, text FROM documents WHERE doc_id IN (SELECT document_id FROM claims)) x")
+SENTENCES = TOKENS + ", sentences AS (SELECT document_id, sent, min(tok_start) AS sent_start, max(tok_end) AS sent_end FROM tokens GROUP BY 1, 2)"
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from claimloom.functions import tokens as token_functions
 from claimloom.functions.text import sanitized, uuid5
-from claimloom.operators import entities, extraction, resolve
+from claimloom.operators import entities, extraction, resolve, spans
 from claimloom.plans import fixtures as X
-from claimloom.plans.fixtures import CLAIMS, ENTITIES, MENTIONS, table
+from claimloom.plans.fixtures import CLAIMS, ENTITIES, GOES_ON, MENTIONS, table
 from claimloom.plans.registry import query
 from claimloom.sources import synthetic
 from claimloom.streaming import feeds
@@ -53,10 +54,10 @@ def weak_labels(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", extraction.weak_match(surface, gazetteer).alias("label"))
 
 
-PIECES = r"""p AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+\s*')) AS v, generate_subscripts(regexp_extract_all(text, '\S+\s*'), 1) AS i FROM documents),
+PIECES = rf"""p AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+\s*')) AS v, generate_subscripts(regexp_extract_all(text, '\S+\s*'), 1) AS i FROM documents),
 t AS (SELECT doc_id, i, regexp_extract(v, '^\S+') AS surface, contains(v, chr(10)) AS breaks FROM p),
 o AS (SELECT *, lag(surface) OVER w AS b, lag(breaks) OVER w AS broke FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-f AS (SELECT doc_id, CASE WHEN coalesce(broke, false) AND NOT (list_contains(['a','an','and','as','at','but','by','for','from','in','into','of','on','or','the','to','with'], lower(b)) OR regexp_matches(b, '[,/-]$')) AND regexp_matches(surface, '^[\p{Lu}\p{Nd}(\[{$“"'']') THEN 1 ELSE 0 END AS o FROM o)"""
+f AS (SELECT doc_id, CASE WHEN coalesce(broke, false) AND NOT (list_contains([{GOES_ON}], lower(b)) OR regexp_matches(b, '[,/-]$')) AND regexp_matches(surface, '^[\p{{Lu}}\p{{Nd}}(\[{{$“"'']') THEN 1 ELSE 0 END AS o FROM o)"""
 
 
 @query(f"WITH {PIECES} SELECT doc_id, sum(o) + 1 AS segments FROM f GROUP BY 1")
@@ -101,15 +102,16 @@ def centred_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(extraction.centred(F.split("p_type", ""), 6, "_"), "").alias("cut"))
 
 
-@query("SELECT doc_id, CAST(least(length(text), 40) AS INTEGER) AS at FROM documents")
+@query("SELECT doc_id, CAST(length(t) + len(list_filter(string_split(t, ''), lambda c: strlen(c) = 4)) AS INTEGER) AS at FROM (SELECT doc_id, '😀' || text || '😀' AS t FROM documents)")
 def utf16_offsets(spark, sf_dir):
-    at = F.least(F.length("text"), F.lit(40))
-    return table(spark, sf_dir, "documents").select("doc_id", extraction.utf16_offset(F.col("text"), at).cast("int").alias("at"))
+    """The end of each text in UTF-16 units, with a character beyond the basic plane before and after it."""
+    text = F.concat(F.lit("😀"), "text", F.lit("😀"))
+    return table(spark, sf_dir, "documents").select("doc_id", extraction.utf16_offset(text, F.length(text)).cast("int").alias("at"))
 
 
-@query("SELECT doc_id, replace(replace(trim(regexp_replace(regexp_replace(translate(substr(text, 1, 300), chr(13) || chr(10) || chr(9), '   '), '[\\p{Cc}\\p{Cf}\\p{Co}]', '', 'g'), ' +', ' ', 'g')), '<<<', '< < <'), '>>>', '> > >') AS line FROM documents")
+@query("SELECT doc_id, replace(replace(trim(regexp_replace(regexp_replace(translate(text, chr(13) || chr(10) || chr(9), '   '), '[\\p{Cc}\\p{Cf}\\p{Co}]', '', 'g'), ' +', ' ', 'g')), '<<<', '< < <'), '>>>', '> > >') AS line FROM documents")
 def sanitized_heads(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", sanitized(F.substring("text", 1, 300)).alias("line"))
+    return table(spark, sf_dir, "documents").select("doc_id", sanitized(F.col("text"), 1_000_000_000).alias("line"))
 
 
 @query("SELECT n_nationkey, substr(sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(n_name)), 1, 8) AS head FROM nation")
@@ -117,9 +119,9 @@ def named_identifiers(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.substring(uuid5(NAMESPACE, F.col("n_name")), 1, 8).alias("head"))
 
 
-@query("WITH n AS (SELECT p_partkey AS id, lower(p_name) || ' ' || lower(p_type) AS name FROM part), w AS (SELECT id, string_split(name, ' ') AS w FROM n), s AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS w FROM part WHERE p_partkey % 50 = 0) SELECT s.id AS short_id, w.id + 1000000 AS long_id FROM s JOIN w ON s.w[1] = w.w[1] AND length(s.w[1]) >= 4 AND len(s.w) < len(w.w) AND w.w[1:len(s.w)] = s.w WHERE w.id % 50 = 0")
+@query("WITH n AS (SELECT p_partkey AS id, lower(p_name) || ' ' || lower(p_type) AS name FROM part), w AS (SELECT id, string_split(name, ' ') AS w FROM n), s AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS w FROM part) SELECT s.id AS short_id, w.id + 1000000 AS long_id FROM s JOIN w ON s.w[1] = w.w[1] AND length(s.w[1]) >= 4 AND len(s.w) < len(w.w) AND w.w[1:len(s.w)] = s.w")
 def prefix_matches(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey % 50 = 0")
+    part = table(spark, sf_dir, "part")
     long = part.select((F.col("p_partkey") + 1_000_000).alias("id"), F.concat_ws(" ", F.lower("p_name"), F.lower("p_type")).alias("name"))
     short = part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
     return entities.prefix_matches(short.unionByName(long)).where("short_id < 1000000 AND long_id >= 1000000")
@@ -159,3 +161,27 @@ def assigned_documents(spark, sf_dir):
 def sliding_windows(spark, sf_dir):
     out = feeds.sliding(table(spark, sf_dir, "events"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+ALL = X.ALL_TOKENS.replace("{docs}", "(SELECT doc_id AS document_id, text FROM documents) x")
+
+
+@query(f"WITH {ALL} SELECT document_id AS doc_id, tok_idx, sent, surface, tok_start AS char_start, tok_end AS char_end FROM tokens")
+def document_tokens(spark, sf_dir):
+    """Every token of every document, by the table function."""
+    return token_functions.tokens(table(spark, sf_dir, "documents")).select("doc_id", "tok_idx", "sent", "surface", "char_start", "char_end")
+
+
+@query(f"WITH {ALL} SELECT document_id AS doc_id, sent, min(tok_start) AS sent_start, max(tok_end) AS sent_end FROM tokens GROUP BY 1, 2")
+def document_sentences(spark, sf_dir):
+    return token_functions.sentences(token_functions.tokens(table(spark, sf_dir, "documents")))
+
+
+@query(f"WITH {ALL}, s AS (SELECT document_id, tok_idx, surface, CASE WHEN tok_idx % 97 = 5 THEN tok_start + 1 ELSE tok_start END AS a, CASE WHEN tok_idx % 97 = 5 THEN tok_end + 1 ELSE tok_end END AS b FROM tokens) SELECT doc_id, tok_idx FROM s JOIN documents ON doc_id = document_id WHERE substr(text, a + 1, b - a) <> surface")
+def spoiled_offsets(spark, sf_dir):
+    """Tokens whose text is not where they say; every 97th offset is one too large, which the check finds."""
+    docs = table(spark, sf_dir, "documents")
+    found = token_functions.tokens(docs)
+    off = F.when(F.col("tok_idx") % 97 == 5, 1).otherwise(0)
+    moved = found.withColumns({"char_start": F.col("char_start") + off, "char_end": F.col("char_end") + off})
+    return spans.broken_offsets(moved, docs).select("doc_id", "tok_idx")

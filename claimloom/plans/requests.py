@@ -403,9 +403,9 @@ def flagged_claims(spark, sf_dir):
     return answers.briefing_scope(C._routed(spark, sf_dir), "flagged").select("claim_id")
 
 
-@query("SELECT arg_min(c_custkey, (-length(regexp_extract(c_name, '[0-9]+')), c_custkey)) AS entity_id FROM customer WHERE c_custkey % 7 = 3")
+@query("SELECT arg_min(c_custkey, (-length(regexp_extract(c_name, '[0-9]+')), c_custkey)) AS entity_id FROM customer")
 def first_match(spark, sf_dir):
-    names = table(spark, sf_dir, "customer").where("c_custkey % 7 = 3").select(F.col("c_custkey").alias("entity_id"), F.length(F.regexp_extract("c_name", "[0-9]+", 0)).alias("weight"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.length(F.regexp_extract("c_name", "[0-9]+", 0)).alias("weight"))
     return answers.first_match(names).select("entity_id")
 
 

@@ -52,10 +52,16 @@ def plain_html(html: str) -> str:
 
 
 def csv_lines(text: str) -> str:
-    """Rows as lines, cells joined by a bar; blank cells and rows are dropped. The delimiter is the commonest of three."""
-    head = text[:4096]
-    rows = csv.reader(io.StringIO(text), delimiter=max(",;\t", key=head.count))
-    lines = [" | ".join(c.strip() for c in row if c.strip()) for row in rows]
+    """Rows as lines, cells joined by a bar; empty cells and rows of them are dropped, a line feed inside a cell becomes a blank.
+
+    The dialect is guessed from the beginning: a comma, semicolon or tab, and quotes.
+    """
+    try:
+        dialect: type[csv.Dialect] = csv.Sniffer().sniff(text[:4096], delimiters=",;\t")
+    except csv.Error:
+        dialect = csv.excel
+    rows = csv.reader(io.StringIO(text, newline=""), dialect)
+    lines = [" | ".join(cell.replace("\n", " ") for cell in row if cell) for row in rows]
     return "\n".join(line for line in lines if line)
 
 

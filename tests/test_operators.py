@@ -463,3 +463,125 @@ def test_paths_of_any_length_are_found(spark):
     p = spark.createDataFrame([(1, 1, 0, 40)], "pair_id long, key long, start long, goal long")
     assert graph.shortest_paths(e, p).first().path == list(range(41))
     assert graph.shortest_paths(e, p, longest=5).count() == 0
+
+
+def read_in_order(rows, stored=()):
+    """What one reader of all names decides; ``rows`` (position, surface), ``stored`` (entity, surface, alias)."""
+    from claimloom.operators.resolve import HEAD, LEAST, key_of, vector
+
+    known, own, out = {}, [], {}
+    for entity, surface, alias in sorted(stored, key=lambda s: (s[2], s[0])):
+        if key_of(surface) not in known:
+            known[key_of(surface)] = entity
+            if not alias:
+                own.append((vector(key_of(surface)), entity))
+    for position, surface in rows:
+        key = key_of(surface)
+        if key in known:
+            out[position] = (known[key], "exact")
+            continue
+        words, best = key.split(), (0, None)
+        for other, entity in known.items():
+            o = other.split()
+            n = min(len(words), len(o))
+            if n > best[0] and len(words[0]) >= HEAD and words[:n] == o[:n]:
+                best = (n, entity)
+        if best[0]:
+            out[position] = (best[1], "prefix")
+        else:
+            scores = np.round([v @ vector(key) for v, _ in own], 12) if own else np.zeros(0)
+            if len(scores) and scores.max() >= LEAST:
+                out[position] = (own[int(scores.argmax())][1], "cosine")
+            else:
+                out[position] = (position, "new")
+                own.append((vector(key), position))
+        known[key] = out[position][0]
+    return out
+
+
+def random_names(r, n):
+    heads = ["meridian", "pinebrook", "aa", "aaaaaaaaaaaa", "north", "northern", "calder & vane", "o", "straße"]
+    tails = ["supply", "suply", "freight", "llc", "logistics", "inc", "group", "holdings", "of the north", "b", "1"]
+    out = []
+    for _ in range(n):
+        name = " ".join([r.choice(heads), *[r.choice(tails) for _ in range(r.randrange(0, 4))]])
+        if r.random() < 0.5:
+            k = r.randrange(len(name))
+            name = name[:k] + r.choice("abcdefgh -.") + name[k + r.randrange(0, 2) :]
+        out.append(r.choice([name, name.upper(), name.title()]))
+    return out
+
+
+def test_resolution_by_rounds_equals_reading_in_order(spark):
+    from claimloom.operators import resolve
+
+    r = random.Random(6)
+    tenants = {org: [(p, s) for p, s in zip(r.sample(range(10_000), n), random_names(r, n), strict=True)] for org, n in ((1, 150), (2, 60), (3, 8))}
+    tenants[4] = [(k, f"Customer#{k:09}") for k in range(120)]  # all resemble each other
+    stored = {1: [(20_000 + k, s, k > 4) for k, s in enumerate(random_names(r, 9))], 3: [(30_000, "Pinebrook", False)]}
+    mentions = spark.createDataFrame([(o, p, s) for o, rows in tenants.items() for p, s in rows], "org_id int, position long, surface string").repartition(5)
+    known = spark.createDataFrame([(o, *s) for o, rows in stored.items() for s in rows], "org_id int, entity_id long, surface string, alias boolean")
+    for entities, kept in ((None, {}), (known, stored)):
+        found = {(x.org_id, x.position): (x.entity_id, x.method) for x in resolve.resolved(mentions, entities).collect()}
+        want = {(o, p): v for o, rows in tenants.items() for p, v in read_in_order(sorted(rows), kept.get(o, ())).items()}
+        assert found == want
+        assert {m for _, m in want.values()} == {"exact", "prefix", "cosine", "new"}
+
+
+def test_matching_vectors_share_a_list():
+    from claimloom.operators import resolve
+
+    r = random.Random(7)
+    order = np.random.default_rng(1).permutation(resolve.WIDTH)
+    keys = [resolve.key_of(s) for s in random_names(r, 250)] + ["ab", "a", "aaa", "aaaa bc", "abc"]
+    parts = [(v := resolve.vector(k), *map(set, resolve.lists_of(v, order))) for k in keys]
+    near = 0
+    for i, (v, sets, ones) in enumerate(parts):
+        for w, other_sets, other_ones in parts[:i]:
+            if v @ w >= resolve.LEAST:
+                near += 1
+                assert sets & other_sets if sets and other_sets else ones & other_ones
+    assert near > 100
+
+
+def test_tokens_slice_back_and_sentences_end_where_they_should(spark):
+    from claimloom.functions import tokens as K
+
+    texts = [
+        'Dr. Smith\'s firm paid $1,234.50 to "North Star". It\'s done!  Next one (see p. 4). Really? yes.',
+        "INVOICE 12\nBill to\nAcme Ltd.\nThe sum of\nTen is due, and\nHe didn’t pay. 😀 Über 3rd\x0bday",
+        "", None, "   ", "…", "a" * 5000,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = K.tokens(df).collect()
+    for r in rows:
+        assert texts[r.doc_id][r.char_start : r.char_end] == r.surface
+    of = lambda d: [r.surface for r in sorted(rows, key=lambda r: r.tok_idx) if r.doc_id == d]
+    assert of(0)[:6] == ["Dr", ".", "Smith", "'s", "firm", "paid"] and "1,234.50" in of(0) and of(0)[of(0).index("It") + 1] == "'s"
+    spans_ = sorted((r.doc_id, r.sent, r.sent_start, r.sent_end) for r in K.sentences(K.tokens(df)).collect())
+    said = [texts[d][a:b] for d, _, a, b in spans_]
+    assert said[:4] == ['Dr. Smith\'s firm paid $1,234.50 to "North Star".', "It's done!", "Next one (see p. 4).", "Really? yes."]
+    assert said[4:8] == ["INVOICE 12", "Bill to\nAcme Ltd.", "The sum of\nTen is due, and\nHe didn’t pay. 😀 Über 3rd\x0bday", "…"]
+    assert {r.doc_id for r in rows} == {0, 1, 5, 6}
+    K.register(spark)
+    assert spark.sql("SELECT count(*) AS n FROM VALUES ('a b.'), ('c') v(text), LATERAL tokens_of(v.text)").first().n == 4
+
+
+def test_names_fold_like_python(spark):
+    from claimloom.operators import resolve
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and any(x.isascii() and x.isalnum() for x in chr(c).casefold())]
+    names = [f"x{c}y" for c in every] + ["Acme Co Ltd", "Co. Ltd", "Taco", "GmbH & Co", "ẞtraße LLC"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", T.normalized_name(F.col("n")).alias("k"))
+    for r in df.collect():
+        assert (r.k or r.n.casefold()) == resolve.key_of(r.n)
+
+
+def test_cells_with_line_feeds_make_one_row():
+    assert sources.csv_lines('a;b\n"x\ny"; z \n;\n1;2') == "a | b\nx y | z \n1 | 2"
+
+
+def test_weak_labels(spark):
+    cases = {"$1,200.50": "MONEY", "$5.1": None, "€5": None, "3 March 2026": "DATE", "2026-03-14": "DATE", "Mar 3, 2026": "DATE", "March 3, 2026": None, "INV-1234": "ACCOUNT", "ACCT-12-X": None, "AP-123-X": "ACCOUNT", "REF/1234/B": "ACCOUNT", "PO 12345": "ACCOUNT", "PO 12345\n": None}
+    df = spark.createDataFrame([(c,) for c in cases], "s string").select("s", T.weak_label(F.col("s")).alias("label"))
+    assert {r.s: r.label for r in df.collect()} == cases

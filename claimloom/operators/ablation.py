@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from claimloom.operators import spans
+from claimloom.functions import trust
+from claimloom.operators import routing, spans
+from claimloom.sources.durable import cut
 
 #: A change beyond this carries load; bounds of the verdict's words.
 LOAD = 0.10
@@ -68,3 +70,78 @@ def sweep(effects: DataFrame) -> DataFrame:
     return effects.groupBy("edge_count", "mode").agg(
         F.count("*").alias("n"), F.round(F.avg(F.abs("change")), 6).alias("mean_change"), F.round(F.max(F.abs("change")), 6).alias("max_change"), F.round(F.avg(F.col("load_bearing").cast("double")), 6).alias("load_share")
     )
+
+
+#: A sentence's graph is found by the exact span that its claim cites, never by its text.
+SPAN = ["document_id", "char_start", "char_end"]
+
+
+def ablate(requests: DataFrame, claims: DataFrame, nodes: DataFrame, edges: DataFrame, relations: tuple[str, ...], members: DataFrame | None = None) -> DataFrame:
+    """Each requested run: what a stored claim's confidence, relation and routing become without some edges of its sentence.
+
+    ``requests``: run_id, claim_id, mode (zero or uniform), masked (array of edge ids). ``claims``: claim_id, document_id,
+    char_start, char_end, subject_id, object_id, relation, confidence. ``nodes``: the span and node, entity_id.
+    ``edges``: the span and src, dst, score, values (array of one logit for each of ``relations``). A node is read
+    as the mean of the values that reach it, weighted by the softmax of the scores of the edges into it; a pair as the mean of its two nodes.
+
+    A run is refused, with the reason and without figures, if its claim is gone, no graph has its span, one of its parties is no
+    node there, its mode is unknown, it masks nothing, or an edge that is not in the graph (an edge from a node to itself is none).
+    Of a party with several nodes the first counts. All runs are one plan; routing is worked out again in the context of all claims.
+    """
+    runs = requests.select("run_id", F.col("claim_id").alias("_asked"), "mode", F.array_distinct("masked").alias("masked"))
+    own = claims.select("claim_id", *SPAN, "subject_id", "object_id", F.col("relation").alias("claimed"))
+    met = runs.join(own, runs["_asked"] == own["claim_id"], "left")
+    place = nodes.groupBy(*SPAN, "entity_id").agg(F.min("node").alias("node"))
+    for side in ("subject", "object"):
+        met = met.join(place.select(*SPAN, F.col("entity_id").alias(f"{side}_id"), F.col("node").alias(f"{side}_node")), [*SPAN, f"{side}_id"], "left")
+    real = edges.where("src <> dst")
+    known = real.groupBy(*SPAN).agg(F.collect_set(edge_id(F.col("src"), F.col("dst"))).alias("known"))  # of one sentence
+    met = met.join(known, SPAN, "left")
+    unknown = F.array_sort(F.array_except("masked", F.coalesce("known", F.array().cast("array<string>"))))
+    refused = (
+        F.when(F.col("claim_id").isNull(), "no such claim").when(F.col("known").isNull(), "no sentence at this span")
+        .when(F.col("subject_node").isNull() | F.col("object_node").isNull(), "a party is not in the sentence").when(~F.col("mode").isin("zero", "uniform") | F.col("mode").isNull(), "unknown mode")
+        .when(F.col("masked").isNull() | (F.size("masked") == 0), "nothing masked").when(F.size(unknown) > 0, F.concat(F.lit("unknown edges: "), F.array_join(unknown, ",")))
+    )
+    met = cut(met.withColumn("refused", refused).drop("known"))
+    able = met.where("refused IS NULL")
+    into = able.select("run_id", "mode", "masked", *SPAN, F.explode(F.array("subject_node", "object_node")).alias("dst"))
+    rows = into.distinct().join(real, [*SPAN, "dst"]).withColumn("off", F.array_contains("masked", edge_id(F.col("src"), F.col("dst"))))
+    # Softmax shares from sums alone; the largest score only keeps the exponentials in range.
+    tops = rows.groupBy("run_id", "dst").agg(F.max("score").alias("top"), F.count("*").alias("n"))
+    weighed = rows.join(tops, ["run_id", "dst"]).withColumn("e", F.exp(F.col("score") - F.col("top")))
+    whole = weighed.groupBy("run_id", "dst").agg(F.sum("e").alias("whole"))
+    share = F.col("e") / F.col("whole")
+    after = F.when(F.col("mode") == "zero", F.when(F.col("off"), 0.0).otherwise(share)).otherwise(F.when(F.col("off"), 1.0 / F.col("n")).otherwise(share))
+    shares = weighed.join(whole, ["run_id", "dst"]).withColumns({"before": share, "after": after})
+    mean = lambda w, k: F.coalesce(F.try_divide(F.sum(F.col(w) * F.col("values")[k]), F.sum(w)), F.lit(0.0)).alias(f"{w}{k}")
+    read = shares.groupBy("run_id", "dst").agg(*[mean(w, k) for w in ("before", "after") for k in range(len(relations))])
+    pair = read.groupBy("run_id").agg(*[F.avg(f"{w}{k}").alias(f"{w}{k}") for w in ("before", "after") for k in range(len(relations))])
+    logits = lambda w: F.array(*[F.col(f"{w}{k}") for k in range(len(relations))])
+    names = F.array(*[F.lit(r) for r in relations])
+    figures = pair.select("run_id", *[x for w in ("before", "after") for x in (trust.evidence(logits(w)).alias(f"e_{w}"), names[F.array_position(logits(w), F.array_max(logits(w))).cast("int") - 1].alias(f"relation_{w}"))])
+    figures = figures.select("run_id", "relation_before", "relation_after", *[x for w in ("before", "after") for x in (trust.confidence(F.col(f"e_{w}")).alias(f"confidence_{w}"), trust.vacuity(F.col(f"e_{w}")).alias(f"vacuity_{w}"))])
+    done = cut(able.join(figures, "run_id"))
+    for w in ("before", "after"):
+        changed = done.select("run_id", "subject_id", "object_id", F.col("claimed").alias("relation"), F.col(f"confidence_{w}").alias("confidence"))
+        done = done.join(routing.scored(claims, members, changed=changed, key="run_id").select("run_id", F.col("routing").alias(f"routing_{w}")), "run_id")
+    change = F.col("confidence_after") - F.col("confidence_before")
+    moved = F.col("routing_before") != F.col("routing_after")
+    result = done.select(
+        "run_id", "relation_before", "relation_after", "routing_before", "routing_after", *[F.round(f"{c}_{w}", 6).alias(f"{c}_{w}") for c in ("confidence", "vacuity") for w in ("before", "after")],
+        F.round(change, 6).alias("change"), ((F.abs(change) > LOAD) | moved).alias("load_bearing"),
+        verdict(change, F.size("masked"), F.col("relation_before"), F.col("relation_after"), moved).alias("verdict"),
+    )
+    return met.select("run_id", F.col("_asked").alias("claim_id"), "mode", F.array_join(F.array_sort("masked"), ",").alias("masked"), "refused").join(result, "run_id", "left")
+
+
+def verdict(change: Column, n: Column, before: Column, after: Column, rerouted: Column) -> Column:
+    """One sentence on a run: what changed most decides which it is."""
+    edges = F.concat(n.cast("string"), F.when(n == 1, F.lit(" edge")).otherwise(F.lit(" edges")))
+    size = F.concat(magnitude(change), F.when(change < 0, F.lit(" loss")).otherwise(F.lit(" gain")), F.lit(" of confidence"))
+    return (
+        F.when(before != after, F.concat(F.lit("Without "), edges, F.lit(" the sentence reads as "), after, F.lit(" and no longer as "), before, F.lit(", a "), size, F.lit(".")))
+        .when(rerouted, F.concat(F.lit("Without "), edges, F.lit(" the claim is routed elsewhere, with a "), size, F.lit(".")))
+        .when(F.abs(change) > LOAD, F.concat(F.lit("The claim rests on "), edges, F.lit(": masking brings a "), size, F.lit(".")))
+        .otherwise(F.concat(F.lit("The claim holds without "), edges, F.lit(".")))
+    )

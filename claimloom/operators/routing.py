@@ -40,13 +40,16 @@ def cosigned_among(pairs: DataFrame, claims: DataFrame) -> DataFrame:
     return one.join(signed.withColumnRenamed("object_id", "high"), ["subject_id", "high"], "left_semi").select("low", "high").distinct()
 
 
-def scored(claims: DataFrame, members: DataFrame | None = None, digits: int = 4) -> DataFrame:
-    """claim_id, risk, routing and reasons of each claim in the context of all.
+def scored(claims: DataFrame, members: DataFrame | None = None, digits: int = 4, changed: DataFrame | None = None, key: str = "claim_id") -> DataFrame:
+    """``key``, risk, routing and reasons of each claim in the context of all.
+
+    ``changed`` are claims (subject_id, object_id, relation, confidence and ``key``) to route instead, such as one claim at
+    several confidences, in the fixed context of ``claims``.
 
     ``members`` has the nodes on cycles by relation. A claim whose two ends are members of
     the same relation's cycles gets the cycle's addition once, whatever its own relation is.
     """
-    keyed = claims.withColumns({"low": F.least("subject_id", "object_id"), "high": F.greatest("subject_id", "object_id")})
+    keyed = (claims if changed is None else changed).withColumns({"low": F.least("subject_id", "object_id"), "high": F.greatest("subject_id", "object_id")})
     if members is None:
         members = graph.cycle_members(graph.grouped_edges(graph.routing_by_confidence(claims)))
     # Ownership comes first where both ends are members of either.
@@ -67,7 +70,7 @@ def scored(claims: DataFrame, members: DataFrame | None = None, digits: int = 4)
     added = sum((F.when(t, F.lit(v)).otherwise(0.0) for _, v, t in tests), base)
     risk = F.greatest(F.lit(0.0), F.least(F.lit(1.0), added * (0.5 + 0.5 * F.col("confidence"))))
     return joined.withColumn("raw", risk).select(
-        "claim_id",
+        key,
         F.round("raw", digits).alias("risk"),
         F.when(F.col("raw") >= ESCALATE, "escalate").when(F.col("raw") >= FLAG, "flag").otherwise("auto_file").alias("routing"),
         F.array_join(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, _, t in tests])), ",").alias("reasons"),

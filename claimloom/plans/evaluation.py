@@ -259,3 +259,37 @@ def routing_eval(spark, sf_dir):
     claims = every.where(k % 11 > 0).select("claim_id", F.when(k % 4 > 0, name[(k % 4 % 3).cast("int")]).alias("classical"))
     opinions = every.where(k % 9 == 0).select("truth", F.when(k % 2 == 0, F.col("truth")).otherwise(F.col("predicted")).alias("predicted"))
     return views.routing_view(cases, claims, opinions, BUCKETS).summary
+
+
+def _value(k: int) -> str:
+    return f"CAST((m * {3 + k} + {k * 29}) % 61 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(3 AS DOUBLE)"
+
+
+NAMES = ",".join(f"'{r}'" for r in X.RELATIONS)
+ABLATED = f"""c AS (SELECT *, CAST(claim_id * 37 % 4000 AS INTEGER) AS a, CAST(claim_id * 37 % 4000 + 80 + claim_id % 9 AS INTEGER) AS b FROM claims),
+party AS (SELECT DISTINCT document_id, a, b, 0 AS node, subject_id AS entity_id FROM c UNION SELECT DISTINCT document_id, a, b, 1, object_id FROM c WHERE claim_id % 13 > 0),
+first AS (SELECT document_id, a, b, entity_id, min(node) AS node FROM party GROUP BY ALL),
+req AS (SELECT claim_id * 2 + k AS run_id, claim_id, CASE WHEN k = 0 THEN 'uniform' ELSE 'zero' END AS mode, CASE WHEN claim_id % 19 = 0 THEN ['0->0', '9->1'] WHEN k = 0 THEN [(claim_id % 3 + 1) || '->0'] ELSE ['2->1', '3->0'] END AS masked FROM claims, range(2) r(k)),
+met AS (SELECT r.*, c.document_id, c.a, c.b, c.subject_id, c.object_id, c.relation, s.node AS sn, o.node AS n_o FROM req r JOIN c USING (claim_id) LEFT JOIN first s ON s.document_id = c.document_id AND s.a = c.a AND s.b = c.b AND s.entity_id = c.subject_id
+  LEFT JOIN first o ON o.document_id = c.document_id AND o.a = c.a AND o.b = c.b AND o.entity_id = c.object_id),
+told AS (SELECT *, CASE WHEN sn IS NULL OR n_o IS NULL THEN 'a party is not in the sentence' WHEN claim_id % 19 = 0 THEN 'unknown edges: 0->0,9->1' END AS refused FROM met),
+arc AS (SELECT run_id, mode, dst, list_contains(masked, src || '->' || dst) AS off, a * 5 + src * 7 + dst * 11 AS m FROM told, range(4) s(src), range(4) d(dst) WHERE refused IS NULL AND src <> dst AND (dst = sn OR dst = n_o)),
+sco AS (SELECT *, exp(CAST(m % 17 AS DOUBLE) / CAST(4 AS DOUBLE)) AS e FROM arc),
+wt AS (SELECT *, e / sum(e) OVER (PARTITION BY run_id, dst) AS w0, count(*) OVER (PARTITION BY run_id, dst) AS n FROM sco),
+wb AS (SELECT *, CASE WHEN NOT off THEN w0 WHEN mode = 'zero' THEN 0 ELSE CAST(1 AS DOUBLE) / n END AS w1 FROM wt),
+nd AS (SELECT run_id, dst, [{", ".join(f"sum(w0 * ({_value(k)})) / sum(w0)" for k in range(6))}] AS z0, [{", ".join(f"sum(w1 * ({_value(k)})) / sum(w1)" for k in range(6))}] AS z1 FROM wb GROUP BY 1, 2),
+pr AS (SELECT run_id, [{", ".join(f"avg(z0[{k + 1}])" for k in range(6))}] AS z0, [{", ".join(f"avg(z1[{k + 1}])" for k in range(6))}] AS z1 FROM nd GROUP BY 1),
+fig AS (SELECT run_id, [{NAMES}][list_position(z0, list_max(z0))] AS r0, [{NAMES}][list_position(z1, list_max(z1))] AS r1, list_transform(z0, lambda x: greatest(x, 0.0) + ln(1 + exp(-abs(x)))) AS e0, list_transform(z1, lambda x: greatest(x, 0.0) + ln(1 + exp(-abs(x)))) AS e1 FROM pr)
+SELECT t.run_id, t.claim_id, t.refused, r0 AS relation_before, r1 AS relation_after, round((list_max(e0) + 1) / (list_sum(e0) + 6), 6) AS confidence_before, round((list_max(e1) + 1) / (list_sum(e1) + 6), 6) AS confidence_after,
+  round(6 / (list_sum(e0) + 6), 6) AS vacuity_before, round(6 / (list_sum(e1) + 6), 6) AS vacuity_after FROM told t LEFT JOIN fig USING (run_id)"""
+
+
+def _ablated(spark, sf_dir):
+    given = [f(spark, sf_dir) for f in (X.ablation_requests, X.cited, X.sentence_nodes, X.sentence_edges)]
+    return ablation.ablate(*given, X.RELATIONS, spark.createDataFrame([], "relation string, node long"))
+
+
+@query(f"WITH {CLAIMS}, {ABLATED}")
+def ablated_claims(spark, sf_dir):
+    """Two ablations of every stored claim, all in one plan."""
+    return _ablated(spark, sf_dir).select("run_id", "claim_id", "refused", "relation_before", "relation_after", "confidence_before", "confidence_after", "vacuity_before", "vacuity_after")

@@ -219,3 +219,37 @@ def ingest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JOBS = """jobs AS (SELECT o_orderkey AS job_id, CAST(o_custkey % 2 AS INTEGER) AS org_id, ['queued','extracting','tagging','resolving','relating','routing','done','failed'][o_orderkey % 8 + 1] AS state,
   CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 101 AS DOUBLE)/CAST(100 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS extracting, CASE WHEN o_orderkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(o_orderkey % 101 AS DOUBLE)/CAST(100 AS DOUBLE) END AS tagging, o_orderdate AS created_at FROM orders)"""
+
+
+#: The relations that a sentence graph's values are logits of.
+RELATIONS = ("NONE", "OWNED_BY", "WIRED_FUNDS_TO", "INVOICED", "SIGNATORY_OF", "SHARES_ADDRESS_WITH")
+
+
+def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with the span of the sentence that they cite."""
+    return claims(spark, sf_dir).withColumns({"char_start": (F.col("claim_id") * 37 % 4000).cast("int"), "char_end": (F.col("claim_id") * 37 % 4000 + 80 + F.col("claim_id") % 9).cast("int")})
+
+
+def sentence_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two parties of each cited sentence as nodes; every 13th sentence has lost one."""
+    own = cited(spark, sf_dir)
+    pair = F.explode(F.array(F.struct(F.lit(0).alias("node"), F.col("subject_id").alias("entity_id")), F.struct(F.lit(1).alias("node"), F.col("object_id").alias("entity_id")))).alias("p")
+    return own.select("claim_id", "document_id", "char_start", "char_end", pair).where("p.node = 0 OR claim_id % 13 > 0").select("document_id", "char_start", "char_end", "p.node", "p.entity_id").distinct()
+
+
+def sentence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges among four nodes of each cited sentence."""
+    spans = cited(spark, sf_dir).select("document_id", "char_start", "char_end").distinct()
+    node = lambda c: F.explode(F.sequence(F.lit(0), F.lit(3))).alias(c)
+    rows = spans.select("*", node("src")).select("*", node("dst"))
+    mark = F.col("char_start") * 5 + F.col("src") * 7 + F.col("dst") * 11
+    values = F.array(*[(((mark * (3 + k) + k * 29) % 61).cast("double") / 10.0 - 3.0) for k in range(len(RELATIONS))])
+    return rows.select("*", ((mark % 17).cast("double") / 4.0).alias("score"), values.alias("values"))
+
+
+def ablation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of every claim: one masks an edge into the subject evenly, one two edges into the parties; some ask for what is not there."""
+    k = F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
+    rows = claims(spark, sf_dir).select("claim_id", k)
+    masked = F.when(F.col("claim_id") % 19 == 0, F.array(F.lit("0->0"), F.lit("9->1"))).when(F.col("k") == 0, F.array(F.concat((F.col("claim_id") % 3 + 1).cast("string"), F.lit("->0")))).otherwise(F.array(F.lit("2->1"), F.lit("3->0")))
+    return rows.select((F.col("claim_id") * 2 + F.col("k")).alias("run_id"), "claim_id", F.when(F.col("k") == 0, "uniform").otherwise("zero").alias("mode"), masked.alias("masked"))

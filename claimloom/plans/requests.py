@@ -449,3 +449,40 @@ def shifted_spans(spark, sf_dir):
     one = lambda s, e, d: claims.select(k.alias("key"), s.cast("long").alias("start"), e.cast("long").alias("end"), F.lit(d).alias("delta"))
     edits = one(F.lit(5), F.lit(9), 3).unionByName(one(k % 50 + 21, k % 50 + 23, -1)).unionByName(one(F.lit(200), F.lit(210), 7))
     return spans.shifted(targets, edits)
+
+
+#: What the classifier of questions learns from, by intent.
+UTTERANCES = {
+    "explain": ["please explain why", "explain the reason", "why does it look risky", "give me the reason why", "why was this raised"],
+    "worst": ["what is the worst case", "show the worst one", "which is the gravest finding", "the most severe finding", "what should worry me most"],
+    "count": ["how many claims are there", "count the claims", "how many in total", "what is the total number", "number of claims overall"],
+    "flagged": ["what needs a look", "which are flagged", "flagged for review", "what has to be reviewed", "anything to review"],
+    "entity": ["tell me about the company", "who is this party", "what do we know about", "information on this party", "background of the company"],
+    "escalated": ["what was escalated", "escalated to the team", "list every escalation", "is anything escalated", "escalations so far"],
+    "unsure": ["where are you unsure", "what are you uncertain of", "weak evidence anywhere", "which have little evidence", "where is the evidence thin"],
+}
+#: What is asked, in turn; the last is about nothing that was learnt.
+ASKED = ["please explain why", "what is the worst case", "how many claims are there", "what needs a look", "what do we know about", "what was escalated", "where are you unsure", "zebra umbrella"]
+_ASKED = ",".join(f"'{a}'" for a in ASKED)
+
+
+@query(f"""WITH {CLAIMS}, {ROUTED}, {ENTITIES}, q AS (SELECT DISTINCT conv_id AS question_id, [{_ASKED}][conv_id % 8 + 1] AS said, CASE WHEN conv_id % 3 > 0 THEN conv_id * 7 % 2500 END AS k FROM conversations),
+i AS (SELECT *, ['explain','worst','count','flagged','entity','escalated','unsure','unknown'][question_id % 8 + 1] AS intent, CASE WHEN k IS NOT NULL THEN coalesce((SELECT entity_id FROM entities WHERE entity_id = k), (SELECT min(entity_id) FROM entities)) END AS entity_id FROM q),
+e AS (SELECT claim_id, subject_id AS entity_id FROM routed UNION SELECT claim_id, object_id FROM routed), f AS (SELECT entity_id, count(*) AS n, count(*) FILTER (routing <> 'auto_file') AS n_flagged, count(*) FILTER (routing = 'escalate') AS n_escalated, count(*) FILTER (vacuity >= 0.625) AS n_unsure,
+  max_by(format('Claim {{}}, {{}}, is {{}} with confidence {{:.2f}}.', claim_id, relation, routing, confidence), (CASE routing WHEN 'escalate' THEN 2 WHEN 'flag' THEN 1 ELSE 0 END, confidence, created_at, -claim_id)) AS top FROM e JOIN routed USING (claim_id) GROUP BY 1),
+a AS (SELECT count(*) AS an, count(*) FILTER (routing <> 'auto_file') AS af, count(*) FILTER (routing = 'escalate') AS ae, count(*) FILTER (vacuity >= 0.625) AS au,
+  max_by(format('Claim {{}}, {{}}, is {{}} with confidence {{:.2f}}.', claim_id, relation, routing, confidence), (CASE routing WHEN 'escalate' THEN 2 WHEN 'flag' THEN 1 ELSE 0 END, confidence, created_at, -claim_id)) AS atop FROM routed)
+SELECT question_id, intent, i.entity_id, CASE intent WHEN 'explain' THEN CASE WHEN i.entity_id IS NULL THEN 'I did not catch whom you mean.' ELSE coalesce(top, 'No claim is about that.') END WHEN 'worst' THEN atop
+  WHEN 'count' THEN 'There are ' || CASE WHEN i.entity_id IS NULL THEN an ELSE coalesce(n, 0) END || ' claims.' WHEN 'flagged' THEN CASE WHEN i.entity_id IS NULL THEN af ELSE coalesce(n_flagged, 0) END || ' claims need a look.'
+  WHEN 'entity' THEN CASE WHEN i.entity_id IS NULL THEN 'I did not catch whom you mean.' ELSE 'It is in ' || coalesce(n, 0) || ' claims.' END WHEN 'escalated' THEN CASE WHEN i.entity_id IS NULL THEN ae ELSE coalesce(n_escalated, 0) END || ' claims are escalated.'
+  WHEN 'unsure' THEN CASE WHEN i.entity_id IS NULL THEN au ELSE coalesce(n_unsure, 0) END || ' claims rest on little evidence.' ELSE 'Please ask in other words.' END AS answer
+FROM i LEFT JOIN f ON f.entity_id = i.entity_id CROSS JOIN a""")
+def answers_to_questions(spark, sf_dir):
+    """A question of each conversation, two in three about an entity: classified, matched and answered in one plan."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    said = F.array(*[F.lit(a) for a in ASKED])[(F.col("conv_id") % 8).cast("int")]
+    whom = F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit(" Entity "), (F.col("conv_id") * 7 % 2500).cast("string")))
+    questions = conv.select(F.col("conv_id").alias("question_id"), F.concat(said, F.coalesce(whom, F.lit(""))).alias("text"))
+    names = X.entities(spark, sf_dir).select("entity_id", F.col("canonical").alias("name"))
+    model = answers.fitted_intents(spark.createDataFrame([(t, k) for k, texts in UTTERANCES.items() for t in texts], "text string, intent string"))
+    return answers.answer_all(questions, model, names, C._routed(spark, sf_dir), least=0.3)

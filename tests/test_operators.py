@@ -585,3 +585,55 @@ def test_weak_labels(spark):
     cases = {"$1,200.50": "MONEY", "$5.1": None, "€5": None, "3 March 2026": "DATE", "2026-03-14": "DATE", "Mar 3, 2026": "DATE", "March 3, 2026": None, "INV-1234": "ACCOUNT", "ACCT-12-X": None, "AP-123-X": "ACCOUNT", "REF/1234/B": "ACCOUNT", "PO 12345": "ACCOUNT", "PO 12345\n": None}
     df = spark.createDataFrame([(c,) for c in cases], "s string").select("s", T.weak_label(F.col("s")).alias("label"))
     assert {r.s: r.label for r in df.collect()} == cases
+
+
+def test_ablation_of_stored_claims(spark):
+    from claimloom.operators import ablation
+
+    relations = ("NONE", "OWNED_BY")
+    claims = spark.createDataFrame(
+        [(1, 7, 0, 50, 100, 200, "OWNED_BY", 0.9, 0.1), (2, 7, 60, 90, 100, 300, "OWNED_BY", 0.9, 0.1), (3, 7, 99, 120, 100, 200, "INVOICED", 0.9, 0.1)],
+        "claim_id long, document_id long, char_start int, char_end int, subject_id long, object_id long, relation string, confidence double, vacuity double",
+    )
+    nodes = spark.createDataFrame([(7, 0, 50, 0, 100), (7, 0, 50, 2, 200), (7, 60, 90, 0, 100)], "document_id long, char_start int, char_end int, node int, entity_id long")
+    span = (7, 0, 50)
+    strong, weak = [-2.0, 6.0], [2.0, -4.0]
+    arcs = [(*span, 1, 0, 3.0, strong), (*span, 2, 0, 0.0, weak), (*span, 0, 0, 9.0, strong), (*span, 1, 2, 1.0, strong), (*span, 0, 2, 1.0, weak), (7, 60, 90, 1, 0, 1.0, strong)]
+    edges = spark.createDataFrame(arcs, "document_id long, char_start int, char_end int, src int, dst int, score double, values array<double>")
+    asked = [(1, 1, "zero", ["1->0", "1->2"]), (2, 1, "uniform", ["1->0"]), (3, 1, "zero", ["0->0"]), (4, 1, "zero", []), (5, 2, "zero", ["1->0"]), (6, 3, "zero", ["1->0"]), (7, 9, "zero", ["1->0"]), (8, 1, "half", ["1->0"]), (9, 1, "zero", ["2->0", "2->0"])]
+    found = {r.run_id: r for r in ablation.ablate(spark.createDataFrame(asked, "run_id long, claim_id long, mode string, masked array<string>"), claims, nodes, edges, relations, spark.createDataFrame([], "relation string, node long")).collect()}
+    assert {k: r.refused for k, r in found.items()} == {1: None, 2: None, 3: "unknown edges: 0->0", 4: "nothing masked", 5: "a party is not in the sentence", 6: "no sentence at this span", 7: "no such claim", 8: "unknown mode", 9: None}
+
+    def read(weights):
+        logits = [sum(sum(w * v[k] for w, v in node) / sum(w for w, _ in node) for node in weights) / 2 for k in range(2)]
+        e = [max(z, 0) + math.log1p(math.exp(-abs(z))) for z in logits]
+        return (max(e) + 1) / (sum(e) + 2), relations[logits.index(max(logits))]
+
+    a = math.exp(3) / (math.exp(3) + 1)
+    before = [[(a, strong), (1 - a, weak)], [(0.5, strong), (0.5, weak)]]
+    after = {1: [[(1, weak)], [(1, weak)]], 2: [[(0.5, strong), (1 - a, weak)], before[1]], 9: [[(a, strong)], before[1]]}
+    for run, weights in after.items():
+        r = found[run]
+        assert (r.confidence_before, r.relation_before) == (pytest.approx(read(before)[0], abs=1e-6), read(before)[1])
+        assert (r.confidence_after, r.relation_after) == (pytest.approx(read(weights)[0], abs=1e-6), read(weights)[1])
+    assert found[1].relation_after == "NONE" and found[1].verdict.startswith("Without 2 edges the sentence reads as NONE")
+    assert found[3].confidence_before is None and found[9].masked == "2->0"
+
+
+def test_names_in_questions_by_their_words(spark):
+    from claimloom.operators import answers
+    from claimloom.operators.resolve import LEGAL_FORMS
+
+    r = random.Random(3)
+    pool = ["north", "star", "supply", "supply", "supply", "group", "llc", "b", "calder", "pine"]
+    names = [(k % 30, " ".join(r.choice(pool) for _ in range(r.randrange(1, 5))).title()) for k in range(60)]
+    asked = [(k, " ".join(r.choice([*pool, "who", "is"]) for _ in range(r.randrange(0, 5)))) for k in range(40)]
+    want = {}
+    for q, text in asked:
+        heard = set(text.lower().split())
+        best = max(((sum(len(w) for w in n.lower().split() if w in heard and w not in LEGAL_FORMS), -e) for e, n in names), default=(0, 0))
+        if best[0]:
+            want[q] = -best[1]
+    n, q = spark.createDataFrame(names, "entity_id long, name string"), spark.createDataFrame(asked, "question_id long, text string")
+    for common in (0, 5, 1000):  # all words are common, some are, none is
+        assert {x.question_id: x.entity_id for x in answers.spoken_of(q, n, common).collect()} == want

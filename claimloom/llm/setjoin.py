@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from claimloom.llm.common import offsets_of, shared_folder, slices, small, written
+from claimloom.llm.common import give_back, offsets_of, shared_folder, slices, small, written
 from claimloom.llm.components import components
 from claimloom.llm.kernels import mixed, rows_of, window_hashes, word_bounds, word_hashes
 
@@ -63,6 +63,8 @@ BLOCK, LEADERS = 1024, 64
 DECODED = 1 << 22
 #: Rows of blocks with the same smallest set that are compared in one place.
 TOGETHER = 2048
+#: Text that is cut into shingles at a time, in bytes; 64-bit words of bitmaps that are compared at a time.
+TEXT_BYTES, COMPARED = 1 << 18, 1 << 20
 #: Entries of a list that one task holds.
 HOT = 1 << 16
 #: Ids whose texts are picked out by a broadcast; more are picked out by a shuffle.
@@ -107,7 +109,7 @@ def _prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
 def _common(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Shingles of prefixes a little longer than needed, for counting."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=TEXT_BYTES):
             tokens, first = shingle_sets(part.column("text"), width)
             n = np.diff(first)
             upto = np.minimum(n, _prefix_lengths(n, percent) * 5 // 4 + 4)
@@ -118,7 +120,7 @@ def _common(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
 
 def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, width: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=TEXT_BYTES):
             tokens, first = shingle_sets(part.column("text"), width)
             n = np.diff(first)
             row = rows_of(first)
@@ -174,7 +176,7 @@ def _packed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
     """Compressed texts and the bitmaps of their sets."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=TEXT_BYTES):
             tokens, first = shingle_sets(part.column("text"), width)
             maps = []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -203,6 +205,9 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> I
         held = [rows.slice(cut)] if cut < len(rows) else []
         if cut:
             yield rows.slice(0, cut), np.cumsum(change[:cut])
+        if batch is None:
+            del rows
+            give_back()
 
 
 def _ended(batches: Iterator) -> Iterator:
@@ -240,7 +245,8 @@ def _over(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray, widths:
     out = np.empty(len(a), np.int64)
     for width, m in maps.items():
         k = np.flatnonzero(widths[a] == width)
-        for some in (k[at : at + 65536] for at in range(0, len(k), 65536)):
+        step = max(1, COMPARED // (width // 64))
+        for some in (k[at : at + step] for at in range(0, len(k), step)):
             x, y = m[place[a[some]]], m[place[b[some]]]
             out[some] = np.minimum(n[a[some]] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[b[some]] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64)) - need[some]
     return out
@@ -381,6 +387,7 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> It
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    give_back()
 
 
 def _stepped(lists: DataFrame, percent: int) -> DataFrame:

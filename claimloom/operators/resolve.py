@@ -243,6 +243,29 @@ def resolved(mentions: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return mentions.join(found, ["org_id", "surface"]).select(*mentions.columns, "entity_id", F.when(begins, F.col("how")).otherwise("exact").alias("method"))
 
 
+def near_names(names: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs of different keys with a cosine of ``least`` (``LEAST`` at least) or more: a, b (in order) and cosine.
+
+    ``names`` has surface; equal keys are one. The join is exact: only keys that share a list are compared, once.
+    """
+    if least < LEAST:
+        raise ValueError(f"lists hold all pairs from a cosine of {LEAST} on")
+    keyed = names.select("surface").distinct().mapInArrow(_keyed, "surface string, key string").select("key").distinct()
+    turn = np.random.default_rng(1).permutation(WIDTH)
+    body = cut(keyed.mapInArrow(lambda it: _vectors(it, turn), "key string, dims array<int>, values array<double>, sets array<string>, ones array<string>"))
+    few = F.size("sets") == 0
+    sets = body.select("key", F.explode("sets").alias("list"))
+    ones = cut(body.select("key", F.explode("ones").alias("list"), few.alias("few")))
+    meet = lambda a, b, test: a.select(F.col("key").alias("a"), "list", *a.columns[2:]).join(b, "list").where(test)
+    asked = meet(sets, sets.withColumnRenamed("key", "b"), "a < b").select("a", "b")
+    short = meet(ones.where("few").drop("few"), ones.select(F.col("key").alias("b"), "list", F.col("few").alias("both")), "a <> b AND (NOT both OR a < b)")
+    asked = asked.unionByName(short.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    side = lambda c: body.select(F.col("key").alias(c), F.col("dims").alias(f"{c}_dims"), F.col("values").alias(f"{c}_values"))
+    both = asked.join(side("a"), "a").join(side("b"), "b").select(F.lit(0).alias("org_id"), F.col("b").alias("key"), F.lit(0).alias("at"), F.col("a").alias("center"), F.lit(0).alias("center_at"), "a_dims", "a_values", "b_dims", "b_values")
+    found = both.mapInArrow(_cosines, "org_id int, key string, at int, center string, center_at int, cosine double")
+    return found.where(F.col("cosine") >= least).select(F.col("center").alias("a"), F.col("key").alias("b"), F.round("cosine", 9).alias("cosine"))
+
+
 def summary(resolved: DataFrame) -> DataFrame:
     """How many mentions each way of matching resolved."""
     return resolved.groupBy("method").agg(F.count("*").alias("n"), F.count_distinct("org_id", "entity_id").alias("entities"))

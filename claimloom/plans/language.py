@@ -11,7 +11,7 @@ from claimloom.operators import entities, extraction, resolve, spans
 from claimloom.plans import fixtures as X
 from claimloom.plans.fixtures import CLAIMS, ENTITIES, GOES_ON, MENTIONS, table
 from claimloom.plans.registry import query
-from claimloom.sources import synthetic
+from claimloom.sources import synthetic, variants
 from claimloom.streaming import feeds
 
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
@@ -185,3 +185,21 @@ def spoiled_offsets(spark, sf_dir):
     off = F.when(F.col("tok_idx") % 97 == 5, 1).otherwise(0)
     moved = found.withColumns({"char_start": F.col("char_start") + off, "char_end": F.col("char_end") + off})
     return spans.broken_offsets(moved, docs).select("doc_id", "tok_idx")
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN substr(props, 2) WHEN event_id % 10 = 1 THEN replace(props, '}', ', "tags": ["a", "b' || (event_id % 7) || '"]}') ELSE props END AS j FROM events),
+v AS (SELECT event_id, CASE WHEN json_valid(j) AND json_type(j) = 'OBJECT' THEN j END AS j FROM e)
+SELECT event_id, CAST(json_extract(j, '$.k') AS BIGINT) AS k, json_extract_string(j, '$.tags[1]') AS tag FROM v WHERE CAST(json_extract(j, '$.k') AS BIGINT) % 2 = 0""")
+def json_paths(spark, sf_dir):
+    """Even values at a path of the events' JSON; a tenth of the texts is malformed, another has a list."""
+    k = F.col("event_id") % 10
+    tagged = F.concat(F.lit(', "tags": ["a", "b'), (F.col("event_id") % 7).cast("string"), F.lit('"]}'))
+    text = F.when(k == 0, F.substr("props", F.lit(2))).when(k == 1, F.replace(F.col("props"), F.lit("}"), tagged)).otherwise(F.col("props"))
+    rows = variants.parsed(table(spark, sf_dir, "events").select("event_id", text.alias("j")), "j", "v")
+    return rows.select("event_id", variants.at("v", "$.k", "bigint").alias("k"), variants.at("v", "$.tags[1]", "string").alias("tag")).where("k % 2 = 0")
+
+
+@query()
+def near_part_names(spark, sf_dir):
+    """Names of parts that resemble each other, by the exact cosine join."""
+    return resolve.near_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("surface")))

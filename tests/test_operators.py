@@ -637,3 +637,27 @@ def test_names_in_questions_by_their_words(spark):
     n, q = spark.createDataFrame(names, "entity_id long, name string"), spark.createDataFrame(asked, "question_id long, text string")
     for common in (0, 5, 1000):  # all words are common, some are, none is
         assert {x.question_id: x.entity_id for x in answers.spoken_of(q, n, common).collect()} == want
+
+
+def test_near_names_equal_brute_force(spark):
+    from claimloom.operators import resolve
+
+    names = [*random_names(random.Random(11), 220), "ab", "a", "aaa", "aaa a", "", "LLC"]
+    keys = sorted({resolve.key_of(n) for n in names})
+    vectors = {k: resolve.vector(k) for k in keys}
+    want = {(a, b): c for i, a in enumerate(keys) for b in keys[i + 1 :] if (c := round(float(vectors[a] @ vectors[b]), 12)) >= resolve.LEAST}
+    found = {(r.a, r.b): r.cosine for r in resolve.near_names(spark.createDataFrame([(n,) for n in names], "surface string")).collect()}
+    assert found.keys() == want.keys() and len(want) > 20
+    assert all(found[p] == pytest.approx(want[p], abs=1e-8) for p in want)
+
+
+def test_json_by_path(spark):
+    from claimloom.sources import variants
+
+    texts = ['{"k": 3, "t": ["x", 5]}', '{"k": "3", "t": "x"}', "{broken", None, '{"t": []}', "[1]"]
+    rows = variants.parsed(spark.createDataFrame(list(enumerate(texts)), "id long, j string"), "j", "v")
+    assert [r.id for r in rows.where("v IS NULL").collect()] == [2, 3]
+    assert {r.id for r in variants.holding(rows, "v", "$.t", "x").collect()} >= {1}
+    assert {r.id for r in variants.holding(rows, "v", "$.k", 3).collect()} == {0, 1}
+    found = variants.elements(rows, "v", "$.t", "id").select("id", "pos", F.col("value").cast("string").alias("s")).collect()
+    assert sorted((r.id, r.pos, r.s) for r in found) == [(0, 0, "x"), (0, 1, "5")]

@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.text import normalized_name
+from claimloom.operators import evals
+from claimloom.sources.durable import cut
+
 #: The families in order, the share of words or places that are changed.
 FAMILIES = ("synonym", "rename", "boilerplate", "reorder", "punctuation")
 SYNONYM_SHARE, NOISE_SHARE = 0.15, 0.10
@@ -64,7 +69,7 @@ def edits_of(family: str, text: str, start: int, end: int, names: list[str], *se
         return [(m.start(), m.end(), SYNONYMS[m.group().lower()]) for m in free if chance(*seed, m.start()) < SYNONYM_SHARE or len(free) == 1]
     if family == "rename":
         found = [(m.start(), m.end(), n) for n in names for m in re.finditer(re.escape(n), text)]
-        new = {n: f"Party {int(chance(*seed, n) * 9000) + 1000}" for n in names}
+        new = renamed(names, *seed)
         return [(a, b, new[n]) for k, (a, b, n) in enumerate(sorted(found)) if all(b <= x or a >= y for x, y, _ in sorted(found)[:k])]
     if family == "boilerplate":
         notice = NOTICES[int(chance(*seed) * len(NOTICES))]
@@ -91,8 +96,16 @@ def reordered(text: str, start: int, end: int, *seed) -> tuple[str, int, int] |
     return None
 
 
+def renamed(names: list[str], *seed) -> dict[str, str]:
+    """The new name of each."""
+    return {n: f"Party {int(chance(*seed, n) * 9000) + 1000}" for n in names}
+
+
 def variants(claims: DataFrame, per_family: int = 1, seed: int = 0) -> DataFrame:
-    """``claims`` (claim_id, text, char_start, char_end, names) with the variants of every family; vacuous ones are left out."""
+    """``claims`` (claim_id, text, char_start, char_end, names) with the variants of every family; vacuous ones are left out.
+
+    ``renames`` has the old name of each new one.
+    """
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -106,10 +119,11 @@ def variants(claims: DataFrame, per_family: int = 1, seed: int = 0) -> DataFrame
                         else:
                             got = applied(r.text, edits_of(family, r.text, r.char_start, r.char_end, list(r.names), *key), r.char_start, r.char_end)
                         if got and got[0] != r.text:
-                            rows.append((r.claim_id, family, v, *got))
-            yield pd.DataFrame(rows, columns=["claim_id", "perturbation", "variant", "text", "char_start", "char_end"])
+                            old = {new: n for n, new in renamed(list(r.names), *key).items()} if family == "rename" else {}
+                            rows.append((r.claim_id, family, v, *got, old))
+            yield pd.DataFrame(rows, columns=["claim_id", "perturbation", "variant", "text", "char_start", "char_end", "renames"])
 
-    return claims.select("claim_id", "text", "char_start", "char_end", "names").where("text IS NOT NULL").mapInPandas(build, "claim_id long, perturbation string, variant int, text string, char_start int, char_end int")
+    return claims.select("claim_id", "text", "char_start", "char_end", "names").where("text IS NOT NULL").mapInPandas(build, "claim_id long, perturbation string, variant int, text string, char_start int, char_end int, renames map<string, string>")
 
 
 def scored(targets: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -128,3 +142,44 @@ def scored(targets: DataFrame, drafts: DataFrame) -> DataFrame:
         "claim_id", "perturbation", "variant", (lost | (F.col("new_routing") != F.col("routing"))).alias("label_flipped"),
         F.round(F.coalesce("new_confidence", F.lit(0.0)) - F.col("confidence"), 6).alias("conf_delta"), lost.alias("relation_lost"),
     )
+
+
+class Run(NamedTuple):
+    """What a run of all families leaves: its trials, and the claims with their fragility."""
+
+    trials: DataFrame
+    claims: DataFrame
+
+
+def run(claims: DataFrame, documents: DataFrame, extract: Callable[[DataFrame], DataFrame], per_family: int = 1, seed: int = 0) -> Run:
+    """Perturb the document of every claim, extract from each variant, and score what became of the claim.
+
+    ``claims``: claim_id, document_id, char_start, char_end, subject, object (names as they stand), relation, confidence and, if they
+    have one, fragility; ``documents``: document_id, text. ``extract`` takes claim_id, perturbation, variant, text and gives the same keys with
+    subject, object, relation, confidence, start2, end2 of each claim that it reads. A draft is the claim's if it overlaps the moved span
+    and has its parties once renames are undone; of several the surest counts (ties: the first). The relation is lost without one, and
+    the label flips if it is lost or another. Families that cannot change a text leave no trial. Fragility is the mean
+    instability of a claim's trials, 0 without any; claims whose document is gone keep what they had. Nothing is written
+    back to the documents, and reruns agree.
+    """
+    held = claims.join(documents.select("document_id", "text"), "document_id").where("text IS NOT NULL")
+    made = cut(variants(held.select("claim_id", "text", "char_start", "char_end", F.array("subject", "object").alias("names")), per_family, seed))
+    keys = ["claim_id", "perturbation", "variant"]
+    drafts = extract(made.select(*keys, "text"))
+    own = claims.select("claim_id", F.col("subject").alias("_s"), F.col("object").alias("_o"), F.col("relation").alias("_r"), F.col("confidence").alias("_c"))
+    met = made.drop("text").join(drafts, keys).join(own, "claim_id").where("start2 < char_end AND end2 > char_start")
+    was = lambda c: normalized_name(F.coalesce(F.try_element_at("renames", F.col(c)), F.col(c)))
+    met = met.where((was("subject") == normalized_name(F.col("_s"))) & (was("object") == normalized_name(F.col("_o"))))
+    best = met.groupBy(*keys).agg(F.max_by(F.struct("relation", "confidence"), F.struct("confidence", -F.col("start2"))).alias("best"))
+    joined = made.select(*keys).join(best, keys, "left").join(own, "claim_id")
+    lost = F.col("best").isNull()
+    trials = joined.select(
+        *keys, (lost | (F.col("best")["relation"] != F.col("_r"))).alias("flipped"), lost.alias("lost"), F.round(F.coalesce(F.col("best")["confidence"], F.lit(0.0)) - F.col("_c"), 6).alias("delta"),
+    )
+    trials = cut(trials)
+    scores = evals.fragility(trials).withColumnRenamed("fragility", "_new")
+    before = F.col("fragility") if "fragility" in claims.columns else F.lit(None).cast("double")
+    tried = held.select("claim_id").withColumn("_tried", F.lit(True))
+    stored = claims.join(tried, "claim_id", "left").join(scores, "claim_id", "left")
+    kept = [c for c in claims.columns if c != "fragility"]
+    return Run(trials, stored.select(*kept, F.when(F.col("_tried"), F.coalesce("_new", F.lit(0.0))).otherwise(before).alias("fragility")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.functions import trust
-from claimloom.operators import ablation, answers, evals, fuzz, reports, routing, views
+from claimloom.operators import ablation, answers, evals, extraction, fuzz, reports, routing, views
 from claimloom.plans import catalog as C
 from claimloom.plans import fixtures as X
 from claimloom.plans.fixtures import ABLATIONS, BUCKETS, CASES, CLAIMS, GOLD, RUNS, TRIALS, table
@@ -293,3 +293,16 @@ def _ablated(spark, sf_dir):
 def ablated_claims(spark, sf_dir):
     """Two ablations of every stored claim, all in one plan."""
     return _ablated(spark, sf_dir).select("run_id", "claim_id", "refused", "relation_before", "relation_after", "confidence_before", "confidence_after", "vacuity_before", "vacuity_after")
+
+
+@query()
+def fuzzed_claims(spark, sf_dir):
+    """Every claim written as a sentence between two others, perturbed by all families, read again and scored: its stored fragility."""
+    phrase = F.create_map(*[F.lit(x) for kv in {"OWNED_BY": "is owned by", "WIRED_FUNDS_TO": "wired funds to", "INVOICED": "sent an invoice to", "SIGNATORY_OF": "signs for", "SHARES_ADDRESS_WITH": "has one address with"}.items() for x in kv])
+    name = lambda c: F.concat(F.lit("Entity "), F.col(c).cast("string"))
+    head = F.concat(F.lit("We ask about the price of case "), F.col("claim_id").cast("string"), F.lit(". "))
+    said = F.concat(name("subject_id"), F.lit(" "), phrase[F.col("relation")], F.lit(" "), name("object_id"))
+    rows = X.claims(spark, sf_dir).withColumns({"head": head, "said": said}).withColumn("char_start", F.length("head")).withColumn("char_end", F.col("char_start") + F.length("said"))
+    documents = rows.select(F.col("claim_id").alias("document_id"), F.concat("head", "said", F.lit(". Please keep this note.")).alias("text"))
+    claims = rows.select("claim_id", F.col("claim_id").alias("document_id"), "char_start", "char_end", name("subject_id").alias("subject"), name("object_id").alias("object"), "relation", "confidence")
+    return fuzz.run(claims, documents, extraction.lexical_drafts).claims.select("claim_id", "fragility")

@@ -661,3 +661,36 @@ def test_json_by_path(spark):
     assert {r.id for r in variants.holding(rows, "v", "$.k", 3).collect()} == {0, 1}
     found = variants.elements(rows, "v", "$.t", "id").select("id", "pos", F.col("value").cast("string").alias("s")).collect()
     assert sorted((r.id, r.pos, r.s) for r in found) == [(0, 0, "x"), (0, 1, "5")]
+
+
+def test_a_fuzz_run_scores_and_stores_what_became_of_each_claim(spark):
+    from claimloom.operators import extraction, fuzz
+
+    texts = {1: "We ask about it. Acme Ltd owns Bolt Co. All is well.", 2: "Acme Ltd paid Bolt Co.", 3: None, 4: "Nothing stands here. Nor here. Nor there."}
+    rows = [(10, 1, "Bolt Co", "Acme Ltd", "OWNED_BY", 0.9, "Acme Ltd owns Bolt Co"), (20, 2, "Acme Ltd", "Bolt Co", "WIRED_FUNDS_TO", 0.8, "Acme Ltd paid Bolt Co"), (30, 3, "A", "B", "INVOICED", 0.7, ""), (40, 4, "Acme", "Bolt", "INVOICED", 0.6, "Nothing"), (50, 9, "A", "B", "INVOICED", 0.5, "")]
+    rows = [(c, d, (texts.get(d) or "").find(said), (texts.get(d) or "").find(said) + len(said), s, o, r, k, 0.25) for c, d, s, o, r, k, said in rows]
+    claims = spark.createDataFrame(rows, "claim_id long, document_id long, char_start int, char_end int, subject string, object string, relation string, confidence double, fragility double")
+    documents = spark.createDataFrame(list(texts.items()), "document_id long, text string")
+    got = fuzz.run(claims, documents, extraction.lexical_drafts, per_family=2)
+    trials = {(r.claim_id, r.perturbation, r.variant): (r.flipped, r.lost, r.delta) for r in got.trials.collect()}
+    want, fragile = {}, {}
+    for c, d, start, end, subject, other, relation, sure, old in rows:
+        text, marks = texts.get(d), []
+        for family in fuzz.FAMILIES if text else ():
+            for v in range(2):
+                key = (0, c, family, v)
+                made = fuzz.reordered(text, start, end, *key) if family == "reorder" else fuzz.applied(text, fuzz.edits_of(family, text, start, end, [subject, other], *key), start, end)
+                if not made or made[0] == text:
+                    continue
+                back = {new: n for n, new in fuzz.renamed([subject, other], *key).items()} if family == "rename" else {}
+                met = [(k, -a, r) for s, o, r, k, a, b in extraction.stated(made[0]) if a < made[2] and b > made[1] and (back.get(s, s), back.get(o, o)) == (subject, other)]
+                best = max(met, default=None)
+                flipped, lost, delta = best is None or best[2] != relation, best is None, round((best[0] if best else 0) - sure, 6)
+                want[c, family, v] = (flipped, lost, pytest.approx(delta))
+                marks.append(min(1, 0.5 * flipped + 0.3 * lost + 0.2 * min(1, abs(delta))))
+        fragile[c] = sum(marks) / len(marks) if marks else 0.0 if text else old
+    assert trials == want and {x[0] for x in want} == {10, 20, 40}
+    assert {r.claim_id: r.fragility for r in got.claims.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in fragile.items()}
+    again = fuzz.run(claims, documents, extraction.lexical_drafts, per_family=2)
+    assert sorted(again.trials.collect()) == sorted(got.trials.collect())
+    assert not trials[10, "rename", 0][1] and trials[40, "boilerplate", 0][1]

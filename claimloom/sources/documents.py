@@ -104,7 +104,11 @@ def read(spark: SparkSession, path: str, most_chars: int = MOST_CHARS) -> DataFr
     A file that cannot be used keeps a row that says why: ``unsupported``, ``unreadable``, ``empty`` or ``too long``; it
     has no text then. ``row_offsets`` are the character ranges of a CSV file's rows.
     """
-    files = spark.read.format("binaryFile").load(path)
+    return texts_of(spark.read.format("binaryFile").load(path), most_chars)
+
+
+def texts_of(files: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+    """The same of files that are read already (path, content), a batch or a stream."""
     known = files.select("path", media_type(F.col("path"), F.lit(None).cast("string")).alias("media_type"), "content")
 
     def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -694,3 +694,37 @@ def test_a_fuzz_run_scores_and_stores_what_became_of_each_claim(spark):
     again = fuzz.run(claims, documents, extraction.lexical_drafts, per_family=2)
     assert sorted(again.trials.collect()) == sorted(got.trials.collect())
     assert not trials[10, "rename", 0][1] and trials[40, "boilerplate", 0][1]
+
+
+def test_files_become_claims_in_batches_and_as_a_stream(spark, tmp_path):
+    from claimloom.operators import ingest
+
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    (drop / "a.txt").write_text("Meridian Supply LLC is owned by Calder Holdings. In the end Calder Holdings wired funds to Pinebrook Freight.")
+    (drop / "b.html").write_text("<p>Meridian owns Pinebrook.</p><p>Pinebrook is owned by Meridian.</p>")
+    (drop / "c.pdf").write_bytes(b"%PDF")
+
+    def run():
+        ingest.stream(spark, str(drop), str(tmp_path / "out"), str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+        return ingest.stored(spark, str(tmp_path / "out"))
+
+    run()
+    (drop / "d.txt").write_text("Meridian Supply LLC is owned by Calder Holdings. In the end Calder Holdings wired funds to Pinebrook Freight.")  # a copy
+    (drop / "e.txt").write_text("Harbour Gate Ltd paid Meridian Supply. Harbour Gate signs for Harbour Gate Ltd.")
+    kept = run()
+    ids = {(r.surface, r.alias): r.entity_id for r in kept.entities.collect()}
+    assert kept.documents.count() == 3 and len({r.document_no for r in kept.documents.collect()}) == 3
+    meridian, calder, pine, gate = (ids[n, False] for n in ("Meridian Supply LLC", "Calder Holdings", "Pinebrook Freight", "Harbour Gate Ltd"))
+    assert ids["Meridian", True] == meridian and ids["Pinebrook", True] == pine
+    claims = kept.claims.collect()
+    assert sorted((c.subject_id, c.object_id, c.relation) for c in claims) == sorted([(meridian, calder, "OWNED_BY"), (calder, pine, "WIRED_FUNDS_TO"), (pine, meridian, "OWNED_BY"), (gate, meridian, "WIRED_FUNDS_TO")])
+    texts = {r.document_no: r.text for r in kept.documents.collect()}
+    assert all(c.subject in texts[c.document_id][c.char_start : c.char_end] for c in claims) and len({c.claim_id for c in claims}) == 4
+    # A batch that runs again replaces what it wrote; the same files at once give the same documents and parties.
+    files = spark.read.format("binaryFile").load([str(drop / "d.txt"), str(drop / "e.txt")])
+    ingest.write(files, str(tmp_path / "out"), 1)
+    assert sorted(map(tuple, ingest.stored(spark, str(tmp_path / "out")).claims.collect())) == sorted(map(tuple, claims))
+    every = ingest.ingested(spark.read.format("binaryFile").load(str(drop)))
+    assert every.documents.count() == 3 and every.claims.count() == 4
+    assert {r.routing for r in ingest.routed(ingest.stored(spark, str(tmp_path / "out")).claims).collect()} <= {"auto_file", "flag", "escalate"}

@@ -50,3 +50,13 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from a written table of its own."""
     return written(df, shared_folder(df.sparkSession), "table")
+
+
+def removed(spark: SparkSession, *patterns: str) -> None:
+    """Delete written tables that nothing reads any more, by path or pattern, wherever they are stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for pattern in patterns:
+        path = hadoop.Path(pattern)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.globStatus(path) or []:
+            files.delete(found.getPath(), True)

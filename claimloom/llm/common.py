@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.sources.durable import shared_folder, written
+from claimloom.sources.durable import removed, shared_folder, written
 
-__all__ = ["free_name", "offsets_of", "shared_folder", "slices", "small", "table", "written"]
+__all__ = ["free_name", "offsets_of", "removed", "shared_folder", "slices", "small", "table", "written"]
 
 #: Bytes of text that one vectorised step holds at a time; bounds a task's memory.
 SLICE_BYTES = 1 << 19

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import written
+from claimloom.llm.common import removed, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,6 +39,7 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
             break
         before, turn = state, turn + 1
         now = written(_star(_star(now, large=True), large=False), folder, f"{name}-{turn}")
+        removed(now.sparkSession, f"{folder}/{name}-{turn - 1}")
     # Every edge now points at its component's smallest node.
     tops = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops).distinct()

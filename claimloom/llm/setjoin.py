@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from claimloom.llm.common import give_back, offsets_of, shared_folder, slices, small, written
+from claimloom.llm.common import give_back, offsets_of, removed, shared_folder, slices, small, written
 from claimloom.llm.components import components
 from claimloom.llm.kernels import mixed, rows_of, window_hashes, word_bounds, word_hashes
 
@@ -527,14 +527,14 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     turn = F.row_number().over(W.partitionBy("doc_id").orderBy("pos"))
     few = cut.withColumn("turn", turn).where(F.col("turn") <= FIRST_LISTS).select("token", "doc_id", "n", "pos", "parts")
     pairs = written(_first_pairs(few, bits, folder, percent), folder, "pairs")
+    removed(spark, *[f"{folder}/{name}" for name in ("blocks", "long-blocks", "leaders-*")])
     links = written(_verify(pairs, texts, width, percent), folder, "links-1")
     known = components(links, folder, "first")
     classed = cut.join(known, cut.doc_id == known.node, "left").select("token", "doc_id", "n", "pos", "parts", "salt", "salts", F.coalesce("component", "doc_id").alias("comp"))
     more = written(_other_links(classed, bits, texts, folder, width, percent), folder, "links-2")
     joined = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), folder, "all")
     # The result is made of sets, heads and the last components; the rest would only hold disk.
-    for name in ("texts", "bits", "lists", "blocks", "long-blocks", "mixed", "open"):
-        spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(f"{folder}/{name}")
+    removed(spark, *[f"{folder}/{name}" for name in ("often", "lists", "long", "texts", "bits", "pairs", "links-*", "first-*", "mixed", "most", "open")])
 
     classes = heads.join(joined, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
     out = sets.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")

@@ -86,12 +86,23 @@ def candidate_pairs(mentions: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
 
     ``mentions``: document_id, sent, position, surface, entity_type. The limit belongs to the
     operator; a subject beyond the first ``most`` mentions that has a partner can have no pair left.
+
+    Mentions of one position and surface are one with a number. At most two of them before any subject that has a
+    partner have none, so the first ``most + 2`` hold all subjects. An object among the first ``most`` of a subject is among the first
+    ``most + 1`` of its surface and of its position; of what is left, a subject passes over ``most + 1`` of its own surface and
+    as many of its own position, so the first ``3 * most + 2`` hold all objects. No sentence gives more pairs than these two make.
     """
-    fine = mentions.where(F.col("entity_type").isin(*ARGUMENT_TYPES)).select("document_id", "sent", "position", "surface")
-    a = fine.select("document_id", "sent", F.col("position").alias("subject"), F.col("surface").alias("subject_surface"))
-    b = fine.select("document_id", "sent", F.col("position").alias("object"), F.col("surface").alias("object_surface"))
-    pairs = a.join(b, ["document_id", "sent"]).where("subject <> object AND subject_surface <> object_surface")
-    turn = F.row_number().over(W.partitionBy("document_id", "sent").orderBy("subject", "object"))
+    spot = ["document_id", "sent"]
+    fine = mentions.where(F.col("entity_type").isin(*ARGUMENT_TYPES)).groupBy(*spot, "position", "surface").agg(F.count("*").alias("n")).where("surface IS NOT NULL AND position IS NOT NULL")
+    first = lambda df, keys, order, k: df.withColumn("_k", F.row_number().over(W.partitionBy(*spot, *keys).orderBy(*order))).where(F.col("_k") <= k)
+    few = first(first(fine, ["surface"], ["position"], most + 1).drop("_k"), ["position"], ["surface"], most + 1).drop("_k")
+    held = first(few, [], ["position", "surface"], 3 * most + 2)
+    a = held.where(F.col("_k") <= most + 2).select(*spot, F.col("position").alias("subject"), F.col("surface").alias("subject_surface"), F.col("n").alias("_a"))
+    b = held.select(*spot, F.col("position").alias("object"), F.col("surface").alias("object_surface"), F.col("n").alias("_b"))
+    met = a.join(b, spot).where("subject <> object AND subject_surface <> object_surface")
+    times = F.least(F.col("_a") * F.col("_b"), F.lit(most)).cast("int")
+    pairs = met.withColumn("_n", F.explode(F.sequence(F.lit(1), times))).drop("_a", "_b", "_n")
+    turn = F.row_number().over(W.partitionBy(*spot).orderBy("subject", "object"))
     return pairs.withColumn("turn", turn).where(F.col("turn") <= most)
 
 

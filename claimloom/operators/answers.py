@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,13 +45,16 @@ def failure_note(note: Column, predicted: Column, truth: Column, degraded: Colum
 
 
 def fitted_intents(utterances: DataFrame, features: int = 4096) -> PipelineModel:
-    """A classifier of intents from utterances (text, intent): TF-IDF of words and word pairs, then logistic regression without an intercept, so words never heard say nothing."""
+    """A classifier of intents from utterances (text, intent): TF-IDF of words and word pairs, then logistic regression without an intercept.
+
+    Words and pairs are looked up in what was learnt, the ``features`` commonest ones, not hashed: one never heard says nothing.
+    """
     stages = [
         StringIndexer(inputCol="intent", outputCol="label", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}']+"),
         NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
-        HashingTF(inputCol="grams", outputCol="tf", numFeatures=features),
+        CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(maxIter=40, regParam=0.01, fitIntercept=False, probabilityCol="p"),
     ]

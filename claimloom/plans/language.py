@@ -168,13 +168,13 @@ ALL = X.ALL_TOKENS.replace("{docs}", "(SELECT doc_id AS document_id, text FROM d
 
 @query(f"WITH {ALL} SELECT document_id AS doc_id, tok_idx, sent, surface, tok_start AS char_start, tok_end AS char_end FROM tokens")
 def document_tokens(spark, sf_dir):
-    """Every token of every document, by the table function."""
+    """Every token of every document."""
     return token_functions.tokens(table(spark, sf_dir, "documents")).select("doc_id", "tok_idx", "sent", "surface", "char_start", "char_end")
 
 
 @query(f"WITH {ALL} SELECT document_id AS doc_id, sent, min(tok_start) AS sent_start, max(tok_end) AS sent_end FROM tokens GROUP BY 1, 2")
 def document_sentences(spark, sf_dir):
-    return token_functions.sentences(token_functions.tokens(table(spark, sf_dir, "documents")))
+    return token_functions.sentences_in(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {ALL}, s AS (SELECT document_id, tok_idx, surface, CASE WHEN tok_idx % 97 = 5 THEN tok_start + 1 ELSE tok_start END AS a, CASE WHEN tok_idx % 97 = 5 THEN tok_end + 1 ELSE tok_end END AS b FROM tokens) SELECT doc_id, tok_idx FROM s JOIN documents ON doc_id = document_id WHERE substr(text, a + 1, b - a) <> surface")

@@ -101,15 +101,20 @@ def renamed(names: list[str], *seed) -> dict[str, str]:
     return {n: f"Party {int(chance(*seed, n) * 9000) + 1000}" for n in names}
 
 
+#: Characters of variants that leave a task together, and what a row counts beside its text.
+CHARS, ROW = 4_000_000, 500
+
+
 def variants(claims: DataFrame, per_family: int = 1, seed: int = 0) -> DataFrame:
     """``claims`` (claim_id, text, char_start, char_end, names) with the variants of every family; vacuous ones are left out.
 
-    ``renames`` has the old name of each new one.
+    ``renames`` has the old name of each new one. Variants leave a task as soon as they hold ``CHARS`` characters together.
     """
+    names = ["claim_id", "perturbation", "variant", "text", "char_start", "char_end", "renames"]
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
+            rows, size = [], 0
             for r in f.itertuples(index=False):
                 for family in FAMILIES:
                     for v in range(per_family):
@@ -121,7 +126,11 @@ def variants(claims: DataFrame, per_family: int = 1, seed: int = 0) -> DataFrame
                         if got and got[0] != r.text:
                             old = {new: n for n, new in renamed(list(r.names), *key).items()} if family == "rename" else {}
                             rows.append((r.claim_id, family, v, *got, old))
-            yield pd.DataFrame(rows, columns=["claim_id", "perturbation", "variant", "text", "char_start", "char_end", "renames"])
+                            size += len(got[0]) + ROW
+                if size >= CHARS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return claims.select("claim_id", "text", "char_start", "char_end", "names").where("text IS NOT NULL").mapInPandas(build, "claim_id long, perturbation string, variant int, text string, char_start int, char_end int, renames map<string, string>")
 

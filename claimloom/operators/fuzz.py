@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -43,6 +44,26 @@ def chance(*parts) -> float:
     return int.from_bytes(hashlib.blake2b(":".join(map(str, parts)).encode(), digest_size=7).digest()) / 2**56
 
 
+def chances(places: list[int], *seed) -> list[float]:
+    """``chance(*seed, place)`` of each place; what all have in common is written out once."""
+    head, draw, number = ":".join(map(str, seed)), hashlib.blake2b, int.from_bytes
+    return [number(draw(f"{head}:{p}".encode(), digest_size=7).digest()) / 2**56 for p in places]
+
+
+@lru_cache(maxsize=1)
+def _words(text: str) -> list[tuple[int, int]]:
+    """Where the words of a text stand: two families ask one after another."""
+    return [m.span() for m in re.finditer(r"\w+", text)]
+
+
+def _standing(name: str, text: str) -> Iterator[int]:
+    """Where a name stands, from left to right without overlap; an empty one stands at every place."""
+    at = text.find(name)
+    while at >= 0:
+        yield at
+        at = text.find(name, at + (len(name) or 1)) if at < len(text) else -1
+
+
 def applied(text: str, edits: list[tuple[int, int, str]], start: int, end: int) -> tuple[str, int, int]:
     """The text after edits (start, end, new) and the tracked span; overlapping edits are an error.
 
@@ -63,20 +84,22 @@ def applied(text: str, edits: list[tuple[int, int, str]], start: int, end: int)
 
 
 def edits_of(family: str, text: str, start: int, end: int, names: list[str], *seed) -> list[tuple[int, int, str]]:
-    words = [m for m in re.finditer(r"\w+", text)]
     if family == "synonym":
-        free = [m for m in words if m.group().lower() in SYNONYMS]
-        return [(m.start(), m.end(), SYNONYMS[m.group().lower()]) for m in free if chance(*seed, m.start()) < SYNONYM_SHARE or len(free) == 1]
+        free = [(a, b, new) for a, b in _words(text) if (new := SYNONYMS.get(text[a:b].lower()))]
+        return free if len(free) == 1 else [x for x, p in zip(free, chances([a for a, _, _ in free], *seed), strict=True) if p < SYNONYM_SHARE]
     if family == "rename":
-        found = [(m.start(), m.end(), n) for n in names for m in re.finditer(re.escape(n), text)]
-        new = renamed(names, *seed)
-        return [(a, b, new[n]) for k, (a, b, n) in enumerate(sorted(found)) if all(b <= x or a >= y for x, y, _ in sorted(found)[:k])]
+        new, out, last = renamed(names, *seed), [], 0
+        for a, b, n in sorted((a, a + len(n), n) for n in names for a in _standing(n, text)):
+            if a >= last:  # beyond all that began before it
+                out.append((a, b, new[n]))
+            last = max(last, b)
+        return out
     if family == "boilerplate":
         notice = NOTICES[int(chance(*seed) * len(NOTICES))]
         return [(start, start, notice + " ")] if chance(*seed, "side") < 0.5 else [(end, end, " " + notice)]
     if family == "punctuation":
-        gaps = [m.end() for m in words if not start < m.end() < end]
-        return [(g, g, ",") for g in gaps if chance(*seed, g) < NOISE_SHARE]
+        gaps = [b for _, b in _words(text) if not start < b < end]
+        return [(g, g, ",") for g, p in zip(gaps, chances(gaps, *seed), strict=True) if p < NOISE_SHARE]
     raise ValueError(family)
 
 
@@ -86,7 +109,7 @@ def reordered(text: str, start: int, end: int, *seed) -> tuple[str, int, int] |
     parts = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
     if len(parts) < 3 or not any(a <= start and end <= b for a, b in parts):
         return None
-    order = sorted(parts, key=lambda p: chance(*seed, p[0]))
+    order = [p for _, p in sorted(zip(chances([a for a, _ in parts], *seed), parts, strict=True))]
     pieces = [text[a:b].rstrip() for a, b in order]
     at = 0
     for (a, b), piece in zip(order, pieces, strict=True):
@@ -105,34 +128,38 @@ def renamed(names: list[str], *seed) -> dict[str, str]:
 CHARS, ROW = 4_000_000, 500
 
 
-def variants(claims: DataFrame, per_family: int = 1, seed: int = 0) -> DataFrame:
+def variants(claims: DataFrame, per_family: int = 1, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """``claims`` (claim_id, text, char_start, char_end, names) with the variants of every family; vacuous ones are left out.
 
-    ``renames`` has the old name of each new one. Variants leave a task as soon as they hold ``CHARS`` characters together.
+    ``renames`` has the old name of each new one; columns to ``keep`` follow. Variants leave a task as soon as they hold ``CHARS`` characters together.
     """
-    names = ["claim_id", "perturbation", "variant", "text", "char_start", "char_end", "renames"]
+    given = ["claim_id", "text", "char_start", "char_end", "names"]
+    names = ["claim_id", "perturbation", "variant", "text", "char_start", "char_end", "renames", *keep]
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows, size = [], 0
-            for r in f.itertuples(index=False):
+            for claim, text, start, end, parties, *kept in zip(*(f[c] for c in (*given, *keep)), strict=True):
+                parties = list(parties)
                 for family in FAMILIES:
                     for v in range(per_family):
-                        key = (seed, r.claim_id, family, v)
+                        key = (seed, claim, family, v)
                         if family == "reorder":
-                            got = reordered(r.text, r.char_start, r.char_end, *key)
+                            got = reordered(text, start, end, *key)
                         else:
-                            got = applied(r.text, edits_of(family, r.text, r.char_start, r.char_end, list(r.names), *key), r.char_start, r.char_end)
-                        if got and got[0] != r.text:
-                            old = {new: n for n, new in renamed(list(r.names), *key).items()} if family == "rename" else {}
-                            rows.append((r.claim_id, family, v, *got, old))
+                            got = applied(text, edits_of(family, text, start, end, parties, *key), start, end)
+                        if got and got[0] != text:
+                            old = {new: n for n, new in renamed(parties, *key).items()} if family == "rename" else {}
+                            rows.append((claim, family, v, *got, old, *kept))
                             size += len(got[0]) + ROW
                 if size >= CHARS:
                     yield pd.DataFrame(rows, columns=names)
                     rows, size = [], 0
             yield pd.DataFrame(rows, columns=names)
 
-    return claims.select("claim_id", "text", "char_start", "char_end", "names").where("text IS NOT NULL").mapInPandas(build, "claim_id long, perturbation string, variant int, text string, char_start int, char_end int, renames map<string, string>")
+    kinds = dict(claims.dtypes)
+    schema = ", ".join(["claim_id long, perturbation string, variant int, text string, char_start int, char_end int, renames map<string, string>", *(f"{c} {kinds[c]}" for c in keep)])
+    return claims.select(*given, *keep).where("text IS NOT NULL").mapInPandas(build, schema)
 
 
 def scored(targets: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -164,26 +191,29 @@ def run(claims: DataFrame, documents: DataFrame, extract: Callable[[DataFrame],
     """Perturb the document of every claim, extract from each variant, and score what became of the claim.
 
     ``claims``: claim_id, document_id, char_start, char_end, subject, object (names as they stand), relation, confidence and, if they
-    have one, fragility; ``documents``: document_id, text. ``extract`` takes claim_id, perturbation, variant, text and gives the same keys with
-    subject, object, relation, confidence, start2, end2 of each claim that it reads. A draft is the claim's if it overlaps the moved span
+    have one, fragility; ``documents``: document_id, text. ``extract`` takes claim_id, perturbation, variant, text and gives, beside all columns but the text
+    (more may be there), subject, object, relation, confidence, start2, end2 of each claim that it reads. A draft is the claim's if it overlaps the moved span
     and has its parties once renames are undone; of several the surest counts (ties: the first). The relation is lost without one, and
     the label flips if it is lost or another. Families that cannot change a text leave no trial. Fragility is the mean
     instability of a claim's trials, 0 without any; claims whose document is gone keep what they had. Nothing is written
     back to the documents, and reruns agree.
     """
     held = claims.join(documents.select("document_id", "text"), "document_id").where("text IS NOT NULL")
-    made = cut(variants(held.select("claim_id", "text", "char_start", "char_end", F.array("subject", "object").alias("names")), per_family, seed))
-    keys = ["claim_id", "perturbation", "variant"]
-    drafts = extract(made.select(*keys, "text"))
-    own = claims.select("claim_id", F.col("subject").alias("_s"), F.col("object").alias("_o"), F.col("relation").alias("_r"), F.col("confidence").alias("_c"))
-    met = made.drop("text").join(drafts, keys).join(own, "claim_id").where("start2 < char_end AND end2 > char_start")
-    was = lambda c: normalized_name(F.coalesce(F.try_element_at("renames", F.col(c)), F.col(c)))
-    met = met.where((was("subject") == normalized_name(F.col("_s"))) & (was("object") == normalized_name(F.col("_o"))))
-    best = met.groupBy(*keys).agg(F.max_by(F.struct("relation", "confidence"), F.struct("confidence", -F.col("start2"))).alias("best"))
-    joined = made.select(*keys).join(best, keys, "left").join(own, "claim_id")
+    own = {"_s": F.col("subject"), "_o": F.col("object"), "_r": F.col("relation"), "_c": F.col("confidence").cast("double")}
+    # A claim takes long for its few bytes, so claims are dealt to all partitions, however small. What a draft is held against travels with its text.
+    dealt = held.select("claim_id", "text", "char_start", "char_end", F.array("subject", "object").alias("names"), *[c.alias(n) for n, c in own.items()]).repartition(int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")), "claim_id")
+    made = cut(variants(dealt, per_family, seed, tuple(own)))
+    keys = ["claim_id", "perturbation", "variant", "_r", "_c"]
+    was = lambda c: F.coalesce(F.try_element_at("renames", F.col(c)), F.col(c))
+    same = lambda a, b: (a == b) | (normalized_name(a) == normalized_name(b))  # noqa: E731  names alike as they stand need no more
+    drafts = extract(made).where("start2 < char_end AND end2 > char_start").where(same(was("subject"), F.col("_s")) & same(was("object"), F.col("_o")))
+    read = drafts.select(*keys, F.struct("relation", "confidence").alias("draft"), F.struct("confidence", -F.col("start2")).alias("rank"))
+    every = made.select(*keys).unionByName(read, allowMissingColumns=True).repartition("claim_id")  # so trials and their mean need no more
+    best = every.groupBy(*keys).agg(F.max_by("draft", "rank").alias("best"))
     lost = F.col("best").isNull()
-    trials = joined.select(
-        *keys, (lost | (F.col("best")["relation"] != F.col("_r"))).alias("flipped"), lost.alias("lost"), F.round(F.coalesce(F.col("best")["confidence"], F.lit(0.0)) - F.col("_c"), 6).alias("delta"),
+    trials = best.select(
+        "claim_id", "perturbation", "variant", (lost | (F.col("best")["relation"] != F.col("_r"))).alias("flipped"), lost.alias("lost"),
+        F.round(F.coalesce(F.col("best")["confidence"], F.lit(0.0)) - F.col("_c"), 6).alias("delta"),
     )
     trials = cut(trials)
     scores = evals.fragility(trials).withColumnRenamed("fragility", "_new")

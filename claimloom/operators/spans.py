@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -29,16 +32,21 @@ def words(documents: DataFrame) -> DataFrame:
     return pieces(documents, F.split("text", " "), ["doc_id"], "tok_idx", "surface")
 
 
+def surfaces(documents: DataFrame) -> DataFrame:
+    """``words`` without their offsets, which take a pass of their own over each text."""
+    return documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("tok_idx", "surface"))
+
+
 def islands(tokens: DataFrame) -> DataFrame:
     """Spans of BIO tags: ``B`` always opens, ``I`` opens where no span of its type goes on; the confidence is the geometric mean."""
     w = W.partitionBy("doc_id").orderBy("tok_idx")
-    kind = F.substring("tag", 3, 100)
-    goes_on = F.col("tag").startswith("I-") & (F.coalesce(F.substring(F.lag("tag").over(w), 3, 100), F.lit("")) == kind)
-    opened = tokens.withColumn("opens", F.when(F.col("tag") == "O", 0).when(goes_on, 0).otherwise(1))
-    numbered = opened.withColumn("span", F.sum("opens").over(w)).where("tag <> 'O'")
-    return numbered.groupBy("doc_id", "span").agg(
-        F.min("tok_idx").alias("tok_start"), (F.max("tok_idx") + 1).alias("tok_end"), F.first(kind).alias("kind"), F.round(F.exp(F.avg(F.log(F.greatest("conf", F.lit(1e-9))))), 6).alias("conf")
-    ).drop("span")
+    typed = tokens.select("doc_id", "tok_idx", "conf", F.col("tag").startswith("I-").alias("inner"), F.when(F.col("tag") != "O", F.substring("tag", 3, 100)).alias("kind"))
+    goes_on = F.col("inner") & F.coalesce(F.lag("kind").over(w) == F.col("kind"), F.lit(False))
+    numbered = typed.withColumn("opens", F.when(F.col("kind").isNull() | goes_on, 0).otherwise(1)).withColumn("span", F.sum("opens").over(w)).where("kind IS NOT NULL")
+    # A span is of one kind; as a key it leaves numbers alone to be aggregated, which needs no second sort.
+    return numbered.groupBy("doc_id", "span", "kind").agg(
+        F.min("tok_idx").alias("tok_start"), (F.max("tok_idx") + 1).alias("tok_end"), F.round(F.exp(F.avg(F.log(F.greatest("conf", F.lit(1e-9))))), 6).alias("conf")
+    ).select("doc_id", "tok_start", "tok_end", "kind", "conf")
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, width: int = 256) -> DataFrame:
@@ -82,6 +90,35 @@ def segment_softmax(edges: DataFrame) -> DataFrame:
     return edges.withColumn("_e", e).withColumn("weight", F.col("_e") / F.sum("_e").over(w)).drop("_e")
 
 
+def _held(text: str, start: int, end: int) -> str:
+    """What SQL's ``substring(text, start + 1, end - start)`` gives: a negative position counts from the end."""
+    if start < -1:
+        start, end = len(text) + start + 1, len(text) + end + 1
+    elif start == -1:
+        start, end = 0, end + 1
+    return text[max(start, 0) : max(end, 0)]
+
+
 def broken_offsets(spans: DataFrame, documents: DataFrame) -> DataFrame:
-    """Spans whose text is not what the document holds there; empty if all is well."""
-    return spans.join(documents.select("doc_id", "text"), "doc_id").where(F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("surface")).drop("text")
+    """Spans whose text is not what the document holds there; empty if all is well.
+
+    A text comes before its spans in one sorted stream, so it is held once and a span takes no longer the further in it stands.
+    """
+    texts = documents.select("doc_id", F.col("text").alias("_text"), F.lit(False).alias("_span"))
+    names = spans.columns
+    rows = texts.unionByName(spans.withColumn("_span", F.lit(True)), allowMissingColumns=True).where("doc_id IS NOT NULL")
+
+    def broken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, texts = None, []
+        for batch in batches:
+            found = []
+            for k, (own, text, span, start, end, surface) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_text", "_span", "char_start", "char_end", "surface")), strict=True)):
+                if own != doc:
+                    doc, texts = own, []
+                if not span:
+                    texts += [text] if text is not None else []
+                elif texts and start is not None and end is not None and surface is not None:
+                    found += [k for t in texts if (t[start:end] if 0 <= start <= end else _held(t, start, end)) != surface]
+            yield batch.select(names).take(pa.array(found, pa.int64()))
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "_span").mapInArrow(broken, spans.schema)

@@ -396,7 +396,7 @@ SELECT doc_id, min(tok_idx) AS tok_start, max(tok_idx) + 1 AS tok_end, any_value
 def bio_islands(spark, sf_dir):
     length = F.length("surface")
     tag = F.element_at(F.array(F.lit("B-ORG"), F.lit("I-ORG"), F.lit("I-PERSON"), F.lit("O")), length % 4 + 1)
-    tokens = spans.words(table(spark, sf_dir, "documents")).select("doc_id", "tok_idx", tag.alias("tag"), ((length % 9 + 1).cast("double") / 10).alias("conf"))
+    tokens = spans.surfaces(table(spark, sf_dir, "documents")).select("doc_id", "tok_idx", tag.alias("tag"), ((length % 9 + 1).cast("double") / 10).alias("conf"))
     return spans.islands(tokens).withColumns({"tok_start": F.col("tok_start").cast("long"), "tok_end": F.col("tok_end").cast("long")})
 
 

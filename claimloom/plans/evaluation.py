@@ -10,6 +10,7 @@ from claimloom.plans import catalog as C
 from claimloom.plans import fixtures as X
 from claimloom.plans.fixtures import ABLATIONS, BUCKETS, CASES, CLAIMS, GOLD, RUNS, TRIALS, table
 from claimloom.plans.registry import query
+from claimloom.sources.durable import cut
 
 ROUTED = C.ROUTED
 
@@ -145,7 +146,7 @@ TUNED = ", r4 AS (SELECT round(r, 4) AS r, claim_id % 2 AS clean FROM raw), g AS
 
 @query(C.SCORED + TUNED)
 def tuned_thresholds(spark, sf_dir):
-    risk = routing.scored(X.claims(spark, sf_dir)).select("claim_id", "risk")
+    risk = cut(routing.scored(X.claims(spark, sf_dir)).select("claim_id", "risk"))  # read twice
     return reports.tuned_thresholds(risk.where("claim_id % 2 = 0"), risk.where("claim_id % 2 = 1").withColumn("risk", F.col("risk") * 0.5), [0.2, 0.3, 0.4], [0.3, 0.35, 0.4, 0.5])
 
 

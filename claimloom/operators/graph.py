@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.operators.strong import strong_components
+from claimloom.operators.strong import peeled, strong_components
 from claimloom.sources.durable import cut
 
 #: Cyclic relations with the shortest length that counts; weights of degree, cycle and severity.
@@ -26,11 +26,15 @@ def severity(routing):
 
 
 def grouped_edges(claims: DataFrame) -> DataFrame:
-    """One edge for each subject, object and relation, with its worst routing and all its claims."""
+    """One edge for each subject, object and relation, with its worst routing and all its claims; a routing of no name counts as the mildest.
+
+    The worst is found among numbers: where the list of claims is not asked for, no rows are sorted.
+    """
+    worst = F.max(severity(F.col("routing")))
     return claims.groupBy(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), "relation").agg(
         F.max("confidence").alias("confidence"),
         F.min("vacuity").alias("vacuity"),
-        F.max_by("routing", severity(F.col("routing"))).alias("routing"),
+        F.when(worst == SEVERITY["escalate"], "escalate").when(worst == SEVERITY["flag"], "flag").otherwise("auto_file").alias("routing"),
         F.array_sort(F.collect_list("claim_id")).alias("claim_ids"),
         F.count("*").alias("weight"),
     )
@@ -90,7 +94,8 @@ def _cyclic(edges: DataFrame) -> DataFrame:
 
 
 def _inside_components(cyclic: DataFrame) -> DataFrame:
-    """Edges whose two ends are in one strongly connected component of their relation."""
+    """Edges whose two ends are in one strongly connected component of their relation; those that are plainly in none go first."""
+    cyclic = peeled(cyclic, ("relation",))
     strong = strong_components(cyclic, ("relation",))
     a, b = strong.select("relation", F.col("node").alias("src"), "component"), strong.select("relation", F.col("node").alias("dst"), "component")
     return cut(cyclic.join(a, ["relation", "src"]).join(b, ["relation", "dst", "component"]).select("relation", "src", "dst"))

@@ -46,6 +46,24 @@ def _lone_sides(live: DataFrame) -> DataFrame:
     return both.select("node", pointer("came"), pointer("went"), *[(F.col(f"n_{c}") == 0).alias(f"dead_{c}") for c in ("came", "went")])
 
 
+def peeled(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``edges`` (src, dst, of any type, within each of ``keys``) without most of those on no cycle: their source has no edge in, or their target none out.
+
+    Two layers fall at a time, as long as that takes a share worth a pass; ``strong_components`` does the rest. Edges of a node to itself stay.
+    """
+    n = edges.count()
+    while n:
+        left = edges
+        for _ in range(2):
+            for here, there in (("src", "dst"), ("dst", "src")):
+                left = left.join(left.select(*keys, F.col(there).alias(here)).distinct(), [*keys, here], "left_semi")
+        edges = cut(left.select(*edges.columns))
+        n, before = edges.count(), n
+        if before - n <= WORTHWHILE * before:
+            break
+    return edges
+
+
 #: What a node learns from itself (kind 0) and from its two pointers' targets (1, 2).
 DOUBLED = [
     "to AS node",

@@ -36,9 +36,9 @@ def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
-    """Grouped edges of all claims; ``once``: written, for queries that read them several times."""
+    """Grouped edges of all claims; ``once``: written without the lists of their claims, for queries that read them several times."""
     edges = graph.grouped_edges(_routed(spark, sf_dir))
-    return cut(edges) if once else edges
+    return cut(edges.drop("claim_ids")) if once else edges
 
 
 # Feed, filters, paging

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def evidence(z: Column) -> Column:
@@ -33,18 +36,25 @@ def vacuity(e: Column) -> Column:
     return F.size(e) / strength(e)
 
 
-def dissonance(e: Column) -> Column:
-    """Conflict among the belief masses of all pairs of classes."""
-    s = strength(e)
-    belief = F.transform(e, lambda x: x / s)
-
-    def at(i: Column) -> Column:
-        b = belief[i]
-        others = F.filter(belief, lambda _, j: j != i)
-        weighted = F.aggregate(others, F.lit(0.0), lambda a, c: a + c * (1.0 - F.abs(b - c) / (b + c + 1e-10)))
-        return b * weighted / (total(others) + 1e-10)
-
-    return total(F.transform(F.sequence(F.lit(0), F.size(e) - 1), at))
+@F.pandas_udf(DoubleType())
+def dissonance(e: pd.Series) -> pd.Series:
+    """Conflict among the belief masses of all pairs of classes; rows of one size are worked out together. Null where a mass is."""
+    out, rows = np.full(len(e), np.nan), e.to_numpy()
+    sizes = np.array([-1 if x is None else len(x) for x in rows], np.int64)
+    for k in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == k)
+        mass = np.array([rows[i] for i in at.tolist()], np.float64).T
+        belief = mass / (mass.sum(axis=0) + k)
+        conflict = np.zeros(len(at))
+        for i in range(k):
+            weighed, others = np.zeros(len(at)), np.zeros(len(at))
+            for j in range(k):
+                if j != i:
+                    weighed += belief[j] * (1.0 - np.abs(belief[i] - belief[j]) / (belief[i] + belief[j] + 1e-10))
+                    others += belief[j]
+            conflict += belief[i] * weighed / (others + 1e-10)
+        out[at] = conflict
+    return pd.Series(out)
 
 
 def at_temperature(z: Column, temperature: float) -> Column:

@@ -281,6 +281,30 @@ def test_encoder_forgets_and_keeps_pieces(monkeypatch):
         assert [x.tolist() for x in mine(texts)] == [x.tolist() for x in fresh(texts)]
 
 
+def test_encoder_asks_the_library_for_new_pieces_only(monkeypatch):
+    """Words that are known do not count as new ones, so a slice full of them makes the encoder forget nothing."""
+    monkeypatch.setattr(wavelet, "CACHE", 100)
+    mine = wavelet.Encoder(wavelet.tokenizer_path())
+    learnt, learn = [], mine._learn
+    monkeypatch.setattr(mine, "_learn", lambda pieces: (learnt.extend(map(str, pieces)), learn(pieces))[1])
+    texts = pa.array([" ".join(f"w{k}" for k in range(60)), None, "", "w3 w4"])
+    once = mine(texts)
+    n = len(learnt)
+    assert n and [x.tolist() for x in mine(texts)] == [x.tolist() for x in once] and len(learnt) == n
+
+
+def test_encoder_equals_tokenizer_on_words_of_letters():
+    from tokenizers import Tokenizer
+
+    rng, plain, mine = random.Random(4), Tokenizer.from_file(wavelet.tokenizer_path()), wavelet.Encoder(wavelet.tokenizer_path())
+    assert mine.merger is not None
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZ\xc0\xd6\xd8\xf6\xf8\xff\u0100\u01bb\u01c5\u024f"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    ids, sizes = mine(pa.array(texts))
+    for text, found in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert [*plain.encode(text, add_special_tokens=False).ids, 0] == found.tolist()
+
+
 def test_shards_hold_vocabularies_over_16_bits():
     ids = np.random.default_rng(1).integers(0, 200_000, 300_000).astype(np.uint32)
     shard = wavelet.Shard(wavelet.build(ids, np.array([5, 6]), np.array([7, 300_000])))

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def softplus(x: Column) -> Column:
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
 def evidence(z: Column) -> Column:
     """Softplus of each logit."""
-    return F.transform(z, lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x))))
+    return F.transform(z, softplus)
 
 
 def total(values: Column) -> Column:

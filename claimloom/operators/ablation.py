@@ -76,6 +76,39 @@ def sweep(effects: DataFrame) -> DataFrame:
 SPAN = ["document_id", "char_start", "char_end"]
 
 
+def _greatest(columns: list[Column]) -> Column:
+    return F.greatest(*columns) if len(columns) > 1 else columns[0]
+
+
+def _means(parts: Column, n: int) -> Column:
+    """Of each part (w: weights, v: as many arrays of ``n`` values) the weighted mean of its arrays; 0 where nothing weighs.
+
+    What a lambda reads more than once is bound as a field first, since an expression in it is worked out wherever it stands.
+    """
+    arcs = lambda p: F.zip_with(p["w"], p["v"], lambda w, v: F.struct(w.alias("w"), v.alias("v")))
+    summed = lambda p: F.aggregate(arcs(p), F.array_repeat(F.lit(0.0), n), lambda s, a: F.zip_with(s, a["v"], lambda x, v: x + a["w"] * v))
+    sums = F.transform(parts, lambda p: F.struct(trust.total(p["w"]).alias("whole"), summed(p).alias("z")))
+    return F.transform(sums, lambda p: F.transform(p["z"], lambda z: F.coalesce(F.try_divide(z, p["whole"]), F.lit(0.0))))
+
+
+def sentence_graphs(edges: DataFrame, n: int) -> DataFrame:
+    """One row for each span: the ids of its edges (known) and for each node with edges in what reaches it (into).
+
+    Of a node: dst, ids and softmax shares of the edges into it in order of their sources, the ``n`` values of each, and
+    their mean (before). A score or value that is null weighs nothing. An edge from a node to itself is none. No run is needed for any of it.
+    """
+    values = F.array(*[F.coalesce(F.col("values")[k], F.lit(0.0)) for k in range(n)])
+    arc = F.struct("src", edge_id(F.col("src"), F.col("dst")).alias("id"), "score", values.alias("values"))
+    nodes = edges.where("src <> dst").groupBy(*SPAN, "dst").agg(F.array_sort(F.collect_list(arc)).alias("arcs"), F.max("score").alias("top"))  # of one node
+    # The largest score only keeps the exponentials in range.
+    nodes = nodes.withColumn("e", F.transform("arcs", lambda a: F.coalesce(F.exp(a["score"] - F.col("top")), F.lit(0.0))))
+    nodes = nodes.withColumn("whole", trust.total(F.col("e")))
+    nodes = nodes.select(*SPAN, "dst", F.col("arcs.id").alias("ids"), F.transform("e", lambda x: F.coalesce(F.try_divide(x, F.col("whole")), F.lit(0.0))).alias("shares"), F.col("arcs.values").alias("values"))
+    nodes = nodes.withColumn("before", _means(F.array(F.struct(F.col("shares").alias("w"), F.col("values").alias("v"))), n)[0])
+    into = F.collect_list(F.struct("dst", "ids", "shares", "values", "before")).alias("into")  # of one sentence
+    return nodes.groupBy(*SPAN).agg(into).withColumn("known", F.flatten("into.ids"))
+
+
 def ablate(requests: DataFrame, claims: DataFrame, nodes: DataFrame, edges: DataFrame, relations: tuple[str, ...], members: DataFrame | None = None) -> DataFrame:
     """Each requested run: what a stored claim's confidence, relation and routing become without some edges of its sentence.
 
@@ -87,52 +120,62 @@ def ablate(requests: DataFrame, claims: DataFrame, nodes: DataFrame, edges: Data
     A run is refused, with the reason and without figures, if its claim is gone, no graph has its span, one of its parties is no
     node there, its mode is unknown, it masks nothing, or an edge that is not in the graph (an edge from a node to itself is none).
     Of a party with several nodes the first counts. All runs are one plan; routing is worked out again in the context of all claims.
+
+    Whatever does not depend on a run is worked out once: for a claim its nodes, for a sentence its shares and what they give. What is
+    asked of a sentence is worked out once, within a row, however many runs ask it; a run takes its figures by an equi-join.
     """
     runs = requests.select("run_id", F.col("claim_id").alias("_asked"), "mode", F.array_distinct("masked").alias("masked"))
-    own = claims.select("claim_id", *SPAN, "subject_id", "object_id", F.col("relation").alias("claimed"))
-    met = runs.join(own, runs["_asked"] == own["claim_id"], "left")
+    own = claims.select("claim_id", *SPAN, "subject_id", "object_id", "relation").join(runs.select(F.col("_asked").alias("claim_id")).distinct(), "claim_id", "left_semi")
     place = nodes.groupBy(*SPAN, "entity_id").agg(F.min("node").alias("node"))
     for side in ("subject", "object"):
-        met = met.join(place.select(*SPAN, F.col("entity_id").alias(f"{side}_id"), F.col("node").alias(f"{side}_node")), [*SPAN, f"{side}_id"], "left")
-    real = edges.where("src <> dst")
-    known = real.groupBy(*SPAN).agg(F.collect_set(edge_id(F.col("src"), F.col("dst"))).alias("known"))  # of one sentence
-    met = met.join(known, SPAN, "left")
+        own = own.join(place.select(*SPAN, F.col("entity_id").alias(f"{side}_id"), F.col("node").alias(f"{side}_node")), [*SPAN, f"{side}_id"], "left")
+    met = cut(runs.join(own, runs["_asked"] == own["claim_id"], "left"))  # read twice
+    # Runs that ask the same of one sentence have the same figures.
+    question = [*SPAN, "subject_node", "object_node", "mode", "masked"]
+    asked = met.where("claim_id IS NOT NULL").select(*question).distinct().join(sentence_graphs(edges, len(relations)), SPAN, "left")
     unknown = F.array_sort(F.array_except("masked", F.coalesce("known", F.array().cast("array<string>"))))
     refused = (
-        F.when(F.col("claim_id").isNull(), "no such claim").when(F.col("known").isNull(), "no sentence at this span")
+        F.when(F.col("known").isNull(), "no sentence at this span")
         .when(F.col("subject_node").isNull() | F.col("object_node").isNull(), "a party is not in the sentence").when(~F.col("mode").isin("zero", "uniform") | F.col("mode").isNull(), "unknown mode")
         .when(F.col("masked").isNull() | (F.size("masked") == 0), "nothing masked").when(F.size(unknown) > 0, F.concat(F.lit("unknown edges: "), F.array_join(unknown, ",")))
     )
-    met = cut(met.withColumn("refused", refused).drop("known"))
-    able = met.where("refused IS NULL")
-    into = able.select("run_id", "mode", "masked", *SPAN, F.explode(F.array("subject_node", "object_node")).alias("dst"))
-    rows = into.distinct().join(real, [*SPAN, "dst"]).withColumn("off", F.array_contains("masked", edge_id(F.col("src"), F.col("dst"))))
-    # Softmax shares from sums alone; the largest score only keeps the exponentials in range.
-    tops = rows.groupBy("run_id", "dst").agg(F.max("score").alias("top"), F.count("*").alias("n"))
-    weighed = rows.join(tops, ["run_id", "dst"]).withColumn("e", F.exp(F.col("score") - F.col("top")))
-    whole = weighed.groupBy("run_id", "dst").agg(F.sum("e").alias("whole"))
-    share = F.col("e") / F.col("whole")
-    after = F.when(F.col("mode") == "zero", F.when(F.col("off"), 0.0).otherwise(share)).otherwise(F.when(F.col("off"), 1.0 / F.col("n")).otherwise(share))
-    shares = weighed.join(whole, ["run_id", "dst"]).withColumns({"before": share, "after": after})
-    mean = lambda w, k: F.coalesce(F.try_divide(F.sum(F.col(w) * F.col("values")[k]), F.sum(w)), F.lit(0.0)).alias(f"{w}{k}")
-    read = shares.groupBy("run_id", "dst").agg(*[mean(w, k) for w in ("before", "after") for k in range(len(relations))])
-    pair = read.groupBy("run_id").agg(*[F.avg(f"{w}{k}").alias(f"{w}{k}") for w in ("before", "after") for k in range(len(relations))])
-    logits = lambda w: F.array(*[F.col(f"{w}{k}") for k in range(len(relations))])
-    names = F.array(*[F.lit(r) for r in relations])
-    figures = pair.select("run_id", *[x for w in ("before", "after") for x in (trust.evidence(logits(w)).alias(f"e_{w}"), names[F.array_position(logits(w), F.array_max(logits(w))).cast("int") - 1].alias(f"relation_{w}"))])
-    figures = figures.select("run_id", "relation_before", "relation_after", *[x for w in ("before", "after") for x in (trust.confidence(F.col(f"e_{w}")).alias(f"confidence_{w}"), trust.vacuity(F.col(f"e_{w}")).alias(f"vacuity_{w}"))])
-    done = cut(able.join(figures, "run_id"))
+    read = F.filter("into", lambda x: (x["dst"] == F.col("subject_node")) | (x["dst"] == F.col("object_node")))
+    asked = asked.withColumn("refused", refused).withColumn("read", F.when(F.col("refused").isNull(), read)).drop("known", "into")
+
+    def left(x: Column) -> Column:
+        """The weights of the edges into a node that a run leaves."""
+        off = F.when(F.col("mode") == "zero", 0.0).otherwise(1.0 / F.size(x["ids"]))
+        return F.zip_with(x["ids"], x["shares"], lambda i, w: F.when(F.array_contains("masked", i), off).otherwise(w))
+
+    parts = F.transform("read", lambda x: F.struct(left(x).alias("w"), x["values"].alias("v")))
+    n = len(relations)
+    rows = asked.withColumns({"before": F.col("read.before"), "after": _means(parts, n)}).drop("read")  # by node; of two parties one or two
+    for w in ("before", "after"):
+        # One column for each relation: Spark compiles these, lambdas over arrays it does not.
+        one, two = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+        rows = rows.withColumns({f"z{k}": F.when(F.size(w) > 1, (F.get(one, F.lit(k)) + F.get(two, F.lit(k))) / 2.0).otherwise(F.get(one, F.lit(k))) for k in range(n)})
+        z = [F.col(f"z{k}") for k in range(n)]
+        rows = rows.withColumns({f"e{k}": trust.softplus(z[k]) for k in range(n)}).withColumn("top", _greatest(z))
+        e = [F.col(f"e{k}") for k in range(n)]
+        rows = rows.withColumns({"whole": sum(e, F.lit(0.0)) + float(n), f"relation_{w}": F.coalesce(*[F.when(z[k] == F.col("top"), relations[k]) for k in range(n)])})
+        rows = rows.withColumns({f"confidence_{w}": (_greatest(e) + 1.0) / F.col("whole"), f"vacuity_{w}": float(n) / F.col("whole")})
+    found = [f"{c}_{w}" for c in ("relation", "confidence", "vacuity") for w in ("before", "after")]
+    figures = rows.select(*[F.col(c).alias(f"_{c}") for c in question], F.col("refused").alias("_refused"), *found)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in question]
+    rows = met.join(figures, same, "left").withColumn("refused", F.when(F.col("claim_id").isNull(), "no such claim").otherwise(F.col("_refused")))
+    # Only the confidence changes from run to run; what routing adds to it is the claim's.
+    rows = routing.additions(rows.select(*met.columns, "refused", *found), claims, members, how="left")
     for w in ("before", "after"):
-        changed = done.select("run_id", "subject_id", "object_id", F.col("claimed").alias("relation"), F.col(f"confidence_{w}").alias("confidence"))
-        done = done.join(routing.scored(claims, members, changed=changed, key="run_id").select("run_id", F.col("routing").alias(f"routing_{w}")), "run_id")
+        confidence = F.col(f"confidence_{w}")
+        rows = rows.withColumn(f"routing_{w}", F.when(confidence.isNotNull(), routing.by_risk(routing.raw_risk(F.col("added"), confidence))))
     change = F.col("confidence_after") - F.col("confidence_before")
     moved = F.col("routing_before") != F.col("routing_after")
-    result = done.select(
-        "run_id", "relation_before", "relation_after", "routing_before", "routing_after", *[F.round(f"{c}_{w}", 6).alias(f"{c}_{w}") for c in ("confidence", "vacuity") for w in ("before", "after")],
+    return rows.select(
+        "run_id", F.col("_asked").alias("claim_id"), "mode", F.array_join(F.array_sort("masked"), ",").alias("masked"), "refused",
+        "relation_before", "relation_after", "routing_before", "routing_after", *[F.round(f"{c}_{w}", 6).alias(f"{c}_{w}") for c in ("confidence", "vacuity") for w in ("before", "after")],
         F.round(change, 6).alias("change"), ((F.abs(change) > LOAD) | moved).alias("load_bearing"),
-        verdict(change, F.size("masked"), F.col("relation_before"), F.col("relation_after"), moved).alias("verdict"),
+        F.when(F.col("confidence_before").isNotNull(), verdict(change, F.size("masked"), F.col("relation_before"), F.col("relation_after"), moved)).alias("verdict"),
     )
-    return met.select("run_id", F.col("_asked").alias("claim_id"), "mode", F.array_join(F.array_sort("masked"), ",").alias("masked"), "refused").join(result, "run_id", "left")
 
 
 def verdict(change: Column, n: Column, before: Column, after: Column, rerouted: Column) -> Column:

@@ -40,16 +40,14 @@ def cosigned_among(pairs: DataFrame, claims: DataFrame) -> DataFrame:
     return one.join(signed.withColumnRenamed("object_id", "high"), ["subject_id", "high"], "left_semi").select("low", "high").distinct()
 
 
-def scored(claims: DataFrame, members: DataFrame | None = None, digits: int = 4, changed: DataFrame | None = None, key: str = "claim_id") -> DataFrame:
-    """``key``, risk, routing and reasons of each claim in the context of all.
-
-    ``changed`` are claims (subject_id, object_id, relation, confidence and ``key``) to route instead, such as one claim at
-    several confidences, in the fixed context of ``claims``.
+def additions(keyed: DataFrame, claims: DataFrame, members: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``keyed`` (subject_id, object_id, relation and more) with ``added`` (what its relation and the context of all ``claims`` give) and ``reasons``.
 
     ``members`` has the nodes on cycles by relation. A claim whose two ends are members of
-    the same relation's cycles gets the cycle's addition once, whatever its own relation is.
+    the same relation's cycles gets the cycle's addition once, whatever its own relation is. Rows whose pair ``claims`` do not have
+    are left out, or with ``how`` "left" kept.
     """
-    keyed = (claims if changed is None else changed).withColumns({"low": F.least("subject_id", "object_id"), "high": F.greatest("subject_id", "object_id")})
+    rows = keyed.withColumns({"low": F.least("subject_id", "object_id"), "high": F.greatest("subject_id", "object_id")})
     if members is None:
         members = graph.cycle_members(graph.grouped_edges(graph.routing_by_confidence(claims)))
     # Ownership comes first where both ends are members of either.
@@ -57,7 +55,7 @@ def scored(claims: DataFrame, members: DataFrame | None = None, digits: int = 4,
     ends = lambda c: loops.select(F.col("node").alias(c), F.struct("owns", "funds").alias(f"{c}_in"))
     pairs = claims.groupBy(*pair()).agg(F.count_distinct("relation").alias("kinds"), F.max(F.col("relation") == "SHARES_ADDRESS_WITH").alias("shared"))
     context = pairs.join(cosigned_among(pairs.select("low", "high"), claims).withColumn("cosigned", F.lit(True)), ["low", "high"], "left")
-    joined = keyed.join(ends("subject_id"), "subject_id", "left").join(ends("object_id"), "object_id", "left").join(context, ["low", "high"])
+    joined = rows.join(ends("subject_id"), "subject_id", "left").join(ends("object_id"), "object_id", "left").join(context, ["low", "high"], how)
     both = lambda k: F.coalesce(F.col(f"subject_id_in.{k}") & F.col(f"object_id_in.{k}"), F.lit(False))
     base = F.coalesce(F.create_map(*[F.lit(x) for kv in BASE.items() for x in kv])[F.col("relation")], F.lit(0.15))
     tests = [
@@ -68,13 +66,27 @@ def scored(claims: DataFrame, members: DataFrame | None = None, digits: int = 4,
         ("multi_relation", KINDS, F.col("kinds") >= 3),
     ]
     added = sum((F.when(t, F.lit(v)).otherwise(0.0) for _, v, t in tests), base)
-    risk = F.greatest(F.lit(0.0), F.least(F.lit(1.0), added * (0.5 + 0.5 * F.col("confidence"))))
-    return joined.withColumn("raw", risk).select(
-        key,
-        F.round("raw", digits).alias("risk"),
-        F.when(F.col("raw") >= ESCALATE, "escalate").when(F.col("raw") >= FLAG, "flag").otherwise("auto_file").alias("routing"),
-        F.array_join(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, _, t in tests])), ",").alias("reasons"),
-    )
+    reasons = F.array_join(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, _, t in tests])), ",")
+    return joined.select(*keyed.columns, added.alias("added"), reasons.alias("reasons"))
+
+
+def raw_risk(added: Column, confidence: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), added * (0.5 + 0.5 * confidence)))
+
+
+def by_risk(raw: Column) -> Column:
+    return F.when(raw >= ESCALATE, "escalate").when(raw >= FLAG, "flag").otherwise("auto_file")
+
+
+def scored(claims: DataFrame, members: DataFrame | None = None, digits: int = 4, changed: DataFrame | None = None, key: str = "claim_id") -> DataFrame:
+    """``key``, risk, routing and reasons of each claim in the context of all, as ``additions`` gives it.
+
+    ``changed`` are claims (subject_id, object_id, relation, confidence and ``key``) to route instead, such as one claim at
+    several confidences, in the fixed context of ``claims``.
+    """
+    keyed = claims if changed is None else changed
+    rows = additions(keyed.select(*dict.fromkeys([key, "subject_id", "object_id", "relation", "confidence"])), claims, members)
+    return rows.withColumn("raw", raw_risk(F.col("added"), F.col("confidence"))).select(key, F.round("raw", digits).alias("risk"), by_risk(F.col("raw")).alias("routing"), "reasons")
 
 
 def gate_reason(routing: Column) -> Column:
